@@ -1,0 +1 @@
+"""Spark-native analytics for evidence-backed monitoring metrics."""
