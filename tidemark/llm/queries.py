@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.chat_tree import chat_tree, read_back
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.fuzzy_lines import fuzzy_lines
+from tidemark.llm.language_id import fit_language_id, identify_language
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.multi_index import search
 from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +27,15 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 20 == 0)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
@@ -30,6 +44,23 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir)).withColumnRenamed("text_digest", "text_sha256")
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines(_documents(spark, sf_dir))
+
+
+def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    vocabulary = _vocabulary("byte_bpe_50k.json")
+    return read_back(*chat_tree(turns.unionByName(more), vocabulary), vocabulary)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return identify_language(docs, fit_language_id(docs))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
@@ -42,13 +73,25 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).drop("copies")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "op1_multi_index": op1_multi_index,
+        "op2_toxicity": op2_toxicity,
         "op3_pack": op3_pack,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_fuzzy_lines": op5_fuzzy_lines,
+        "op6_chat_tree": op6_chat_tree,
+        "op7_language_id": op7_language_id,
         "op8_token_counts": op8_token_counts,
         "op9_near_dedup": op9_near_dedup,
         "op10_mix_sources": op10_mix_sources,
+        "pipeline": pipeline,
     }
 
 
@@ -65,6 +108,18 @@ SELECT doc_id,
 FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
 """
 
+OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('[INST][/INST]</s>') + length(regexp_replace(role, '([\\<\[])', '\1\\', 'g')) + length(regexp_replace(text, '([\\<\[])', '\1\\', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
@@ -123,4 +178,4 @@ FROM running
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op9_near_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_chat_tree": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL}
