@@ -189,7 +189,7 @@ def search(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
     group = F.floor(F.col("i") / group_size).cast("int")
     block = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*[F.lit(b) for b in blocks]), group + 1)).cast("int")
-    held = entries.select("vec_id", "i", "j", "vector", group.alias("group"), block.alias("block")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).cast("long"))
+    held = entries.select("vec_id", "i", "j", "vector", group.alias("group"), block.alias("block")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
 
     def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if not len(one) or not len(two):
