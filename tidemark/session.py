@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,3 +19,20 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
             root = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
     return spark
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once for each application, so that its functions run on any executor."""
+    context = spark.sparkContext
+    if _shipped.get("application") != context.applicationId:
+        package = Path(__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark_workers.zip"
+        with zipfile.ZipFile(archive, "w") as file:
+            for source in sorted(package.rglob("*.py")):
+                file.write(source, f"{package.name}/{source.relative_to(package)}")
+        context.addPyFile(str(archive))
+        _shipped["application"] = context.applicationId
+    return spark
+
+
+_shipped: dict[str, str] = {}
