@@ -4,9 +4,11 @@ Features of a whole text: densities of a lexicon of words and word stems, its st
 second-person pronoun, rates of capitals, punctuation, exclamation, digits and obfuscated words, and lengths.
 
 All is learned from a bounded sample of the labelled rows whose crc32(doc_id) mod 4 isn't 2, about FIT_POSITIVE with the
-label and FIT_NEGATIVE without, chosen by digests of document ids. One half of it gives the lexicon (terms in many texts
-with the label and few without, in at least LEXICON_LEAST different surroundings, so that copies of one text don't make
-one), three eighths the trees and the last eighth, weighted back to all rows, the calibration.
+label and FIT_NEGATIVE without, chosen by digests of document ids. The lexicon is a short list of common insults and the
+terms that many texts with the label and few without have, in at least LEXICON_LEAST different surroundings, so that
+copies of one text don't make one. Each half of the sample is described by the lexicon that the other half gives; three
+quarters of these rows make the trees and one, weighted back to all rows, the calibration. Texts are then scored with
+the lexicon of the whole sample.
 
 Defined results: null text counts as empty; every text gets a score, empty ones too; rows without a label teach nothing;
 conflicting labels count as 1; without labels all scores are 0; a null doc_id counts as text "" in the digest; an empty
@@ -25,17 +27,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import unit_hash
+from tidemark.llm.common import materialise, unit_hash
 from tidemark.llm.language_id import held_out
 
 FIT_POSITIVE, FIT_NEGATIVE = 4000, 8000
-LEXICON_TERMS, LEXICON_LEAST, LEXICON_ODDS = 3000, 6, 8.0
+LEXICON_TERMS, LEXICON_LEAST, LEXICON_ODDS = 3000, 4, 8.0
 STEM_LENGTHS = (4, 5, 6)
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 #: Characters on either side of a hit in which a second-person pronoun counts as near.
 NEAR = 40
 
 _WORD = re.compile(r"[^\W_]+")
+# Common insults, with the log-odds that they start from.
+INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "fool", "imbecile", "loser", "losers", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "bastard", "jerk", "creep", "idiota", "imbécil", "estúpido", "basura", "dummkopf", "arschloch", "abschaum", "trottel", "crétin", "connard", "salaud", "abruti")
+INSULT_ODDS = 3.0
 # Second-person pronouns of the common languages.
 _SECOND_PERSON = re.compile(r"\b(?:you|your|yours|yourself|du|dich|dir|dein|deine|ihr|euch|tu|te|toi|ton|ta|vous|votre|tú|ti|tus|usted|ustedes|vosotros)\b")
 _OBFUSCATED = re.compile(r"[A-Za-z][0-9@$*!|]+[A-Za-z]|\b(?:[A-Za-z][.\-*_]){2,}[A-Za-z]\b")
@@ -203,6 +208,7 @@ def _learn_lexicon(sample: DataFrame) -> Lexicon:
     around = sample.mapInPandas(surrounded, "term string, around bigint").groupBy("term").agg(F.countDistinct("around").alias("n")).where(F.col("n") >= LEXICON_LEAST)
     kept = {r.term for r in around.collect()}
     words = {t: o for t, o in chosen.items() if t in kept and not t.endswith("*")}
+    words = dict.fromkeys(INSULTS, INSULT_ODDS) | words
     return Lexicon(words, {t[:-1]: o for t, o in chosen.items() if t in kept and t.endswith("*")})
 
 
@@ -217,21 +223,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     drawn = unit_hash(F.lit("toxic"), F.col("_id")) < F.when(F.col("label") == 1, rates[1]).otherwise(rates[0])
     marks = marks.where(drawn)  # about FIT_POSITIVE + FIT_NEGATIVE rows
     sample = docs.join(F.broadcast(marks), F.col(doc_id) == F.col("_id")).select("_id", F.coalesce(F.col(text), F.lit("")).alias("text"), "label")
-    sample = sample.withColumn("fold", F.floor(unit_hash(F.lit("fold"), F.col("_id")) * 8))
-    lexicon = _learn_lexicon(sample.where("fold < 4").select("text", "label"))
+    sample = materialise(sample.withColumn("fold", F.floor(unit_hash(F.lit("fold"), F.col("_id")) * 8)), "toxic-sample")
+    halves = [_learn_lexicon(sample.where(part).select("text", "label")) for part in ("fold >= 4", "fold < 4")]
+    lexicon = _learn_lexicon(sample.select("text", "label"))
 
     def featured(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"id": part["_id"], "label": part["label"], "fold": part["fold"], "x": [features(t, lexicon) for t in part["text"]]})
+            yield pd.DataFrame({"id": part["_id"], "label": part["label"], "fold": part["fold"], "x": [features(t, halves[int(f >= 4)]) for t, f in zip(part["text"], part["fold"])]})
 
     kind = f"id {dict(marks.dtypes)['_id']}, label int, fold bigint, x array<double>"
-    rows = sample.where("fold >= 4").mapInPandas(featured, kind).toPandas().sort_values("id", kind="stable")
+    rows = sample.mapInPandas(featured, kind).toPandas().sort_values("id", kind="stable")
     if rows["label"].nunique() < 2:
         return ToxicityModel(lexicon, None, None)
-    x, y, last = np.array(rows["x"].tolist()), rows["label"].to_numpy(), rows["fold"].to_numpy() == 7
-    trees = BoostedTrees().fit(x[~last], y[~last])
-    if y[last].min(initial=1) == y[last].max(initial=0):
-        last[:] = True
+    x, y, last = np.array(rows["x"].tolist()), rows["label"].to_numpy(), (rows["fold"] % 4 == 3).to_numpy()
+    if y[~last].min(initial=1) == y[~last].max(initial=0) or y[last].min(initial=1) == y[last].max(initial=0):
+        trees, last = BoostedTrees().fit(x, y), np.ones(len(y), bool)
+    else:
+        trees = BoostedTrees().fit(x[~last], y[~last])
     weight = np.where(y == 1, 1 / rates[1], 1 / rates[0])
     return ToxicityModel(lexicon, trees, isotonic(trees.margin(x[last]), y[last], weight[last]))
 
