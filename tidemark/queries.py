@@ -433,7 +433,7 @@ def dashboard_trends(spark, sf_dir):
     return dashboards.trends(_metrics(spark, sf_dir), _observations(spark, sf_dir)).select("site_id", F.unix_micros("at").alias("at_us"), "value")
 
 
-_PLANS = """plans AS (SELECT n_nationkey AS plan_id, list(c_custkey::VARCHAR ORDER BY c_custkey) FILTER (WHERE c_custkey % 3 = 0) || [n_nationkey::VARCHAR, n_nationkey::VARCHAR, '-1'] AS sites FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey)"""
+_PLANS = """plans AS (SELECT n_nationkey AS plan_id, coalesce(list(c_custkey::VARCHAR ORDER BY c_custkey) FILTER (WHERE c_custkey % 3 = 0), []) || [n_nationkey::VARCHAR, n_nationkey::VARCHAR, '-1'] AS sites FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey)"""
 
 
 @query(f"""WITH {_PLANS}, s AS (SELECT plan_id, unnest(sites) AS subject FROM plans)

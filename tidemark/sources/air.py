@@ -20,10 +20,14 @@ def read_air(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_air(spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path))
 
 
+def _measures(parameter: str):
+    return lambda sensor: sensor["parameter"]["name"] == parameter
+
+
 def parse_air(bundles: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = bundles.select("retrievedAt", "hours", F.explode("locations.results").alias("l")).where("l.isMonitor")
     for slot, (parameter, unit) in PARAMETERS.items():
-        found = F.try_element_at(F.filter("l.sensors", lambda s, p=parameter: s["parameter"]["name"] == p), F.lit(1))
+        found = F.try_element_at(F.filter("l.sensors", _measures(parameter)), F.lit(1))
         wrong = found.isNotNull() & (found["parameter"]["units"] != unit)
         places = places.withColumn(slot, F.when(wrong, F.raise_error(F.lit(f"air payload: {parameter} must use {unit}")).cast("bigint")).otherwise(found["id"]))
     places = places.where("primary IS NOT NULL")
