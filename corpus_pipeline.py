@@ -16,26 +16,40 @@ from tidemark.llm.packing import pack
 LEAST_LANGUAGE_SCORE = 0.4
 
 
+#: Columns that stages use by name; all others pass through under names that clash with none of a stage's own.
+KNOWN = ("doc_id", "text", "lang", "source")
+
+
+def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
+    """Documents with their other columns renamed, and the columns that undo it."""
+    names = {c: c if c in KNOWN else f"_other{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(c).alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognisable language."""
+    docs, back = _apart(docs)
     told = identify_language(docs, fit_language_id(docs), carry=docs.columns)
-    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*back)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    return exact_dedup(docs, carry=docs.columns).where("kept").select(*docs.columns)
+    docs, back = _apart(docs)
+    return exact_dedup(docs, carry=docs.columns).where("kept").select(*back)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
-    return near_dedup(docs, carry=docs.columns).where("kept").select(*docs.columns)
+    docs, back = _apart(docs)
+    return near_dedup(docs, carry=docs.columns).where("kept").select(*back)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents as the mix of sources takes them."""
-    mixed = mix_sources(docs, carry=docs.columns)
-    return mixed.withColumn("_copy", F.explode(F.expr("sequence(1, greatest(copies, 1))"))).where("copies > 0").select(*docs.columns)
+    docs, back = _apart(docs)
+    taken = mix_sources(docs, carry=docs.columns).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*back)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

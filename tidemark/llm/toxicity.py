@@ -222,7 +222,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     rates = {k: min(1.0, most / totals[k]) for k, most in ((1, FIT_POSITIVE), (0, FIT_NEGATIVE))}
     drawn = unit_hash(F.lit("toxic"), F.col("_id")) < F.when(F.col("label") == 1, rates[1]).otherwise(rates[0])
     marks = marks.where(drawn)  # about FIT_POSITIVE + FIT_NEGATIVE rows
-    sample = docs.join(F.broadcast(marks), F.col(doc_id) == F.col("_id")).select("_id", F.coalesce(F.col(text), F.lit("")).alias("text"), "label")
+    texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(marks), "_id").select("_id", "text", "label")
     sample = materialise(sample.withColumn("fold", F.floor(unit_hash(F.lit("fold"), F.col("_id")) * 8)), "toxic-sample")
     halves = [_learn_lexicon(sample.where(part).select("text", "label")) for part in ("fold >= 4", "fold < 4")]
     lexicon = _learn_lexicon(sample.select("text", "label"))
