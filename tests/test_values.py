@@ -199,3 +199,22 @@ def test_mean_is_rounded_once(spark, numbers, scale):
     rows = Rowset(df, {"x": v.field("x", "decimal", 2)}, "id")
     g = rows.group()
     assert g.aggregate(m=g.mean("x", scale)).df.first().m == half_even(Fraction(sum(Fraction(x) for x in numbers), len(numbers)), scale)
+
+
+def test_contracts_are_checked():
+    from tidemark.plans.contracts import MetricContract, contract_number
+
+    base = dict(name="m", measure="x", aggregation="sum", value_type="decimal")
+    MetricContract(**base)
+    wrong = [
+        (dict(aggregation="median"), "type_mismatch"), (dict(aggregation="ratio"), "invalid_graph"), (dict(denominator="y"), "invalid_graph"), (dict(value_type="currency"), "currency_mismatch"), (dict(value_type="percentage"), "unit_mismatch"),
+        (dict(unit="%"), "unit_mismatch"), (dict(value_type="duration", unit="m"), "unit_mismatch"), (dict(value_type="integer"), "type_mismatch"), (dict(aggregation="count"), "type_mismatch"), (dict(data_owner="business"), "invalid_graph"),
+        (dict(threshold="1"), "invalid_graph"), (dict(direction="higher_is_better", threshold="2", target="1"), "invalid_graph"), (dict(direction="lower_is_better", threshold="1", target="2"), "invalid_graph"), (dict(direction="target_band", threshold="2", target="1"), "invalid_graph"),
+    ]
+    for change, code in wrong:
+        with pytest.raises(CalculationError, match=code):
+            MetricContract(**{**base, **change})
+    assert contract_number("0.5") == Decimal("0.5") and contract_number("-12") == -12
+    for text in ("-0", "01", "1.50", "1.", "", "1e3", "+1"):
+        with pytest.raises(CalculationError):
+            contract_number(text)

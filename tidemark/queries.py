@@ -14,6 +14,7 @@ from tidemark.functions.values import field
 from tidemark.operators import evaluation, evidence, history, reachability, rowsets, stations, verification
 from tidemark.operators.rowsets import Key, Rowset
 from tidemark.plans import dashboards
+from tidemark.plans.contracts import MetricContract, measure
 from tidemark.session import with_checkpoints
 from tidemark.sources.tables import canonical_json, read_table
 
@@ -321,6 +322,20 @@ def freshness_of_latest(spark, sf_dir):
     return rows.df.select(v.classify_state(field("latest", "timestamp"), 7_200_000, _PINNED).payload.alias("told"))
 
 
+@query("""SELECT o_orderpriority, sum(o_totalprice::DECIMAL(12,2))::VARCHAR AS total, sum(o_totalprice::DECIMAL(12,2)) >= 1000000 AS meets_threshold, sum(o_totalprice::DECIMAL(12,2)) >= 300000000 AS meets_target FROM orders GROUP BY ALL""")
+def contract_revenue(spark, sf_dir):
+    contract = MetricContract("revenue", "o_totalprice", "sum", "currency", "higher_is_better", "1000000", "300000000", currency="USD")
+    found = measure(orders(spark, sf_dir, currency="USD"), contract, "o_orderpriority")
+    return found.df.select("o_orderpriority", F.col("value").cast("string").alias("total"), "meets_threshold", "meets_target")
+
+
+@query(f"""SELECT l_returnflag, {HE(f"sum({C('l_tax')}) * 100 * 1000000", f"sum({C('l_discount')})")}::VARCHAR AS share_e6, sum({C('l_tax')}) * 100 >= 79 * sum({C('l_discount')}) AS meets_threshold, sum({C('l_tax')}) * 100 <= 81 * sum({C('l_discount')}) AS meets_target FROM lineitem GROUP BY ALL""")
+def contract_ratio(spark, sf_dir):
+    contract = MetricContract("share", "l_tax", "ratio", "percentage", "target_band", "79", "81", unit="%", denominator="l_discount", scale=6)
+    found = measure(lineitem(spark, sf_dir), contract, "l_returnflag")
+    return found.df.select("l_returnflag", F.replace(F.col("value").cast("string"), F.lit("."), F.lit("")).alias("share_e6"), "meets_threshold", "meets_target")
+
+
 # --- stations ----------------------------------------------------------------------------------------------------
 
 _AS_OF = "2024-01-20 00:00:00"
