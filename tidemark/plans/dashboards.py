@@ -65,9 +65,9 @@ def select_sites(stations: DataFrame, wanted: str) -> DataFrame:
 
 
 def ordered_sites(plan: DataFrame, stations: DataFrame) -> DataFrame:
-    """A plan's stations in its order: ``plan`` has site_ids (array)."""
-    wanted = plan.select(F.posexplode("site_ids").alias("place", "site_id"))
-    return wanted.join(stations, "site_id").orderBy("place")
+    """Each plan's stations with their place in it: ``plan`` has plan_id and site_ids (array)."""
+    wanted = plan.select("plan_id", F.posexplode("site_ids").alias("place", "site_id"))
+    return wanted.join(stations, "site_id").orderBy("plan_id", "place")
 
 
 def plan_findings(plans: DataFrame, stations: DataFrame) -> DataFrame:

@@ -462,6 +462,30 @@ def plan_findings(spark, sf_dir):
     return dashboards.plan_findings(plans, c.select(F.col("c_custkey").cast("string").alias("site_id")))
 
 
+@query()
+def dashboard_ranking(spark, sf_dir):
+    return dashboards.ranking(_metrics(spark, sf_dir))
+
+
+@query(f"SELECT site_id, id, severity FROM ({SQL['station_alerts']}) QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY CASE severity WHEN 'warning' THEN 3 WHEN 'attention' THEN 2 ELSE 1 END DESC, id) = 1")
+def alert_highest(spark, sf_dir):
+    return evidence.severity_first(station_alerts(spark, sf_dir), "site_id").select("site_id", "id", "severity")
+
+
+@query("""SELECT n_nationkey AS plan_id, p AS place, c_custkey::VARCHAR AS site_id FROM (SELECT n_nationkey, generate_subscripts(s, 1) - 1 AS p, unnest(s) AS k FROM (SELECT n_nationkey, [n_nationkey * 7, n_nationkey + 1, -5] AS s FROM nation)) JOIN customer ON c_custkey = k""")
+def plan_ordered_sites(spark, sf_dir):
+    n = F.col("n_nationkey")
+    plans = read_table(spark, sf_dir, "nation").select(n.alias("plan_id"), F.array((n * 7).cast("string"), (n + 1).cast("string"), F.lit("-5")).alias("site_ids"))
+    sites = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("site_id"))
+    return dashboards.ordered_sites(plans, sites).select("plan_id", "place", "site_id")
+
+
+@query("""SELECT 0 AS source, 'river-' || r_name AS id, 'summary' AS kind, r_name AS title FROM region UNION ALL SELECT 1, 'air-absent', 'notice', 'Source unavailable' UNION ALL SELECT 2, 'other-' || n_name, 'table', n_name FROM nation""")
+def dashboard_compose(spark, sf_dir):
+    part = lambda t, c, kind: read_table(spark, sf_dir, t).select(F.col(c).alias("id"), F.lit(kind).alias("kind"), F.col(c).alias("title"))
+    return dashboards.compose([("river", part("region", "r_name", "summary")), ("air", None), ("other", part("nation", "n_name", "table"))])
+
+
 # --- evidence and merging ----------------------------------------------------------------------------------------
 
 
