@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.helpers import SCHEMA, SPACE, components, documents, shingle_set
-from tidemark.llm.candidates import link_buckets, with_hubs
+from tidemark.llm.candidates import cross_pairs, link_buckets, mixed_members, split_by_rarest, with_hubs
 from tidemark.llm.components import connected_components
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.fuzzy_lines import SHINGLE, fuzzy_lines
@@ -70,6 +70,25 @@ def test_near_dedup_matches_brute_force(docs):
     assert sum(r.kept for r in found) == len(set(label))
 
 
+def test_large_mixed_buckets_lose_no_link(spark, monkeypatch):
+    """Documents that are mostly one passage: many share every band, few pairs are links; blocks must find them all."""
+    import random
+
+    import tidemark.llm.candidates as candidates
+    import tidemark.llm.near_dedup as module
+
+    monkeypatch.setattr(module, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(candidates, "SMALL_BUCKET", 2)
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"w{rng.random()}" for _ in range(rng.randint(6, 26))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = docs.collect()
+    _, label = brute_near(rows)
+    want = {r.doc_id: c for r, c in zip(rows, label)}
+    assert {r.doc_id: r.component_id for r in near_dedup(docs).collect()} == want
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_dedup(empty).count() == 0 and near_dedup(empty).count() == 0 and fuzzy_lines(empty).count() == 0
@@ -123,8 +142,9 @@ def test_buckets_lose_no_link(spark):
         both = F.size(F.array_intersect("x", "y"))
         return pairs.join(one, "a").join(two, "b").where(both * 100 >= (60 - both) * 75).select("a", "b")
 
-    members = with_hubs(sets.select("node", F.lit(1).alias("bucket")), 80, "test")
-    found = link_buckets(members, compare, lambda nodes: sets.join(nodes, "node"), 75, 100, "test")
+    members = with_hubs(sets.select("node", F.lit(0).alias("weight"), F.lit(1).alias("bucket")), 80, "test")
+    dealt = lambda large: split_by_rarest(sets.join(large.select("node", "component"), "node"), 75, 100)
+    found = link_buckets(members, compare, lambda large: compare(cross_pairs(mixed_members(dealt(large))), "test"), "test")
     label = {r.node: r.component for r in found.collect()}
     assert {label.get(i, i) for i in range(40)} == {0} and all(label.get(i, i) == i for i in range(40, 80))
 

@@ -1,11 +1,10 @@
 """Linking the nodes of buckets without listing the pairs of a bucket. DataFrame functions only.
 
-A bucket's members are first compared with its smallest node only. Union-find merges what is confirmed, and only buckets
-that still hold several components matter from then on: for HUB_ROUNDS rounds their members are compared with another
-hub, drawn anew, of another component. Of what is mixed even then, small buckets have their pairs across components
-compared; larger ones are dealt anew by their members' rarest shingles (prefix filtering: two sets with the wanted
-similarity must share one of them), go through HUB_ROUNDS again, and have their pairs across components compared. A pair
-that shares a bucket is thus compared, or joined by others, or can't have the similarity.
+A bucket's members are first compared with one hub only, the one of least weight (the smallest set has the least of its
+own beside what a bucket shares). Union-find merges what is confirmed, and only buckets that still hold several
+components matter from then on: their members are compared with another hub, drawn at random. Of what is mixed even then,
+small buckets have their pairs across components compared, and larger ones are left to the caller's exact way. A pair
+that shares a bucket is thus compared, or joined by others.
 """
 
 from __future__ import annotations
@@ -18,15 +17,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, skew_safe_join
 from tidemark.llm.components import connected_components
 
-#: A mixed bucket of more members is dealt anew by its members' rarest shingles before pairs are listed.
+#: A mixed bucket of more members is large.
 SMALL_BUCKET = 16
-HUB_ROUNDS = 3
 
 
 def with_hubs(dealt: DataFrame, n_rows: int, label: str) -> DataFrame:
-    """Rows (bucket, node) of ``dealt`` whose bucket has several, with the bucket's smallest node as ``hub``."""
-    buckets = dealt.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return materialise(skew_safe_join(dealt, materialise(buckets, f"{label}-buckets"), "bucket", n_rows, "size"), f"{label}-members")
+    """Rows (bucket, node) of ``dealt`` (bucket, node, weight) whose bucket has several, with its lightest as ``hub``."""
+    order = F.col("weight") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20)
+    buckets = dealt.groupBy("bucket").agg(F.min_by("node", order).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return materialise(skew_safe_join(dealt.select("bucket", "node"), materialise(buckets, f"{label}-buckets"), "bucket", n_rows, "size"), f"{label}-members")
 
 
 def mixed_members(members: DataFrame) -> DataFrame:
@@ -74,35 +73,22 @@ def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _hub_rounds(members: DataFrame, found: DataFrame, compare: Callable[..., DataFrame], label: str) -> tuple[DataFrame, DataFrame]:
-    """(components, mixed members) after HUB_ROUNDS rounds, or as soon as no bucket is mixed."""
-    mixed = materialise(mixed_members(_placed(members, found)), f"{label}-mixed")
-    for turn in range(HUB_ROUNDS):
-        if not mixed.limit(1).count():
-            break
-        hubs = mixed.groupBy("bucket", "size").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("b"), F.col("component").alias("component_b"))).alias("hub"))
-        pairs = skew_safe_join(mixed.drop("size"), hubs.select("bucket", "size", "hub.b", "hub.component_b"), "bucket", mixed.count(), "size")
-        links = compare(pairs.where("component <> component_b").select(F.col("node").alias("a"), "b").distinct(), f"{label}-{turn}", True)
-        found = absorb(found, links, f"{label}-{turn}")
-        mixed = materialise(mixed_members(_placed(mixed, found)), f"{label}-mixed")
-    return found, mixed
-
-
-def link_buckets(members: DataFrame, compare: Callable[..., DataFrame], sets_of: Callable[[DataFrame], DataFrame], numerator: int, denominator: int, label: str) -> DataFrame:
+def link_buckets(members: DataFrame, compare: Callable[..., DataFrame], link_large: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
     """Components (node, component) of nodes with links, from ``members`` as with_hubs gives them.
 
-    ``compare`` confirms pairs (a, b), if it is told so only the likeliest of each a; ``sets_of`` gives (node, shingles) of nodes.
+    ``compare`` confirms pairs (a, b), if it is told so only the likeliest of each a; ``link_large`` finds links (a, b)
+    that join the components of (bucket, node, component, size), rows of large mixed buckets.
     """
     stars = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     found = materialise(connected_components(compare(stars, f"{label}-star", True)), f"{label}-components")
-    found, mixed = _hub_rounds(members, found, compare, f"{label}-rest")
-    small = cross_pairs(mixed.where(F.col("size") <= SMALL_BUCKET))
-    found = absorb(found, compare(small, f"{label}-small"), f"{label}-small")
-    large = mixed_members(_placed(mixed.where(F.col("size") > SMALL_BUCKET), found)).select("node", "component").distinct()
-    large = materialise(large, f"{label}-large")
-    if large.limit(1).count():
-        sets = materialise(sets_of(large.select("node")).join(large, "node").select("node", "component", "shingles"), f"{label}-large-sets")
-        dealt = materialise(split_by_rarest(sets, numerator, denominator), f"{label}-dealt")
-        found, mixed = _hub_rounds(dealt, found, compare, f"{label}-dealt")
-        found = absorb(found, compare(cross_pairs(mixed), f"{label}-last"), f"{label}-last")
-    return found
+
+    mixed = materialise(mixed_members(_placed(members, found)), f"{label}-mixed")
+    drawn = F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("draw"), F.col("node").alias("b"), F.col("component").alias("component_b"))).alias("hub")
+    hubs = mixed.groupBy("bucket", "size").agg(drawn).select("bucket", "size", "hub.b", "hub.component_b")
+    pairs = skew_safe_join(mixed.drop("size"), hubs, "bucket", mixed.count(), "size").where("component <> component_b")
+    found = absorb(found, compare(pairs.select(F.col("node").alias("a"), "b").distinct(), f"{label}-hub", True), f"{label}-hub")
+
+    mixed = materialise(mixed_members(_placed(mixed, found)), f"{label}-mixed")
+    found = absorb(found, compare(cross_pairs(mixed.where(F.col("size") <= SMALL_BUCKET)), f"{label}-small"), f"{label}-small")
+    large = materialise(mixed_members(_placed(mixed.where(F.col("size") > SMALL_BUCKET), found)), f"{label}-large")
+    return absorb(found, link_large(large), f"{label}-large") if large.limit(1).count() else found

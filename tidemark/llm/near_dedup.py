@@ -4,14 +4,12 @@ A document's set holds the distinct shingles of five words (ASCII lower case, wo
 words make one shingle; documents without words are linked with nothing. Documents are linked when their sets' Jaccard
 similarity is 0.75 or more. With 32 bands of 4 slots a pair at exactly 0.75 shares no band with a chance of 5e-6.
 
-No bucket's pairs are listed outright:
-* documents with equal sets become one class, with one representative, before anything else;
-* in each bucket every member is first compared with the bucket's smallest member only, and union-find merges those;
-* only buckets that still hold several components are looked at again, and there only pairs from different components;
-  a bucket of over SMALL_BUCKET members is split further by the rarest shingles of its members, of which two sets with
-  the wanted similarity must share one (prefix filtering), so it loses no link.
-Candidates whose signatures agree in less than half their slots (over 6 deviations below a link) aren't verified;
-all others are confirmed on the full sets.
+Documents with equal sets become one class, with one representative, before anything else. Representatives are linked
+within the bands' buckets without listing a bucket's pairs (see candidates), so large groups of copies, or of documents
+with a passage in common, make no square of pairs. What large buckets leave unmerged is compared in blocks of signatures
+and then, for nodes with a likely partner only, of full sets; a block gives a spanning forest of its links, no more.
+Candidates whose signatures agree in less than 58 % of their slots (4.4 deviations below a link's) aren't verified; all
+others are confirmed on the full sets.
 
 Defined results: null text or text without words has n_shingles 0 and is its own component; a null doc_id is never the
 smallest unless a component has only nulls; of repeated rows one is kept; an empty table gives an empty result; other
@@ -29,15 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.candidates import link_buckets, with_hubs
 from tidemark.llm.common import materialise, skew_safe_join
-from tidemark.llm.components import connected_components
 from tidemark.llm.shingles import mix, shingle_sets, super_minhash
 
 BANDS, ROWS = 32, 4
 NUMERATOR, DENOMINATOR = 75, 100
-SMALL_BUCKET = 64
+#: Percent of slots.
+LEAST_AGREEING = 58
 #: At most so many ids (about 16 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 200_000
+#: Rows of a block, and of a slice that is compared with a block at a time.
+BLOCK_ROWS, SLICE = 2048, 64
 #: Text characters whose sets are made at a time.
 GROUP_CHARS = 1 << 20
 
@@ -114,6 +115,59 @@ def _linked(one: pd.Series, two: pd.Series) -> pd.Series:
     return pd.Series(verdicts, dtype=bool)
 
 
+def _agreeing_pairs(block: pd.DataFrame) -> Iterator[np.ndarray]:
+    """Positions (one, two, agreeing slots) of pairs of different components that could be linked, a slice at a time.
+
+    A block of one bucket holds the rows of two homes, ``low`` and ``high``, or of one home (low = high).
+    """
+    signs = np.frombuffer(b"".join(block["signature"]), np.uint8).reshape(len(block), -1)
+    component, sizes, home = (block[c].to_numpy() for c in ("component", "n_shingles", "home"))
+    low, high = block["low"].iloc[0], block["high"].iloc[0]
+    ones, twos = np.flatnonzero(home == low), np.flatnonzero(home == high)
+    for at in range(0, len(ones), SLICE):
+        one = ones[at : at + SLICE]
+        agree = (signs[one, None, :] == signs[None, twos, :]).sum(axis=2)
+        fits = np.minimum(sizes[one, None], sizes[None, twos]) * DENOMINATOR >= np.maximum(sizes[one, None], sizes[None, twos]) * NUMERATOR
+        x, y = np.nonzero((agree * 100 >= LEAST_AGREEING * signs.shape[1]) & fits & (component[one, None] != component[None, twos]))
+        if len(x):
+            yield np.stack([one[x], twos[y], agree[x, y]])
+
+
+def _suspects(block: pd.DataFrame) -> pd.DataFrame:
+    found = np.unique(np.concatenate([np.zeros(0, np.int64), *[p[:2].ravel() for p in _agreeing_pairs(block)]]).astype(np.int64))
+    return block.iloc[found][["bucket", "node"]]
+
+
+def _forest(block: pd.DataFrame) -> pd.DataFrame:
+    """Links that join the components of a block, likeliest first."""
+    sets, nodes, component = [np.frombuffer(x, np.uint64) for x in block["set"]], block["node"].to_numpy(), block["component"].tolist()
+    parent, found = {}, []
+
+    def root(c):
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    for pairs in _agreeing_pairs(block):
+        for x, y, _ in pairs[:, np.argsort(-pairs[2], kind="stable")].T.tolist():
+            one, two = root(component[x]), root(component[y])
+            if one != two:
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if DENOMINATOR * both >= NUMERATOR * (len(sets[x]) + len(sets[y]) - both):
+                    parent[one] = two
+                    found.append((nodes[x], nodes[y]))
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows of buckets (with ``size``) dealt to homes of about BLOCK_ROWS, and repeated for each pair of homes."""
+    homes = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.lit(1)).cast("int")
+    dealt = rows.withColumn("homes", homes).withColumn("home", F.pmod(F.xxhash64("node", F.lit(7)), F.col("homes")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)))
+    return other.select("*", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"))
+
+
 class _Verifier:
     """Tests candidate pairs (a, b) of class representatives, first by signature and then on full sets."""
 
@@ -133,7 +187,7 @@ class _Verifier:
         seen = self._with(self._with(pairs, "a", facts, n), "b", facts, n)
         low, high = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
         seen = seen.where(low * DENOMINATOR >= high * NUMERATOR).select("a", "b", _agreeing("signature_a", "signature_b").alias("agreeing"))
-        return materialise(seen.where(F.col("agreeing") * 2 >= BANDS * ROWS), f"{label}-likely")
+        return materialise(seen.where(F.col("agreeing") * 100 >= LEAST_AGREEING * BANDS * ROWS), f"{label}-likely")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         nodes = nodes.selectExpr("node AS uid")
@@ -149,35 +203,6 @@ class _Verifier:
         return materialise(tested.where(_linked("set_a", "set_b")).select("a", "b"), f"{label}-links")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components within a bucket (each bucket small or already split)."""
-    one = members.selectExpr("bucket", "node AS a", "component AS component_a")
-    two = members.selectExpr("bucket", "node AS b", "component AS component_b")
-    return one.join(two, "bucket").where("component_a < component_b").select("a", "b").distinct()
-
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """The members of buckets that still hold more than one component, with the bucket's size."""
-    kinds = members.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("size"))
-    return members.join(kinds.where("_low <> _high").select("bucket", "size"), "bucket")
-
-
-def _split(members: DataFrame, verifier: _Verifier) -> DataFrame:
-    """Members dealt by their rarest shingles: sets with the wanted similarity share one of these keys."""
-    nodes = members.select("node", "component").distinct()
-    sets = verifier.sets(nodes.select("node"))
-    as_longs = F.pandas_udf(lambda s: s.map(lambda x: np.frombuffer(x, np.int64)), "array<bigint>")
-    each = materialise(sets.join(nodes, "node").select("node", "component", as_longs("set").alias("shingles")), "split-sets")
-    flat = each.select("node", F.explode("shingles").alias("shingle"))
-    n_flat = flat.count()
-    seen = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen"))
-    ordered = skew_safe_join(flat, seen, "shingle", n_flat, "seen").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("ordered"))
-    n = F.size("ordered")
-    prefix = n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1
-    keys = ordered.select("node", F.explode(F.slice("ordered", F.lit(1), prefix)).alias("key")).selectExpr("node", "key.shingle AS bucket")
-    return keys.join(nodes, "node").select("bucket", "node", "component")
-
-
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """One row per input row: the columns of ``carry`` (by default doc_id), n_shingles, component_id, kept."""
     carry = [doc_id] if carry is None else carry
@@ -193,28 +218,26 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carr
     classes = materialise(classes, "near-classes")
     verifier = _Verifier(table, classes)
 
-    dealt = classes.select("node", F.explode("bands").alias("bucket"))
-    buckets = dealt.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialise(buckets, "near-buckets")
-    members = materialise(skew_safe_join(dealt, buckets, "bucket", classes.count() * BANDS, "size"), "near-members")
-
-    stars = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    likely = verifier.likely(stars, "star")
-    first = likely.groupBy("a").agg(F.max_by("b", "agreeing").alias("b"))
-    links = verifier.confirm(materialise(first, "star-first"), "star")
-    found = materialise(connected_components(links), "star-components")
-
-    # Exact rest: pairs of different components that still share a bucket.
-    placed = members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = materialise(_mixed(placed), "mixed")
-    pairs = _cross_pairs(mixed.where(F.col("size") <= SMALL_BUCKET))
-    large = mixed.where(F.col("size") > SMALL_BUCKET)
-    if large.limit(1).count():
-        pairs = pairs.union(_cross_pairs(_mixed(_split(large, verifier)))).distinct()
-    rest = verifier.likely(pairs, "rest")
-    if rest.limit(1).count():
-        links = links.union(verifier.confirm(rest, "rest"))
-        found = materialise(connected_components(links), "components")
+    dealt = classes.select("node", F.col("n_shingles").alias("weight"), F.explode("bands").alias("bucket"))
+    members = with_hubs(dealt, classes.count() * BANDS, "near")
+
+    def compare(pairs: DataFrame, label: str, one_each: bool = False) -> DataFrame:
+        likely = verifier.likely(pairs, label)
+        if one_each:
+            likely = materialise(likely.groupBy("a").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b")), f"{label}-best")
+        return verifier.confirm(likely, label)
+
+    def link_large(large: DataFrame) -> DataFrame:
+        signed = large.join(classes.select("node", "n_shingles", "signature"), "node")
+        key = ["bucket", "low", "high"]
+        suspects = _blocks(signed).groupBy(*key).applyInPandas(_suspects, "bucket bigint, node bigint").distinct()
+        suspects = materialise(suspects.join(large.drop("size"), ["bucket", "node"]), "near-suspects")
+        sizes = suspects.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+        sets = materialise(verifier.sets(suspects.select("node").distinct()), "near-suspect-sets")
+        full = suspects.join(sizes, "bucket").join(classes.select("node", "n_shingles", "signature"), "node").join(sets, "node")
+        return materialise(_blocks(full).groupBy(*key).applyInPandas(_forest, "a bigint, b bigint").distinct(), "near-large-links")
+
+    found = link_buckets(members, compare, link_large, "near")
 
     placed = classes.join(found, "node", "left").select("digest", "members", "keeper", F.coalesce("component", "node").alias("component"))
     best = placed.groupBy("component").agg(F.min("keeper").alias("best"))
