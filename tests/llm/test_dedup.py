@@ -142,7 +142,7 @@ def test_buckets_lose_no_link(spark):
         both = F.size(F.array_intersect("x", "y"))
         return pairs.join(one, "a").join(two, "b").where(both * 100 >= (60 - both) * 75).select("a", "b")
 
-    members = with_hubs(sets.select("node", F.lit(0).alias("weight"), F.lit(1).alias("bucket")), 80, "test")
+    members = with_hubs(sets.select("node", F.lit(0).alias("weight"), F.lit(1).alias("bucket")), "test")
     dealt = lambda large: split_by_rarest(sets.join(large.select("node", "component"), "node"), 75, 100)
     found = link_buckets(members, compare, lambda large: compare(cross_pairs(mixed_members(dealt(large))), "test"), "test")
     label = {r.node: r.component for r in found.collect()}

@@ -21,11 +21,12 @@ from tidemark.llm.components import connected_components
 SMALL_BUCKET = 16
 
 
-def with_hubs(dealt: DataFrame, n_rows: int, label: str) -> DataFrame:
+def with_hubs(dealt: DataFrame, label: str) -> DataFrame:
     """Rows (bucket, node) of ``dealt`` (bucket, node, weight) whose bucket has several, with its lightest as ``hub``."""
     order = F.col("weight") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20)
     buckets = dealt.groupBy("bucket").agg(F.min_by("node", order).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return materialise(skew_safe_join(dealt.select("bucket", "node"), materialise(buckets, f"{label}-buckets"), "bucket", n_rows, "size"), f"{label}-members")
+    # Both sides are shuffled, so adaptive execution splits the partitions of large buckets.
+    return materialise(dealt.select("bucket", "node").join(materialise(buckets, f"{label}-buckets"), "bucket"), f"{label}-members")
 
 
 def mixed_members(members: DataFrame) -> DataFrame:

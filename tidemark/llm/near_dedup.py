@@ -219,7 +219,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carr
     verifier = _Verifier(table, classes)
 
     dealt = classes.select("node", F.col("n_shingles").alias("weight"), F.explode("bands").alias("bucket"))
-    members = with_hubs(dealt, classes.count() * BANDS, "near")
+    members = with_hubs(dealt, "near")
 
     def compare(pairs: DataFrame, label: str, one_each: bool = False) -> DataFrame:
         likely = verifier.likely(pairs, label)
