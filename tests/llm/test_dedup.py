@@ -178,3 +178,38 @@ def test_fuzzy_lines_match_brute_force(docs):
         groups[c].add((d, n))
     where = {place: min(g) for g in groups.values() for place in g}
     assert all((r.component_doc_id, r.component_line_no) == where[(r.doc_id, r.line_no)] for r in found)
+
+
+def _grams(line):
+    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)} or {line}
+
+
+def _alike(a, b):
+    return len(_grams(a) & _grams(b)) / len(_grams(a) | _grams(b))
+
+
+def _missed(spark, pairs):
+    """The share of pairs of lines that meet in no band."""
+    import pyspark.sql.functions as F
+
+    from tidemark.llm.fuzzy_lines import _bands
+
+    lines = spark.createDataFrame([(2 * i + end, line) for i, pair in enumerate(pairs) for end, line in enumerate(pair)], "n bigint, line string")
+    found = {int.from_bytes(r.key, "big"): set(r.bands) for r in _bands(lines.select(F.unhex(F.lpad(F.hex("n"), 16, "0")).alias("key"), "line")).collect()}
+    return sum(not found[2 * i] & found[2 * i + 1] for i in range(len(pairs))) / len(pairs)
+
+
+def test_bands_of_fuzzy_lines_miss_few_short_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 9)))
+    pairs = []
+    while len(pairs) < 4000:
+        one = [word() for _ in range(rng.randint(8, 30))]
+        two = list(one)
+        for _ in range(rng.randint(1, 3)):
+            two[rng.randrange(len(two))] = word()
+        if 0.75 <= _alike(" ".join(one), " ".join(two)) <= 0.85:
+            pairs.append((" ".join(one), " ".join(two)))
+    assert _missed(spark, pairs) <= 1e-3

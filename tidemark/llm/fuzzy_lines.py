@@ -18,6 +18,7 @@ order; of repeated rows one stays; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,9 @@ SPARSE = 24
 #: At most so many line classes (about 50 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_LINES = 200_000
 _BLANKS = " \t\x0b\x0c\r"
+#: An odd multiplier and an offset for each minimum, below 2**31 so that nothing overflows; each permutes 32-bit hashes.
+_DRAWN = random.Random(0x9E3779B9)
+_PERMUTATIONS = [(_DRAWN.getrandbits(31) | 1, _DRAWN.getrandbits(31)) for _ in range(BANDS * ROWS)]
 
 
 def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -58,9 +62,10 @@ def _bands(lines: DataFrame) -> DataFrame:
     sampled = lines.select("key", "line", _shingles_at_words(F.col("line")).alias("at_words"))
     sparse = F.size("at_words") * SPARSE < F.length("line")
     one_each = sampled.select("key", F.explode(F.when(sparse, _every_shingle(F.col("line"))).otherwise(F.col("at_words"))).alias("shingle"))
-    masks = [(k + 1) * 0x9E3779B97F4A7C15 % (1 << 32) - (1 << 31) for k in range(BANDS * ROWS)]
-    minima = [F.min(F.col("hashed").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)]
-    signed = one_each.select("key", F.hash("shingle").alias("hashed")).groupBy("key").agg(*minima)
+    low = F.lit((1 << 32) - 1)
+    permuted = [(F.col("hashed") * F.lit(a) + F.lit(b)).bitwiseAND(low) for a, b in _PERMUTATIONS]
+    minima = [F.min(p).alias(f"m{k}") for k, p in enumerate(permuted)]
+    signed = one_each.select("key", F.hash("shingle").cast("bigint").bitwiseAND(low).alias("hashed")).groupBy("key").agg(*minima)
     return signed.select("key", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 
