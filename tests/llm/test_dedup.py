@@ -213,3 +213,12 @@ def test_bands_of_fuzzy_lines_miss_few_short_pairs(spark):
         if 0.75 <= _alike(" ".join(one), " ".join(two)) <= 0.85:
             pairs.append((" ".join(one), " ".join(two)))
     assert _missed(spark, pairs) <= 1e-3
+
+
+def test_bands_of_fuzzy_lines_see_more_than_word_beginnings(spark):
+    import random
+
+    rng = random.Random(6)
+    token = lambda n: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(n))
+    lines = [f"{token(22)} {token(22)} {token(22)}" for _ in range(2000)]
+    assert _missed(spark, [("x" + line[1:], "y" + line[1:]) for line in lines]) == 0

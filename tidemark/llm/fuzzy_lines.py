@@ -5,9 +5,8 @@ characters (a shorter line is one shingle). Lines are linked when their sets' Ja
 line of each component stays: the first by doc_id and line number.
 
 * Equal lines become one class before anything else.
-* The signature is made of the shingles that begin a word, a sample that the content itself draws, so equal stretches of
-  two lines give equal samples; a line with few words for its length gives all its shingles. BANDS bands of ROWS minima,
-  which are plain aggregates over one row a shingle, so they stay in generated code and combine before the shuffle.
+* The signature is made of all shingles: BANDS bands of ROWS minima, which are plain aggregates over one row a shingle, so
+  they stay in generated code and combine before the shuffle. A pair at 0.75 shares no band with a chance of 5e-4.
 * Classes are linked within the bands' buckets without listing a bucket's pairs (see candidates), by the exact similarity
   of full sets, after a test of sizes and of 32-bit hashes. What large buckets leave unmerged is dealt by rarest shingles (prefix filtering: two sets with the
   wanted similarity must share one of them), so it loses no link.
@@ -28,12 +27,10 @@ from tidemark.llm.candidates import cross_pairs, link_buckets, mixed_members, sp
 from tidemark.llm.common import materialise, skew_safe_join
 
 SHINGLE = 10
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 14, 3
 NUMERATOR, DENOMINATOR = 75, 100
 #: Percent that sets of 32-bit hashes must reach before texts are compared; their collisions move a link by far less.
 LEAST_HASHED = 73
-#: A line with less than one word in so many characters is sampled at every character.
-SPARSE = 24
 #: At most so many line classes (about 50 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_LINES = 200_000
 _BLANKS = " \t\x0b\x0c\r"
@@ -53,15 +50,9 @@ def _every_shingle(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
 
 
-def _shingles_at_words(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S.{{{SHINGLE - 1}}}))"), F.lit(1))
-
-
 def _bands(lines: DataFrame) -> DataFrame:
     """Rows (key, bands) of distinct lines: BANDS hashes of ROWS minima each, each minimum under another permutation."""
-    sampled = lines.select("key", "line", _shingles_at_words(F.col("line")).alias("at_words"))
-    sparse = F.size("at_words") * SPARSE < F.length("line")
-    one_each = sampled.select("key", F.explode(F.when(sparse, _every_shingle(F.col("line"))).otherwise(F.col("at_words"))).alias("shingle"))
+    one_each = lines.select("key", F.explode(_every_shingle(F.col("line"))).alias("shingle"))
     low = F.lit((1 << 32) - 1)
     permuted = [(F.col("hashed") * F.lit(a) + F.lit(b)).bitwiseAND(low) for a, b in _PERMUTATIONS]
     minima = [F.min(p).alias(f"m{k}") for k, p in enumerate(permuted)]
