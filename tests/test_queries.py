@@ -72,3 +72,31 @@ def test_streaming_windows(spark, tmp_path):
     assert sorted((r.mean, r.n) for r in spark.table("stream_w").where("site_id = 'a'").collect()) == [(2.0, 2), (5.0, 1)]
     assert {r.site_id: r.value for r in spark.table("stream_l").collect()} == {"a": 5.0, "b": 7.0}
     assert spark.table("stream_s").where("site_id = 'a'").count() == 2
+
+
+def test_text_queries_search_whole_documents(spark, tmp_path):
+    """What only the texts say, far from their ends, must be found; the made-up sentence alone gives other results."""
+    filler = "mumble " * 20_000
+    texts = [
+        "ft " + filler + "a crest of 12.5 ft, please evacuate; live ozone " + filler,
+        filler + "UCR student headcount " + filler + " 1,234% then -7.25 µg/m³ and 12.3",
+        None,
+    ]
+    rows = [(10 * i + 3, t, "en", "s", 100) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: core.QUERIES[name](spark, str(tmp_path)).collect()
+    gate = {r.doc_id: (r.n_measurements, r.n_directives) for r in run("freetext_gate_texts")}
+    alone = gate[23]
+    assert gate[3] == (alone[0] + 1, alone[1] + 1) and gate[13] == (alone[0] + 3, alone[1])
+    assert {r.doc_id: r.route for r in run("request_routing_texts")} == {3: "domains:river+air", 13: "ambiguous", 23: "domain:river"}
+    assert [(r.generations, r.asserting) for r in run("freshness_claim_rate_texts")] == [(3, 1)]
+    numbers = [(r.printed, r.value, r.unit, r.failure) for r in run("number_normalise_texts") if r.doc_id == 13]
+    assert numbers[:2] == [("1,234%", 1234.0, "percent", None), ("-7.25 µg/m³", -7.25, "ug_per_m3", None)]
+
+
+def test_words_end_at_ascii_edges(spark):
+    from tidemark.functions import text as tx
+
+    rows = spark.createDataFrame([("éair",), ("airé river",), ("fair",), ("éliveé 3 fté",)], "said string")
+    found = rows.select(tx.route_request(F.col("said")).alias("route"), F.size(tx.freshness_claims(F.col("said"))).alias("claims"), F.size(tx.measurements(F.col("said"))).alias("n")).collect()
+    assert [tuple(r) for r in found] == [("domain:air", 0, 0), ("domains:river+air", 0, 0), ("unsupported", 0, 0), ("unsupported", 1, 1)]

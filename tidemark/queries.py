@@ -573,6 +573,50 @@ def number_normalise(spark, sf_dir):
     return d.select("doc_id", "n.value", "n.unit", "n.failure")
 
 
+# The same operators on whole documents; the made-up sentence only ends each text, so that every kind occurs.
+_WHOLE = f"concat(coalesce(text, ''), ' ', {_SAID})"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _whole(spark, sf_dir) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.expr(_WHOLE).alias("said"), "lang")
+
+
+@query(f"""SELECT doc_id, len(q) + len(list_filter(d, lambda x: NOT contains(array_to_string(q, chr(0)), x))) AS n_measurements, len(regexp_extract_all(said, {_quoted(tx.DIRECTIVE)})) AS n_directives, regexp_matches(said, '[0-9]') AS digits
+FROM (SELECT doc_id, said, regexp_extract_all(said, {_quoted(tx.QUANTITY)}) AS q, regexp_extract_all(said, {_quoted(tx.DECIMAL)}) AS d FROM (SELECT doc_id, {_WHOLE} AS said FROM documents))""")
+def freetext_gate_texts(spark, sf_dir):
+    s = F.col("said")
+    return _whole(spark, sf_dir).select("doc_id", F.size(tx.measurements(s)).alias("n_measurements"), F.size(tx.directives(s)).alias("n_directives"), tx.has_digit(s).alias("digits"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN river AND air AND NOT campus THEN 'domains:river+air' WHEN campus AND (river OR air) THEN 'ambiguous' WHEN river THEN 'domain:river' WHEN air THEN 'domain:air' WHEN campus THEN 'known-source' ELSE 'unsupported' END AS route
+FROM (SELECT doc_id, regexp_matches(said, {_quoted(tx.RIVER_WORDS)}) AS river, regexp_matches(said, {_quoted(tx.AIR_WORDS)}) AS air, regexp_matches(said, {_quoted(tx.CAMPUS_WORDS)}) AND regexp_matches(said, {_quoted(tx.ENROLLMENT_WORDS)}) AS campus FROM (SELECT doc_id, {_WHOLE} AS said FROM documents))""")
+def request_routing_texts(spark, sf_dir):
+    return _whole(spark, sf_dir).select("doc_id", tx.route_request(F.col("said")).alias("route"))
+
+
+@query(f"""SELECT lang AS model, count(*) AS generations, count(*) FILTER (WHERE regexp_matches({_WHOLE}, {_quoted(tx.FRESHNESS_CLAIM)})) AS asserting FROM documents GROUP BY ALL""")
+def freshness_claim_rate_texts(spark, sf_dir):
+    return evaluation.freshness_rate(_whole(spark, sf_dir).select(F.col("lang").alias("model"), F.col("doc_id").alias("run_id"), F.col("said").alias("text")))
+
+
+# A number as it stands in a text, with its sign, its groups and what follows as a unit.
+_IN_TEXT = "[-−–]?[0-9][0-9,.]*(?: [0-9]{3})*(?:\\.[0-9]+)?(?: ?[A-Za-z%µμ][^ \\t\\r\\n]*)?"
+
+
+@query(f"""WITH found AS (SELECT doc_id, unnest(range(len(l))) AS nth, unnest(l) AS printed FROM (SELECT doc_id, regexp_extract_all(concat(coalesce(text, ''), ' ', {_PRINTED}), '{_IN_TEXT}') AS l FROM documents)),
+parts AS (SELECT doc_id, nth, printed, trim(regexp_extract(regexp_replace(printed, '^[−–]', '-'), '^([^A-Za-z%µμ]*)', 1)) AS number, regexp_extract(printed, '^[^A-Za-z%µμ]*((?s:.*))$', 1) AS spelling FROM found),
+read AS (SELECT doc_id, nth, printed, CASE WHEN regexp_full_match(number, '-?([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+|[0-9]{{1,3}}( [0-9]{{3}})+)(\\.[0-9]+)?') THEN replace(replace(number, ',', ''), ' ', '')::DOUBLE END AS number, CASE spelling WHEN '' THEN 'count' WHEN '%' THEN 'percent' WHEN 'µg/m³' THEN 'ug_per_m3' WHEN 'μg/m³' THEN 'ug_per_m3' END AS named FROM parts)
+SELECT doc_id, nth, printed, CASE WHEN named IS NOT NULL THEN number END AS value, CASE WHEN number IS NOT NULL THEN named END AS unit, CASE WHEN named IS NULL THEN 'unsupported-unit-syntax' WHEN number IS NULL THEN 'unparseable-number' END AS failure FROM read""".replace("\\\\", "\\"))
+def number_normalise_texts(spark, sf_dir):
+    whole = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.expr(_PRINTED))
+    found = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(whole, F.lit(_IN_TEXT), F.lit(0))).alias("nth", "printed"))
+    return found.withColumn("n", tx.normalise_number(F.col("printed"))).select("doc_id", "nth", "printed", "n.value", "n.unit", "n.failure")
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) || '@example.org' END AS email FROM customer")
 def email_normalise(spark, sf_dir):
     raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("  "), "c_name", F.lit("@Example.org "))).otherwise(F.concat("c_name", F.lit(" at example")))
