@@ -153,3 +153,18 @@ def test_chat_tree(spark):
 def test_chat_tree_empty(spark):
     nodes, places = chat_tree(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"), BYTES)
     assert nodes.count() == 0 and read_back(nodes, places, BYTES).count() == 0
+
+
+def test_chat_tree_shares_late_turns(spark):
+    """Conversations share 40 turns, and 60 with every second one: what a kind shares is emitted once."""
+    said = lambda c, t: "all" if t < 40 else f"kind {c % 2}" if t < 60 else f"own {c}"
+    turns = [(c, t, "user", f"{said(c, t)} {t}") for c in range(12) for t in range(61)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        nodes, places = chat_tree(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"), BYTES)
+        assert nodes.select("pack").distinct().count() == 1
+        assert nodes.count() == 40 + 2 * 20 + 12
+        assert places.count() == len(turns)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -36,9 +36,9 @@ from tidemark.llm.common import materialise, skew_safe_join
 from tidemark.llm.packing import Encoder
 
 HEAD, NECK, END = "[INST]", "[/INST]", "</s>"
-#: Turns whose digests order the conversations; later turns only by a digest of all.
-KEY_TURNS = 32
 _OUT_ROWS = 2000
+#: Bytes of order keys that a batch holds, beside its last.
+_OUT_BYTES = 1 << 24
 _ESCAPE, _ESCAPED = re.compile(r"[\\<\[]"), re.compile(r"([\\<\[])\\")
 
 
@@ -68,9 +68,9 @@ def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per conversation: its order key. Turns come sorted by conversation."""
+    """One row per conversation: its order key, the digests of all its turns. Turns come sorted by conversation."""
     found: list[tuple] = []
-    name, n, head, whole = None, 0, b"", None
+    name, n, head, held = None, 0, bytearray(), 0
 
     def done() -> pa.RecordBatch:
         out = pa.RecordBatch.from_pylist([{"name": a, "n_turns": b, "order": c} for a, b, c in found], schema=pa.schema([("name", pa.string()), ("n_turns", pa.int64()), ("order", pa.binary())]))
@@ -80,16 +80,16 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row_name, role, text in _rows(batches, ["name", "role", "text"]):
         if row_name != name:
             if n:
-                found.append((name, n, head + whole.digest()))
-                if len(found) >= _OUT_ROWS:
+                found.append((name, n, bytes(head)))
+                held += len(head)
+                if len(found) >= _OUT_ROWS or held >= _OUT_BYTES:
                     yield done()
-            name, n, head, whole = row_name, 0, b"", hashlib.md5()
-        d = _digest(role, text)
-        head += d[:8] if n < KEY_TURNS else b""
-        whole.update(d)
+                    held = 0
+            name, n, head = row_name, 0, bytearray()
+        head += _digest(role, text)[:8]
         n += 1
     if n:
-        found.append((name, n, head + whole.digest()))
+        found.append((name, n, bytes(head)))
     yield done()
 
 
@@ -131,8 +131,11 @@ def chat_tree(turns: DataFrame, tokenizer_path: str, conv_id: str = "conv_id", t
     ordered = rows.repartition("name").sortWithinPartitions("name", "turn", "role", "text")
     keys = materialise(ordered.mapInArrow(_keys, "name string, n_turns bigint, order binary"), "chat-keys")
     n_rows = keys.agg(F.coalesce(F.sum("n_turns"), F.lit(0))).first()[0]
-    keyed = skew_safe_join(rows, keys, "name", n_rows, "n_turns")
-    packs = keyed.repartitionByRange("order", "name").sortWithinPartitions("order", "name", "turn", "role", "text")
+    # Turns carry the place of their conversation, not its key, which is as long as the conversation.
+    sorted_keys = keys.repartitionByRange("order", "name").sortWithinPartitions("order", "name")
+    ranks = materialise(sorted_keys.select("name", "n_turns", F.monotonically_increasing_id().alias("rank")), "chat-ranks")
+    keyed = skew_safe_join(rows, ranks, "name", n_rows, "n_turns")
+    packs = keyed.repartitionByRange("rank").sortWithinPartitions("rank", "turn", "role", "text")
     packs = packs.select(F.spark_partition_id().alias("pack"), "name", "role", "text")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
