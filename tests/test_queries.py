@@ -100,3 +100,17 @@ def test_words_end_at_ascii_edges(spark):
     rows = spark.createDataFrame([("éair",), ("airé river",), ("fair",), ("éliveé 3 fté",)], "said string")
     found = rows.select(tx.route_request(F.col("said")).alias("route"), F.size(tx.freshness_claims(F.col("said"))).alias("claims"), F.size(tx.measurements(F.col("said"))).alias("n")).collect()
     assert [tuple(r) for r in found] == [("domain:air", 0, 0), ("domains:river+air", 0, 0), ("unsupported", 0, 0), ("unsupported", 1, 1)]
+
+
+@needs_data
+def test_reachability_walks_whole_relations(spark):
+    """Every order and ordered part is reached from the regions, whatever its key."""
+    nodes = core.QUERIES["reachability_relations"](spark, SF).select(F.split("node", ":")[0].alias("kind")).groupBy("kind").count()
+    found = {r.kind: r["count"] for r in nodes.collect()}
+    table = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    known = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey")
+    supplied = table("lineitem").join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey")
+    orders = known.union(supplied).distinct()
+    parts = table("lineitem").join(orders.toDF("l_orderkey"), "l_orderkey").select("l_partkey").distinct()
+    assert (found["order"], found["part"]) == (orders.count(), parts.count())
+    assert found["region"] == table("region").count() and found["customer"] == table("customer").count()

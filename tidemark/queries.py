@@ -695,6 +695,28 @@ def reachability_closure(spark, sf_dir):
     return reachability.reachable(edges, roots)
 
 
+_TYPED_EDGES = {  # kind and key at both ends, and the relation that holds them
+    "nation": ("region", "n_regionkey", "nation", "n_nationkey"),
+    "customer": ("nation", "c_nationkey", "customer", "c_custkey"),
+    "supplier": ("nation", "s_nationkey", "supplier", "s_suppkey"),
+    "orders": ("customer", "o_custkey", "order", "o_orderkey"),
+    "lineitem": ("order", "l_orderkey", "part", "l_partkey"),
+    "lineitem AS supplied": ("supplier", "l_suppkey", "order", "l_orderkey"),
+}
+_TYPED_SQL = " UNION ".join(f"SELECT '{a}:' || {x} AS src, '{b}:' || {y} AS dst FROM {t}" for t, (a, x, b, y) in _TYPED_EDGES.items())
+
+
+@query(f"""WITH RECURSIVE edges AS MATERIALIZED ({_TYPED_SQL}), r(node) AS (SELECT 'region:' || r_regionkey FROM region UNION SELECT dst FROM r JOIN edges ON src = node) SELECT node FROM r""")
+def reachability_relations(spark, sf_dir):
+    with_checkpoints(spark)
+    typed = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+    edges = None
+    for table, (a, x, b, y) in _TYPED_EDGES.items():
+        found = read_table(spark, sf_dir, table.split()[0]).select(typed(a, x).alias("src"), typed(b, y).alias("dst"))
+        edges = found if edges is None else edges.union(found)
+    return reachability.reachable(edges, read_table(spark, sf_dir, "region").select(typed("region", "r_regionkey").alias("node")))
+
+
 @query("""SELECT c_custkey AS node, CASE WHEN c_custkey % 3 = 0 THEN 'declared-but-reachable' ELSE 'undeclared' END AS problem FROM customer WHERE (c_custkey % 3 = 0 AND c_custkey % 2 = 0) OR (c_custkey % 3 <> 0 AND c_custkey % 2 <> 0)""")
 def reachability_differences(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
