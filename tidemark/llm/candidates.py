@@ -2,9 +2,8 @@
 
 A bucket's members are first compared with one hub only, the one of least weight (the smallest set has the least of its
 own beside what a bucket shares). Union-find merges what is confirmed, and only buckets that still hold several
-components matter from then on: their members are compared with another hub, drawn at random. Of what is mixed even then,
-small buckets have their pairs across components compared, and larger ones are left to the caller's exact way. A pair
-that shares a bucket is thus compared, or joined by others.
+components matter from then on: of small ones the pairs across components are compared, larger ones are left to the
+caller's exact way. A pair that shares a bucket is thus compared, or joined by others.
 """
 
 from __future__ import annotations
@@ -14,25 +13,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, skew_safe_join
+from tidemark.llm.common import Scratch
 from tidemark.llm.components import connected_components
 
 #: A mixed bucket of more members is large.
 SMALL_BUCKET = 16
 
 
-def with_hubs(dealt: DataFrame, label: str) -> DataFrame:
+def with_hubs(dealt: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (bucket, node) of ``dealt`` (bucket, node, weight) whose bucket has several, with its lightest as ``hub``."""
     order = F.col("weight") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20)
     buckets = dealt.groupBy("bucket").agg(F.min_by("node", order).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    # Both sides are shuffled, so adaptive execution splits the partitions of large buckets.
-    return materialise(dealt.select("bucket", "node").join(materialise(buckets, f"{label}-buckets"), "bucket"), f"{label}-members")
+    buckets = scratch.write(buckets.select("bucket", "hub"), "buckets")
+    # Both sides of the join are shuffled, so adaptive execution splits the partitions of large buckets.
+    members = scratch.write(dealt.select("bucket", "node").join(buckets, "bucket"), "members")
+    scratch.drop(buckets)
+    return members
 
 
-def mixed_members(members: DataFrame) -> DataFrame:
-    """Rows (bucket, node, component) of buckets that hold more than one component, with the bucket's size."""
-    kinds = members.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("size"))
-    return members.join(kinds.where("_low <> _high").select("bucket", "size"), "bucket")
+def mixed_members(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (bucket, node, component, size) of the ``members`` (bucket, node, component) of buckets that hold several components."""
+    kinds = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    kinds = scratch.write(kinds.where("low <> high").select("bucket", "size"), "kinds")
+    mixed = scratch.write(members.join(kinds, "bucket"), "mixed")
+    scratch.drop(kinds)
+    return mixed
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:
@@ -42,54 +47,27 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     return one.join(two, "bucket").where("component_a < component_b").select("a", "b").distinct()
 
 
-def split_by_rarest(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Deal nodes anew by their rarest shingles (prefix filtering): (bucket, node, component).
-
-    ``sets`` has node, component, shingles (an array of distinct longs). Two sets whose Jaccard similarity is at least
-    numerator / denominator share so many shingles that their rarest ones, in one order for all, must meet.
-    """
-    flat = materialise(sets.select("node", F.explode("shingles").alias("shingle")), "split-shingles")
-    seen = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen"))
-    ranked = skew_safe_join(flat, seen, "shingle", flat.count(), "seen")
-    ordered = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("ordered"))  # one set a row, as before
-    n = F.size("ordered")
-    prefix = n - F.ceil(n * numerator / denominator).cast("int") + 1
-    keys = ordered.select("node", F.explode(F.slice("ordered", F.lit(1), prefix)).alias("key"))
-    return keys.selectExpr("node", "key.shingle AS bucket").join(sets.select("node", "component"), "node").select("bucket", "node", "component")
-
-
-def absorb(found: DataFrame, links: DataFrame, label: str) -> DataFrame:
+def absorb(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Components (node, component) after more links (a, b): union-find over the components that the links join."""
     for end in ("a", "b"):
         at = found.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
         links = links.join(at, end, "left").withColumn(f"component_{end}", F.coalesce(f"component_{end}", end))
-    links = materialise(links, f"{label}-joined")
+    links = scratch.write(links.select("a", "b", "component_a", "component_b"), "joined")
     merged = connected_components(links.selectExpr("component_a AS a", "component_b AS b")).selectExpr("node AS component", "component AS merged")
     ends = links.selectExpr("a AS node", "component_a AS component").union(links.selectExpr("b AS node", "component_b AS component"))
     everyone = found.union(ends).distinct()
-    return materialise(everyone.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component")), f"{label}-components")
-
-
-def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
-    return members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return scratch.write(everyone.join(scratch.write(merged, "merged"), "component", "left").select("node", F.coalesce("merged", "component").alias("component")), "components")
 
 
-def link_buckets(members: DataFrame, compare: Callable[..., DataFrame], link_large: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+def link_buckets(members: DataFrame, compare: Callable[..., DataFrame], link_large: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """Components (node, component) of nodes with links, from ``members`` as with_hubs gives them.
 
     ``compare`` confirms pairs (a, b), if it is told so only the likeliest of each a; ``link_large`` finds links (a, b)
     that join the components of (bucket, node, component, size), rows of large mixed buckets.
     """
     stars = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    found = materialise(connected_components(compare(stars, f"{label}-star", True)), f"{label}-components")
-
-    mixed = materialise(mixed_members(_placed(members, found)), f"{label}-mixed")
-    drawn = F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("draw"), F.col("node").alias("b"), F.col("component").alias("component_b"))).alias("hub")
-    hubs = mixed.groupBy("bucket", "size").agg(drawn).select("bucket", "size", "hub.b", "hub.component_b")
-    pairs = skew_safe_join(mixed.drop("size"), hubs, "bucket", mixed.count(), "size").where("component <> component_b")
-    found = absorb(found, compare(pairs.select(F.col("node").alias("a"), "b").distinct(), f"{label}-hub", True), f"{label}-hub")
-
-    mixed = materialise(mixed_members(_placed(mixed, found)), f"{label}-mixed")
-    found = absorb(found, compare(cross_pairs(mixed.where(F.col("size") <= SMALL_BUCKET)), f"{label}-small"), f"{label}-small")
-    large = materialise(mixed_members(_placed(mixed.where(F.col("size") > SMALL_BUCKET), found)), f"{label}-large")
-    return absorb(found, link_large(large), f"{label}-large") if large.limit(1).count() else found
+    found = scratch.write(connected_components(compare(stars, True)), "components")
+    placed = members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = mixed_members(scratch.write(placed, "placed"), scratch)
+    small, large = mixed.where(F.col("size") <= SMALL_BUCKET), mixed.where(F.col("size") > SMALL_BUCKET)
+    return absorb(found, compare(cross_pairs(small)).union(link_large(large)), scratch)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with at least one row in so many of a table's rows is hot; there can be no more hot keys than this.
@@ -16,6 +16,7 @@ SALTS = 128
 #: ASCII white space, the same six characters everywhere in this subpackage.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -26,21 +27,45 @@ def scratch_root(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
+    # A written table replaces the shuffle files of its job, which would stay until the driver collects garbage.
+    if spark.conf.get(_CLEANUP, "false") != "true":
+        spark.conf.set(_CLEANUP, "true")
     return root.rstrip("/")
 
 
+class Scratch:
+    """Intermediate tables of an operator, written to the shared folder; ``drop`` deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}"
+        self.written: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, label: str, **counted: Column) -> DataFrame | tuple:
+        """Write ``df`` and read it again: cuts the lineage and survives lost executors.
+
+        With ``counted`` (aggregates by name) the result is (table, values), gathered while the table is written.
+        """
+        path = f"{self.folder}/{label}-{uuid.uuid4().hex}"
+        seen = Observation()
+        observed = df.observe(seen, *[c.alias(n) for n, c in counted.items()]) if counted else df
+        observed.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.written.append((table, path))
+        return (table, seen.get) if counted else table
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for table, path in self.written:
+            if any(table is t for t in tables):
+                there = jvm.org.apache.hadoop.fs.Path(path)
+                there.getFileSystem(conf).delete(there, True)
+        self.written = [w for w in self.written if not any(w[0] is t for t in tables)]
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")  # the written table replaces the shuffle files, which would stay until a collection
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it again."""
+    return Scratch(df.sparkSession).write(df, label)
 
 
 def skew_safe_join(left: DataFrame, right: DataFrame, key: str, n_rows: int, weight: str, how: str = "inner") -> DataFrame:

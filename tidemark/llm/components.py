@@ -1,9 +1,12 @@
-"""Distributed union-find: connected components of an edge table by alternating stars. DataFrame functions only.
+"""Distributed union-find: connected components of an edge table by hooking and pointer jumping. DataFrame functions only.
 
-Large star: every node sends each larger neighbour to the smallest node it sees. Small star: every node links itself
-and its smaller neighbours to the smallest of them. The edges shrink to one star a component, in about log2 of the
-longest path rounds. Minima are combined before shuffling and hub nodes are joined by salts, so a component or a
-degree that takes a third of all rows is no single task's work. Each round is written to the shared folder.
+Every node hooks on the least of its smaller neighbours. Parents are smaller than their children, so the hooks are a
+forest; pointer jumping makes each node's parent its root, in about log2 of the depth steps. The edges are then drawn
+between roots, and the next round hooks those, until no edge is left; in a round only roots with no smaller neighbour
+remain.
+
+Least neighbours combine before the shuffle. The joins look up one row a key, and both their sides are written tables,
+so adaptive execution can split the partition of a root or hub that a third of all rows name.
 """
 
 from __future__ import annotations
@@ -11,18 +14,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, skew_safe_join
-
-
-def _star(pairs: DataFrame, n_rows: int) -> DataFrame:
-    """Rows (node, near) with the least of a node's ``near`` and itself beside each."""
-    least = pairs.groupBy("node").agg(F.min("near").alias("low"), F.count(F.lit(1)).alias("degree"))
-    least = least.select("node", F.least("node", "low").alias("low"), "degree")
-    return skew_safe_join(pairs, least, "node", n_rows, "degree")
+from tidemark.llm.common import Scratch
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _to_roots(parents: DataFrame, scratch: Scratch) -> DataFrame:
+    """``parents`` (node, parent) with the root of its tree as each node's parent."""
+    parents = scratch.write(parents, "hooks")
+    while True:
+        above = parents.selectExpr("node AS parent", "parent AS above")
+        jumped = parents.join(above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
+        jumped, seen = scratch.write(jumped, "jumps", moved=F.count_if("moved"))
+        scratch.drop(parents)
+        parents = jumped
+        if not seen["moved"]:
+            return parents
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,22 +35,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Self-links and repeated or reversed edges are allowed; null ends are ignored; an empty table gives an empty one.
     """
-    ends = edges.where("a IS NOT NULL AND b IS NOT NULL")
-    stars = materialise(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _mark(stars)
-    while before[0]:
-        both = stars.where("a <> b").selectExpr("a AS node", "b AS near").union(stars.where("a <> b").selectExpr("b AS node", "a AS near"))
-        large = _star(both, 2 * before[0]).where("near > node").selectExpr("near AS a", "low AS b").distinct()
-        large = materialise(large, "large-star")
-        down = large.selectExpr("a AS node", "b AS near")
-        starred = _star(down, before[0])
-        small = starred.where("near <> low").selectExpr("near AS a", "low AS b").union(starred.selectExpr("node AS a", "low AS b"))
-        lone = stars.where("a = b")
-        stars = materialise(small.where("a <> b").union(lone).distinct(), "small-star")
-        after = _mark(stars)
-        if after == before:
-            break
-        before = after
-    linked = stars.where("a <> b")
-    found = linked.selectExpr("a AS node", "b AS component").union(linked.selectExpr("b AS node", "b AS component"))
-    return found.union(stars.where("a = b").selectExpr("a AS node", "a AS component")).groupBy("node").agg(F.min("component").alias("component"))
+    scratch = Scratch(edges.sparkSession)
+    count = {"n": F.count(F.lit(1))}
+    ends = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    ends, seen = scratch.write(ends.distinct(), "edges", n=F.count_if(F.col("a") > F.col("b")))
+    lone = ends.where("a = b").selectExpr("a AS node", "b AS component")
+    left, found = ends.where("a > b"), None
+    while seen["n"]:
+        roots = _to_roots(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")), scratch).select("node", "parent")
+        for end in ("a", "b"):
+            at = roots.select(F.col("node").alias(end), F.col("parent").alias("root"))
+            left = left.join(at, end, "left").withColumn(end, F.coalesce("root", end)).select("a", "b")
+        left = left.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        left, seen = scratch.write(left, "root-edges", **count)
+        now = roots.selectExpr("node", "parent AS component")
+        if found is not None:
+            on = roots.selectExpr("node AS component", "parent AS root")
+            now = found.join(on, "component", "left").select("node", F.coalesce("root", "component").alias("component")).union(now)
+        found = now
+    if found is None:
+        return lone
+    found = scratch.write(found, "roots")
+    tops = found.select("component").distinct().selectExpr("component AS node", "component")
+    return found.union(tops).union(lone.join(found, "node", "left_anti")).distinct()

@@ -5,11 +5,9 @@ words make one shingle; documents without words are linked with nothing. Documen
 similarity is 0.75 or more. With 32 bands of 4 slots a pair at exactly 0.75 shares no band with a chance of 5e-6.
 
 Documents with equal sets become one class, with one representative, before anything else. Representatives are linked
-within the bands' buckets without listing a bucket's pairs (see candidates), so large groups of copies, or of documents
-with a passage in common, make no square of pairs. What large buckets leave unmerged is compared in blocks of signatures
-and then, for nodes with a likely partner only, of full sets; a block gives a spanning forest of its links, no more.
-Candidates whose signatures agree in less than 58 % of their slots (4.4 deviations below a link's) aren't verified; all
-others are confirmed on the full sets.
+within the bands' buckets without listing a bucket's pairs (see set_links): so large groups of copies, or of documents
+with a passage in common, make no square of pairs.
+Candidates whose signatures agree in too few slots aren't verified; all others are confirmed on the full sets.
 
 Defined results: null text or text without words has n_shingles 0 and is its own component; a null doc_id is never the
 smallest unless a component has only nulls; of repeated rows one is kept; an empty table gives an empty result; other
@@ -21,26 +19,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.candidates import link_buckets, with_hubs
-from tidemark.llm.common import materialise, skew_safe_join
+from tidemark.llm.common import Scratch, skew_safe_join
+from tidemark.llm.set_links import SetLinks, groups
 from tidemark.llm.shingles import mix, shingle_sets, super_minhash
 
 BANDS, ROWS = 32, 4
-NUMERATOR, DENOMINATOR = 75, 100
-#: Percent of slots.
-LEAST_AGREEING = 58
-#: At most so many ids (about 16 bytes each) are broadcast; beyond it the join shuffles.
-BROADCAST_IDS = 200_000
-#: Rows of a block, and of a slice that is compared with a block at a time.
-BLOCK_ROWS, SLICE = 2048, 64
-#: Text characters whose sets are made at a time.
-GROUP_CHARS = 1 << 20
+#: A link's signatures agree in fewer of the 128 slots with a chance of 5e-6 (4.4 deviations).
+LEAST_AGREEING = 75
 
 _SIGNATURE_FIELDS = [
     pa.field("n_shingles", pa.int64()),
@@ -50,17 +40,6 @@ _SIGNATURE_FIELDS = [
 ]
 
 
-def _groups(texts: list) -> Iterator[tuple[int, int]]:
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= GROUP_CHARS:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def _sign(texts: list) -> tuple[list, list, list, list]:
     """n_shingles, digest, bands and signature bytes of each text."""
     sets, offsets = shingle_sets(texts)
@@ -82,127 +61,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("row").field("text").to_pylist()
         parts: list[list] = [[], [], [], []]
-        for begin, end in _groups(texts):
+        for begin, end in groups(texts):
             for have, more in zip(parts, _sign(texts[begin:end])):
                 have.extend(more)
         new = [pa.array(x, f.type) for x, f in zip(parts, _SIGNATURE_FIELDS)]
         yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=pa.schema([*batch.schema, *_SIGNATURE_FIELDS]))
 
 
-@F.pandas_udf(T.BinaryType())
-def _set_bytes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in parts:
-        found, listed = [], texts.tolist()
-        for begin, end in _groups(listed):
-            sets, offsets = shingle_sets(listed[begin:end])
-            found += [sets[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pd.Series(found, dtype=object)
-
-
-@F.pandas_udf(T.IntegerType())
-def _agreeing(one: pd.Series, two: pd.Series) -> pd.Series:
-    shape = (len(one), BANDS * ROWS)
-    return pd.Series((np.frombuffer(b"".join(one), np.uint8).reshape(shape) == np.frombuffer(b"".join(two), np.uint8).reshape(shape)).sum(axis=1).astype(np.int32))
-
-
-@F.pandas_udf(T.BooleanType())
-def _linked(one: pd.Series, two: pd.Series) -> pd.Series:
-    verdicts = []
-    for x, y in zip(one, two):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        verdicts.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
-    return pd.Series(verdicts, dtype=bool)
-
-
-def _agreeing_pairs(block: pd.DataFrame) -> Iterator[np.ndarray]:
-    """Positions (one, two, agreeing slots) of pairs of different components that could be linked, a slice at a time.
-
-    A block of one bucket holds the rows of two homes, ``low`` and ``high``, or of one home (low = high).
-    """
-    signs = np.frombuffer(b"".join(block["signature"]), np.uint8).reshape(len(block), -1)
-    component, sizes, home = (block[c].to_numpy() for c in ("component", "n_shingles", "home"))
-    low, high = block["low"].iloc[0], block["high"].iloc[0]
-    ones, twos = np.flatnonzero(home == low), np.flatnonzero(home == high)
-    for at in range(0, len(ones), SLICE):
-        one = ones[at : at + SLICE]
-        agree = (signs[one, None, :] == signs[None, twos, :]).sum(axis=2)
-        fits = np.minimum(sizes[one, None], sizes[None, twos]) * DENOMINATOR >= np.maximum(sizes[one, None], sizes[None, twos]) * NUMERATOR
-        x, y = np.nonzero((agree * 100 >= LEAST_AGREEING * signs.shape[1]) & fits & (component[one, None] != component[None, twos]))
-        if len(x):
-            yield np.stack([one[x], twos[y], agree[x, y]])
-
-
-def _suspects(block: pd.DataFrame) -> pd.DataFrame:
-    found = np.unique(np.concatenate([np.zeros(0, np.int64), *[p[:2].ravel() for p in _agreeing_pairs(block)]]).astype(np.int64))
-    return block.iloc[found][["bucket", "node"]]
-
-
-def _forest(block: pd.DataFrame) -> pd.DataFrame:
-    """Links that join the components of a block, likeliest first."""
-    sets, nodes, component = [np.frombuffer(x, np.uint64) for x in block["set"]], block["node"].to_numpy(), block["component"].tolist()
-    parent, found = {}, []
-
-    def root(c):
-        while parent.get(c, c) != c:
-            parent[c] = parent.get(parent[c], parent[c])
-            c = parent[c]
-        return c
-
-    for pairs in _agreeing_pairs(block):
-        for x, y, _ in pairs[:, np.argsort(-pairs[2], kind="stable")].T.tolist():
-            one, two = root(component[x]), root(component[y])
-            if one != two:
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if DENOMINATOR * both >= NUMERATOR * (len(sets[x]) + len(sets[y]) - both):
-                    parent[one] = two
-                    found.append((nodes[x], nodes[y]))
-    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows of buckets (with ``size``) dealt to homes of about BLOCK_ROWS, and repeated for each pair of homes."""
-    homes = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.lit(1)).cast("int")
-    dealt = rows.withColumn("homes", homes).withColumn("home", F.pmod(F.xxhash64("node", F.lit(7)), F.col("homes")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)))
-    return other.select("*", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high"))
-
-
-class _Verifier:
-    """Tests candidate pairs (a, b) of class representatives, first by signature and then on full sets."""
-
-    def __init__(self, table: DataFrame, classes: DataFrame):
-        self.table, self.classes = table, classes
-
-    def _with(self, pairs: DataFrame, end: str, facts: DataFrame, n_pairs: int) -> DataFrame:
-        named = facts.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in facts.columns if c != "node"])
-        degrees = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_degree"))
-        return skew_safe_join(pairs, degrees.join(named, end), end, n_pairs, "_degree").drop("_degree")
-
-    def likely(self, pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs whose sizes and signatures allow a link, with the number of agreeing slots."""
-        pairs = materialise(pairs, f"{label}-pairs")
-        facts = self.classes.select("node", "n_shingles", "signature")
-        n = pairs.count()
-        seen = self._with(self._with(pairs, "a", facts, n), "b", facts, n)
-        low, high = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
-        seen = seen.where(low * DENOMINATOR >= high * NUMERATOR).select("a", "b", _agreeing("signature_a", "signature_b").alias("agreeing"))
-        return materialise(seen.where(F.col("agreeing") * 100 >= LEAST_AGREEING * BANDS * ROWS), f"{label}-likely")
-
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        nodes = nodes.selectExpr("node AS uid")
-        if nodes.count() <= BROADCAST_IDS:
-            nodes = F.broadcast(nodes)
-        return self.table.join(nodes, "uid", "left_semi").select(F.col("uid").alias("node"), _set_bytes("row.text").alias("set"))
-
-    def confirm(self, pairs: DataFrame, label: str) -> DataFrame:
-        nodes = pairs.selectExpr("a AS node").union(pairs.selectExpr("b AS node")).distinct()
-        sets = materialise(self.sets(nodes), f"{label}-sets")
-        n = pairs.count()
-        tested = self._with(self._with(pairs.select("a", "b"), "a", sets, n), "b", sets, n)
-        return materialise(tested.where(_linked("set_a", "set_b")).select("a", "b"), f"{label}-links")
-
-
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """One row per input row: the columns of ``carry`` (by default doc_id), n_shingles, component_id, kept."""
     carry = [doc_id] if carry is None else carry
@@ -210,34 +75,17 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carr
     named = F.struct(F.col(doc_id).alias("id"), F.col(text).alias("text"), *others)
     base = docs.select(F.monotonically_increasing_id().alias("uid"), named.alias("row"))
     more = T.StructType.fromDDL("n_shingles bigint, digest string, bands array<bigint>, signature binary")
-    table = materialise(base.mapInArrow(_signed, T.StructType([*base.schema, *more])), "near-table")
+    scratch = Scratch(docs.sparkSession)
+    table = scratch.write(base.mapInArrow(_signed, T.StructType([*base.schema, *more])), "near-table")
 
     keeper = F.min(F.struct(F.col("row.id").isNull().alias("none"), F.col("row.id").alias("id"), "uid")).alias("keeper")
     filled = table.where("n_shingles > 0")
     classes = filled.groupBy("digest").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), keeper)
-    classes = materialise(classes, "near-classes")
-    verifier = _Verifier(table, classes)
-
-    dealt = classes.select("node", F.col("n_shingles").alias("weight"), F.explode("bands").alias("bucket"))
-    members = with_hubs(dealt, "near")
-
-    def compare(pairs: DataFrame, label: str, one_each: bool = False) -> DataFrame:
-        likely = verifier.likely(pairs, label)
-        if one_each:
-            likely = materialise(likely.groupBy("a").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b")), f"{label}-best")
-        return verifier.confirm(likely, label)
-
-    def link_large(large: DataFrame) -> DataFrame:
-        signed = large.join(classes.select("node", "n_shingles", "signature"), "node")
-        key = ["bucket", "low", "high"]
-        suspects = _blocks(signed).groupBy(*key).applyInPandas(_suspects, "bucket bigint, node bigint").distinct()
-        suspects = materialise(suspects.join(large.drop("size"), ["bucket", "node"]), "near-suspects")
-        sizes = suspects.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-        sets = materialise(verifier.sets(suspects.select("node").distinct()), "near-suspect-sets")
-        full = suspects.join(sizes, "bucket").join(classes.select("node", "n_shingles", "signature"), "node").join(sets, "node")
-        return materialise(_blocks(full).groupBy(*key).applyInPandas(_forest, "a bigint, b bigint").distinct(), "near-large-links")
-
-    found = link_buckets(members, compare, link_large, "near")
+    classes = scratch.write(classes, "near-classes")
+
+    signed = classes.select("node", F.col("n_shingles").alias("weight"), "bands", "signature")
+    texts = table.select(F.col("uid").alias("node"), F.col("row.text").alias("text"))
+    found = SetLinks(scratch, signed, texts, shingle_sets, LEAST_AGREEING).components()
 
     placed = classes.join(found, "node", "left").select("digest", "members", "keeper", F.coalesce("component", "node").alias("component"))
     best = placed.groupBy("component").agg(F.min("keeper").alias("best"))

@@ -1,4 +1,4 @@
-"""Word-shingle sets as 64-bit hashes, and SuperMinHash signatures of sets, in numpy over batches of documents."""
+"""Shingle sets as 64-bit hashes, and MinHash signatures of sets, in numpy over batches of texts."""
 
 from __future__ import annotations
 
@@ -132,3 +132,57 @@ def super_minhash(elements: np.ndarray, offsets: np.ndarray, slots: int) -> np.n
                 if not len(part):
                     break
     return values
+
+
+def character_shingles(lines: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of ``length`` characters and the lines they belong to; a shorter line is one shingle."""
+    codes = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(x) for x in lines])
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    hashed = mix(codes.astype(np.uint64) + np.uint64(1))
+
+    def rolled(n: int) -> np.ndarray:
+        """Hashes of ``n`` characters from each place on, by halves."""
+        if n == 1:
+            return hashed
+        one = rolled(n // 2)
+        two = one if n % 2 == 0 else rolled(n - n // 2)
+        places = len(hashed) - n + 1
+        return mix(one[:places] * np.uint64(_BASE) + two[n // 2 : n // 2 + places])
+
+    whole = sizes >= length
+    count = np.where(whole, sizes - length + 1, 0)
+    owner = np.repeat(np.arange(len(lines)), count)
+    first = np.repeat(begins - np.cumsum(count) + count, count)
+    found = rolled(length)[np.arange(len(owner)) + first] if len(owner) else np.zeros(0, np.uint64)
+    short = np.flatnonzero(~whole)
+    lone = [mix(np.cumsum(hashed[begins[i] : begins[i] + sizes[i]] * _power_tables(CHUNK + 2)[0][: sizes[i]], dtype=np.uint64))[-1] if sizes[i] else np.uint64(0) for i in short]
+    return np.concatenate([found, np.array(lone, np.uint64)]), np.concatenate([owner, short])
+
+
+def character_sets(lines: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each line, as (hashes sorted within a line, offsets of the lines)."""
+    hashes, owners = character_shingles(lines, length)
+    order = np.lexsort((hashes, owners))
+    hashes, owners = hashes[order], owners[order]
+    fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])]) if len(hashes) else np.zeros(0, bool)
+    hashes, owners = hashes[fresh], owners[fresh]
+    return hashes, np.searchsorted(owners, np.arange(len(lines) + 1))
+
+
+def one_permutation_minhash(hashes: np.ndarray, owners: np.ndarray, sets: int, slots: int) -> np.ndarray:
+    """MinHash signatures by one permutation: one row of ``slots`` values for each set; no set may be empty.
+
+    The high half of a hash says the slot, the low half competes for its minimum. An empty slot borrows from the next
+    filled one, with the distance mixed in, so that equal sets have equal signatures and slots agree as often as the sets.
+    """
+    empty = np.uint64(1 << 32)
+    values = np.full(sets * slots, empty)
+    slot = ((hashes >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
+    np.minimum.at(values, owners * slots + slot.astype(np.int64), hashes & np.uint64(0xFFFFFFFF))
+    values = values.reshape(sets, slots)
+    there = np.where(values == empty, 2 * slots, np.arange(slots))
+    there = np.concatenate([there, there + slots], axis=1)
+    nearest = np.minimum.accumulate(there[:, ::-1], axis=1)[:, ::-1][:, :slots]
+    distance = (nearest - np.arange(slots)).astype(np.uint64)
+    return mix(np.take_along_axis(values, nearest % slots, axis=1) + (distance << np.uint64(32)))
