@@ -1,123 +1,87 @@
-"""Fuzzy line de-duplication by MinHash of character shingles. DataFrame functions only.
+"""Fuzzy line de-duplication by MinHash of character shingles.
 
 A line is compared without surrounding blanks and in lower case; its set holds the distinct shingles of SHINGLE
 characters (a shorter line is one shingle). Lines are linked when their sets' Jaccard similarity is 0.75 or more, and one
 line of each component stays: the first by doc_id and line number.
 
 * Equal lines become one class before anything else.
-* The signature is made of all shingles: BANDS bands of ROWS minima, which are plain aggregates over one row a shingle, so
-  they stay in generated code and combine before the shuffle. A pair at 0.75 shares no band with a chance of 5e-4.
-* Classes are linked within the bands' buckets without listing a bucket's pairs (see candidates), by the exact similarity
-  of full sets, after a test of sizes and of 32-bit hashes. What large buckets leave unmerged is dealt by rarest shingles (prefix filtering: two sets with the
-  wanted similarity must share one of them), so it loses no link.
+* The signature is a one-permutation MinHash of all shingles of a line, in BANDS bands of ROWS slots. A pair at 0.75
+  shares no band with a chance of 5e-4.
+* Classes are linked within the bands' buckets without listing a bucket's pairs, by the exact similarity of full sets (see
+  set_links), and joined by distributed union-find.
+
+Signatures and sets are made in numpy inside the tasks. Built-in functions can express them, and did, but not within the
+limits of CPU time (see README).
 
 Defined results: null text is one empty line; empty lines are never compared and all stay; a null doc_id is last in
-order; of repeated rows one stays; an empty table gives an empty result; other columns pass by.
+order; of repeated rows one stays; a line of any length is compared whole; an empty table gives an empty result; other
+columns pass by.
 """
 
 from __future__ import annotations
 
-import random
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.candidates import cross_pairs, link_buckets, mixed_members, split_by_rarest, with_hubs
-from tidemark.llm.common import materialise, skew_safe_join
+from tidemark.llm.common import Scratch, skew_safe_join
+from tidemark.llm.set_links import SetLinks, groups
+from tidemark.llm.shingles import character_sets, character_shingles, mix, one_permutation_minhash
 
 SHINGLE = 10
 BANDS, ROWS = 14, 3
-NUMERATOR, DENOMINATOR = 75, 100
-#: Percent that sets of 32-bit hashes must reach before texts are compared; their collisions move a link by far less.
-LEAST_HASHED = 73
-#: At most so many line classes (about 50 bytes each) are broadcast; beyond it the join shuffles.
-BROADCAST_LINES = 200_000
+#: A link's signatures agree in fewer of the 42 slots with a chance of 1e-6 (5 deviations; short lines vary more).
+LEAST_AGREEING = 17
 _BLANKS = " \t\x0b\x0c\r"
-#: An odd multiplier and an offset for each minimum, below 2**31 so that nothing overflows; each permutes 32-bit hashes.
-_DRAWN = random.Random(0x9E3779B9)
-_PERMUTATIONS = [(_DRAWN.getrandbits(31) | 1, _DRAWN.getrandbits(31)) for _ in range(BANDS * ROWS)]
 
 
 def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     parts = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
     parts = parts.withColumn("line", F.lower(F.btrim("line", F.lit(_BLANKS))))
-    return parts.withColumn("key", F.when(F.length("line") > 0, F.unhex(F.md5("line")))).withColumn("uid", F.monotonically_increasing_id())
-
-
-def _every_shingle(line: Column) -> Column:
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
+    return parts.withColumn("key", F.when(F.length("line") > 0, F.unhex(F.md5("line"))))
 
 
-def _bands(lines: DataFrame) -> DataFrame:
-    """Rows (key, bands) of distinct lines: BANDS hashes of ROWS minima each, each minimum under another permutation."""
-    one_each = lines.select("key", F.explode(_every_shingle(F.col("line"))).alias("shingle"))
-    low = F.lit((1 << 32) - 1)
-    permuted = [(F.col("hashed") * F.lit(a) + F.lit(b)).bitwiseAND(low) for a, b in _PERMUTATIONS]
-    minima = [F.min(p).alias(f"m{k}") for k, p in enumerate(permuted)]
-    signed = one_each.select("key", F.hash("shingle").cast("bigint").bitwiseAND(low).alias("hashed")).groupBy("key").agg(*minima)
-    return signed.select("key", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
+def _sign(lines: list[str]) -> tuple[list, list]:
+    """Bands and signature bytes of each line, which has at least one character."""
+    hashes, owners = character_shingles(lines, SHINGLE)
+    values = one_permutation_minhash(hashes, owners, len(lines), BANDS * ROWS)
+    keys = np.zeros((len(lines), BANDS), np.uint64)
+    for r in range(ROWS):
+        keys = mix(keys + values.reshape(-1, BANDS, ROWS)[:, :, r])
+    keys = mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return list(keys), [r.tobytes() for r in (values >> np.uint64(56)).astype(np.uint8)]
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """Rows (node, line, n, hashes): the number of distinct shingles of each line, and 32-bit hashes of them."""
-    shingles = texts.select("node", "line", F.array_distinct(_every_shingle(F.col("line"))).alias("shingles"))
-    return shingles.select("node", "line", F.size("shingles").alias("n"), F.array_distinct(F.transform("shingles", lambda s: F.hash(s))).alias("hashes"))
-
-
-def _with(pairs: DataFrame, end: str, facts: DataFrame, n_pairs: int) -> DataFrame:
-    named = facts.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in facts.columns if c != "node"])
-    degrees = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_degree"))
-    return skew_safe_join(pairs, degrees.join(named, end), end, n_pairs, "_degree").drop("_degree")
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = batch.column("line").to_pylist()
+        for begin, end in groups(lines):
+            bands, signature = _sign(lines[begin:end])
+            node = batch.column("node").slice(begin, end - begin)
+            weight = pa.array([len(x) for x in lines[begin:end]], pa.int64())
+            yield pa.RecordBatch.from_arrays([node, weight, pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary())], names=["node", "weight", "bands", "signature"])
 
 
 def fuzzy_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per line: doc_id, line_no, component_doc_id, component_line_no, kept."""
-    lines = materialise(_lines(docs, text, doc_id), "lines")
-    filled = lines.where("key IS NOT NULL")
+    scratch = Scratch(docs.sparkSession)
+    cut = _lines(docs, text, doc_id)
+    lines = scratch.write(cut.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "line_no", "key"), "lines")
+
+    distinct = cut.where("key IS NOT NULL").groupBy("key").agg(F.min("line").alias("line"))
+    classes = scratch.write(distinct.select(F.monotonically_increasing_id().alias("node"), "key", "line"), "line-classes")
+    signed = scratch.write(classes.select("node", "line").mapInArrow(_signed, "node bigint, weight bigint, bands array<bigint>, signature binary"), "line-signed")
+    texts = classes.select("node", F.col("line").alias("text"))
+    found = SetLinks(scratch, signed, texts, lambda lines: character_sets(lines, SHINGLE), LEAST_AGREEING).components()
 
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "uid")).alias("keeper")
-    classes = filled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), keeper).join(_bands(filled), "key")
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
-
-    members = with_hubs(classes.select("node", F.lit(0).alias("weight"), F.explode("bands").alias("bucket")), "line")
-
-    nodes = members.select("node").distinct()
-    wanted = classes.select("key", "node").join(nodes, "node")
-    if nodes.count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
-    texts = filled.select("key", "line").join(wanted, "key").groupBy("node", "line").agg(F.count(F.lit(1)).alias("_n"))
-    sets = materialise(_sets(texts), "line-sets")
-
-    def tested(pairs: DataFrame, column: str, percent: int, shared: Callable, label: str) -> DataFrame:
-        """The pairs whose ``column`` values share at least so many percent of all; the column is joined to both ends."""
-        n, facts = pairs.count(), sets.select("node", "n", column)
-        both = _with(_with(pairs, "a", facts, n), "b", facts, n)
-        both = both.select("a", "b", "n_a", "n_b", shared(F.col(f"{column}_a"), F.col(f"{column}_b")).alias("shared"))
-        return materialise(both.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent).select("a", "b"), label)
-
-    def compare(pairs: DataFrame, label: str, one_each: bool = False) -> DataFrame:
-        """Links among pairs: those whose sizes and hashed sets allow a link are confirmed on their texts."""
-        pairs = materialise(pairs, f"{label}-pairs")
-        n, sizes = pairs.count(), sets.select("node", "n")
-        sized = _with(_with(pairs, "a", sizes, n), "b", sizes, n)
-        fitting = materialise(sized.where(F.least("n_a", "n_b") * DENOMINATOR >= F.greatest("n_a", "n_b") * NUMERATOR).select("a", "b"), f"{label}-fitting")
-        hashed = tested(fitting, "hashes", LEAST_HASHED, lambda x, y: F.size(F.array_intersect(x, y)), f"{label}-hashed")
-        exact = lambda x, y: F.size(F.array_intersect(_every_shingle(x), _every_shingle(y)))
-        return tested(hashed, "line", NUMERATOR, exact, f"{label}-links")
-
-    def link_large(large: DataFrame) -> DataFrame:
-        """Nodes of large mixed buckets are dealt by their rarest shingles, and compared across components there."""
-        placed = sets.join(large.select("node", "component").distinct(), "node").selectExpr("node", "component", "hashes AS shingles")
-        dealt = materialise(split_by_rarest(materialise(placed, "line-large-sets"), LEAST_HASHED, DENOMINATOR), "line-dealt")
-        return compare(cross_pairs(mixed_members(dealt)), "line-last")
-
-    found = link_buckets(members, compare, link_large, "line")
-
-    labelled = classes.select("key", "members", "keeper", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = labelled.groupBy("component").agg(F.min("keeper").alias("best"))
-    labelled = labelled.join(best, "component").select("key", F.col("members").alias("class_rows"), "best")
+    counted = scratch.write(lines.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("class_rows"), keeper), "line-counts")
+    placed = scratch.write(classes.select("node", "key").join(found, "node").join(counted, "key").select("key", "component", "keeper"), "line-placed")
+    best = scratch.write(placed.groupBy("component").agg(F.min("keeper").alias("best")), "line-best")
+    labelled = counted.join(placed.join(best, "component").select("key", "best"), "key", "left").select("key", "class_rows", F.coalesce("best", "keeper").alias("best"))
     own = F.coalesce("key", F.concat(F.lit("-"), F.col("uid")).cast("binary"))  # no key for all empty lines
     rows = skew_safe_join(lines.select("uid", "doc_id", "line_no", own.alias("key")), labelled, "key", lines.count(), "class_rows", how="left")
     alone = F.col("best").isNull()
