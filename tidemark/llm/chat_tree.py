@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, skew_safe_join
-from tidemark.llm.packing import Encoder
+from tidemark.llm.packing import Encoder, encoder
 
 HEAD, NECK, END = "[INST]", "[/INST]", "</s>"
 _OUT_ROWS = 2000
@@ -100,7 +100,7 @@ _TREE = pa.schema([
 ])
 
 
-def _grow(encoder: Encoder, rows: Iterator[tuple]) -> Iterator[dict]:
+def _grow(encode: Encoder, rows: Iterator[tuple]) -> Iterator[dict]:
     """Nodes in depth-first order, and a row for each turn of each conversation that names its node."""
     path: list[dict] = []  # of the conversation before, or of this one as far as it has come
     name, depth, sharing, nodes, end = None, 0, True, 0, 0
@@ -112,7 +112,7 @@ def _grow(encoder: Encoder, rows: Iterator[tuple]) -> Iterator[dict]:
             if sharing:
                 del path[depth:]
                 sharing = False
-            parts = [encoder.ids(HEAD + escape(role) + NECK), encoder.ids(escape(text)), encoder.ids(END)]
+            parts = [encode.ids(HEAD + escape(role) + NECK), encode.ids(escape(text)), encode.ids(END)]
             ids = np.concatenate(parts)
             up = path[-1] if path else {"node": -1, "tokens": 0, "spans": []}
             spans = [*up["spans"][:-1], (up["spans"][-1][0], end + len(ids))] if up["spans"] and up["spans"][-1][1] == end else [*up["spans"], (end, end + len(ids))]
@@ -139,8 +139,8 @@ def chat_tree(turns: DataFrame, tokenizer_path: str, conv_id: str = "conv_id", t
     packs = packs.select(F.spark_partition_id().alias("pack"), "name", "role", "text")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held = Encoder(tokenizer_path), []
-        for row in _grow(encoder, _rows(batches, ["pack", "name", "role", "text"])):
+        held = []
+        for row in _grow(encoder(tokenizer_path), _rows(batches, ["pack", "name", "role", "text"])):
             held.append(row)
             if len(held) >= _OUT_ROWS:
                 yield pa.RecordBatch.from_pylist(held, schema=_TREE)
@@ -165,7 +165,7 @@ def read_back(nodes: DataFrame, places: DataFrame, tokenizer_path: str) -> DataF
     out = pa.schema([("name", pa.string()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = Encoder(tokenizer_path).fast.decode
+        decode = encoder(tokenizer_path).fast.decode
         now, held = None, []
 
         def closed() -> dict:

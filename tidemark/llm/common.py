@@ -13,9 +13,13 @@ HOT_KEYS = 1000
 #: Over so many groups the rows of a hot key are dealt.
 SALTS = 128
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 #: ASCII white space, the same six characters everywhere in this subpackage.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,9 +34,16 @@ def scratch_root(spark: SparkSession) -> str:
     # A written table replaces the shuffle files of its job, which would stay until the driver collects garbage.
     if spark.conf.get(_CLEANUP, "false") != "true":
         spark.conf.set(_CLEANUP, "true")
+    short_batches(spark)
     return root.rstrip("/")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python workers in batches of BATCH_ROWS at most, so that neither side holds many at a time."""
+    if int(spark.conf.get(_BATCH, "10000")) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 class Scratch:
     """Intermediate tables of an operator, written to the shared folder; ``drop`` deletes those that nothing reads any more."""
 

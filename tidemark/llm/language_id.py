@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import unit_hash
+from tidemark.llm.common import short_batches, unit_hash
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -195,6 +195,7 @@ def fit_language_id(docs: DataFrame, text: str = "text", lang: str = "lang", doc
 def identify_language(docs: DataFrame, model: ByteConvNet, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """One row per input row: the columns of ``carry`` (by default doc_id), held_out, lang_pred, score."""
     carry = [doc_id] if carry is None else carry
+    short_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

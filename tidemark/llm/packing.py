@@ -25,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,39 +39,61 @@ CAPACITY = 2048
 END_ID = 1
 #: Rows of a shard, within which items are numbered.
 SHARD_ROWS = 20_000
-#: At most so many cut documents (a few hundred bytes each) are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
 _OUTSIDE_LATIN = re.compile("[^\\x00-\\u024f]")
+#: The fast encoder's splitting recurses over a run of white space; longer runs go to the library.
+_LONG_BLANK = re.compile(r"\s{5000}")
+
+
+def byte_of_symbol() -> dict[str, int]:
+    """The byte that each printable character stands for in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {chr(b) if b in plain else chr(next(rest)): b for b in range(256)}
 
 
 class Encoder:
     """Ids of a byte-level BPE vocabulary file (tokenizers .json), special strings handled as its default."""
 
     def __init__(self, path: str):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = iter(range(256, 512))
-        byte_of = {chr(b) if b in plain else chr(next(rest)): b for b in range(256)}
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
-        specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {t: i for t, i in ranks.items() if i not in specials.values()}
-        # Fixed value: the splitting pattern of byte-level vocabularies.
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
-        self.slow = Tokenizer.from_file(path)
+        self.path, self._fast, self._slow = path, None, None
+
+    @property
+    def slow(self):
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
+    @property
+    def fast(self):
+        if self._fast is None:
+            import tiktoken
+
+            with open(self.path, encoding="utf-8") as file:
+                spec = json.load(file)
+            byte_of = byte_of_symbol()
+            specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+            ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if i not in specials.values()}
+            # Fixed value: the splitting pattern of byte-level vocabularies.
+            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+            self._fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
+        return self._fast
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if _OUTSIDE_LATIN.search(text):
+        if _OUTSIDE_LATIN.search(text) or _LONG_BLANK.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode(text, allowed_special="all"), np.uint32)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker, used by all of its tasks."""
+    return Encoder(path)
+
+
 # --- the plan ----------------------------------------------------------------------------------------------------
 
 
@@ -194,11 +217,11 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str =
     spark = docs.sparkSession
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        ids_of = encoder(tokenizer_path).ids
         for batch in batches:
             tokens, windows, item, item_crc, item_ids = [], [], [], [], []
-            for one in batch.column("text").to_pylist():
-                ids = np.append(encoder.ids(one), np.uint32(end_id)).astype(np.uint32)
+            for one in batch.column("text"):  # one text at a time
+                ids = np.append(ids_of(one.as_py()), np.uint32(end_id)).astype(np.uint32)
                 whole = len(ids) // capacity
                 tokens.append(len(ids))
                 windows.append([_crc(ids[k * capacity : (k + 1) * capacity]) for k in range(whole)])
@@ -257,9 +280,8 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str =
     # Digests of the pieces of cut items come from the stored ids.
     pieces = materialise(pieces, "pack-pieces")
     cut = pieces.where("cut")
-    small = plan.cuts <= BROADCAST_ROWS
     ids = table.select("uid", "item_ids", "item")
-    joined = ids.join(F.broadcast(cut) if small else cut, "uid")
+    joined = ids.join(cut, "uid")
 
     @F.pandas_udf("bigint")
     def piece_crc(ids: pd.Series, begin: pd.Series, length: pd.Series) -> pd.Series:
