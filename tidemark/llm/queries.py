@@ -162,17 +162,22 @@ rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
 parts AS (
   SELECT *, floor(rate) AS sure, rate - floor(rate) AS p, target - floor(rate) * source_size AS wanted FROM rates),
+numbered AS (
+  SELECT *, floor(1000.0::DOUBLE * size / (size + 100)) AS worth, row_number() OVER (PARTITION BY doc_id, size) AS nth FROM sizes),
+worths AS (
+  SELECT source, CASE WHEN sum(size) > 0 THEN sum((worth * size)::HUGEINT)::DOUBLE / sum(size)::DOUBLE ELSE 0 END AS mean_worth FROM numbered GROUP BY source),
 ranked AS (
-  SELECT d.*, t.source_size, t.target, t.sure, t.p, t.wanted,
-         (('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || d.size), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
-  FROM sizes d JOIN parts t ON d.source IS NOT DISTINCT FROM t.source),
+  SELECT d.*, t.source_size, t.target, t.sure, t.p AS part, t.wanted,
+         t.p + least(t.p, 1 - t.p) * ((d.worth - w.mean_worth) / 1000.0::DOUBLE) AS p,
+         (('0x' || substr(md5('mix-2|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || d.size || '|' || d.nth), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM numbered d JOIN parts t ON d.source IS NOT DISTINCT FROM t.source JOIN worths w ON d.source IS NOT DISTINCT FROM w.source),
 ordered AS (
-  SELECT *, CASE WHEN p > 0 THEN u / (1 - u) * ((1 - p) / p) END AS odds FROM ranked),
+  SELECT *, CASE WHEN part > 0 THEN u / (1 - u) * ((1 - p) / p) END AS odds FROM ranked),
 running AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size, nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
   FROM ordered)
 SELECT doc_id, size, source_size, target,
-       ((sure + CASE WHEN p > 0 AND before + size / 2 <= wanted THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+       ((sure + CASE WHEN part > 0 AND before + size / 2 <= wanted THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM running
 """
 
