@@ -16,10 +16,10 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, skew_safe_join
+from tidemark.llm.common import Scratch, skew_safe_join
 
 #: A text's rows meet in so many groups before the last combining.
 SALTS = 32
@@ -56,7 +56,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", car
     local = rows.withColumn("salt", F.spark_partition_id() % SALTS)
     salted = local.groupBy("digest", "salt", "content").agg(F.max("order").alias("best"), F.count(F.lit(1)).alias("size"))
     groups = salted.groupBy("digest", "content").agg(F.max("best").alias("best"), F.sum("size").alias("group_size"))
-    groups = materialise(groups.select("digest", F.sha2("content", 512).alias("inner"), "best", "group_size"), "exact-groups")
+    scratch = Scratch(docs.sparkSession)
+    groups = scratch.write(groups.select("digest", F.sha2("content", 512).alias("inner"), "best", "group_size"), "exact-groups")
 
     # Usually a digest has one content. If not, rows are matched by a second digest as well.
     n_rows = groups.agg(F.sum("group_size")).first()[0] or 0
@@ -68,9 +69,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", car
     joined = skew_safe_join(rows.drop("content"), groups.select("match", "best", "group_size"), "match", n_rows, "group_size")
     kept = F.col("order") == F.col("best")
     if docs.groupBy(doc_id).count().where("count > 1").limit(1).count():  # equal rows tie: the first of them stays
-        best = joined.where(kept).withColumn("turn", F.row_number().over(Window.partitionBy("match").orderBy("order")))
-        joined = best.unionByName(joined.where(~kept).withColumn("turn", F.lit(0)))
-        kept = F.col("turn") == 1
+        joined = scratch.write(joined.withColumn("tied", kept).withColumn("uid", F.monotonically_increasing_id()), "exact-tied")
+        first = joined.where("tied").groupBy("match").agg(F.min("uid").alias("uid")).select("uid", F.lit(True).alias("first"))
+        joined = joined.join(first, "uid", "left")  # one row an id on both sides: no text is a single task's work
+        kept = F.coalesce("first", F.lit(False))
     winner = F.col("best") % _number(_SPAN)
     keep_id = F.when(winner > 0, _number(2**63) - winner).cast("long")
     return joined.select("row.*", keep_id.alias("keep_id"), "group_size", kept.alias("kept"), F.col("digest").alias("text_digest"))
