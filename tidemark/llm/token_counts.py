@@ -4,10 +4,11 @@ The encoding of a prefix ends in exactly one token t, and what stands before t i
 whose own last token u may stand before t (BPE turns the symbols of u and t into just these two tokens). So
 count[k] = count[k - len(t)] + 1, where t is found among the vocabulary entries that end at k. This gives, for each
 word, the count at every prefix, with and without the word's end mark; a text's prefix counts are the running total of
-its words plus the prefix counts of the word at the cut. ``PrefixCounts`` answers truncation and budget questions from
-these numbers without encoding anything again.
+its words plus the prefix counts of the word at the cut. ``RunningCounts`` stores the totals, ``PrefixCounts`` the count at
+every character; both answer how many tokens a text has and what its longest prefix within a budget is from these numbers,
+without encoding anything again.
 
-Words recur, so their results and the states of their prefixes are kept in bounded caches.
+Words recur, so the results of words of up to CACHED_CHARS characters are kept in bounded caches.
 """
 
 from __future__ import annotations
@@ -17,14 +18,19 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, islice, zip_longest
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import short_batches
+from tidemark.llm.packing import byte_of_symbol
+
 #: Entries of each cache of a Python worker; a full cache is emptied.
 CACHE_ENTRIES = 300_000
+CACHED_CHARS = 40
 
 # Character classes up to U+024F as the vocabulary's splitting pattern sees them; texts with other
 # characters are split by the tokenizer library.
@@ -33,13 +39,7 @@ _LETTER = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
 _NUMBER = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 _OUTSIDE = re.compile("[^\\x00-\\x1b\\x20-\\u024f]")
-
-
-def _byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+_CHUNK = re.compile(r"\S+")
 
 
 class PrefixCounter:
@@ -56,7 +56,7 @@ class PrefixCounter:
         self.names = {i: t for t, i in self.vocab.items()}
         self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.library = Tokenizer.from_file(path)
-        self.symbols = _byte_symbols()
+        self.symbols = {b: c for c, b in byte_of_symbol().items()}
         self.longest = max(len(t) for t in self.vocab)
         self.specials = re.compile("(" + "|".join(re.escape(t["content"]) for t in spec["added_tokens"]) + ")")
         self.special_texts = {t["content"] for t in spec["added_tokens"]}
@@ -128,9 +128,10 @@ class PrefixCounter:
             symbols = self.spelled(word)
             lasts, counts = self._table(symbols[:-1])
             count = counts[self._begin(symbols, lasts, len(symbols), 0 if len(symbols) < 4 else len(symbols) - 4, self.mark)] + 1
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            self.words[word] = count
+            if len(word) <= CACHED_CHARS:
+                if len(self.words) >= CACHE_ENTRIES:
+                    self.words.clear()
+                self.words[word] = count
         return count
 
     # --- texts -------------------------------------------------------------------------------------------------
@@ -147,33 +148,36 @@ class PrefixCounter:
             return [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         return [m.span() for m in _WORD.finditer(normal)]
 
-    def _plain_count(self, text: str) -> int:
+    def _chunk_count(self, chunk: str) -> int:
+        """Tokens of a stretch of Latin text without white space."""
+        count = self.chunks.get(chunk)
+        if count is None:
+            count = sum(map(self.word_count, _WORD.findall(chunk)))
+            if len(chunk) <= CACHED_CHARS:
+                if len(self.chunks) >= CACHE_ENTRIES:
+                    self.chunks.clear()
+                self.chunks[chunk] = count
+        return count
+
+    def _has_specials(self, text: str) -> bool:
+        return "<|" in text and self.specials.search(text) is not None
+
+    def running(self, text: str | None) -> RunningCounts | PrefixCounts:
+        """The stored totals of a whole text; special strings in it count as the library counts them."""
+        text = text or ""
+        if self._has_specials(text):
+            return self.prefixes(text)
         normal = self.normalised(text)
         if _OUTSIDE.search(normal):
-            return sum(self.word_count(normal[a:b]) for a, b in self.split(normal))
-        total, chunks, counts = 0, normal.split(), self.chunks
-        for chunk in chunks:
-            count = counts.get(chunk)
-            if count is None:
-                count = sum(map(self.word_count, _WORD.findall(chunk)))
-                if len(chunk) <= 40:
-                    if len(counts) >= CACHE_ENTRIES:
-                        counts.clear()
-                    counts[chunk] = count
-            total += count
-        return total
+            spans = self.split(normal)
+            return RunningCounts(self, normal, list(accumulate(self.word_count(normal[a:b]) for a, b in spans)), spans)
+        return RunningCounts(self, normal, list(accumulate(map(self._chunk_count, normal.split()))))
 
     def count(self, text: str | None) -> int:
-        """Tokens of a whole text; special strings in it count as the library counts them."""
-        if not text:
-            return 0
-        if "<|" in text and self.specials.search(text):
-            return sum(1 if part in self.special_texts else self._plain_count(part) for part in self.specials.split(text) if part)
-        return self._plain_count(text)
+        return self.running(text).total()
 
-    def prefixes(self, text: str | None) -> PrefixCounts:
-        """Counts at every prefix of the normalised text (special strings are ordinary text here)."""
-        normal = self.normalised(text or "")
+    def _plain_prefixes(self, normal: str) -> np.ndarray:
+        """Counts at every prefix of a normalised text, special strings being ordinary text."""
         counts = np.zeros(len(normal) + 1, np.int64)
         total = at = 0
         for begin, end in self.split(normal):
@@ -189,7 +193,22 @@ class PrefixCounter:
             counts[end] = total
             at = end
         counts[at:] = total
-        return PrefixCounts(normal, counts)
+        return counts
+
+    def prefixes(self, text: str | None) -> PrefixCounts:
+        """Counts at every prefix of the normalised text. A special string is ordinary text until it is whole."""
+        normal, counts, total = "", [np.zeros(1, np.int64)], 0
+        parts = self.specials.split(text) if text and self._has_specials(text) else [text or ""]
+        for plain, special in zip_longest(parts[::2], parts[1::2], fillvalue=""):
+            part = self.normalised(plain + special)
+            table = self._plain_prefixes(part) + total
+            if special:
+                table[-1] = total = total + self._plain_prefixes(self.normalised(plain))[-1] + 1
+            else:
+                total = table[-1]
+            normal += part
+            counts.append(table[1:])
+        return PrefixCounts(normal, np.concatenate(counts))
 
 
 class PrefixCounts:
@@ -207,17 +226,44 @@ class PrefixCounts:
         return self.text[: max(0, bisect_right(self.low.tolist(), budget) - 1)]
 
 
+class RunningCounts:
+    """The exact token count at the end of every chunk (or span) of a text; inside one the prefix table of its words."""
+
+    def __init__(self, counter: PrefixCounter, normal: str, totals: list[int], spans: list[tuple[int, int]] | None = None):
+        self.counter, self.text, self.totals, self.spans = counter, normal, totals, spans
+
+    def total(self) -> int:
+        return self.totals[-1] if self.totals else 0
+
+    def longest_within(self, budget: int) -> str:
+        """The longest prefix of at most ``budget`` tokens."""
+        whole = bisect_right(self.totals, budget)
+        if budget < 0 or whole == len(self.totals):
+            return self.text if budget >= 0 else ""
+        begin, end = self.spans[whole] if self.spans else next(islice(_CHUNK.finditer(self.text), whole, None)).span()
+        before = self.totals[whole - 1] if whole else 0
+        inside = PrefixCounts(self.text[begin:end], self.counter._plain_prefixes(self.text[begin:end]))
+        return self.text[:begin] + inside.longest_within(budget - before)
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", limit: int = 2048) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_tokens, over_limit.
+    """One row per input row: doc_id, n_bytes, n_tokens, over_limit, fitting_chars (of the longest prefix within the limit).
 
-    Null text counts as empty (0 bytes, 0 tokens); a null doc_id stays null; an empty table gives an empty result.
+    Null text counts as empty (0 bytes, 0 tokens); a null doc_id stays null; repeated rows are counted each; texts of any
+    length are read whole; an empty table gives an empty result; other columns pass by, whatever their names.
     """
+    short_batches(docs.sparkSession)
 
-    @F.pandas_udf("n_bytes bigint, n_tokens bigint")
+    @F.pandas_udf("n_bytes bigint, n_tokens bigint, fitting_chars bigint")
     def counted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counter = PrefixCounter(tokenizer_path)
         for texts in parts:
-            yield pd.DataFrame({"n_bytes": [len((t or "").encode("utf-8")) for t in texts], "n_tokens": [counter.count(t) for t in texts]})
+            rows = []
+            for text in texts:
+                stored = counter.running(text)
+                total = stored.total()
+                rows.append((len((text or "").encode("utf-8")), total, len(stored.text if total <= limit else stored.longest_within(limit))))
+            yield pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "fitting_chars"]).astype("int64")
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), counted(F.col(text)).alias("c"))
-    return rows.select("doc_id", "c.n_bytes", "c.n_tokens", (F.col("c.n_tokens") > limit).alias("over_limit"))
+    return rows.select("doc_id", "c.n_bytes", "c.n_tokens", (F.col("c.n_tokens") > limit).alias("over_limit"), "c.fitting_chars")
