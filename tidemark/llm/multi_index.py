@@ -10,7 +10,8 @@ falls short of that with the best centroid.
 
 Entries lie in blocks: GROUPS ranges of first centroids, each dealt by digest of ids into blocks of about BLOCK_ROWS, so
 that equal or crowded vectors fill several blocks. Queries go to the blocks whose cells they meet, in chunks of about
-QUERY_ROWS, and each block returns a query's best; the best of these are the result.
+QUERY_ROWS; a block reads only the inverted lists of the cells that a query meets and returns its best; the best of these
+are the result.
 
 Defined results: vectors that are null, zero, of another than the most frequent length (the shortest of several), or
 hold a null or non-finite component, and rows with a null id, take no part; of rows with the same id only the smallest
@@ -119,17 +120,30 @@ def fit_multi_index(rows: np.ndarray, wanted: int = 20, recall: float = WANTED_R
     return index
 
 
+def cell_scores(asked: np.ndarray, masks: np.ndarray, rows: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, int]:
+    """Inner products of queries with the entries of the cells they meet (others -inf), and how many were made.
+
+    Entries are sorted by cell; ``masks`` has a bit for each second centroid, by query and first centroid.
+    """
+    scores, made = np.full((len(asked), len(rows)), -np.inf), 0
+    begins = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])) if len(rows) else np.zeros(0, int)
+    for begin, end in zip(begins, [*begins[1:], len(rows)]):
+        met = np.flatnonzero((masks[:, first[begin]] >> np.uint64(second[begin])) & np.uint64(1))
+        if len(met):
+            scores[met, begin:end] = asked[met] @ rows[begin:end].T
+            made += len(met) * (end - begin)
+    return scores, made
+
+
 def _best_of_block(queries: pd.DataFrame, entries: pd.DataFrame, group_size: int, wanted: int) -> pd.DataFrame:
-    entries = entries.sort_values("vec_id")
+    entries = entries.sort_values(["i", "j", "vec_id"])  # the inverted lists of the block's cells
     ids, rows = entries["vec_id"].to_numpy(), np.frombuffer(b"".join(entries["vector"]), np.float64).reshape(len(entries), -1)
-    first, second = entries["i"].to_numpy() % group_size, entries["j"].to_numpy().astype(np.uint64)
+    first, second = entries["i"].to_numpy() % group_size, entries["j"].to_numpy()
     found = []
     for begin in range(0, len(queries), SCORED):
         part = queries.iloc[begin : begin + SCORED]
         asked = np.frombuffer(b"".join(part["vector"]), np.float64).reshape(len(part), -1)
-        masks = np.array(part["masks"].tolist(), np.int64).view(np.uint64)
-        scores = asked @ rows.T
-        scores[(masks[:, first] >> second) & np.uint64(1) == 0] = -np.inf
+        scores, _ = cell_scores(asked, np.array(part["masks"].tolist(), np.int64).view(np.uint64), rows, first, second)
         own = part["query_id"].to_numpy()
         scores[own[:, None] == ids[None]] = -np.inf
         least = np.partition(scores, -wanted, axis=1)[:, -wanted] if len(ids) > wanted else np.full(len(part), -np.inf)
