@@ -5,12 +5,14 @@ filters of widths 2, 3 and 4, max-pooled over the window and classed by a softma
 mean over its windows, by bytes. All windows of all texts are scored, in batches. For scoring, embedding and filters are
 folded into tables by byte and byte pair, so a filter's response is a sum of table rows.
 
-The network learns from a bounded sample: about FIT_DOCS documents for each of the MAX_LANGUAGES most frequent languages
-and WINDOWS_EACH windows of each, chosen by digests of document ids among those whose crc32(doc_id) mod 4 isn't 2.
+The network learns every language that has a labelled document, from a bounded sample: about FIT_DOCS documents for each
+language (an equal share of FIT_TOTAL, if that is less) and WINDOWS_EACH windows of each, chosen by digests of document ids
+among those whose crc32(doc_id) mod 4 isn't 2.
 
 Defined results: null text and text without a letter give "und" with score 0; null languages teach nothing; without any
 labelled text every prediction is "und"; a null doc_id counts as text "" in the digest; an empty table gives an empty
-result; other columns pass by.
+result; of languages with equal probabilities the first in order is told; repeated rows are told alike, and teach each if they
+are drawn; texts of any length are read whole; other columns pass by.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBEDDING = 8
-FIT_DOCS, WINDOWS_EACH, MAX_LANGUAGES = 500, 4, 500
+FIT_DOCS, FIT_TOTAL, WINDOWS_EACH = 500, 250_000, 4
 EPOCHS, BATCH = 5, 64
 HELD_OUT_REMAINDER = 2
 #: Windows scored at a time.
@@ -167,10 +169,11 @@ class ByteConvNet:
 def fit_language_id(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> ByteConvNet:
     """Train on a bounded sample of the rows that aren't held out."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    counts = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
     if not counts:
         return ByteConvNet([])
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, FIT_DOCS / r.n))])
+    each = min(FIT_DOCS, FIT_TOTAL / len(counts))
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, each / r.n))])
     drawn = unit_hash(F.lit("language"), F.col(doc_id)) < F.element_at(rates, F.col(lang))
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,8 @@ quarters of these rows make the trees and one, weighted back to all rows, the ca
 the lexicon of the whole sample.
 
 Defined results: null text counts as empty; every text gets a score, empty ones too; rows without a label teach nothing;
-conflicting labels count as 1; without labels all scores are 0; a null doc_id counts as text "" in the digest; an empty
+conflicting labels count as 1; a document that is repeated teaches as often as it stands there; repeated rows and ties get
+equal scores; texts of any length are read whole; without labels all scores are 0; a null doc_id counts as text "" in the digest; an empty
 table gives an empty result; other columns pass by.
 """
 
@@ -31,7 +32,7 @@ from tidemark.llm.common import materialise, unit_hash
 from tidemark.llm.language_id import held_out
 
 FIT_POSITIVE, FIT_NEGATIVE = 4000, 8000
-LEXICON_TERMS, LEXICON_LEAST, LEXICON_ODDS = 3000, 4, 8.0
+LEXICON_LEAST, LEXICON_ODDS = 4, 8.0
 STEM_LENGTHS = (4, 5, 6)
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 #: Characters on either side of a hit in which a second-person pronoun counts as near.
@@ -192,7 +193,7 @@ def _learn_lexicon(sample: DataFrame) -> Lexicon:
     counts = sample.mapInPandas(counted, "term string, p bigint, n bigint").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (positive + 1)) - F.log((F.col("n") + 0.5) / (negative + 1))
     likely = counts.withColumn("odds", odds).where((F.col("p") >= LEXICON_LEAST) & (F.col("odds") > float(np.log(LEXICON_ODDS))))
-    chosen = {r.term: r.odds for r in likely.orderBy(F.desc(F.col("odds") * F.sqrt("p")), "term").limit(LEXICON_TERMS).collect()}
+    chosen = {r.term: r.odds for r in likely.collect()}  # terms of a bounded sample
 
     def surrounded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
