@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA, documents, words
+from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.language_id import ByteConvNet, fit_language_id, identify_language
 from tidemark.llm.mixing import mix_sources
-from tidemark.llm.multi_index import fit_multi_index, search
-from tidemark.llm.toxicity import fit_toxicity, isotonic, score_toxicity
+from tidemark.llm.multi_index import cell_scores, fit_multi_index, search
+from tidemark.llm.toxicity import FEATURES, BoostedTrees, Lexicon, features, fit_toxicity, isotonic, score_toxicity
 
 SF = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -122,6 +123,74 @@ def test_walk_visits_pairs_by_summed_distance():
     assert len(set(order)) == 64 * 64 and all(a >= b - 1e-9 for a, b in zip(near, near[1:]))
 
 
+def test_blocks_score_met_cells_only():
+    rng = np.random.default_rng(8)
+    index = fit_multi_index(rng.normal(size=(400, 8)))
+    rows = rng.normal(size=(300, 8))
+    first, second = index.cells(rows)
+    order = np.lexsort((second, first))
+    rows, first, second = rows[order], first[order], second[order]
+    asked, counts = rng.normal(size=(9, 8)), np.zeros((64, 64), int)
+    np.add.at(counts, (first, second), 1)
+    met = [set(index.walk(q, counts, 60)) for q in asked]
+    masks = np.array([[sum(1 << j for i, j in cells if i == c) for c in range(64)] for cells in met], np.uint64)
+    scores, made = cell_scores(asked, masks, rows, first, second)
+    wanted = np.array([[(i, j) in cells for i, j in zip(first, second)] for cells in met])
+    assert np.array_equal(np.isfinite(scores), wanted) and np.allclose(scores[wanted], (asked @ rows.T)[wanted])
+    assert made == wanted.sum() < len(asked) * len(rows) / 2
+
+
+def test_trees_split_best():
+    """A tree of one split against all splits of all features."""
+    rng = np.random.default_rng(9)
+    x, slope, bend = rng.integers(0, 32, size=(200, 3)), rng.normal(size=200), rng.uniform(0.1, 0.3, 200)
+    feature, cut, leaf = BoostedTrees._grow(x, slope, bend)
+
+    def worth(left):
+        return sum(slope[side].sum() ** 2 / (bend[side].sum() + 1) for side in (left, ~left))
+
+    best = max((worth(x[:, f] <= c), -f, -c) for f in range(3) for c in range(31))
+    assert np.isclose(worth(x[:, feature[0]] <= cut[0]), best[0])
+    node = np.zeros(200, int)
+    for level in range(3):
+        at = 2**level - 1 + node
+        node = 2 * node + (x[np.arange(200), feature[at]] > cut[at])
+    assert all(np.isclose(leaf[k], -0.2 * slope[node == k].sum() / (bend[node == k].sum() + 1)) for k in range(8))
+
+
+def test_features_are_plain_counts():
+    text = "You IDIOT, zorb zorbing! f00l #$% 42 é you"
+    found = features(text, Lexicon({"idiot": 3.0, "zorb": 2.0}, {"zorb": 1.0}))
+    words, letters = text.count(" ") + 1, sum(c.isalpha() for c in text)
+    marks = sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in text)
+    want = [np.log1p(2), np.log1p(1), 2 / words, 1 / words, 3.0, 6.0, 3 / words, 3 / 3, sum("A" <= c <= "Z" for c in text) / letters, marks / len(text), 1 / len(text), 2 / words, sum(c.isdigit() for c in text) / len(text), np.log1p(len(text))]
+    assert np.allclose(found, want)
+    assert len(features(None, Lexicon({}, {}))) == len(features("x" * 100_000, Lexicon({}, {}))) == FEATURES
+
+
+def test_a_row_that_fills_the_table(spark):
+    rows = [(7, "one two three four", "a")] * 300 + [(i, "w " * (i % 50 + 1), "ab"[i % 2]) for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    found = mix_sources(docs).collect()
+    assert len(found) == 600 and {r.doc_id for r in found} == {r[0] for r in rows}
+    for size in {r.source_size for r in found}:
+        part = [r for r in found if r.source_size == size]
+        assert abs(sum(r.taken for r in part) - part[0].target) <= 25
+    assert len({r.taken for r in found if r.doc_id == 7}) == 2  # copies have random numbers of their own
+    assert sum(r.kept for r in exact_dedup(docs).collect() if r.doc_id == 7) == 1
+
+
+def test_longer_documents_are_likelier(spark):
+    docs = spark.createDataFrame([(i, "w " * (10 if i % 2 else 400), "a") for i in range(2000)] + [(5000, "w " * 3_000_000, "b")], "doc_id bigint, text string, source string")
+    found = [r for r in mix_sources(docs, weights=(1, 9), budget=0.9).collect() if r.doc_id < 5000]
+    rate = found[0].target / found[0].source_size
+    rates = [np.mean([r.taken > 0 for r in found if r.size == n]) for n in (10, 400)]
+    worth = {n: 1000 * n // (n + 100) for n in (10, 400)}
+    mean = (worth[10] * 10 + worth[400] * 400) / 410
+    expected = [rate + min(rate, 1 - rate) * (worth[n] - mean) / 1000 for n in (10, 400)]
+    assert rate < 1 and np.allclose(rates, expected, atol=0.05) and rates[1] > rates[0] + 0.05
+
+
 def test_mixing(spark):
     docs = documents(spark, n=400).repartition(3)
     rows = docs.collect()

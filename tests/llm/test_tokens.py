@@ -45,7 +45,18 @@ def test_counts_of_any_text(libraries, counter, text):
     assert Encoder(BYTES).ids(text).tolist() == libraries[0].encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", ["Don't they're there, 'll 'rest of", "héllo wörld thntshansh idiotic 123"])
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "!", "'s", " ", "<|endoftext|>", "<|", "Don't", "été", "日本", "\n", "thntshansh"]), max_size=12).map("".join))
+def test_stored_totals_are_the_counts(libraries, counter, text):
+    exact = len(libraries[1].encode(text, add_special_tokens=False).ids)
+    stored, table = counter.running(text), counter.prefixes(text)
+    assert counter.count(text) == stored.total() == table.total() == exact
+    assert stored.text == table.text
+    for budget in range(-1, exact + 2):
+        assert stored.longest_within(budget) == table.longest_within(budget)
+
+
+@pytest.mark.parametrize("text", ["Don't they're there, 'll 'rest of", "héllo wörld thntshansh idiotic 123", "a!<|endoftext|>b <|endoftext|><|startoftext|> x<|end"])
 def test_every_prefix(libraries, counter, text):
     found = counter.prefixes(text)
     exact = [len(libraries[1].encode(found.text[:k], add_special_tokens=False).ids) for k in range(len(found.text) + 1)]
@@ -60,6 +71,9 @@ def test_token_counts_query(spark, libraries):
     want = sorted(((r.doc_id or -1), len((r.text or "").encode()), len(libraries[1].encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
     assert sorted(((r.doc_id or -1), r.n_bytes, r.n_tokens) for r in found) == want
     assert all(r.over_limit == (r.n_tokens > 100) for r in found)
+    texts, counter = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}, PrefixCounter(WORDS)
+    assert any(r.over_limit for r in found)
+    assert all(r.fitting_chars == len(counter.prefixes(texts[r.doc_id]).longest_within(100)) for r in found if r.doc_id is not None)
     assert token_counts(spark.createDataFrame([], SCHEMA), WORDS).count() == 0
 
 
@@ -168,3 +182,21 @@ def test_chat_tree_shares_late_turns(spark):
         assert places.count() == len(turns)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+BLANKS = [" " * 2_000_000, "\n" * 2_000_000 + "a", "\t" * 2_000_000 + " b", " " * 4999 + "x", "\n " * 30_000 + "."]
+
+
+@pytest.mark.parametrize("text", BLANKS, ids=["spaces", "lines", "tabs", "short", "mixed"])
+def test_ids_of_long_runs_of_blanks(libraries, text):
+    assert Encoder(BYTES).ids(text).tolist() == libraries[0].encode(text, add_special_tokens=False).ids
+
+
+def test_packing_and_chats_of_long_runs_of_blanks(spark, libraries):
+    packed = pack(spark.createDataFrame([(1, BLANKS[0]), (2, BLANKS[1])], "doc_id bigint, text string"), BYTES).collect()
+    total = {r.doc_id: r.doc_tokens for r in packed}
+    assert total == {i: len(libraries[0].encode(t, add_special_tokens=False).ids) + 1 for i, t in ((1, BLANKS[0]), (2, BLANKS[1]))}
+    assert {i: sum(r.length for r in packed if r.doc_id == i) for i in total} == total
+    turns = spark.createDataFrame([(1, 0, "user", BLANKS[1]), (1, 1, "assistant", BLANKS[0])], "conv_id bigint, turn int, role string, text string")
+    read = read_back(*chat_tree(turns, BYTES), BYTES).first()
+    assert read.loss_chars == 2_000_000 and read.loss_sha256 == hashlib.sha256(BLANKS[0].encode()).hexdigest()
