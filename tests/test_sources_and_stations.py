@@ -189,3 +189,11 @@ def test_canonical_json(spark, tmp_path):
     assert canonical_json(df).first().json == '{"a":{"y":"x","z":2},"b":1}'
     write_canonical(df, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":{"y":"x","z":2},"b":1}'
+
+
+def test_enrollment_shares_round_the_exact_binary_value(spark):
+    history = spark.createDataFrame([(2000, 3, 1997, 2000), (2001, 5, 1995, 2003)], "year int, undergraduate int, graduate int, total int")
+    found = {r.year: r for r in enrollment_changes(history).collect()}
+    exact = lambda x: float(f"{x:.1f}")  # noqa: E731  rounds the exact value; there is no tie here
+    assert found[2000].undergraduate_share == 0.1 == exact(3 / 2000 * 100) and found[2000].graduate_share == exact(1997 / 2000 * 100)
+    assert found[2000].year_change is None and found[2001].year_change == exact(3 / 2000 * 100)

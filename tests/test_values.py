@@ -218,3 +218,24 @@ def test_contracts_are_checked():
     for text in ("-0", "01", "1.50", "1.", "", "1e3", "+1"):
         with pytest.raises(CalculationError):
             contract_number(text)
+
+
+def test_wide_quotients(spark):
+    """Quotients of up to 38 digits, either sign, ties included."""
+    import random
+
+    from tidemark.functions.exact import quotient
+
+    rng = random.Random(2)
+    cases = [(rng.choice((-1, 1)) * rng.randrange(10 ** rng.randint(1, 24)), rng.choice((-1, 1)) * rng.randrange(1, 10 ** rng.randint(1, 18))) for _ in range(300)]
+    cases += [(5 * 10**19 + 1, 2 * 10**14), (-(5 * 10**19 + 1), 2 * 10**14), (12345678901234567894500, 100), (0, 7), (1, 3), (10**31, 1)]
+    rows = spark.createDataFrame([(i, str(n), str(d)) for i, (n, d) in enumerate(cases)], "i int, n string, d string")
+    n, d = F.col("n").cast("decimal(38,0)"), F.col("d").cast("decimal(38,0)")
+    for scale in (0, 5, 6, 13):
+        fits = [i for i, (a, b) in enumerate(cases) if abs(a) * 10**scale // abs(b) < 10**37]
+        found = {r.i: int(r.q) for r in rows.where(F.col("i").isin(fits)).select("i", quotient(n, d, scale).alias("q")).collect()}
+        for i in fits:
+            a, b = abs(cases[i][0]) * 10**scale, abs(cases[i][1])
+            down, rest = divmod(a, b)
+            down += 2 * rest > b or 2 * rest == b and down % 2
+            assert found[i] == (down if (cases[i][0] < 0) == (cases[i][1] < 0) else -down), (cases[i], scale)

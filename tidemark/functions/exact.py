@@ -2,7 +2,9 @@
 
 A number is held as decimal(38, scale). Arithmetic is done on its coefficient (the number times 10**scale) as
 decimal(38, 0), where sums, products and remainders are exact, and rounded once to the wanted scale, half to even.
-Numerators up to 32 digits are exact; beyond that Spark's ANSI mode fails the job (overflow), it never loses digits.
+Quotients of numbers that are too wide to be multiplied by 10**scale are divided a few digits at a time, so results have
+up to 38 digits (32 before the point), for divisors of up to 32; beyond that Spark's ANSI mode fails the job (overflow),
+it never loses digits.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from tidemark.errors import CalculationError, fail_where
 
 MAX_SCALE = 18
 WHOLE = "decimal(38,0)"
+#: Digits of a step of a long division.
+_STEP = 6
 
 
 def power(n: int) -> Column:
@@ -33,22 +37,32 @@ def from_coefficient(coef: Column, scale: int) -> Column:
     return F.concat(coef.cast("string"), F.lit(f"E-{scale}")).cast(f"decimal(38,{scale})")
 
 
+def _divided(n: Column, d: Column) -> tuple[Column, Column]:
+    """Whole quotient (up to 32 digits) and remainder of numbers that aren't negative."""
+    rest = (n % d).cast(WHOLE)
+    return ((n - rest) / d).cast(WHOLE), rest
+
+
 def quotient(numerator: Column, denominator: Column, scale: int, rounding: str = "half_even") -> Column:
     """The coefficient at ``scale`` of numerator / denominator (whole numbers, denominator not 0), rounded once."""
     if not 0 <= scale <= MAX_SCALE:
         raise CalculationError("limit_exceeded", f"scale {scale}")
-    sign = F.when(denominator < 0, whole(-1)).otherwise(whole(1))
-    n = (numerator * sign * power(scale)).cast(WHOLE)
-    d = F.abs(denominator).cast(WHOLE)
-    rest = (n % d).cast(WHOLE)
-    down = ((n - rest) / d).cast(WHOLE)
+    sign = F.when((numerator < 0) != (denominator < 0), whole(-1)).otherwise(whole(1))
+    n, d = F.abs(numerator).cast(WHOLE), F.abs(denominator).cast(WHOLE)
+    narrow = n < power(32 - scale)
+    down, rest = _divided((n * power(scale)).cast(WHOLE), d)
+    long_down, long_rest = _divided(n, d)
+    for k in [_STEP] * (scale // _STEP) + [scale % _STEP] * (scale % _STEP > 0):
+        digits, long_rest = _divided((long_rest * power(k)).cast(WHOLE), d)
+        long_down = (long_down * power(k) + digits).cast(WHOLE)
+    down, rest = (F.when(narrow, short).otherwise(long) for short, long in ((down, long_down), (rest, long_rest)))
     if rounding == "none":
-        return fail_where(rest != 0, "inexact_arithmetic", down, WHOLE)
+        return fail_where(rest != 0, "inexact_arithmetic", (down * sign).cast(WHOLE), WHOLE)
     if rounding != "half_even":
         raise CalculationError("invalid_graph", f"rounding {rounding}")
-    twice = (F.abs(rest) * 2).cast(WHOLE)
-    away = (twice > d) | ((twice == d) & (down % 2 != 0))
-    return (down + F.when(away, F.when(n < 0, whole(-1)).otherwise(whole(1))).otherwise(whole(0))).cast(WHOLE)
+    other = (d - rest).cast(WHOLE)
+    away = (rest > other) | ((rest == other) & (down % 2 != 0))
+    return ((down + F.when(away, whole(1)).otherwise(whole(0))) * sign).cast(WHOLE)
 
 
 def ratio(numerator: Column, denominator: Column, scale: int, rounding: str = "half_even") -> Column:

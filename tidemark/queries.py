@@ -198,12 +198,22 @@ def group_mean_exact(spark, sf_dir):
     return rows.df.select("l_returnflag", F.replace(F.col("mean").cast("string"), F.lit("."), F.lit("")).alias("mean_e18"))
 
 
-@query("""SELECT count(*) AS n, sum(o_totalprice::DECIMAL(12,2))::VARCHAR AS total FROM orders WHERE o_orderkey < 0""")
+@query(f"""
+SELECT l_returnflag, (total // (n * 100) * 100000000000000 + {HE("total % (n * 100) * 100000000000000", "n * 100")})::VARCHAR AS mean_e14
+FROM (SELECT l_returnflag, sum({C('l_extendedprice')}) * 10000000000000 AS total, count(*)::HUGEINT AS n FROM lineitem GROUP BY l_returnflag)""")
+def mean_wide(spark, sf_dir):
+    """Means of numbers near 10**18 with two decimals, to 14 decimals: 33 digits."""
+    rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", (F.col("l_extendedprice").cast("decimal(12,2)").cast("decimal(24,2)") * F.lit(10**13).cast("decimal(14,0)")).cast("decimal(38,2)").alias("price"))
+    g = Rowset(rows, {"l_returnflag": field("l_returnflag", "text"), "price": field("price", "decimal", 2)}, "l_orderkey").group("l_returnflag")
+    return g.aggregate(mean=g.mean("price", 14)).df.select("l_returnflag", F.replace(F.col("mean").cast("string"), F.lit("."), F.lit("")).alias("mean_e14"))
+
+
+@query("""SELECT count(*) AS n, coalesce(sum(o_totalprice::DECIMAL(12,2)), 0)::VARCHAR AS total FROM orders WHERE o_orderkey < 0""")
 def group_global_empty(spark, sf_dir):
     t = orders(spark, sf_dir)
     g = t.filter(v.less(t["o_orderkey"], v.literal(0, "integer"))).group()
     rows = g.aggregate(n=g.count_rows(), total=g.sum("o_totalprice"))
-    return rows.df.select("n", F.col("total").cast("string").alias("total")).withColumn("total", F.when(F.col("n") > 0, F.col("total")))
+    return rows.df.select("n", F.col("total").cast("string").alias("total"))
 
 
 @query(f"""
@@ -426,6 +436,9 @@ def trend_scaling(spark, sf_dir):
 
 # --- dashboards --------------------------------------------------------------------------------------------------
 
+_SIGNED = lambda c: rf"""CASE WHEN {c} IS NULL THEN 'Not enough history' ELSE CASE WHEN {c} > 0 THEN '+' ELSE '' END || regexp_replace(regexp_replace(format('{{:,.2f}}', {c}), '(\.\d*?)0+$', '\1'), '\.$', '') || ' ft' END"""
+_RANKED = "change_1h > 0.05 AND freshness = 'fresh' AND n_issues = 0"
+
 
 @query(f"""WITH {_METRICS} SELECT 1 AS place, 'Gauges monitored' AS label, count(*) AS value, NULL AS direction FROM metrics UNION ALL SELECT 2, 'Rising', count(*), 'up' FROM metrics WHERE pf = 'fresh' AND direction = 'rising'
 UNION ALL SELECT 3, 'Falling', count(*), 'down' FROM metrics WHERE pf = 'fresh' AND direction = 'falling' UNION ALL SELECT 4, 'Freshness checks', count(*), CASE WHEN count(*) > 0 THEN 'unknown' ELSE 'steady' END FROM metrics WHERE freshness <> 'fresh' OR n_issues > 0""")
@@ -433,12 +446,16 @@ def dashboard_headline(spark, sf_dir):
     return dashboards.headline_metrics(_metrics(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_METRICS}, c AS (SELECT count(*) FILTER (WHERE pf = 'fresh' AND direction = 'rising') AS up, count(*) FILTER (WHERE pf = 'fresh' AND direction = 'falling') AS down, count(*) FILTER (WHERE freshness <> 'fresh' OR n_issues > 0) AS checks FROM metrics),
+top AS (SELECT "group" AS name, change_1h FROM metrics WHERE {_RANKED} ORDER BY change_1h DESC, site_id LIMIT 1)
+SELECT 0 AS place, up || ' gauge' || CASE up WHEN 1 THEN ' is' ELSE 's are' END || ' rising and ' || down || CASE down WHEN 1 THEN ' is' ELSE ' are' END || ' falling.' AS claim FROM c
+UNION ALL SELECT 1, coalesce((SELECT name || ' is the fastest-rising complete gauge over the last hour at ' || {_SIGNED('change_1h')} || '.' FROM top), 'No fresh, complete gauge is rising fast enough to rank over the last hour.')
+UNION ALL SELECT 2, CASE WHEN checks > 0 THEN checks || ' gauge' || CASE checks WHEN 1 THEN ' needs' ELSE 's need' END || ' a freshness or completeness check.' ELSE 'All selected gauges are fresh and complete.' END FROM c""")
 def dashboard_summary(spark, sf_dir):
     return dashboards.conditions_summary(_metrics(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_METRICS} SELECT site_id, "group" AS label, '1h ' || {_SIGNED('change_1h')} AS value, '6h ' || {_SIGNED('change_6h')} || ' · 24h ' || {_SIGNED('change_24h')} AS note FROM metrics""")
 def dashboard_change_windows(spark, sf_dir):
     return dashboards.change_windows(_metrics(spark, sf_dir))
 
@@ -462,7 +479,7 @@ def plan_findings(spark, sf_dir):
     return dashboards.plan_findings(plans, c.select(F.col("c_custkey").cast("string").alias("site_id")))
 
 
-@query()
+@query(f"""WITH {_METRICS} SELECT site_id, "group" AS label, {_SIGNED('change_1h')} AS value, direction || '; 6h ' || {_SIGNED('change_6h')} AS note FROM metrics WHERE {_RANKED}""")
 def dashboard_ranking(spark, sf_dir):
     return dashboards.ranking(_metrics(spark, sf_dir))
 

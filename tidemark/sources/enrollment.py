@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import to_fixed_1
+
 
 def plain_text(fragment: Column) -> Column:
     """Text of an HTML fragment: no comments, scripts, styles or tags, single blanks, entities decoded."""
@@ -38,5 +40,6 @@ def parse_enrollment(pages: DataFrame, html: str = "html") -> DataFrame:
 def enrollment_changes(history: DataFrame) -> DataFrame:
     """Shares and change from the year before, in percent with one decimal."""
     before = F.lag("total").over(Window.orderBy("year"))  # one row a year
-    share = lambda c: F.round(F.col(c) / F.col("total") * 100, 1)
-    return history.select("year", "total", share("undergraduate").alias("undergraduate_share"), share("graduate").alias("graduate_share"), F.round((F.col("total") - before) / before * 100, 1).alias("year_change"))
+    percent = lambda part, whole: to_fixed_1(F.col(part) / F.col(whole) * 100)
+    rows = history.withColumn("before", before).withColumn("more", F.col("total") - F.col("before"))
+    return rows.select("year", "total", percent("undergraduate", "total").alias("undergraduate_share"), percent("graduate", "total").alias("graduate_share"), percent("more", "before").alias("year_change"))
