@@ -33,7 +33,20 @@ def test_stages_by_brute_force(spark):
     assert mixed.columns == columns and set(copies.values()) <= {1, 2} and set(copies) <= {r.doc_id for r in near.collect()}
 
     packed = stages["packing"](spark, mixed, "").collect()
-    assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+    taken = {}  # every place of every sequence is filled once, from 0 on, and every copy of a document wholly
+    for r in packed:
+        taken.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(taken) == list(range(len(taken)))
+    for n, pieces in taken.items():
+        ends = 0
+        for offset, length in sorted(pieces):
+            assert offset == ends
+            ends += length
+        assert ends == 2048 or n == max(n for n, p in taken.items() if sum(x for _, x in p) < 2048)
+    for doc_id, count in copies.items():
+        mine = [r for r in packed if r.doc_id == doc_id]
+        if doc_id is not None:
+            assert sum(r.length for r in mine) == sum({r.doc_tokens for r in mine}) * count
 
 
 def test_pipeline_of_nothing(spark):

@@ -15,7 +15,8 @@ Token ids: those of the vocabulary file by the tokenizers library, plus one end
 through tiktoken with the same vocabulary, several times faster with the same ids; all others go through tokenizers.
 
 Defined results: null text is empty (one end id); a null doc_id stays null; repeated rows are packed each; an empty
-table gives an empty result; long texts are cut into whole windows.
+table gives an empty result; long texts are cut into whole windows, and runs of white space of any length are tokenised;
+other columns pass by, whatever their names.
 """
 
 from __future__ import annotations
