@@ -1,4 +1,8 @@
-"""The corpus pipeline: language ID, exact de-duplication, near de-duplication, mixing and packing of documents."""
+"""The corpus pipeline: language ID, exact de-duplication, near de-duplication, mixing and packing of documents.
+
+In every stage: an empty table gives an empty one; texts are read whole, however long; columns of any name pass by,
+whatever names a stage uses itself; nulls in them stay.
+"""
 
 from __future__ import annotations
 
@@ -27,33 +31,48 @@ def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language."""
+    """Rejects documents without a recognisable language: null, empty and letterless texts, and unsure ones.
+
+    Nothing is rejected for its lang, which may be null; without any labelled text every document is rejected. Repeated
+    rows are judged alike.
+    """
     docs, back = _apart(docs)
     told = identify_language(docs, fit_language_id(docs), carry=docs.columns)
     return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*back)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
+    """Keeps one document of each group of equal texts, the longest as written, of ties the one with the smallest doc_id.
+
+    Null and empty texts are equal; a null doc_id loses ties; of rows that repeat doc_id and text exactly one stays.
+    """
     docs, back = _apart(docs)
     return exact_dedup(docs, carry=docs.columns).where("kept").select(*back)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates, the one with the smallest doc_id.
+
+    Documents without words all stay; a null doc_id is never the smallest unless a group has only nulls; of repeated rows
+    one stays.
+    """
     docs, back = _apart(docs)
     return near_dedup(docs, carry=docs.columns).where("kept").select(*back)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents as the mix of sources takes them."""
+    """Repeats or drops documents as the mix of sources takes them, at most two copies of each.
+
+    A null source is a source of its own; documents without words have no size, and go or stay with their source's whole
+    copies; repeated rows are documents of their own.
+    """
     docs, back = _apart(docs)
     taken = mix_sources(docs, carry=docs.columns).where("copies > 0")
     return taken.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*back)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences: of each copy of each document, null texts counting as empty."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
