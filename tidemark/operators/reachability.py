@@ -22,13 +22,18 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
         known, frontier = known.union(fresh), fresh
 
 
-def differences(declared: DataFrame, actual: DataFrame, existing: DataFrame) -> DataFrame:
-    """(node, problem) of a declared list of unreachable nodes: undeclared, wrongly declared, unknown or repeated."""
-    unreachable = existing.select("node").join(actual, "node", "left_anti")
+def differences(declared: DataFrame, actual: DataFrame, existing: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(node, problem) of a declared list of unreachable nodes: undeclared, wrongly declared, unknown or repeated; unknown roots.
+
+    A repeated node is one problem, and only existing nodes count as reached, whatever ``actual`` holds.
+    """
+    nodes = existing.select("node").distinct()
+    reached = actual.select("node").join(nodes, "node", "left_semi")
     say = lambda rows, what: rows.select("node", F.lit(what).alias("problem"))
-    return (
-        say(unreachable.join(declared, "node", "left_anti"), "undeclared")
-        .union(say(declared.join(actual, "node", "left_semi").distinct(), "declared-but-reachable"))
-        .union(say(declared.join(existing, "node", "left_anti").distinct(), "unknown"))
+    found = (
+        say(nodes.join(reached, "node", "left_anti").join(declared, "node", "left_anti"), "undeclared")
+        .union(say(declared.join(reached, "node", "left_semi").distinct(), "declared-but-reachable"))
+        .union(say(declared.join(nodes, "node", "left_anti").distinct(), "unknown"))
         .union(say(declared.groupBy("node").count().where("count > 1"), "repeated"))
     )
+    return found if roots is None else found.union(say(roots.select("node").distinct().join(nodes, "node", "left_anti"), "unknown-root"))

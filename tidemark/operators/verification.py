@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import normalise_number
 
 NORMALISATION_VERSION = "1"
+# What each reason for a refusal is about.
+REFUSAL_FAMILIES = {
+    "unknown-snapshot": "provenance",
+    "snapshot-identity-mismatch": "provenance",
+    "hash-mismatch": "provenance",
+    "locator-out-of-range": "coordinates",
+    "coordinate-text-mismatch": "coordinates",
+    "malformed-candidate": "contract",
+    "unsupported-normalization": "contract",
+    "unsupported-unit-syntax": "lexis",
+    "value-not-in-extracted-text": "lexis",
+    "unit-not-in-extracted-text": "lexis",
+}
+PROBE = "false-acceptance-probe"
 
 
 def verify(candidates: DataFrame, documents: DataFrame) -> DataFrame:
@@ -36,12 +50,36 @@ def verify(candidates: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.select(*candidates.columns, reason.alias("refusal"))
 
 
-def outcomes(verdicts: DataFrame, correct: str = "correct", refusal: str = "refusal") -> DataFrame:
-    """The two-by-two counts."""
+def outcomes(verdicts: DataFrame, *by: str, correct: str = "correct", refusal: str = "refusal") -> DataFrame:
+    """The two-by-two counts, for all cases or for each value of ``by`` (such as their intent)."""
     right, refused = F.col(correct), F.col(refusal).isNotNull()
     name = F.when(~refused & right, "accepted-and-correct").when(~refused, "accepted-but-wrong").when(right, "refused-though-correct").otherwise("refused-and-wrong")
-    return verdicts.groupBy(name.alias("outcome")).agg(F.count(F.lit(1)).alias("cases"))
+    return verdicts.groupBy(*by, name.alias("outcome")).agg(F.count(F.lit(1)).alias("cases"))
 
 
 def refusals(verdicts: DataFrame) -> DataFrame:
     return verdicts.where("refusal IS NOT NULL").groupBy("refusal").agg(F.count(F.lit(1)).alias("cases"))
+
+
+def probe_report(verdicts: DataFrame) -> DataFrame:
+    """One row: accepted, falsely_accepted, false_acceptance_rate, and the kinds of wrongness that probes try and that are refused.
+
+    ``verdicts``: intent, wrongness (null: unclassified), correct, refusal. A class counts as caught if one probe of it is refused.
+    """
+    accepted = F.col("refusal").isNull()
+    probed = F.when(F.col("intent") == PROBE, F.coalesce("wrongness", F.lit("unclassified")))
+    counts = verdicts.agg(
+        F.count_if(accepted).alias("accepted"),
+        F.count_if(accepted & ~F.col("correct")).alias("falsely_accepted"),
+        F.count_distinct(probed).alias("classes_probed"),
+        F.count_distinct(F.when(~accepted, probed)).alias("classes_caught"),
+    )
+    rate = F.when(F.col("accepted") == 0, 0.0).otherwise(F.col("falsely_accepted") / F.col("accepted"))
+    return counts.withColumn("false_acceptance_rate", rate)
+
+
+def strictness_cost(verdicts: DataFrame) -> DataFrame:
+    """(family, cases): correct candidates that were refused, by what the refusal is about."""
+    families = F.create_map(*[F.lit(x) for pair in REFUSAL_FAMILIES.items() for x in pair])
+    lost = verdicts.where(F.col("correct") & F.col("refusal").isNotNull())
+    return lost.groupBy(F.try_element_at(families, F.col("refusal")).alias("family")).agg(F.count(F.lit(1)).alias("cases"))

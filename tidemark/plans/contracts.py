@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from decimal import Decimal
 
@@ -93,6 +94,23 @@ class MetricContract:
             raise CalculationError("invalid_graph", "threshold and target are on the wrong sides")
 
 
+@dataclass(frozen=True)
+class ContractSet:
+    """Reviewed versions of contracts, over one snapshot of the field catalog."""
+
+    set_id: str
+    catalog_snapshot_id: str
+    versions: Mapping[tuple[str, int], MetricContract]
+
+    def resolve(self, contract_id: str, version: int, set_id: str, catalog_snapshot_id: str) -> MetricContract:
+        """The contract that a calculation is bound to; it must name this set and its snapshot."""
+        if (set_id, catalog_snapshot_id) != (self.set_id, self.catalog_snapshot_id):
+            raise CalculationError("invalid_graph", "another contract set or catalog snapshot")
+        if (contract_id, version) not in self.versions:
+            raise CalculationError("missing_field", f"no version {version} of {contract_id}")
+        return self.versions[contract_id, version]
+
+
 def _measured(contract: MetricContract, group: Group) -> Value:
     measure = group.rows[contract.measure]
     if contract.aggregation == "count":

@@ -8,13 +8,14 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import canonical
 from tidemark.functions import text as tx
 from tidemark.functions import values as v
 from tidemark.functions.values import field
 from tidemark.operators import evaluation, evidence, history, reachability, rowsets, stations, verification
 from tidemark.operators.rowsets import Key, Rowset
 from tidemark.plans import dashboards
-from tidemark.plans.contracts import MetricContract, measure
+from tidemark.plans.contracts import ContractSet, MetricContract, measure
 from tidemark.session import with_checkpoints
 from tidemark.sources.tables import canonical_json, read_table
 
@@ -655,6 +656,63 @@ def uuid_identity(spark, sf_dir):
     return read_table(spark, sf_dir, "orders").select("o_orderkey", tx.uuid8(F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("uuid"))
 
 
+# --- canonical forms -----------------------------------------------------------------------------------------------
+
+# Amounts with no, one and two decimals, zeros and debts among them.
+_CENTS = "CASE c_custkey % 4 WHEN 0 THEN CAST(round(c_acctbal * 100) AS BIGINT) WHEN 1 THEN CAST(round(c_acctbal) AS BIGINT) * 100 WHEN 2 THEN CAST(round(c_acctbal * 10) AS BIGINT) * 10 ELSE 0 END"
+
+
+def _amounts(spark, sf_dir) -> DataFrame:
+    cents = F.expr(_CENTS).cast("string")
+    return read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat(cents, F.lit("E-2")).cast("decimal(38,2)").alias("amount"))
+
+
+@query(f"""SELECT c_custkey, (CASE WHEN c % 100 = 0 THEN c // 100 WHEN c % 10 = 0 THEN c // 10 ELSE c END)::VARCHAR AS coefficient, CASE WHEN c % 100 = 0 THEN 'i64:0' WHEN c % 10 = 0 THEN 'i64:1' ELSE 'i64:2' END AS scale, c / 100.0 AS again
+FROM (SELECT c_custkey, {_CENTS} AS c FROM customer)""")
+def decimal_canonical(spark, sf_dir):
+    rows = _amounts(spark, sf_dir).select("c_custkey", canonical.canonical_decimal(F.col("amount"), 2).alias("d"))
+    return rows.select("c_custkey", "d.coefficient", "d.scale", canonical.parse_decimal(F.col("d.coefficient"), F.col("d.scale")).cast("double").alias("again"))
+
+
+@query(f"""SELECT c_custkey, '0100' || lpad(to_hex(c_custkey - 100), 16, '0') AS whole, '0200' || CASE WHEN c < 0 THEN 'FFFFFFFFFFFFFFFF' ELSE '0000000000000000' END || lpad(to_hex((CASE WHEN c % 100 = 0 THEN c // 100 WHEN c % 10 = 0 THEN c // 10 ELSE c END)::BIGINT), 16, '0') || CASE WHEN c % 100 = 0 THEN '00' WHEN c % 10 = 0 THEN '01' ELSE '02' END AS amount,
+'0300' || lpad(to_hex(octet_length(encode(c_name))), 8, '0') || hex(c_name) AS name, '000000' AS no FROM (SELECT c_custkey, c_name, {_CENTS} AS c FROM customer)""")
+def typed_value_bytes(spark, sf_dir):
+    rows = _amounts(spark, sf_dir).withColumn("least", F.col("c_custkey") - 100)
+    shown = {"whole": field("least", "integer"), "amount": field("amount", "decimal", 2), "name": field("c_name", "text"), "no": v.literal(False, "boolean")}
+    return rows.select("c_custkey", *[F.hex(canonical.typed_bytes(x)).alias(n) for n, x in shown.items()])
+
+
+@query("""SELECT event_id, CASE event_id % 10 WHEN 0 THEN '0201' WHEN 1 THEN '0202' WHEN 2 THEN '0203' ELSE '02' || CASE event_id % 10 WHEN 3 THEN '04' ELSE '00' END || CASE WHEN c < 0 THEN 'FFFFFFFFFFFFFFFF' ELSE '0000000000000000' END || lpad(to_hex((CASE WHEN c % 100 = 0 THEN c // 100 WHEN c % 10 = 0 THEN c // 10 ELSE c END)::BIGINT), 16, '0') || CASE WHEN c % 100 = 0 THEN '00' WHEN c % 10 = 0 THEN '01' ELSE '02' END END AS value,
+'0500' || lpad(to_hex(epoch_us(ts)), 16, '0') AS ts FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS c FROM events)""")
+def typed_value_bytes_states(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return rows.df.select("event_id", *[F.hex(canonical.typed_bytes(rows[n])).alias(n) for n in ("value", "ts")])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS shown FROM orders""")
+def strict_dates(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    spellings = [day, F.replace(day, F.lit("-"), F.lit("/")), F.concat(F.left(day, F.lit(4)), F.lit("-02-30")), F.concat(F.lit(" "), day), F.concat(F.left(day, F.lit(4)), F.lit("-1-2")), F.concat(day, F.lit("T00:00:00"))]
+    said = F.element_at(F.array(*spellings), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", canonical.format_date(canonical.parse_date(said)).alias("shown"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 6 = 0 THEN epoch_us(ts) END AS micros, CASE WHEN event_id % 6 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END AS again, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS shown FROM events""")
+def strict_timestamps(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("shown", canonical.format_timestamp(F.col("ts")))
+    s = F.col("shown")
+    ways = [s, F.replace(s, F.lit("Z"), F.lit("+00:00")), F.concat(F.left(s, F.lit(23)), F.lit("Z")), F.concat(F.left(s, F.lit(11)), F.lit("24:00:00.000000Z")), F.concat(F.left(s, F.lit(17)), F.lit("60.000000Z")), F.replace(s, F.lit("T"), F.lit(" "))]
+    at = canonical.parse_timestamp(F.element_at(F.array(*ways), (F.col("event_id") % 6 + 1).cast("int")))
+    return e.select("event_id", F.unix_micros(at).alias("micros"), canonical.format_timestamp(at).alias("again"), "shown")
+
+
+@query("SELECT l_returnflag, max(l_quantity)::DECIMAL(38,2) AS value FROM lineitem GROUP BY ALL")
+def contract_by_version(spark, sf_dir):
+    bounds = {1: "min", 2: "max"}
+    reviewed = ContractSet("quantities", "catalog-1", {("extreme", n): MetricContract("extreme", "l_quantity", how, "decimal") for n, how in bounds.items()})
+    return measure(lineitem(spark, sf_dir), reviewed.resolve("extreme", 2, "quantities", "catalog-1"), "l_returnflag").df.select("l_returnflag", "value")
+
+
 # --- verification, history, graphs, evaluation -------------------------------------------------------------------
 
 
@@ -664,6 +722,34 @@ def verify_outcomes(spark, sf_dir):
     return verification.outcomes(marks)
 
 
+_REASONS = list(verification.REFUSAL_FAMILIES)
+_JUDGED = f"""(SELECT doc_id % 3 = 0 AS probing, CASE WHEN doc_id % 7 > 0 THEN 'kind ' || doc_id % 7 END AS wrongness, toxic = 0 AS correct, CASE WHEN quality = 0 OR doc_id % 7 = 3 THEN {_REASONS}[doc_id % 10 + 1] END AS refusal FROM labels)"""
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    k, reasons = F.col("doc_id"), F.array(*[F.lit(x) for x in _REASONS])
+    intent = F.when(k % 3 == 0, verification.PROBE).otherwise("control")
+    wrongness = F.when(k % 7 > 0, F.concat(F.lit("kind "), (k % 7).cast("string")))
+    refusal = F.when((F.col("quality") == 0) | (k % 7 == 3), F.element_at(reasons, (k % 10 + 1).cast("int")))
+    return read_table(spark, sf_dir, "labels").select(intent.alias("intent"), wrongness.alias("wrongness"), (F.col("toxic") == 0).alias("correct"), refusal.alias("refusal"))
+
+
+@query(f"""SELECT CASE WHEN probing THEN '{verification.PROBE}' ELSE 'control' END AS intent, CASE WHEN refusal IS NULL THEN 'accepted-' ELSE 'refused-' END || CASE WHEN refusal IS NULL AND correct THEN 'and-correct' WHEN refusal IS NULL THEN 'but-wrong' WHEN correct THEN 'though-correct' ELSE 'and-wrong' END AS outcome, count(*) AS cases FROM {_JUDGED} GROUP BY ALL""")
+def verify_outcomes_by_intent(spark, sf_dir):
+    return verification.outcomes(_judged(spark, sf_dir), "intent")
+
+
+@query(f"""SELECT count(*) FILTER (WHERE refusal IS NULL) AS accepted, count(*) FILTER (WHERE refusal IS NULL AND NOT correct) AS falsely_accepted, count(DISTINCT coalesce(wrongness, '')) FILTER (WHERE probing) AS classes_probed,
+count(DISTINCT coalesce(wrongness, '')) FILTER (WHERE probing AND refusal IS NOT NULL) AS classes_caught, coalesce(avg((NOT correct)::INT) FILTER (WHERE refusal IS NULL), 0)::DOUBLE AS false_acceptance_rate FROM {_JUDGED}""")
+def verify_probe_report(spark, sf_dir):
+    return verification.probe_report(_judged(spark, sf_dir))
+
+
+@query(f"""SELECT CASE WHEN n < 3 THEN 'provenance' WHEN n < 5 THEN 'coordinates' WHEN n < 7 THEN 'contract' ELSE 'lexis' END AS family, count(*) AS cases FROM (SELECT list_position({_REASONS}, refusal) - 1 AS n FROM {_JUDGED} WHERE correct AND refusal IS NOT NULL) GROUP BY ALL""")
+def verify_strictness_cost(spark, sf_dir):
+    return verification.strictness_cost(_judged(spark, sf_dir))
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'unknown-snapshot' WHEN doc_id % 7 = 2 THEN 'snapshot-identity-mismatch' WHEN doc_id % 7 = 3 THEN 'locator-out-of-range' WHEN doc_id % 7 = 4 THEN 'coordinate-text-mismatch' WHEN doc_id % 7 = 5 THEN 'value-not-in-extracted-text' WHEN doc_id % 7 = 6 THEN 'unit-not-in-extracted-text' END AS refusal FROM documents""")
 def verify_candidates(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("n = "), F.col("n_chars").cast("string"), F.lit("% of "), F.coalesce("text", F.lit(""))).alias("body"), "n_chars")
@@ -740,6 +826,15 @@ def reachability_differences(spark, sf_dir):
     return reachability.differences(c.where("node % 3 = 0"), c.where("node % 2 = 0"), c)
 
 
+@query("""WITH c AS (SELECT c_custkey AS k FROM customer) SELECT k AS node, 'undeclared' AS problem FROM c WHERE k % 2 <> 0 AND k % 3 <> 0 UNION ALL SELECT k, 'declared-but-reachable' FROM c WHERE k % 6 = 0
+UNION ALL SELECT -1 - k, 'unknown' FROM c WHERE k % 10 = 0 UNION ALL SELECT k, 'repeated' FROM c WHERE k % 9 = 0 UNION ALL SELECT -1 - k, 'unknown-root' FROM c WHERE k % 50 = 0""")
+def reachability_problems(spark, sf_dir):
+    nodes = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+    declared = nodes.where("node % 3 = 0").union(nodes.where("node % 9 = 0")).union(nodes.where("node % 10 = 0").select(-1 - F.col("node")))
+    roots = nodes.where("node % 50 = 0").select((-1 - F.col("node")).alias("node")).union(nodes.where("node % 2 = 0"))
+    return reachability.differences(declared, roots, nodes, roots)
+
+
 _RUNS = "SELECT conv_id, min(role) AS model, CASE WHEN conv_id % 4 = 0 THEN 'control' ELSE 'probe' END AS category, conv_id % 5 <> 0 AS accepted, count(*) AS attempts, conv_id % 3 AS n_reached, conv_id % 11 AS n_leaked, conv_id % 2 AS n_digits FROM (SELECT conv_id, concat('m', conv_id % 3) AS role FROM conversations) GROUP BY conv_id"
 
 

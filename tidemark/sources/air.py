@@ -11,8 +11,9 @@ SCHEMA = """
     sensors: array<struct<id: bigint, parameter: struct<name: string, units: string, displayName: string>>>>>>,
   hours map<string, struct<results: array<struct<value: double, period: struct<datetimeTo: struct<utc: string>>>>>>
 """
-# Parameter, slot and unit.
+# Parameter, slot and unit; the limits of one bundle.
 PARAMETERS = {"primary": ("pm25", "µg/m³"), "secondary": ("o3", "ppm")}
+MAX_LOCATIONS, MAX_MEASUREMENTS = 200, 20_000
 
 
 def read_air(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -25,6 +26,9 @@ def _measures(parameter: str):
 
 
 def parse_air(bundles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    measured = F.aggregate(F.map_values("hours"), F.lit(0), lambda n, h: n + F.greatest(F.size(h["results"]), F.lit(0)))
+    for many, what in ((measured > MAX_MEASUREMENTS, "measurements"), (F.size("locations.results") > MAX_LOCATIONS, "locations")):
+        bundles = bundles.where(F.when(F.coalesce(many, F.lit(False)), F.raise_error(F.lit(f"air payload: too many {what}")).cast("boolean")).otherwise(True))
     places = bundles.select("retrievedAt", "hours", F.explode("locations.results").alias("l")).where("l.isMonitor")
     for slot, (parameter, unit) in PARAMETERS.items():
         found = F.try_element_at(F.filter("l.sensors", _measures(parameter)), F.lit(1))

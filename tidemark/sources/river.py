@@ -35,7 +35,9 @@ def parse_river(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     retrieved = F.coalesce(info["creationTime"], F.try_element_at(titled, F.lit(1))["value"])
     rows = documents.select(F.monotonically_increasing_id().alias("document"), retrieved.cast("timestamp").alias("retrieved_at"), F.col("value.timeSeries").alias("series"))
     rows = rows.withColumn("retrieved_at", _fail(F.col("retrieved_at").isNull(), "no retrieval time", F.col("retrieved_at").cast("string")).cast("timestamp"))
-    rows = rows.withColumn("checked", _fail(F.size("series") > MAX_SERIES, "too many time series", F.lit("ok")))
+    readings = F.aggregate("series", F.lit(0), lambda n, s: n + F.coalesce(F.aggregate(s["values"], F.lit(0), lambda m, v: m + F.greatest(F.size(v["value"]), F.lit(0))), F.lit(0)))
+    few = _fail(readings > MAX_OBSERVATIONS, "too many observations", F.lit("ok"))
+    rows = rows.withColumn("checked", _fail(F.size("series") > MAX_SERIES, "too many time series", few))
     series = rows.select("document", "retrieved_at", "checked", F.posexplode("series").alias("nth", "s")).where("checked = 'ok'")
     code, unit = F.col("s.variable.variableCode")[0]["value"], F.col("s.variable.unit.unitCode")
     wanted = F.create_map(*[F.lit(x) for c, (_, u) in PARAMETERS.items() for x in (c, u)])
