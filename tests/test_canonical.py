@@ -108,3 +108,19 @@ def test_payloads_beyond_their_limits_are_refused(spark, tmp_path, monkeypatch):
                     places.collect()
                 with pytest.raises(Exception, match=f"{name} payload: too many"):
                     seen.collect()
+
+
+def test_wide_negative_numbers_keep_all_digits(spark):
+    """Spark's own abs and minus round a negative decimal to 34 digits."""
+    from tidemark.functions import exact, values
+
+    rows = [(Decimal("-" + "9" * 35), Decimal(1)), (Decimal("-" + "1234567890" * 3 + "12345678"), Decimal(1)), (Decimal("9" * 36), Decimal(-3))]
+    n, d = F.col("n"), F.col("d")
+    found = one(spark, rows, "n decimal(38,0), d decimal(38,0)", values.absolute(field("n", "decimal")).payload.alias("a"), exact.magnitude(d).alias("m"))
+    assert found == [(abs_of(n), abs_of(d)) for n, d in rows]
+    quotients = one(spark, [(Decimal("-" + "7" * 31), Decimal(1)), (Decimal("-" + "7" * 35), Decimal(7 * 10**6)), (Decimal("7" * 35), Decimal(-7 * 10**6))], "n decimal(38,0), d decimal(38,0)", exact.quotient(n, d, 6).alias("q"))
+    assert [int(q) for (q,) in quotients] == [-int("7" * 31 + "000000"), -int("1" * 35), -int("1" * 35)]
+
+
+def abs_of(number):
+    return number.copy_abs()

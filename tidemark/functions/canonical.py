@@ -84,7 +84,7 @@ def _big_endian(number: Column, n_bytes: int) -> Column:
 def _wide(digits: Column) -> Column:
     """A decimal(38, 0) in 16 bytes, two's complement: four limbs of 32 bits, of -1 - x where x is negative."""
     negative = digits < 0
-    rest = F.when(negative, (-digits - exact.whole(1)).cast(exact.WHOLE)).otherwise(digits)
+    rest = F.when(negative, (exact.whole(-1) - digits).cast(exact.WHOLE)).otherwise(digits)
     limbs = []
     for _ in range(4):
         limb = (rest % exact.whole(_LIMB)).cast(exact.WHOLE)

@@ -37,6 +37,12 @@ def from_coefficient(coef: Column, scale: int) -> Column:
     return F.concat(coef.cast("string"), F.lit(f"E-{scale}")).cast(f"decimal(38,{scale})")
 
 
+def magnitude(number: Column, scale: int = 0) -> Column:
+    """The absolute value as decimal(38, scale). Spark's own abs and minus keep 34 digits of a negative decimal, subtraction all."""
+    kind = f"decimal(38,{scale})"
+    return F.when(number < 0, (F.lit(0).cast(kind) - number).cast(kind)).otherwise(number.cast(kind))
+
+
 def _divided(n: Column, d: Column) -> tuple[Column, Column]:
     """Whole quotient (up to 32 digits) and remainder of numbers that aren't negative."""
     rest = (n % d).cast(WHOLE)
@@ -48,7 +54,7 @@ def quotient(numerator: Column, denominator: Column, scale: int, rounding: str =
     if not 0 <= scale <= MAX_SCALE:
         raise CalculationError("limit_exceeded", f"scale {scale}")
     sign = F.when((numerator < 0) != (denominator < 0), whole(-1)).otherwise(whole(1))
-    n, d = F.abs(numerator).cast(WHOLE), F.abs(denominator).cast(WHOLE)
+    n, d = magnitude(numerator), magnitude(denominator)
     narrow = n < power(32 - scale)
     down, rest = _divided((n * power(scale)).cast(WHOLE), d)
     long_down, long_rest = _divided(n, d)

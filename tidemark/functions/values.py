@@ -145,7 +145,7 @@ def divide(left: Value, right: Value, scale: int, rounding: str = "half_even") -
 
 def absolute(value: Value) -> Value:
     _numeric(value)
-    return replace(value, payload=F.abs(value.payload).cast(f"decimal(38,{value.scale})"), scalar="decimal")
+    return replace(value, payload=exact.magnitude(value.payload, value.scale), scalar="decimal")
 
 
 def clamp(value: Value, low: Decimal | int, high: Decimal | int) -> Value:
