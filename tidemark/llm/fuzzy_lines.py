@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, skew_safe_join
@@ -38,13 +38,17 @@ LEAST_AGREEING = 17
 _BLANKS = " \t\x0b\x0c\r"
 
 
+def _key() -> Column:
+    return F.unhex(F.md5("line"))
+
+
 def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     parts = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
     parts = parts.withColumn("line", F.lower(F.btrim("line", F.lit(_BLANKS))))
-    return parts.withColumn("key", F.when(F.length("line") > 0, F.unhex(F.md5("line"))))
+    return parts.withColumn("key", F.when(F.length("line") > 0, _key()))
 
 
-def _sign(lines: list[str]) -> tuple[list, list]:
+def _sign(lines: list[str]) -> tuple[np.ndarray, list]:
     """Bands and signature bytes of each line, which has at least one character."""
     hashes, owners = character_shingles(lines, SHINGLE)
     values = one_permutation_minhash(hashes, owners, len(lines), BANDS * ROWS)
@@ -52,17 +56,18 @@ def _sign(lines: list[str]) -> tuple[list, list]:
     for r in range(ROWS):
         keys = mix(keys + values.reshape(-1, BANDS, ROWS)[:, :, r])
     keys = mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-    return list(keys), [r.tobytes() for r in (values >> np.uint64(56)).astype(np.uint8)]
+    return keys, [r.tobytes() for r in (values >> np.uint64(56)).astype(np.uint8)]
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines = batch.column("line").to_pylist()
         for begin, end in groups(lines):
-            bands, signature = _sign(lines[begin:end])
+            keys, signature = _sign(lines[begin:end])
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             node = batch.column("node").slice(begin, end - begin)
             weight = pa.array([len(x) for x in lines[begin:end]], pa.int64())
-            yield pa.RecordBatch.from_arrays([node, weight, pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary())], names=["node", "weight", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([node, weight, bands, pa.array(signature, pa.binary())], names=["node", "weight", "bands", "signature"])
 
 
 def fuzzy_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -71,8 +76,8 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     cut = _lines(docs, text, doc_id)
     lines = scratch.write(cut.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "line_no", "key"), "lines")
 
-    distinct = cut.where("key IS NOT NULL").groupBy("key").agg(F.min("line").alias("line"))
-    classes = scratch.write(distinct.select(F.monotonically_increasing_id().alias("node"), "key", "line"), "line-classes")
+    distinct = cut.where(F.length("line") > 0).select("line").distinct()
+    classes = scratch.write(distinct.select(F.monotonically_increasing_id().alias("node"), _key().alias("key"), "line"), "line-classes")
     signed = scratch.write(classes.select("node", "line").mapInArrow(_signed, "node bigint, weight bigint, bands array<bigint>, signature binary"), "line-signed")
     texts = classes.select("node", F.col("line").alias("text"))
     found = SetLinks(scratch, signed, texts, lambda lines: character_sets(lines, SHINGLE), LEAST_AGREEING).components()
