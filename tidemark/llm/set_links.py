@@ -30,16 +30,16 @@ GROUP_CHARS = 1 << 20
 Sets = Callable[[list], tuple[np.ndarray, np.ndarray]]
 
 
-def groups(texts: list) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about GROUP_CHARS characters."""
+def groups(*columns: list) -> Iterator[tuple[int, int]]:
+    """Ranges of the rows of ``columns`` (texts) of about GROUP_CHARS characters."""
     begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, row in enumerate(zip(*columns)):
+        size += sum(len(t or "") for t in row)
         if size >= GROUP_CHARS:
             yield begin, i + 1
             begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(columns[0]):
+        yield begin, len(columns[0])
 
 
 def similar(both: int, one: int, two: int) -> bool:
@@ -54,27 +54,34 @@ def _agreeing(one: pd.Series, two: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
 
-@F.pandas_udf(T.BooleanType())
-def _linked(one: pd.Series, two: pd.Series) -> pd.Series:
+def _links(ones: list, twos: list, sets_of: Sets) -> list[bool]:
+    """Whether the full sets of the texts of each pair are similar. The set of a text that many pairs name is made once."""
     verdicts = []
-    for x, y in zip(one, two):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        verdicts.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-    return pd.Series(verdicts, dtype=bool)
+    for begin, end in groups(ones, twos):
+        place: dict[str, int] = {}
+        pairs = [(place.setdefault(x, len(place)), place.setdefault(y, len(place))) for x, y in zip(ones[begin:end], twos[begin:end])]
+        hashes, offsets = sets_of(list(place))
+        sets = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        verdicts += [similar(len(np.intersect1d(sets[i], sets[k], assume_unique=True)), len(sets[i]), len(sets[k])) for i, k in pairs]
+    return verdicts
 
 
 class _Block:
     """The rows of a large bucket's homes ``low`` and ``high``, or of one home, whose links join components."""
 
-    def __init__(self, rows: pd.DataFrame, least: int):
+    def __init__(self, rows: pd.DataFrame, sets_of: Sets, least: int):
         self.least = least
         self.nodes, self.component, home = (rows[c].to_numpy() for c in ("node", "component", "home"))
         self.ones, self.twos = np.flatnonzero(home == rows["low"].iloc[0]), np.flatnonzero(home == rows["high"].iloc[0])
         self.signs = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
         bands = np.array(rows["bands"].tolist(), np.int64)
         self.earlier = bands[:, : np.flatnonzero(bands[0] == rows["bucket"].iloc[0])[0]]
-        sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
-        self.sizes = np.array([len(s) for s in sets])
+        texts, sets, sizes = rows["text"].tolist(), [], []
+        for begin, end in groups(texts):
+            hashes, offsets = sets_of(texts[begin:end])
+            sets.append(hashes)
+            sizes.append(np.diff(offsets))
+        self.sizes = np.concatenate(sizes)
         known, flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.places = np.split(flat, np.cumsum(self.sizes)[:-1])  # a set as places in ``inside``
         self.inside, self.parent = np.zeros(len(known), bool), {}
@@ -136,6 +143,11 @@ class SetLinks:
     def components(self) -> DataFrame:
         """Rows (node, component) of the nodes that have links."""
         members = with_hubs(self.signed.select("node", "weight", F.explode("bands").alias("bucket")), self.scratch)
+        # Most nodes meet no other. Nodes grow with the corpus, so they are never broadcast: texts are shuffled at every size.
+        nodes = self.scratch.write(members.select("node").distinct(), "met").hint("merge")
+        signed = self.scratch.write(self.signed.join(nodes, "node", "left_semi"), "met-signed")
+        self.scratch.drop(self.signed)
+        self.signed, self.texts = signed, self.scratch.write(self.texts.join(nodes, "node", "left_semi"), "met-texts")
         return link_buckets(members, self.compare, self.link_large, self.scratch)
 
     @staticmethod
@@ -145,46 +157,35 @@ class SetLinks:
             pairs = pairs.join(facts.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in facts.columns if c != "node"]), end)
         return pairs
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """The full sets of ``nodes``. Nodes grow with the corpus, so they are never broadcast: texts are shuffled at every size."""
+    def compare(self, pairs: DataFrame, one_each: bool = False) -> DataFrame:
+        """Links among pairs (a, b); with ``one_each`` only the likeliest pair of each a is tested."""
         sets_of = self.sets_of
 
-        @F.pandas_udf(T.BinaryType())
-        def as_bytes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in parts:
-                found, listed = [], texts.tolist()
-                for begin, end in groups(listed):
-                    sets, offsets = sets_of(listed[begin:end])
-                    found += [sets[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pd.Series(found, dtype=object)
-
-        wanted = self.texts.join(nodes.hint("merge"), "node", "left_semi")
-        return self.scratch.write(wanted.select("node", as_bytes("text").alias("set")), "sets")
+        @F.pandas_udf(T.BooleanType())
+        def linked(one: pd.Series, two: pd.Series) -> pd.Series:
+            return pd.Series(_links(one.tolist(), two.tolist(), sets_of), dtype=bool)
 
-    def compare(self, pairs: DataFrame, one_each: bool = False) -> DataFrame:
-        """Links among pairs (a, b); with ``one_each`` only the likeliest pair of each a is tested."""
         both = self._with(self.scratch.write(pairs, "pairs"), self.signed.select("node", "signature"))
         likely = both.select("a", "b", _agreeing("signature_a", "signature_b").alias("agreeing")).where(F.col("agreeing") >= self.least)
         if one_each:
             likely = likely.groupBy("a").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
         likely = self.scratch.write(likely.select("a", "b"), "likely")
-        sets = self.sets(likely.selectExpr("a AS node").union(likely.selectExpr("b AS node")).distinct())
-        links = self.scratch.write(self._with(likely, sets).where(_linked("set_a", "set_b")).select("a", "b"), "links")
-        self.scratch.drop(likely, sets)
+        # Texts are several times smaller than the hashes of their shingles, so sets are made where pairs meet.
+        links = self.scratch.write(self._with(likely, self.texts).where(linked("text_a", "text_b")).select("a", "b"), "links")
+        self.scratch.drop(likely)
         return links
 
     def link_large(self, large: DataFrame) -> DataFrame:
         """Links that join the components of large mixed buckets."""
-        least = self.least
+        sets_of, least = self.sets_of, self.least
 
         def forest(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(_Block(rows, least).forest(), columns=["a", "b"]).astype("int64")
+            return pd.DataFrame(_Block(rows, sets_of, least).forest(), columns=["a", "b"]).astype("int64")
 
         homes = large.join(self.signed.select("node", "weight"), "node").groupBy("bucket").agg(F.sum(F.col("weight") + ROW_ELEMENTS).alias("load"))
         homes = self.scratch.write(homes.select("bucket", F.ceil(F.col("load") / BLOCK_ELEMENTS).cast("int").alias("homes")), "homes")
-        sets = self.sets(large.select("node").distinct())
-        full = large.select("bucket", "node", "component").join(homes, "bucket").join(self.signed.select("node", "bands", "signature"), "node").join(sets, "node")
+        full = large.select("bucket", "node", "component").join(homes, "bucket").join(self.signed.select("node", "bands", "signature"), "node").join(self.texts, "node")
         links = _blocks(full).groupBy("bucket", "low", "high").applyInPandas(forest, "a bigint, b bigint").distinct()
         links = self.scratch.write(links, "large-links")
-        self.scratch.drop(sets, homes)
+        self.scratch.drop(homes)
         return links
