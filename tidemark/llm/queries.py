@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chat_tree import chat_tree, read_back
+from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.fuzzy_lines import fuzzy_lines
 from tidemark.llm.language_id import fit_language_id, identify_language
@@ -13,8 +14,10 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.multi_index import search
 from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
+from tidemark.llm.source_divergence import source_divergence
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
+from tidemark.llm.whitening import whiten
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +76,22 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).drop("copies")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    each = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +110,9 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_near_dedup": op9_near_dedup,
         "op10_mix_sources": op10_mix_sources,
+        "op11_decontaminate": op11_decontaminate,
+        "op12_whiten": op12_whiten,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": pipeline,
     }
 
@@ -181,6 +203,49 @@ SELECT doc_id, size, source_size, target,
 FROM running
 """
 
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS said
+  FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (
+  SELECT uid, size, place, array_to_string(w[place:place + size - 1], ' ') AS said
+  FROM (SELECT uid, w, size, unnest(range(1, len(w) - size + 2)) AS place FROM docs, sizes)),
+met AS (SELECT uid, place, size, item FROM grams JOIN windows USING (size, said)),
+hits AS (SELECT uid, count(DISTINCT word) AS n_hit FROM (SELECT uid, unnest(range(place, place + size)) AS word FROM met) GROUP BY uid),
+held AS (SELECT uid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT uid, item FROM met) GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (uid) LEFT JOIN held USING (uid)
+"""
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS uid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counted AS (SELECT lang, source, term, sum(n) AS n, count(*) AS docs FROM (SELECT uid, lang, source, term, count(*) AS n FROM (SELECT uid, lang, source, unnest(w) AS term FROM docs) GROUP BY ALL) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM counted GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(term) AS v, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang FROM groups) LEFT JOIN kept USING (lang) GROUP BY lang),
+cells AS (SELECT c.* FROM counted c JOIN kept USING (lang, term)),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM groups LEFT JOIN cells USING (lang, source) GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (t.n + 2 * v.v) AS p
+  FROM groups g JOIN v USING (lang) JOIN totals t USING (lang, source) JOIN kept k USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+of_lang AS (SELECT k.lang, k.term, 1 + (1000000000::HUGEINT * (k.n + 2)) // (v.n + 2 * v.v) AS q FROM kept k JOIN v USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM shares JOIN of_lang USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_chat_tree": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_chat_tree": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_decontaminate": OP11_SQL, "op13_source_divergence": OP13_SQL}
