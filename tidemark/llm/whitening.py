@@ -181,7 +181,7 @@ def _projected(model: Whitening, width: int, components: int):
                 deviation += squares
                 whitened.append(centred @ axes)
             flat = np.concatenate(whitened)
-            offsets = pa.array(np.arange(0, flat.size + 1, axes.shape[1], dtype=np.int32))
+            offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * axes.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(deviation, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=["row", "deviation", "whitened"])
 
     return projected
