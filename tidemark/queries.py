@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,23 +15,10 @@ from tidemark.operators import evaluation, evidence, history, reachability, rows
 from tidemark.operators.rowsets import Key, Rowset
 from tidemark.plans import dashboards
 from tidemark.plans.contracts import ContractSet, MetricContract, measure
+from tidemark.registry import QUERIES, SQL, query
 from tidemark.session import with_checkpoints
 from tidemark.sources.tables import canonical_json, read_table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            SQL[function.__name__] = sql
-        return function
-
-    return register
-
-
 # --- the tables as rowsets -----------------------------------------------------------------------------------------
 
 
