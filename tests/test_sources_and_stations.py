@@ -197,3 +197,108 @@ def test_enrollment_shares_round_the_exact_binary_value(spark):
     exact = lambda x: float(f"{x:.1f}")  # noqa: E731  rounds the exact value; there is no tie here
     assert found[2000].undergraduate_share == 0.1 == exact(3 / 2000 * 100) and found[2000].graduate_share == exact(1997 / 2000 * 100)
     assert found[2000].year_change is None and found[2001].year_change == exact(3 / 2000 * 100)
+
+
+# --- payloads as texts, pages, and whole documents -----------------------------------------------------------------------
+
+
+def test_files_over_the_limit_are_refused_unread(spark, tmp_path):
+    """A file over the limit isn't opened: its content could not even be read here, as it is no UTF-8 and no JSON."""
+    from tidemark.sources import river as source
+    from tidemark.sources.payloads import read_payloads, sound_payloads
+
+    good = {"value": {"queryInfo": {"creationTime": "2026-07-30T00:00:00Z"}, "timeSeries": [series("11447650", "X R Y", "00065", "ft", STAGE), series("11447650", "X R Y", "00060", "ft3/s", FLOW)]}}
+    (tmp_path / "a.json").write_text(json.dumps(good))
+    (tmp_path / "b.json").write_bytes(b"\xff" * (source.CONTRACT.max_bytes + 1))
+    (tmp_path / "c.json").write_text("{")
+    payloads = read_payloads(spark, str(tmp_path), source.CONTRACT.max_bytes)
+    held = {r.doc_id.rsplit("/", 1)[1]: (r.size, r.body) for r in payloads.collect()}
+    assert held["b.json"] == (source.CONTRACT.max_bytes + 1, None) and held["c.json"] == (1, "{")
+    small = payloads.where(F.col("body").isNotNull())
+    assert "PushedFilters: [IsNotNull(length), LessThanOrEqual(length," in payloads._jdf.queryExecution().executedPlan().toString()
+    found = source.river_findings(payloads)
+    assert {(r.doc_id.rsplit("/", 1)[1], r.code) for r in found.collect()} == {("b.json", "too-large"), ("c.json", "not-json")}
+    places, seen = source.river_stations(sound_payloads(small, found))
+    assert [r.site_id for r in places.collect()] == ["11447650"] and seen.count() == len(STAGE) + len(FLOW)
+
+
+def test_river_findings_name_every_fault(spark):
+    from tidemark.sources.river import river_findings
+
+    one = series("11447650", "X R Y", "00065", "ft", STAGE)
+    document = {"value": {"queryInfo": {"creationTime": "2026-07-30T00:00:00Z"}, "timeSeries": [one]}}
+
+    def changed(**parts):
+        out = json.loads(json.dumps(document))
+        for path, value in parts.items():
+            at, keys = out, path.split("__")
+            for k in keys[:-1]:
+                at = at[int(k)] if k.isdigit() else at[k]
+            at[int(keys[-1]) if keys[-1].isdigit() else keys[-1]] = value
+        return json.dumps(out)
+
+    base = "value__timeSeries__0__"
+    many = [{"value": "1", "dateTime": DAY}] * 10_001
+    cases = {
+        "sound": (json.dumps(document), set()),
+        "null": (None, {("not-json", "$")}),
+        "site": (changed(**{base + "sourceInfo__siteCode__0__value": "12x"}), {("not-digits", "$.value.timeSeries[0].sourceInfo.siteCode[0].value")}),
+        "series": (changed(value__timeSeries=[one] * 61), {("too-many", "$.value.timeSeries")}),
+        "group": (changed(**{base + "values": [{"value": many}]}), {("too-many", "$.value.timeSeries[0].values[0].value")}),
+        "total": (changed(value__timeSeries=[{**one, "values": [{"value": many[:-1]}] * 3}]), {("too-many-observations", "$.value.timeSeries")}),
+        "late": (changed(value__queryInfo__creationTime="2026-07-29T11:59:59Z"), {("late-observation", "$.value.timeSeries")}),
+        "time": (changed(value__queryInfo={"note": []}), {("no-retrieval-time", "$.value.queryInfo")}),
+        "unread unit": (changed(**{base + "variable__variableCode__0__value": "00010", base + "variable__unit__unitCode": "deg C"}), set()),
+        "unit": (changed(**{base + "variable__unit__unitCode": "m"}), {("wrong-unit", "$.value.timeSeries[0].variable.unit.unitCode")}),
+        "lacking": (changed(**{base + "variable": {}}), {("missing-field", f"$.value.timeSeries[0].variable.{f}") for f in ("variableCode", "variableDescription", "unit", "noDataValue")}),
+    }
+    found = river_findings(spark.createDataFrame([(k, v) for k, (v, _) in cases.items()], "doc_id string, body string")).collect()
+    assert {k: {(r.code, r.path) for r in found if r.doc_id == k} for k in cases} == {k: v for k, (_, v) in cases.items()}
+
+
+def test_enrollment_findings_of_many_pages(spark):
+    from tidemark.sources.enrollment import DEFINITION, enrollment_findings, enrollment_history
+
+    def page(years=("2024", "2025"), under=("22,900", "24,034"), grad=("3,484", "3,599"), total=("26,384", "27,633"), term="2025", prose="27,633 students, 24,034 (87.0%) and 3,599 (13.0%)", more=""):
+        row = lambda head, cells: f"<tr><td>{head}</td>{''.join(f'<td><b>{c}</b></td>' for c in cells)}</tr>"
+        table = row("", years) + row("Undergraduate Enrollment", under) + row("Graduate Enrollment", grad) + row("Total Enrollment", total) + more
+        return f'x<div id="enrollment"><h4>Enrollment - Fall {term}</h4><h5> Overview </h5><p>In the Fall {term} term, {prose}.</p><table>{table}</table><p>{DEFINITION}</p></div><div id="student-demographics">'
+
+    pages = {
+        1: (page(), set()), 2: (None, {("no-section", None)}), 3: ("", {("no-section", None)}), 4: ("y" * 1_000_001, {("too-large", None)}),
+        5: (page(prose="27,634 students, 24,034 (87.0%) and 3,599 (13.1%)"), {("overview-figure", "27,633"), ("overview-figure", "13.0%")}),
+        6: (page(years=("2025", "2024"), term="2024", prose="27,633 students, 24,034 (87.0%) and 3,599 (13.0%)"), {("years-fall", "2024")}),
+        7: (page(total=("26,384", "27,63x"), prose="24,034 and 3,599"), {("bad-number", "27,63x")}),
+        8: (page(years=("2025",), under=("24,034",), grad=("3,599",), total=("27,633",)), {("few-years", None)}),
+        9: (page(more="<tr><td>Total Enrollment</td><td>26,384</td><td>27,633</td></tr>"), {("row-count", "5"), ("repeated-row", "Total Enrollment")}),
+        10: (page().replace(DEFINITION, "").replace("<h4>", "<h3>"), {("no-definition", None), ("no-heading", None)}),
+        11: (page(term="2026"), {("heading-year", "2025")}),
+    }
+    table = spark.createDataFrame([(k, v) for k, (v, _) in pages.items()], "page_id int, html string")
+    found = enrollment_findings(table)
+    assert {k: {(r.problem, r.subject) for r in found.collect() if r.page_id == k} for k in pages} == {k: v for k, (_, v) in pages.items()}
+    rows = enrollment_changes(enrollment_history(table, found), "page_id").orderBy("year").collect()
+    assert [(r.page_id, r.year, r.total, r.year_change) for r in rows] == [(1, 2024, 26384, None), (1, 2025, 27633, 4.7)]
+
+
+def test_air_findings(spark):
+    from tidemark.sources.air import air_findings
+
+    sensor = lambda i, name, unit: {"id": i, "parameter": {"name": name, "units": unit, "displayName": name}}
+    place = lambda sensors, monitor=True: {"id": 1, "name": "P", "locality": None, "isMonitor": monitor, "coordinates": {"latitude": 1.0, "longitude": 2.0}, "sensors": sensors}
+    bundle = lambda places, hours: json.dumps({"retrievedAt": "2026-08-18T12:02:00Z", "locations": {"results": places}, "hours": hours})
+    hour = {"value": 1.0, "period": {"datetimeTo": {"utc": "2026-08-18T12:00:00Z"}}}
+    good = [sensor(5, "pm25", "µg/m³"), sensor(9, "o3", "ppm")]
+    cases = {
+        "sound": (bundle([place(good)], {"5": {"results": [hour]}}), set()),
+        "unread": (bundle([place([sensor(5, "pm25", "ppm")], False), place([sensor(5, "o3", "x")])], {}), set()),
+        "unit": (bundle([place([sensor(5, "pm25", "µg/m³"), sensor(9, "o3", "ppb")])], {}), {"wrong-unit"}),
+        "late": (bundle([place(good)], {"5": {"results": [{"value": 1.0, "period": {"datetimeTo": {"utc": "2026-08-18T13:00:00Z"}}}]}}), {"late-measurement"}),
+        "many": (bundle([place(good)], {str(k): {"results": [hour] * 10_000} for k in (5, 6)} | {"7": {"results": [hour]}}), {"too-many-measurements"}),
+        "key": (bundle([place(good)], {"a": {"results": []}}), {"not-digits"}),
+        "id": (bundle([{**place(good), "id": 0}], {}), {"out-of-range"}),
+        "flag": (bundle([{**place(good), "isMonitor": "yes"}], {}), {"wrong-type"}),
+        "none": (bundle([], {}), {"too-few"}),
+    }
+    found = air_findings(spark.createDataFrame([(k, v) for k, (v, _) in cases.items()], "doc_id string, body string")).collect()
+    assert {k: {r.code for r in found if r.doc_id == k} for k in cases} == {k: v for k, (_, v) in cases.items()}

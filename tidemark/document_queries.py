@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans import documents
 from tidemark.plans.documents import DOCUMENT, component
 from tidemark.registry import query
+from tidemark.session import with_checkpoints
+from tidemark.sources import air, enrollment, river
+from tidemark.sources.payloads import sound_payloads
 from tidemark.sources.tables import read_table
 
 _MADE, _SEEN, _HELD = "2024-01-20T00:00:00.000Z", "2024-01-19T00:00:00.000Z", "2024-01-18T12:00:00.000Z"
@@ -17,6 +22,12 @@ def _cites(*ids: str) -> Column:
     return F.array(*[F.lit(i) for i in ids])
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """Rows as a table of their own, as documents would be, not as an expression that every use computes anew."""
+    with_checkpoints(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def _record(**fields) -> Column:
     return F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()])
 
@@ -69,27 +80,32 @@ _NO_ORDERS = "CAST(array() AS array<struct<key:bigint,total:double>>)"
 _CASES = 997
 
 
+def _one() -> Column:
+    """1, but not to the optimiser, which would else write long texts into the plan."""
+    return F.least(F.length("body"), F.lit(1))
+
+
 def _ranking(name: Column, items: int, cites: int) -> Column:
     """A ranking as JSON text, of so many items that each cite so many times."""
     cited = ",".join(['"account"'] * cites)
-    each = F.transform(F.sequence(F.lit(1), F.lit(items)), lambda i: F.concat(F.lit('{"id":"i'), i.cast("string"), F.lit(f'","label":"l","value":"v","evidenceIds":[{cited}]}}')))
+    each = F.transform(F.sequence(_one(), F.lit(items)), lambda i: F.concat(F.lit('{"id":"i'), i.cast("string"), F.lit(f'","label":"l","value":"v","evidenceIds":[{cited}]}}')))
     return F.concat(F.lit('{"kind":"ranking","id":"'), name, F.lit('","title":"More","items":['), F.array_join(each, ","), F.lit("]}"))
 
 
 def _pages(n: int, items: int, cites: int) -> Column:
     """Pages of 24 rankings as JSON text, each after a comma."""
-    part = lambda p: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(24)), lambda c: _ranking(F.concat(F.lit("m"), p.cast("string"), F.lit("-"), c.cast("string")), items, cites)), ",")
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda p: F.concat(F.lit(',{"id":"more'), p.cast("string"), F.lit('","title":"More","description":"d","components":['), part(p), F.lit("]}"))), "")
+    part = lambda p: F.array_join(F.transform(F.sequence(_one(), F.lit(24)), lambda c: _ranking(F.concat(F.lit("m"), p.cast("string"), F.lit("-"), c.cast("string")), items, cites)), ",")
+    return F.array_join(F.transform(F.sequence(_one(), F.lit(n)), lambda p: F.concat(F.lit(',{"id":"more'), p.cast("string"), F.lit('","title":"More","description":"d","components":['), part(p), F.lit("]}"))), "")
 
 
 def _trend(series: int, points: int) -> Column:
-    each = F.array_join(F.array_repeat(F.lit('{"at":"2024-01-01T00:00:00Z","value":1}'), points), ",")
-    rows = F.transform(F.sequence(F.lit(1), F.lit(series)), lambda i: F.concat(F.lit('{"id":"s'), i.cast("string"), F.lit('","label":"l","unit":"u","evidenceIds":["account"],"points":['), each, F.lit("]}")))
+    each = F.array_join(F.array_repeat(F.lit('{"at":"2024-01-01T00:00:00Z","value":1}'), _one() * points), ",")
+    rows = F.transform(F.sequence(_one(), F.lit(series)), lambda i: F.concat(F.lit('{"id":"s'), i.cast("string"), F.lit('","label":"l","unit":"u","evidenceIds":["account"],"points":['), each, F.lit("]}")))
     return F.concat(F.lit(',{"id":"trends","title":"T","description":"d","components":[{"kind":"trend-list","id":"trend","title":"T","series":['), F.array_join(rows, ","), F.lit("]}]}"))
 
 
 # Each fault: what is replaced by what in the JSON text, and the code, path and detail that must be found.
-_FAULTS: list[tuple[str, str | Column, str, str, str | None]] = [
+_FAULTS: list[tuple[str, str | Callable[[], Column], str, str, str | None]] = [
     ('"dataMode":"live"', '"dataMode":"live","extra":1', "unknown-field", "$.extra", None),
     ('"notice":"n",', "", "missing-field", "$.notice", None),
     ('"notice":"n"', '"notice":7', "wrong-type", "$.notice", "BIGINT"),
@@ -119,10 +135,10 @@ _FAULTS: list[tuple[str, str | Column, str, str, str | None]] = [
     ('"detail":"act","evidenceIds":["account"]', '"detail":"act","evidenceIds":["nobody"]', "missing-evidence", "$.nextAction.evidenceIds[0]", "nobody"),
     ('"to":"out"', '"to":"nowhere"', "missing-node", "$.architecture.edges[0].to", "nowhere"),
     ('"schemaVersion"', '"schemaVersion', "not-json", "$", None),
-    ('"notice":"n"', F.concat(F.lit('"notice":"n"'), F.repeat(F.lit(" "), F.lit(documents.MAX_BYTES))), "too-large", "$", None),
-    ("}],\"evidence\":[", F.concat(F.lit("}"), _pages(11, 8, 1), F.lit('],"evidence":[')), "too-many-items", "$", None),
-    ("}],\"evidence\":[", F.concat(F.lit("}"), _trend(3, 5000), F.lit('],"evidence":[')), "too-many-points", "$", None),
-    ("}],\"evidence\":[", F.concat(F.lit("}"), _pages(1, 14, 32), F.lit('],"evidence":[')), "too-many-references", "$", None),
+    ('"notice":"n"', lambda: F.concat(F.lit('"notice":"n"'), F.repeat(F.lit(" "), _one() * documents.MAX_BYTES)), "too-large", "$", None),
+    ("}],\"evidence\":[", lambda: F.concat(F.lit("}"), _pages(11, 8, 1), F.lit('],"evidence":[')), "too-many-items", "$", None),
+    ("}],\"evidence\":[", lambda: F.concat(F.lit("}"), _trend(3, 5000), F.lit('],"evidence":[')), "too-many-points", "$", None),
+    ("}],\"evidence\":[", lambda: F.concat(F.lit("}"), _pages(1, 14, 32), F.lit('],"evidence":[')), "too-many-references", "$", None),
 ]
 _TOTALS = ("too-large", "too-many-items", "too-many-points", "too-many-references")
 
@@ -142,9 +158,9 @@ def document_contract(spark, sf_dir):
     case, body = F.col("c_custkey") % _CASES, F.col("body")
     faulty = None
     for i, (old, new, *_) in enumerate(_FAULTS):
-        changed = F.replace(body, F.lit(old), F.lit(new) if isinstance(new, str) else new)
+        changed = F.replace(body, F.lit(old), F.lit(new) if isinstance(new, str) else new())
         faulty = F.when(case == i, changed) if faulty is None else faulty.when(case == i, changed)
-    found = documents.contract_findings(sound.select(F.col("c_custkey").alias("doc_id"), faulty.otherwise(body).alias("body")))
+    found = documents.contract_findings(_stored(_stored(sound).select(F.col("c_custkey").alias("doc_id"), faulty.otherwise(body).alias("body"))))
     return found.select(F.col("doc_id").alias("c_custkey"), "code", "path", F.when(~F.col("code").isin(*_TOTALS), F.col("detail")).alias("detail"))
 
 
@@ -218,3 +234,220 @@ def document_composition(spark, sf_dir):
         F.col("dashboard.nextAction.detail").alias("action"), F.col("dashboard.executiveBrief.known.detail").alias("known"), F.col("dashboard.executiveBrief.important.detail").alias("important"), F.col("dashboard.executiveBrief.known.headline").alias("headline"),
         F.col("dashboard.freshness.status").alias("status"), F.col("dashboard.freshness.latestObservationAt").alias("latest"), F.col("dashboard.generatedAt").alias("made"),
     )
+
+
+# --- enrollment pages --------------------------------------------------------------------------------------------------
+
+_PAGE_CASES = 64
+_YEARS = (2021, 2022, 2023)
+_UNDER = {y: f"(20000 + page_id % 997 + {10 * i})" for i, y in enumerate(_YEARS)}
+_GRAD = {y: f"(3000 + page_id % 89 + {i})" for i, y in enumerate(_YEARS)}
+
+
+def _grouped(number: str) -> str:
+    return f"format_number({number}, 0)"
+
+
+def _enrollment_html() -> str:
+    """The page with an enrollment section, as an expression over page_id and html."""
+    cell = lambda x: f"'<td>', {x}, '</td>'"
+    row = lambda label, of: f"'<tr><td><b>{label}</b> Enrollment</td>', {', '.join(cell(_grouped(of(y))) for y in _YEARS)}, '</tr>'"
+    total = lambda y: f"({_UNDER[y]} + {_GRAD[y]})"
+    last = _YEARS[-1]
+    share = lambda part: f"CAST(CAST(round(CAST({part} AS DECIMAL(20,0)) * 100 / CAST({total(last)} AS DECIMAL(20,0)), 1) AS DECIMAL(5,1)) AS STRING)"
+    prose = f"'<p>In the Fall {last} term, ', {_grouped(total(last))}, ' students: ', {_grouped(_UNDER[last])}, ' (', {share(_UNDER[last])}, '%) undergraduate and ', {_grouped(_GRAD[last])}, ' (', {share(_GRAD[last])}, '%) graduate.</p>'"
+    head = "'<tr><th></th>" + "".join(f"<th><span>{y}</span></th>" for y in _YEARS) + "</tr>'"
+    table = f"'<table class=\"t\">', {head}, {row('Undergraduate', _UNDER.get)}, {row('Graduate', _GRAD.get)}, {row('Total', total)}, '</table>'"
+    return f"concat(coalesce(html, ''), '<div id=\"enrollment\"><h4>Enrollment - Fall {last}</h4><h5>Overview</h5>', {prose}, {table}, '<p>Counts represent distinct students who are enrolled in credit-bearing classes as of the&nbsp;fall third-week census.</p></div><div id=\"student-demographics\">')"
+
+
+# What is replaced by what, and the problems that must be found with their subjects (SQL over page_id).
+_PAGE_FAULTS: list[tuple[str, str, list[tuple[str, str]]]] = [
+    ('id="enrollment"', 'id="other"', [("no-section", "NULL")]),
+    ("<h4>Enrollment - Fall 2023</h4>", "<h4>Enrollment</h4>", [("no-heading", "NULL")]),
+    ("<h4>Enrollment - Fall 2023</h4>", "<h4>Enrollment - Fall 2024</h4>", [("overview-term", "NULL"), ("heading-year", "'2023'")]),
+    ("In the Fall 2023 term", "In the Fall 2022 term", [("overview-term", "NULL")]),
+    ("Counts represent distinct", "Values represent", [("no-definition", "NULL")]),
+    ("</tr></table>", "</tr><tr><td>Visitors</td><td>1</td><td>2</td><td>3</td></tr></table>", [("row-count", "'5'"), ("unknown-row", "'Visitors'")]),
+    ("<th><span>2023</span></th></tr>", "</tr>", [("row-width", "'1'"), ("row-width", "'2'"), ("row-width", "'3'")]),
+    ("<span>2022</span>", "<span>2021</span>", [("years-fall", "'2021'")]),
+    ("<b>Graduate</b>", "<b>Undergraduate</b>", [("repeated-row", "'Undergraduate Enrollment'"), ("missing-row", "'Graduate Enrollment'")]),
+    ("<td><b>Total</b> Enrollment</td><td>", "<td><b>Total</b> Enrollment</td><td>9", [("arithmetic", "'2021'")]),
+    (" undergraduate and ", " undergraduate, 1 other and ", []),
+    ("term, ", "term, some and not ", []),
+    ("<td><b>Total</b> Enrollment</td><td>", "<td><b>Total</b> Enrollment</td><td>~", [("bad-number", "'~' || FIRST")]),
+    ("<span>2021</span>", "<span>then</span>", [("bad-year", "'then'")]),
+    ("<table", "<div", [("no-table", "NULL")]),
+]
+
+def _page_findings_sql() -> str:
+    first = f"regexp_replace(format('{{:,}}', ({_UNDER[2021]} + {_GRAD[2021]})::BIGINT), ' ', '')"
+    parts = [f"SELECT page_id, '{problem}' AS problem, {subject.replace('FIRST', first)}::VARCHAR AS subject FROM pages WHERE page_id % {_PAGE_CASES} = {i}" for i, (_, _, found) in enumerate(_PAGE_FAULTS) for problem, subject in found]
+    gone = [f"SELECT page_id, 'overview-figure', format('{{:,}}', ({_UNDER[2023]} + {_GRAD[2023]})::BIGINT) FROM pages WHERE page_id % {_PAGE_CASES} = {len(_PAGE_FAULTS)}", f"SELECT page_id, 'too-large', NULL FROM pages WHERE page_id % {_PAGE_CASES} = {len(_PAGE_FAULTS) + 1}"]
+    return " UNION ALL ".join(parts + gone)
+
+
+def _enrollment_pages(spark, sf_dir) -> DataFrame:
+    """Every page, with a section of its own figures, some of them at fault."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", F.expr(_enrollment_html()).alias("html"))
+    case, html, made = F.col("page_id") % _PAGE_CASES, F.col("html"), None
+    changes = [F.replace(html, F.lit(old), F.lit(new)) for old, new, _ in _PAGE_FAULTS]
+    changes += [F.regexp_replace(html, "(term, )[0-9,]+", "$1many"), F.concat(html, F.repeat(F.lit(" "), F.least(F.length("html"), F.lit(1)) * 1_000_001))]
+    for i, changed in enumerate(changes):
+        made = F.when(case == i, changed) if made is None else made.when(case == i, changed)
+    return _stored(pages.select("page_id", made.otherwise(html).alias("html")))
+
+
+@query(_page_findings_sql())
+def enrollment_page_findings(spark, sf_dir):
+    return enrollment.enrollment_findings(_enrollment_pages(spark, sf_dir))
+
+
+_SOUND_PAGES = [i for i, f in enumerate(_PAGE_FAULTS) if not f[2]]
+
+
+@query(f"""WITH y AS (SELECT page_id, unnest([{', '.join(f"{{'year': {y}, 'u': {_UNDER[y]}, 'g': {_GRAD[y]}}}" for y in _YEARS)}]) AS v FROM pages WHERE page_id % {_PAGE_CASES} >= {len(_PAGE_FAULTS) + 2} OR page_id % {_PAGE_CASES} IN {tuple(_SOUND_PAGES)}),
+t AS (SELECT page_id, v.year AS year, (v.u + v.g)::BIGINT AS total, v.u AS u, v.g AS g FROM y)
+SELECT page_id, year, total, round(u * 100 / total::DECIMAL(20,0), 1)::DOUBLE AS undergraduate_share, round(g * 100 / total::DECIMAL(20,0), 1)::DOUBLE AS graduate_share,
+  round((total - lag(total) OVER w) * 100 / (lag(total) OVER w)::DECIMAL(20,0), 1)::DOUBLE AS year_change FROM t WINDOW w AS (PARTITION BY page_id ORDER BY year)""")
+def enrollment_page_history(spark, sf_dir):
+    pages = _enrollment_pages(spark, sf_dir)
+    history = enrollment.enrollment_history(pages, enrollment.enrollment_findings(pages))
+    return enrollment.enrollment_changes(history, "page_id")
+
+
+# --- payloads of stations ------------------------------------------------------------------------------------------------
+
+_SENT = "2024-03-01T00:00:00Z"
+_PAYLOAD_CASES = 97
+
+
+def _faulty(payloads: DataFrame, faults: list) -> DataFrame:
+    case, body, made = F.col("doc_id") % _PAYLOAD_CASES, F.col("body"), None
+    for i, (old, new, *_) in enumerate(faults):
+        changed = F.replace(body, F.lit(old), F.lit(new) if isinstance(new, str) else new())
+        made = F.when(case == i, changed) if made is None else made.when(case == i, changed)
+    return _stored(payloads.select("doc_id", made.otherwise(body).alias("body")))
+
+
+def _kept_events(spark, sf_dir) -> DataFrame:
+    """The latest 200 events of each user and type, which is what a payload holds."""
+    place = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("event_id")))
+    return read_table(spark, sf_dir, "events").withColumn("nth", place).where("nth <= 200")
+
+
+_KEPT = "kept AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) <= 200)"
+
+
+def _river_payloads(spark, sf_dir) -> DataFrame:
+    """A payload for each user: two series of stage, the later one of views, and one of flow, in the order of event ids.
+
+    A reading in three is blank, no number, or the value that stands for no data.
+    """
+    said = F.when(F.col("event_id") % 9 == 0, " ").when(F.col("event_id") % 9 == 3, "n/a").when(F.col("event_id") % 9 == 6, "-999999").otherwise(F.format_string(" %.2f", "value"))
+    reading = F.struct("event_id", said.alias("value"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("dateTime"))
+    of = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("event_type") == kind, reading))), lambda r: F.struct(r["value"].alias("value"), r["dateTime"].alias("dateTime")))
+    users = _kept_events(spark, sf_dir).groupBy("user_id").agg(of("signup").alias("signup"), of("view").alias("view"), of("click").alias("click"))
+    site = F.format_string("%09d", "user_id")
+
+    def series(code: str, unit: str, readings: str):
+        half = lambda a, b: _record(value=F.slice(readings, a, b))  # noqa: E731  two groups of values
+        return F.struct(
+            _record(siteName=F.concat(F.lit("Gauge R at "), site), siteCode=F.array(_record(value=site)), geoLocation=_record(geogLocation=F.struct(F.lit(38.5).alias("latitude"), F.lit(-121.5).alias("longitude")))).alias("sourceInfo"),
+            _record(variableCode=F.array(_record(value=code)), variableDescription="d", unit=_record(unitCode=unit), noDataValue=F.lit(-999999.0)).alias("variable"),
+            F.array(half(1, 3), half(4, 10_000)).alias("values"),
+        )
+
+    all_series = F.filter(F.array(F.when(F.size("signup") > 0, series("00065", "ft", "signup")), F.when(F.size("view") > 0, series("00065", "ft", "view")), series("00060", "ft3/s", "click"), series("00010", "deg C", "click")), lambda s: s.isNotNull())
+    info = _record(note=F.array(_record(value=_SENT, title="requestDT"), _record(value="provisional", title="disclaimer")))
+    return users.select(F.col("user_id").alias("doc_id"), F.to_json(_record(value=_record(queryInfo=info, timeSeries=all_series))).alias("body"))
+
+
+_RIVER_FAULTS = [
+    (_SENT, "then", "no-retrieval-time", "$.value.queryInfo", None),
+    (_SENT, "2023-12-31T00:00:00+00:00", "late-observation", "$.value.timeSeries", "FIRST"),
+    ('"unitCode":"ft3/s"', '"unitCode":"m3/s"', "wrong-unit", "$.value.timeSeries[FLOW].variable.unit.unitCode", "m3/s"),
+    ('"queryInfo"', '"queryInfo', "not-json", "$", None),
+    ('"note"', lambda: F.concat(F.lit('"padding":"'), F.repeat(F.lit("x"), _one() * (5 * 1024 * 1024)), F.lit('","note"')), "too-large", "$", None),
+    ('"value":{"queryInfo"', '"other":1,"value":{"queryInfo"', None, None, None),
+    ('"disclaimer"', "7", "wrong-type", "$.value.queryInfo.note[1].title", "BIGINT"),
+    ('"timeSeries":', '"timeSeries":[],"were":', "too-few", "$.value.timeSeries", "0"),
+]
+
+_SHAPED = "strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') || 'Z'"
+_USERS = f"""{_KEPT}, users AS (
+  SELECT user_id AS doc_id, count(*) FILTER (WHERE event_type = 'signup') AS signups, count(*) FILTER (WHERE event_type = 'view') AS views,
+    coalesce(arg_min({_SHAPED}, event_id) FILTER (WHERE event_type = 'signup'), arg_min({_SHAPED}, event_id) FILTER (WHERE event_type = 'view'), arg_min({_SHAPED}, event_id) FILTER (WHERE event_type = 'click')) AS first
+  FROM kept GROUP BY user_id)"""
+
+
+def _river_sql() -> str:
+    rows = ", ".join(f"({i}, '{c}', '{p}', {'NULL' if d is None else repr(d)})" for i, (_, _, c, p, d) in enumerate(_RIVER_FAULTS) if c)
+    return f"""WITH {_USERS}, expected(nth, code, path, detail) AS (VALUES {rows})
+SELECT doc_id, code, replace(path, 'FLOW', ((signups > 0)::INT + (views > 0)::INT)::VARCHAR) AS path, CASE detail WHEN 'FIRST' THEN first ELSE detail END AS detail
+FROM users JOIN expected ON doc_id % {_PAYLOAD_CASES} = nth WHERE code <> 'late-observation' OR first IS NOT NULL"""
+
+
+@query(_river_sql())
+def river_payload_findings(spark, sf_dir):
+    found = river.river_findings(_faulty(_river_payloads(spark, sf_dir), _RIVER_FAULTS))
+    return found.select("doc_id", "code", "path", F.when(F.col("code") != "too-large", F.col("detail")).alias("detail"))
+
+
+_RIVER_SOUND = f"(user_id % {_PAYLOAD_CASES} >= {len(_RIVER_FAULTS)} OR user_id % {_PAYLOAD_CASES} IN ({', '.join(str(i) for i, f in enumerate(_RIVER_FAULTS) if not f[2])}))"
+
+
+@query(f"""WITH {_KEPT}, mine AS (
+  SELECT user_id, event_id, event_type, ts, value, CASE event_type WHEN 'click' THEN 'secondary' ELSE 'primary' END AS slot, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS ordinal,
+    max((event_type = 'view')::INT) OVER (PARTITION BY user_id) AS has_views
+  FROM kept WHERE event_type IN ('signup', 'view', 'click') AND {_RIVER_SOUND})
+SELECT printf('%09d', user_id) AS site_id, slot, epoch_us(ts) // 1000 AS at_ms, printf('%.2f', value)::DOUBLE AS value, ordinal FROM mine WHERE event_id % 3 <> 0 AND (event_type <> 'signup' OR has_views = 0)""")
+def river_payload_readings(spark, sf_dir):
+    """Readings of the sound payloads; of two stage series in a payload the later one's."""
+    payloads = _faulty(_river_payloads(spark, sf_dir), _RIVER_FAULTS)
+    _, seen = river.river_stations(sound_payloads(payloads, river.river_findings(payloads)))
+    return seen.select("site_id", "slot", F.unix_millis("at").alias("at_ms"), "value", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
+def _air_bundles(spark, sf_dir) -> DataFrame:
+    """A bundle for each tenth of users (user_id % 10 places to a bundle): a monitor each, a third of them without ozone."""
+    kept = _kept_events(spark, sf_dir).where("event_type IN ('view', 'click')")
+    sensor = F.col("user_id") * 2 + F.when(F.col("event_type") == "view", 1).otherwise(2)
+    hour = F.struct("event_id", F.when(F.col("event_id") % 9 == 0, -1.0).otherwise(F.col("value")).alias("value"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("utc"))
+    hours = kept.groupBy("user_id", sensor.alias("sensor"), "event_type").agg(F.transform(F.sort_array(F.collect_list(hour)), lambda h: F.struct(h["value"].alias("value"), F.struct(F.struct(h["utc"].alias("utc")).alias("datetimeTo")).alias("period"))).alias("results"))
+    by_user = hours.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("sensor").cast("string"), F.struct("results")))).alias("hours"))
+    measure = lambda i, name, unit, label: F.struct((F.col("user_id") * 2 + i).alias("id"), _record(name=name, units=unit, displayName=label).alias("parameter"))
+    sensors = F.concat(F.array(measure(1, "pm25", "µg/m³", "PM2.5")), F.when(F.col("user_id") % 3 > 0, F.array(measure(2, "o3", "ppm", "Ozone"))).otherwise(F.array_compact(F.array(F.when(F.lit(False), measure(2, "o3", "ppm", "Ozone"))))))
+    place = F.struct(
+        (F.col("user_id") + 1).alias("id"), F.format_string("Place %d", "user_id").alias("name"), F.when(F.col("user_id") % 2 == 0, F.format_string("Town %d", "user_id")).alias("locality"),
+        F.struct(F.lit(34.5).alias("latitude"), F.lit(-118.5).alias("longitude")).alias("coordinates"), (F.col("user_id") % 5 > 0).alias("isMonitor"), sensors.alias("sensors"),
+    )
+    bundles = by_user.groupBy(F.floor(F.col("user_id") / 10).alias("doc_id")).agg(F.collect_list(F.struct(place.alias("place"), "hours")).alias("of"))
+    merged = F.aggregate("of", F.col("of")[0]["hours"], lambda a, x: F.map_concat(a, F.map_filter(x["hours"], lambda k, v: ~F.map_contains_key(a, k))))
+    return bundles.select("doc_id", F.to_json(_record(retrievedAt=_SENT, locations=F.struct(F.transform("of", lambda x: x["place"]).alias("results")), hours=merged)).alias("body"))
+
+
+_AIR_FAULTS = [
+    (_SENT, "then", "bad-instant", "$.retrievedAt", "then"),
+    ('"units":"µg/m³"', '"units":"ppm"', "wrong-unit", "$.locations.results", "pm25 ppm"),
+    ('"hours":{', '"hours":{"x1":{"results":[]},', "not-digits", "$.hours.x1", "x1"),
+    ('"locations":{', '"meta":{"found":1},"locations":{', None, None, None),
+    ('"locations":{', '"locations":{"results":[],"were":{', "not-json", "$", None),
+    ('"retrievedAt"', '"fetchedAt"', "missing-field", "$.retrievedAt", None),
+]
+
+
+@query(f"""WITH expected(nth, code, path, detail) AS (VALUES {", ".join(f"({i}, '{c}', '{p}', {'NULL' if d is None else repr(d)})" for i, (_, _, c, p, d) in enumerate(_AIR_FAULTS) if c)}), {_KEPT}
+SELECT DISTINCT doc_id, code, path, detail FROM (SELECT user_id // 10 AS doc_id FROM kept WHERE event_type IN ('view', 'click') AND (user_id % 5 > 0 OR (user_id // 10) % {_PAYLOAD_CASES} <> 1)) JOIN expected ON doc_id % {_PAYLOAD_CASES} = nth""")
+def air_bundle_findings(spark, sf_dir):
+    return air.air_findings(_faulty(_air_bundles(spark, sf_dir), _AIR_FAULTS))
+
+
+@query(f"""WITH {_KEPT} SELECT (user_id + 1)::VARCHAR AS site_id, CASE WHEN user_id % 2 = 0 THEN 'Town ' || user_id ELSE 'Place ' || user_id END AS "group", CASE event_type WHEN 'view' THEN 'primary' ELSE 'secondary' END AS slot, epoch_us(ts) // 1000 AS at_ms, value,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS ordinal
+FROM kept WHERE event_type IN ('view', 'click') AND user_id % 5 > 0 AND (event_type = 'view' OR user_id % 3 > 0) AND ((user_id // 10) % {_PAYLOAD_CASES} >= {len(_AIR_FAULTS)} OR (user_id // 10) % {_PAYLOAD_CASES} = 3) QUALIFY event_id % 9 <> 0""")
+def air_bundle_readings(spark, sf_dir):
+    """Readings of the sound bundles' reference monitors; negative values are none."""
+    bundles = _faulty(_air_bundles(spark, sf_dir), _AIR_FAULTS)
+    places, seen = air.air_stations(sound_payloads(bundles, air.air_findings(bundles)))
+    return seen.join(places.select("site_id", "group"), "site_id").select("site_id", "group", "slot", F.unix_millis("at").alias("at_ms"), "value", F.col("ordinal").cast("bigint").alias("ordinal"))

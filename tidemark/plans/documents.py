@@ -1,8 +1,7 @@
 """Dashboard documents: their contract as a table of shapes, findings of whole documents, and composition of several.
 
-A document is JSON text or a struct of the type DOCUMENT. Checks hold documents as VARIANT and take them apart into rows of
-(document, path, shape, value), level by level and without a shuffle; a document is at most a megabyte, so is never more
-than its own rows. One exchange by document then serves every check of uniqueness, references, times and budgets.
+A document is JSON text or a struct of the type DOCUMENT. Checks take JSON apart into rows (see sources.shapes); one exchange
+of the texts by document serves every check of uniqueness, references, times and budgets.
 Composition is one row a request: each request's few members are gathered and rewritten by nested transforms.
 """
 
@@ -15,14 +14,15 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.evidence import merged_statements
 from tidemark.session import with_checkpoints
+from tidemark.sources.shapes import Contract, finding, findings, instant, literal_map, records
 
-# The fields of a document with their kinds and limits, its budgets, and the words of composed documents.
-# A shape is the name of a record, list/least/most/shape of its elements, text/least/most (UTF-16 units), choice/a|b,
-# number/least/most, or instant, url, reading (a number or null) and statement. A field that ends in ? may be absent.
+# The fields of a document with their shapes (see sources.shapes), its budgets, and the words of composed
+# documents.
 _ID, _SHORT, _LONG = "text/1/128", "text/1/256", "text/1/4096"
 _SHORT_OR_EMPTY, _LONG_OR_EMPTY = "text/0/256", "text/0/4096"
 _CITES = {"evidenceIds": f"list/1/32/{_ID}"}
-_PART = {"kind": "choice", "id": _ID, "title": _SHORT, "subtitle?": _LONG_OR_EMPTY, "evidenceIds?": f"list/0/32/{_ID}"}
+_KINDS = "summary|metric-grid|station-map|station-table|ranking|trend-list|alert-list"
+_PART = {"kind": f"choice/{_KINDS}", "id": _ID, "title": _SHORT, "subtitle?": _LONG_OR_EMPTY, "evidenceIds?": f"list/0/32/{_ID}"}
 RECORDS: dict[str, dict[str, str]] = {
     "dashboard": {
         "schemaVersion": "choice/1.2", "id": _ID, "title": _SHORT, "audience": _SHORT, "generatedAt": "instant", "dataMode": "choice/demo|live", "freshness": "freshness", "nextAction": "next",
@@ -92,109 +92,10 @@ def document_json(document: Column) -> Column:
     return F.regexp_replace(F.to_json(document), r'"(primary|secondary)":\{"unit"', '"$1":{"value":null,"unit"')
 
 
-# --- documents as rows -------------------------------------------------------------------------------------------------
-
-#: Levels below the root: a trend's point has the deepest fields.
-_DEPTH = 9
-_FIELDS = {f"{record}.{name.rstrip('?')}": shape for record, fields in RECORDS.items() for name, shape in fields.items()}
-
-
-def _map(of: dict) -> Column:
-    pairs = [(F.lit(k), F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)) for k, v in of.items()]
-    return F.create_map(*[x for pair in pairs for x in pair])
-
-
-def _resolved(shape: Column, value: Column) -> Column:
-    """The shape of a value: that of a component depends on its kind."""
-    kind = F.coalesce(F.try_variant_get(value, "$.kind", "string"), F.lit(""))
-    return F.when(shape == "component", F.concat(F.lit("component:"), kind)).otherwise(shape)
-
-
-def _child(path: Column, shape: Column, value: Column) -> Column:
-    return F.struct(path.alias("path"), _resolved(shape, value).alias("shape"), value.alias("value"), F.lit(True).alias("leaf"))
-
-
-def document_rows(documents: DataFrame, body: str = "body") -> DataFrame:
-    """(doc_id, path, shape, kind, said, number, size, keys): a row for the document and for each part that the contract knows.
-
-    ``kind`` is the JSON type, ``size`` the length of a text in UTF-16 units or of a list, ``keys`` the fields of an object.
-    A text over MAX_BYTES isn't parsed and has no rows, nor has one that isn't JSON.
-    """
-    text = F.when(F.octet_length(body) <= MAX_BYTES, F.col(body))
-    root = _child(F.lit("$"), F.lit("dashboard"), F.try_parse_json(text))
-    rows = documents.select("doc_id", root.alias("n")).where("n.value IS NOT NULL").select("doc_id", "n.*")
-    known = _map(_FIELDS)
-    for _ in range(_DEPTH):
-        path, shape = F.col("path"), F.col("shape")
-        element = F.element_at(F.split(shape, "/", 4), 4)
-        items = F.transform(F.expr("try_cast(value AS ARRAY<VARIANT>)"), lambda x, i: _child(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), element, x))
-        entries = F.map_entries(F.expr("try_cast(value AS MAP<STRING, VARIANT>)"))
-        fields = F.transform(entries, lambda e: _child(F.concat(path, F.lit("."), e["key"]), F.try_element_at(known, F.concat(shape, F.lit("."), e["key"])), e["value"]))
-        below = F.when(F.startswith(shape, F.lit("list/")), items).when(~F.contains(shape, F.lit("/")), F.filter(fields, lambda c: c["shape"].isNotNull()))
-        own = F.array(F.struct("path", "shape", "value", F.lit(False).alias("leaf")))
-        none = F.filter(own, lambda c: F.lit(False))
-        rows = rows.select("doc_id", F.explode(F.concat(own, F.coalesce(F.when(F.col("leaf"), below), none))).alias("n")).select("doc_id", "n.*")
-    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
-    said = F.when(kind == "STRING", F.try_variant_get("value", "$", "string"))
-    number = F.when(_is_number(kind), F.try_variant_get("value", "$", "double"))
-    size = F.coalesce((F.octet_length(F.encode(said, "UTF-16BE")) / 2).cast("int"), F.when(kind == "ARRAY", F.size(F.expr("try_cast(value AS ARRAY<VARIANT>)"))))
-    keys = F.when(kind == "OBJECT", F.map_keys(F.expr("try_cast(value AS MAP<STRING, VARIANT>)")))
-    return rows.select("doc_id", "path", "shape", kind.alias("kind"), said.alias("said"), number.alias("number"), size.alias("size"), keys.alias("keys"))
-
-
-def _is_number(kind: Column) -> Column:
-    return kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL")
-
-
-def _instant(said: Column) -> Column:
-    """Milliseconds of an ISO timestamp with an offset, or null."""
-    iso = F.rlike(said, F.lit(r"^\d{4}-\d\d-\d\dT\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)\z"))
-    return F.unix_millis(F.when(iso & (F.length(said) <= 64), said).try_cast("timestamp"))
-
-
 # --- findings ----------------------------------------------------------------------------------------------------------
 
-
-def _finding(code: Column | str, path: Column | str, detail: Column) -> Column:
-    return F.struct((F.lit(code) if isinstance(code, str) else code).alias("code"), (F.col(path) if isinstance(path, str) else path).alias("path"), detail.cast("string").alias("detail"))
-
-
-def _shape_findings(rows: DataFrame) -> DataFrame:
-    """What is wrong with single values: their type, length, choice and fields."""
-    shape, kind, said, size = (F.col(c) for c in ("shape", "kind", "said", "size"))
-    part = lambda n: F.try_element_at(F.split(shape, "/"), F.lit(n))
-    told = F.when(F.contains(shape, F.lit("/")), part(1)).when(shape.isin("instant", "url", "reading", "number", "choice"), shape).otherwise("record")
-    text = told.isin("text", "choice", "instant", "url")
-    right = (text & (kind == "STRING")) | ((told == "list") & (kind == "ARRAY")) | ((told == "record") & (kind == "OBJECT")) | ((told == "number") & _is_number(kind)) | ((told == "reading") & (_is_number(kind) | (kind == "VOID")))
-    least, most = part(2).try_cast("int"), part(3).try_cast("int")
-    unknown_kind = F.startswith(shape, F.lit("component:")) & ~shape.isin(*RECORDS) & F.array_contains("keys", F.lit("kind"))
-    faults = F.array(
-        F.when(~right, _finding("wrong-type", "path", kind)),
-        F.when((told == "text") & (size < least), _finding("too-short", "path", size)),
-        F.when((told == "text") & (size > most), _finding("too-long", "path", size)),
-        F.when((told == "list") & (size < least), _finding("too-few", "path", size)),
-        F.when((told == "list") & (size > most), _finding("too-many", "path", size)),
-        F.when((told == "number") & ((F.col("number") < part(2).try_cast("double")) | (F.col("number") > part(3).try_cast("double"))), _finding("out-of-range", "path", F.lit(None))),
-        F.when((told == "choice") & (shape != "choice") & ~F.array_contains(F.split(part(2), "\\|"), said), _finding("not-allowed", "path", said)),
-        F.when(unknown_kind, _finding("not-allowed", F.concat("path", F.lit(".kind")), F.substring(shape, 11, 128))),
-        F.when((told == "instant") & said.isNotNull() & _instant(said).isNull(), _finding("bad-instant", "path", said)),
-        F.when((told == "url") & ((size > 2048) | ~F.rlike(said, F.lit(r"(?i)^https?://[^/?#@\s]+([/?#]\S*)?\z"))), _finding("bad-url", "path", said)),
-    )
-    allowed = F.try_element_at(_map({r: [f.rstrip("?") for f in fs] for r, fs in RECORDS.items()}), shape)
-    required = F.try_element_at(_map({r: [f for f in fs if not f.endswith("?")] for r, fs in RECORDS.items()}), shape)
-    field = lambda code, names: F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda k: _finding(code, F.concat("path", F.lit("."), k), F.lit(None)))
-    no_kind = F.when(shape == "component:", F.array_except(F.array(F.lit("kind")), "keys"))
-    of_fields = F.concat(field("unknown-field", F.array_except("keys", allowed)), field("missing-field", F.array_except(required, "keys")), field("missing-field", no_kind))
-    found = F.filter(F.concat(faults, F.when((told == "record") & (kind == "OBJECT"), of_fields).otherwise(F.array().cast("array<struct<code:string,path:string,detail:string>>"))), lambda f: f.isNotNull())
-    return rows.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
-
-
-def _records(rows: DataFrame, pattern: str, *fields: str) -> DataFrame:
-    """(doc_id, at, fields ...): text fields of the objects whose paths match."""
-    place = F.regexp_extract("path", rf"^({pattern})\.(\w+)\z", 1)
-    name = F.regexp_extract("path", rf"^({pattern})\.(\w+)\z", 2)
-    parts = rows.select("doc_id", place.alias("at"), name.alias("name"), "said", "number", "kind").where((F.col("at") != "") & F.col("name").isin(*fields))
-    return parts.groupBy("doc_id", "at").agg(*[F.max(F.when(F.col("name") == f, F.coalesce("said", F.col("number").cast("string")))).alias(f) for f in fields])
+#: A trend's point has the deepest fields.
+CONTRACT = Contract(RECORDS, "dashboard", MAX_BYTES, depth=9, by_kind=("component",))
 
 
 def _duplicates(rows: DataFrame) -> DataFrame:
@@ -202,10 +103,10 @@ def _duplicates(rows: DataFrame) -> DataFrame:
     element = r"^(.*\.(\w+))\[\d+\](?:\.(\w+))?\z"
     held, field = F.regexp_extract("path", element, 2), F.regexp_extract("path", element, 3)
     scope = F.when(held == "components", F.lit("$.pages[*].components")).otherwise(F.regexp_extract("path", element, 1))
-    by = F.try_element_at(_map(UNIQUE | {"statementTypes": ""}), held)
+    by = F.try_element_at(literal_map(UNIQUE | {"statementTypes": ""}), held)
     marked = rows.where(F.col("said").isNotNull() & (field == by)).select("doc_id", F.concat(F.lit("duplicate-"), held).alias("code"), scope.alias("path"), F.col("said").alias("detail"))
     again = marked.groupBy("doc_id", "code", "path", "detail").count().where("count > 1").drop("count")
-    edges = _records(rows, r"\$\.architecture\.edges\[\d+\]", "from", "to", "label").groupBy("doc_id", "from", "to", "label").count().where("count > 1")
+    edges = records(rows, r"\$\.architecture\.edges\[\d+\]", "from", "to", "label").groupBy("doc_id", "from", "to", "label").count().where("count > 1")
     return again.unionByName(edges.select("doc_id", F.lit("duplicate-edges").alias("code"), F.lit("$.architecture.edges").alias("path"), F.concat_ws(" ", "from", F.lit("->"), "to", "label").alias("detail")))
 
 
@@ -222,23 +123,22 @@ def _dangling(rows: DataFrame) -> DataFrame:
 
 def _times(rows: DataFrame) -> DataFrame:
     """Times out of order, freshness without a time, and readings without a unit."""
-    made = _records(rows, r"\$", "generatedAt").select("doc_id", _instant(F.col("generatedAt")).alias("made"))
-    told = _records(rows, r"\$\.freshness", "status", "latestObservationAt").join(made, "doc_id", "left")
-    evidence = _records(rows, r"\$\.evidence\[\d+\]", "observedAt", "retrievedAt").join(made, "doc_id", "left")
-    readings = _records(rows, r"\$.*\.(?:primary|secondary)", "value", "unit")
-    latest, retrieved = _instant(F.col("latestObservationAt")), _instant(F.col("retrievedAt"))
+    made = records(rows, r"\$", "generatedAt").select("doc_id", instant(F.col("generatedAt")).alias("made"))
+    told = records(rows, r"\$\.freshness", "status", "latestObservationAt").join(made, "doc_id", "left")
+    evidence = records(rows, r"\$\.evidence\[\d+\]", "observedAt", "retrievedAt").join(made, "doc_id", "left")
+    readings = records(rows, r"\$.*\.(?:primary|secondary)", "value", "unit")
+    latest, retrieved = instant(F.col("latestObservationAt")), instant(F.col("retrievedAt"))
     place = lambda field: F.concat("at", F.lit(f".{field}"))
-    late = F.array(
-        F.when(_instant(F.col("observedAt")) > retrieved, _finding("observed-after-retrieval", place("observedAt"), F.col("observedAt"))),
-        F.when(retrieved > F.col("made"), _finding("retrieved-after-generation", place("retrievedAt"), F.col("retrievedAt"))),
-    )
-    fresh = F.array(
-        F.when((F.col("status") == "fresh") & F.col("latestObservationAt").isNull(), _finding("fresh-without-time", place("latestObservationAt"), F.lit(None))),
-        F.when(latest > F.col("made"), _finding("freshness-after-generation", place("latestObservationAt"), F.col("latestObservationAt"))),
-    )
-    nameless = F.array(F.when((F.col("unit") == "") & F.col("value").isNotNull(), _finding("unit-missing", place("unit"), F.lit(None))))
-    out = lambda df, faults: df.select("doc_id", F.explode(F.filter(faults, lambda f: f.isNotNull())).alias("f")).select("doc_id", "f.*")
-    return out(evidence, late).unionByName(out(told, fresh)).unionByName(out(readings, nameless))
+    late = [
+        F.when(instant(F.col("observedAt")) > retrieved, finding("observed-after-retrieval", place("observedAt"), F.col("observedAt"))),
+        F.when(retrieved > F.col("made"), finding("retrieved-after-generation", place("retrievedAt"), F.col("retrievedAt"))),
+    ]
+    fresh = [
+        F.when((F.col("status") == "fresh") & F.col("latestObservationAt").isNull(), finding("fresh-without-time", place("latestObservationAt"))),
+        F.when(latest > F.col("made"), finding("freshness-after-generation", place("latestObservationAt"), F.col("latestObservationAt"))),
+    ]
+    nameless = F.when((F.col("unit") == "") & F.col("value").isNotNull(), finding("unit-missing", place("unit")))
+    return findings(evidence, *late).unionByName(findings(told, *fresh)).unionByName(findings(readings, nameless))
 
 
 def _budgets(rows: DataFrame) -> DataFrame:
@@ -246,8 +146,8 @@ def _budgets(rows: DataFrame) -> DataFrame:
     held = F.regexp_extract("path", r"\.(\w+)\[\d+\]\z", 1)
     items = F.count_if(held.isin(*UNIQUE, "edges")).alias("items")
     totals = rows.groupBy("doc_id").agg(items, F.count_if(held == "points").alias("points"), F.count_if(held == "evidenceIds").alias("references"))
-    faults = [F.when(F.col(c) > most, _finding(f"too-many-{c}", F.lit("$"), F.col(c))) for c, most in (("items", MAX_ITEMS), ("points", MAX_POINTS), ("references", MAX_REFERENCES))]
-    return totals.select("doc_id", F.explode(F.filter(F.array(*faults), lambda f: f.isNotNull())).alias("f")).select("doc_id", "f.*")
+    faults = [F.when(F.col(c) > most, finding(f"too-many-{c}", F.lit("$"), F.col(c))) for c, most in (("items", MAX_ITEMS), ("points", MAX_POINTS), ("references", MAX_REFERENCES))]
+    return findings(totals, *faults)
 
 
 def contract_findings(documents: DataFrame, body: str = "body") -> DataFrame:
@@ -257,13 +157,11 @@ def contract_findings(documents: DataFrame, body: str = "body") -> DataFrame:
     ids, so keep them apart.
     """
     with_checkpoints(documents.sparkSession)
-    size = F.octet_length(body)
-    unread = documents.where((size > MAX_BYTES) | F.try_parse_json(F.when(size <= MAX_BYTES, F.col(body))).isNull())
-    unread = unread.select("doc_id", F.when(size > MAX_BYTES, "too-large").otherwise("not-json").alias("code"), F.lit("$").alias("path"), F.when(size > MAX_BYTES, size.cast("string")).alias("detail"))
-    rows = document_rows(documents, body).repartition("doc_id").checkpoint()
-    for found in (_shape_findings(rows), _duplicates(rows), _dangling(rows), _times(rows), _budgets(rows)):
-        unread = unread.unionByName(found)
-    return unread
+    rows = CONTRACT.rows(documents.select("doc_id", F.col(body).alias("body")).repartition("doc_id")).checkpoint()  # texts are smaller than their rows
+    found = CONTRACT.unread(documents, body).unionByName(CONTRACT.shape_findings(rows))
+    for more in (_duplicates(rows), _dangling(rows), _times(rows), _budgets(rows)):
+        found = found.unionByName(more)
+    return found
 
 
 # --- composition -------------------------------------------------------------------------------------------------------
@@ -328,7 +226,7 @@ def _freshness(members: Column, sources: Column) -> Column:
     told = F.transform(sources, lambda s: s["dashboard"]["freshness"])
     every = lambda what: F.size(F.filter(told, lambda f: f["status"] == what)) == F.size(members)
     dated = F.filter(told, lambda f: f["latestObservationAt"].isNotNull())
-    earliest = F.array_min(F.transform(dated, lambda f, i: F.struct(_instant(f["latestObservationAt"]).alias("at"), i.alias("nth"), f["latestObservationAt"].alias("said"))))
+    earliest = F.array_min(F.transform(dated, lambda f, i: F.struct(instant(f["latestObservationAt"]).alias("at"), i.alias("nth"), f["latestObservationAt"].alias("said"))))
     return F.struct(
         F.when(every("fresh"), "fresh").when(every("stale"), "stale").otherwise("partial").alias("status"),
         _joined(members, lambda d: d["freshness"]["label"]).alias("label"),
@@ -356,7 +254,7 @@ def compose_documents(members: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(F.size(m) < 2, "too-few-sources").when(F.size(m) > MAX_MEMBERS, "too-many-sources").when(F.size(s) < 1, "none-loaded")
         .when(F.size(F.array_distinct(keys)) < F.size(m), "repeated-key").when(F.size(modes) > 1, "mixed-modes")
     )
-    made = F.array_max(F.transform(s, lambda x, i: F.struct(_instant(x["dashboard"]["generatedAt"]).alias("at"), (-i).alias("nth"), x["dashboard"]["generatedAt"].alias("said"))))
+    made = F.array_max(F.transform(s, lambda x, i: F.struct(instant(x["dashboard"]["generatedAt"]).alias("at"), (-i).alias("nth"), x["dashboard"]["generatedAt"].alias("said"))))
     action = F.struct(
         _joined(m, lambda d: d["nextAction"]["title"]).alias("title"),
         _attributed(m, lambda d: d["nextAction"]["detail"]).alias("detail"),
