@@ -239,3 +239,32 @@ def test_bands_of_fuzzy_lines_see_more_than_word_beginnings():
     token = lambda n: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(n))
     lines = [f"{token(22)} {token(22)} {token(22)}" for _ in range(2000)]
     assert _missed([("x" + line[1:], "y" + line[1:]) for line in lines]) == 0
+
+
+def test_short_lines_are_linked_whatever_their_signatures_say(spark):
+    """Of 12, 13 and 14 characters and one more: similarities of 0.75, 0.8 and 0.83."""
+    import random
+
+    rng = random.Random(8)
+    token = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for n in (12, 13, 14):
+        lines = [token(n) for _ in range(1500)]
+        docs = spark.createDataFrame([(2 * i + k, x + "q" * k) for i, x in enumerate(lines) for k in (0, 1)], "doc_id bigint, text string")
+        kept = fuzzy_lines(docs).where("kept").count()
+        assert 1500 <= kept <= 1502
+
+
+def test_links_of_near_dedup_are_between_words_not_hashes(spark):
+    """Thue-Morse words collide under any polynomial hash modulo 2**64; and a collision of any hash makes no link."""
+    from tidemark.llm.set_links import _links
+    from tidemark.llm.shingles import shingle_sets, word_shingles
+
+    one = "ab"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    same = lambda texts: (np.arange(len(texts), dtype=np.uint64) * np.uint64(0), np.arange(len(texts) + 1))
+    assert _links(["a b", "a b"], ["a c", "A  b"], same, word_shingles) == [False, True]
+    assert len(word_shingles("a b c d e f")) == np.diff(shingle_sets(["a b c d e f"])[1])[0] == 2

@@ -200,3 +200,33 @@ def test_packing_and_chats_of_long_runs_of_blanks(spark, libraries):
     turns = spark.createDataFrame([(1, 0, "user", BLANKS[1]), (1, 1, "assistant", BLANKS[0])], "conv_id bigint, turn int, role string, text string")
     read = read_back(*chat_tree(turns, BYTES), BYTES).first()
     assert read.loss_chars == 2_000_000 and read.loss_sha256 == hashlib.sha256(BLANKS[0].encode()).hexdigest()
+
+
+def test_turns_that_differ_by_where_a_nul_stands(spark):
+    turns = [(1, 0, "a\0b", "c"), (2, 0, "a", "b\0c")]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    found = {r.conv_id: r.turns_sha256 for r in read_back(*chat_tree(df, BYTES), BYTES).collect()}
+    assert found == {i: hashlib.sha256(f"{role}\n{text}\n".encode()).hexdigest() for i, _, role, text in turns}
+
+
+def test_turns_are_shared_by_content_not_by_digest(spark, monkeypatch):
+    from tidemark.llm import chat_tree as module
+    from tidemark.llm.packing import Encoder
+
+    monkeypatch.setattr(module, "_digest", lambda role, text: b"\0" * 32)  # every digest collides
+    rows = [(0, "x", "user", "one"), (0, "y", "user", "two"), (0, "z", "user", "two")]
+    nodes = [r for r in module._grow(Encoder(BYTES), iter(rows)) if r.get("ids") is not None]
+    assert len(nodes) == 2
+
+
+def test_long_words_are_counted_in_proportion(counter):
+    import random
+    import time
+
+    rng = random.Random(3)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(200_000))
+    began = time.perf_counter()
+    stored = counter.running(word)
+    cut = stored.longest_within(2048)
+    assert time.perf_counter() - began < 30 and word.startswith(cut)  # quadratic work would take hours
+    assert counter.prefixes(cut).total() <= 2048 < counter.prefixes(word[: len(cut) + 1]).total()

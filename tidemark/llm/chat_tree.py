@@ -59,7 +59,9 @@ def parse(formatted: str) -> tuple[str, str]:
 
 
 def _digest(role: str, text: str) -> bytes:
-    return hashlib.md5(role.encode() + b"\0" + text.encode()).digest()
+    """Of a turn; the role's length comes first, so no two turns are written alike."""
+    said = role.encode()
+    return hashlib.sha256(len(said).to_bytes(8, "little") + said + text.encode()).digest()
 
 
 def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
@@ -107,8 +109,7 @@ def _grow(encode: Encoder, rows: Iterator[tuple]) -> Iterator[dict]:
     for pack, row_name, role, text in rows:
         if row_name != name:
             name, depth, sharing = row_name, 0, True
-        d = _digest(role, text)
-        if not (sharing and depth < len(path) and path[depth]["digest"] == d):
+        if not (sharing and depth < len(path) and path[depth]["said"] == (role, text)):
             if sharing:
                 del path[depth:]
                 sharing = False
@@ -117,7 +118,7 @@ def _grow(encode: Encoder, rows: Iterator[tuple]) -> Iterator[dict]:
             up = path[-1] if path else {"node": -1, "tokens": 0, "spans": []}
             spans = [*up["spans"][:-1], (up["spans"][-1][0], end + len(ids))] if up["spans"] and up["spans"][-1][1] == end else [*up["spans"], (end, end + len(ids))]
             loss = (len(parts[0]), len(parts[0]) + len(parts[1])) if role == "assistant" else (0, 0)
-            path.append({"digest": d, "node": nodes, "tokens": up["tokens"] + len(ids), "spans": spans})
+            path.append({"said": (role, text), "node": nodes, "tokens": up["tokens"] + len(ids), "spans": spans})
             yield {"pack": pack, "node": nodes, "parent": up["node"], "depth": depth, "begin": end, "n_tokens": len(ids), "position": up["tokens"], "loss_begin": loss[0], "loss_end": loss[1], "attends": [{"begin": a, "end": b} for a, b in up["spans"]], "ids": ids.astype(np.int32)}
             nodes, end = nodes + 1, end + len(ids)
         yield {"pack": pack, "node": path[depth]["node"], "name": name, "nth": depth}

@@ -7,11 +7,12 @@ similarity is 0.75 or more. With 32 bands of 4 slots a pair at exactly 0.75 shar
 Documents with equal sets become one class, with one representative, before anything else. Representatives are linked
 within the bands' buckets without listing a bucket's pairs (see set_links): so large groups of copies, or of documents
 with a passage in common, make no square of pairs.
-Candidates whose signatures agree in too few slots aren't verified; all others are confirmed on the full sets.
+Candidates whose signatures agree in too few slots aren't verified; all others are confirmed on the full sets, in the end
+word for word.
 
 Defined results: null text or text without words has n_shingles 0 and is its own component; a null doc_id is never the
-smallest unless a component has only nulls; of repeated rows one is kept; an empty table gives an empty result; other
-columns pass by.
+smallest unless a component has only nulls; of repeated rows one is kept; texts of any length are read whole, in
+pieces; an empty table gives an empty result; other columns pass by.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import Scratch, skew_safe_join
 from tidemark.llm.set_links import SetLinks, groups
-from tidemark.llm.shingles import mix, shingle_sets, super_minhash
+from tidemark.llm.shingles import mix, shingle_sets, super_minhash, word_shingles
 
 BANDS, ROWS = 32, 4
 #: A link's signatures agree in fewer of the 128 slots with a chance of 5e-6 (4.4 deviations).
@@ -85,10 +86,10 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carr
 
     signed = classes.select("node", F.col("n_shingles").alias("weight"), "bands", "signature")
     texts = table.select(F.col("uid").alias("node"), F.col("row.text").alias("text"))
-    found = SetLinks(scratch, signed, texts, shingle_sets, LEAST_AGREEING).components()
+    found = SetLinks(scratch, signed, texts, shingle_sets, word_shingles, LEAST_AGREEING).components()
 
-    placed = classes.join(found, "node", "left").select("digest", "members", "keeper", F.coalesce("component", "node").alias("component"))
-    best = placed.groupBy("component").agg(F.min("keeper").alias("best"))
+    placed = scratch.write(classes.join(found, "node", "left").select("digest", "members", "keeper", F.coalesce("component", "node").alias("component")), "near-placed")
+    best = scratch.write(placed.groupBy("component").agg(F.min("keeper").alias("best")), "near-best")  # both written: a hot component is split
     labels = placed.join(best, "component").select("digest", "members", "best").withColumnRenamed("members", "class_rows")
     own = F.when(F.col("n_shingles") == 0, F.concat(F.lit("-"), "uid")).otherwise(F.col("digest"))  # no key for all empty texts
     rows = skew_safe_join(table.select("uid", "row", "n_shingles", own.alias("digest")), labels, "digest", table.count(), "class_rows", how="left")

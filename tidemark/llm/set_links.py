@@ -1,7 +1,8 @@
 """Links between sets whose Jaccard similarity is 0.75 or more, from MinHash signatures, without listing a bucket's pairs.
 
 Nodes are linked within the buckets of their bands (see candidates). A candidate pair whose signatures agree in less than
-``least`` slots isn't verified; all others are confirmed on the full sets. What large buckets leave unmerged is compared in
+``least`` slots isn't verified, if both sets have enough elements for their slots to tell; all others are confirmed on the
+full sets, by hashes first and then on the elements themselves. What large buckets leave unmerged is compared in
 blocks of bounded size, each pair in the first bucket that it shares; a block gives a spanning forest of its links, no
 more. So large groups of copies, or of texts with a passage in common, make no square of pairs.
 """
@@ -28,6 +29,7 @@ SLICE = 16
 GROUP_CHARS = 1 << 20
 
 Sets = Callable[[list], tuple[np.ndarray, np.ndarray]]
+Elements = Callable[[str], set]
 
 
 def groups(*columns: list) -> Iterator[tuple[int, int]]:
@@ -54,7 +56,13 @@ def _agreeing(one: pd.Series, two: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
 
-def _links(ones: list, twos: list, sets_of: Sets) -> list[bool]:
+def confirmed(one: str, two: str, elements: Elements) -> bool:
+    """Whether the sets of two texts are similar, by their elements."""
+    a, b = elements(one), elements(two)
+    return similar(len(a & b), len(a), len(b))
+
+
+def _links(ones: list, twos: list, sets_of: Sets, elements: Elements) -> list[bool]:
     """Whether the full sets of the texts of each pair are similar. The set of a text that many pairs name is made once."""
     verdicts = []
     for begin, end in groups(ones, twos):
@@ -62,23 +70,24 @@ def _links(ones: list, twos: list, sets_of: Sets) -> list[bool]:
         pairs = [(place.setdefault(x, len(place)), place.setdefault(y, len(place))) for x, y in zip(ones[begin:end], twos[begin:end])]
         hashes, offsets = sets_of(list(place))
         sets = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-        verdicts += [similar(len(np.intersect1d(sets[i], sets[k], assume_unique=True)), len(sets[i]), len(sets[k])) for i, k in pairs]
+        hashed = [similar(len(np.intersect1d(sets[i], sets[k], assume_unique=True)), len(sets[i]), len(sets[k])) for i, k in pairs]
+        verdicts += [h and confirmed(x, y, elements) for h, x, y in zip(hashed, ones[begin:end], twos[begin:end])]
     return verdicts
 
 
 class _Block:
     """The rows of a large bucket's homes ``low`` and ``high``, or of one home, whose links join components."""
 
-    def __init__(self, rows: pd.DataFrame, sets_of: Sets, least: int):
-        self.least = least
+    def __init__(self, rows: pd.DataFrame, sets_of: Sets, elements: Elements, least: int, tells_from: int):
+        self.least, self.tells_from, self.elements = least, tells_from, elements
         self.nodes, self.component, home = (rows[c].to_numpy() for c in ("node", "component", "home"))
         self.ones, self.twos = np.flatnonzero(home == rows["low"].iloc[0]), np.flatnonzero(home == rows["high"].iloc[0])
         self.signs = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
         bands = np.array(rows["bands"].tolist(), np.int64)
         self.earlier = bands[:, : np.flatnonzero(bands[0] == rows["bucket"].iloc[0])[0]]
-        texts, sets, sizes = rows["text"].tolist(), [], []
-        for begin, end in groups(texts):
-            hashes, offsets = sets_of(texts[begin:end])
+        self.texts, sets, sizes = rows["text"].tolist(), [], []
+        for begin, end in groups(self.texts):
+            hashes, offsets = sets_of(self.texts[begin:end])
             sets.append(hashes)
             sizes.append(np.diff(offsets))
         self.sizes = np.concatenate(sizes)
@@ -90,6 +99,7 @@ class _Block:
         """Of each pair, whether it could be a link between components and doesn't meet in an earlier band's bucket."""
         found = (self.signs[ones, None, :] == self.signs[None, twos, :]).sum(axis=2) >= self.least
         one, two = self.sizes[ones, None], self.sizes[None, twos]
+        found |= np.minimum(one, two) < self.tells_from
         found &= (np.minimum(one, two) * DENOMINATOR >= np.maximum(one, two) * NUMERATOR) & (self.component[ones, None] != self.component[None, twos])
         x, y = np.nonzero(found)
         found[x, y] = ~(self.earlier[ones[x]] == self.earlier[twos[y]]).any(axis=1)
@@ -108,7 +118,7 @@ class _Block:
         self.inside[self.places[row]] = True
         for k in others:
             both = np.count_nonzero(self.inside[self.places[k]])
-            if similar(both, self.sizes[row], self.sizes[k]) and self.root(k) != self.root(row):
+            if similar(both, self.sizes[row], self.sizes[k]) and self.root(k) != self.root(row) and confirmed(self.texts[row], self.texts[k], self.elements):
                 self.parent[self.root(row)] = self.root(k)
                 yield k
         self.inside[self.places[row]] = False
@@ -134,11 +144,12 @@ class SetLinks:
     """Components of nodes by links between their sets.
 
     ``signed`` has node, weight (about the set's size), bands (an array of bucket numbers) and signature (a byte a slot);
-    ``texts`` has node and text; ``sets_of`` makes the sets of a list of texts: sorted distinct hashes, and offsets.
+    ``texts`` has node and text; ``sets_of`` makes the sets of a list of texts: sorted distinct hashes, and offsets;
+    ``elements`` makes the set of one text itself. Signatures tell of sets of ``tells_from`` elements and more.
     """
 
-    def __init__(self, scratch: Scratch, signed: DataFrame, texts: DataFrame, sets_of: Sets, least: int):
-        self.scratch, self.signed, self.texts, self.sets_of, self.least = scratch, signed, texts, sets_of, least
+    def __init__(self, scratch: Scratch, signed: DataFrame, texts: DataFrame, sets_of: Sets, elements: Elements, least: int, tells_from: int = 0):
+        self.scratch, self.signed, self.texts, self.sets_of, self.elements, self.least, self.tells_from = scratch, signed, texts, sets_of, elements, least, tells_from
 
     def components(self) -> DataFrame:
         """Rows (node, component) of the nodes that have links."""
@@ -159,14 +170,15 @@ class SetLinks:
 
     def compare(self, pairs: DataFrame, one_each: bool = False) -> DataFrame:
         """Links among pairs (a, b); with ``one_each`` only the likeliest pair of each a is tested."""
-        sets_of = self.sets_of
+        sets_of, elements = self.sets_of, self.elements
 
         @F.pandas_udf(T.BooleanType())
         def linked(one: pd.Series, two: pd.Series) -> pd.Series:
-            return pd.Series(_links(one.tolist(), two.tolist(), sets_of), dtype=bool)
+            return pd.Series(_links(one.tolist(), two.tolist(), sets_of, elements), dtype=bool)
 
-        both = self._with(self.scratch.write(pairs, "pairs"), self.signed.select("node", "signature"))
-        likely = both.select("a", "b", _agreeing("signature_a", "signature_b").alias("agreeing")).where(F.col("agreeing") >= self.least)
+        both = self._with(self.scratch.write(pairs, "pairs"), self.signed.select("node", "signature", "weight"))
+        small = F.least("weight_a", "weight_b") < self.tells_from
+        likely = both.select("a", "b", small.alias("small"), _agreeing("signature_a", "signature_b").alias("agreeing")).where((F.col("agreeing") >= self.least) | F.col("small"))
         if one_each:
             likely = likely.groupBy("a").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
         likely = self.scratch.write(likely.select("a", "b"), "likely")
@@ -177,10 +189,10 @@ class SetLinks:
 
     def link_large(self, large: DataFrame) -> DataFrame:
         """Links that join the components of large mixed buckets."""
-        sets_of, least = self.sets_of, self.least
+        sets_of, elements, least, tells_from = self.sets_of, self.elements, self.least, self.tells_from
 
         def forest(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(_Block(rows, sets_of, least).forest(), columns=["a", "b"]).astype("int64")
+            return pd.DataFrame(_Block(rows, sets_of, elements, least, tells_from).forest(), columns=["a", "b"]).astype("int64")
 
         homes = large.join(self.signed.select("node", "weight"), "node").groupBy("bucket").agg(F.sum(F.col("weight") + ROW_ELEMENTS).alias("load"))
         homes = self.scratch.write(homes.select("bucket", F.ceil(F.col("load") / BLOCK_ELEMENTS).cast("int").alias("homes")), "homes")

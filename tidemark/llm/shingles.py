@@ -32,13 +32,26 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of lower-cased UTF-8 bytes, and the byte position at which each starts."""
+    """Hashes of the words of lower-cased UTF-8 bytes, and the byte position at which each starts.
+
+    A word's hash sums a random number for each byte at its place, so no arrangement of bytes makes two words collide.
+    """
     raw = np.frombuffer(data, np.uint8)
     edges = np.diff(np.concatenate([[True], _SPACES[raw], [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    power, inverse = _power_tables(max(len(raw) + 1, CHUNK + 2))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    sizes = ends - starts
+    offsets = np.cumsum(sizes) - sizes
+    place = np.arange(offsets[-1] + sizes[-1]) - np.repeat(offsets, sizes)
+    letters = mix(raw[~_SPACES[raw]].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)))
+    return mix(np.add.reduceat(letters, offsets) + sizes.astype(np.uint64)), starts
+
+
+def word_shingles(text: str) -> set[tuple[str, ...]]:
+    """The shingles themselves: tuples of words; fewer words than a shingle has are one."""
+    words = text.encode("utf-8").lower().split()
+    return {tuple(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))} if words else set()
 
 
 def _pieces(data: bytes):
@@ -170,6 +183,11 @@ def character_sets(lines: list[str], length: int) -> tuple[np.ndarray, np.ndarra
     return hashes, np.searchsorted(owners, np.arange(len(lines) + 1))
 
 
+def line_shingles(line: str, length: int) -> set[str]:
+    """The shingles themselves; a shorter line is one."""
+    return {line[i : i + length] for i in range(max(1, len(line) - length + 1))}
+
+
 def one_permutation_minhash(hashes: np.ndarray, owners: np.ndarray, sets: int, slots: int) -> np.ndarray:
     """MinHash signatures by one permutation: one row of ``slots`` values for each set; no set may be empty.
 

@@ -119,7 +119,8 @@ class PrefixCounter:
         """Tokens of every prefix of one word, each as a word of its own (0 for the empty one), by bytes."""
         symbols = self.spelled(word)
         lasts, counts = self._table(symbols)
-        return [0, *[counts[self._begin(symbols, lasts, k, 0, self.mark)] + 1 for k in range(1, len(symbols) + 1)]]
+        near = lambda k: max(0, k - self.longest)  # noqa: E731  no token is longer, so a word's cost is in proportion to its length
+        return [0, *[counts[self._begin(symbols, lasts, k, near(k), self.mark)] + 1 for k in range(1, len(symbols) + 1)]]
 
     def word_count(self, word: str) -> int:
         """Tokens of one word as split from a text."""
