@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import document_queries  # noqa: F401  registers its queries
+from tidemark import calculation_queries, document_queries  # noqa: F401  they register their queries
 from tidemark import queries as core
 from tidemark.streaming import readings
 

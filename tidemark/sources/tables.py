@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,11 +20,15 @@ def _ordered(column, kind: T.DataType):
     return column
 
 
-def canonical_json(df: DataFrame, out: str = "json") -> DataFrame:
-    """Each row as JSON text with sorted keys and its SHA-256: equal rows have equal bytes."""
+def canonical_text(df: DataFrame) -> Column:
+    """A row of ``df`` as JSON text with sorted keys: equal rows have equal texts."""
     fields = sorted(df.schema.fields, key=lambda f: f.name)
-    text = F.to_json(F.struct(*[_ordered(F.col(f.name), f.dataType).alias(f.name) for f in fields]), {"ignoreNullFields": "false"})
-    return df.select(text.alias(out)).withColumn("sha256", F.sha2(out, 256))
+    return F.to_json(F.struct(*[_ordered(F.col(f.name), f.dataType).alias(f.name) for f in fields]), {"ignoreNullFields": "false"})
+
+
+def canonical_json(df: DataFrame, out: str = "json") -> DataFrame:
+    """Each row as canonical JSON text and its SHA-256."""
+    return df.select(canonical_text(df).alias(out)).withColumn("sha256", F.sha2(out, 256))
 
 
 def write_canonical(df: DataFrame, path: str) -> None:
