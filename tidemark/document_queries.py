@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.stations import map_places
 from tidemark.plans import documents
+from tidemark.plans.compiled import compile_documents
 from tidemark.plans.documents import DOCUMENT, component
 from tidemark.registry import query
 from tidemark.session import with_checkpoints
@@ -451,3 +453,101 @@ def air_bundle_readings(spark, sf_dir):
     bundles = _faulty(_air_bundles(spark, sf_dir), _AIR_FAULTS)
     places, seen = air.air_stations(sound_payloads(bundles, air.air_findings(bundles)))
     return seen.join(places.select("site_id", "group"), "site_id").select("site_id", "group", "slot", F.unix_millis("at").alias("at_ms"), "value", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
+# --- compiled plans ------------------------------------------------------------------------------------------------------
+
+_PLANNED = "2024-01-20T12:00:00.000Z"
+_SECTIONS = ("conditions-summary", "headline-metrics", "gauge-map", "gauge-table", "fastest-rising", "change-windows", "stage-trends", "attention")
+
+
+def _planned(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(plans, metrics, thresholds, series): a plan for each dozen of customers as stations.
+
+    A customer's facts come from its key and balance, so that every branch occurs: rises, falls, ties, stale and missing
+    readings. A plan has up to 12 customers, in falling order of keys, and one site that doesn't exist.
+    """
+    k = F.col("c_custkey")
+    c = read_table(spark, sf_dir, "customer")
+    change = (k % 7 - 2).cast("double") / 10
+    fresh = F.when(k % 11 == 0, "missing").when(k % 13 == 0, "stale").otherwise("fresh")
+    second = F.when(k % 17 == 0, "missing").otherwise("fresh")
+    issues = F.array_compact(F.array(F.when(fresh != "fresh", F.concat(F.lit("Level is "), fresh)), F.when(second != "fresh", F.lit("Flow readings are missing"))))
+    metrics = c.select(
+        F.concat(F.lit("s"), k.cast("string")).alias("site_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("group"), ((k % 160) - 80).cast("double").alias("latitude"), ((k % 350) - 175).cast("double").alias("longitude"),
+        F.lit("Level").alias("primary_label"), F.lit("Flow").alias("secondary_label"), F.lit("ft").alias("primary_unit"), F.lit("ft3/s").alias("secondary_unit"), F.lit("Ledger").alias("source_name"), F.lit("2024-01-20 11:00:00").cast("timestamp").alias("retrieved_at"),
+        F.when(fresh != "missing", (k % 60).cast("double")).alias("latest_primary"), F.when(second == "fresh", (k % 9).cast("double")).alias("latest_secondary"), F.when(fresh == "fresh", F.lit("2024-01-20 10:00:00").cast("timestamp")).alias("latest_at"),
+        change.alias("change_1h"), (change * 2).alias("change_6h"), F.lit(None).cast("double").alias("change_24h"), F.when(fresh != "fresh", "unknown").when(change > 0.05, "rising").when(change < -0.05, "falling").otherwise("steady").alias("direction"),
+        F.when((fresh == "missing") | (second == "missing"), "missing").otherwise(fresh).alias("freshness"), fresh.alias("primary_freshness"), issues.alias("issues"),
+    )
+    plan = F.call_function("div", k, F.lit(12))
+    page = lambda i, sections: F.struct(F.lit(i).alias("id"), F.lit(i.title()).alias("title"), F.lit("d").alias("description"), F.array(*[F.lit(s) for s in sections]).alias("sections"))
+    members = F.transform(F.sort_array(F.collect_list(k), asc=False), lambda x: F.concat(F.lit("s"), x.cast("string")))
+    plans = c.groupBy(plan.alias("plan_id")).agg(F.concat(members, F.array(F.lit("nowhere"))).alias("site_ids"))
+    plans = plans.select("plan_id", F.lit("Levels").alias("title"), F.lit("desk").alias("audience"), F.lit("As framed").alias("framing"), "site_ids", F.array(page("overview", _SECTIONS[:4]), page("detail", _SECTIONS[4:]), page("none", ["unheard-of"])).alias("pages"))
+    thresholds = c.where("c_custkey % 5 = 0").select((k % 2).cast("int").alias("nth"), F.concat(F.lit("t"), k.cast("string")).alias("id"), F.lit("High level").alias("label"), F.concat(F.lit("s"), k.cast("string")).alias("site_id"), F.lit(30.0).alias("above"))
+    points = F.array(*[F.struct(F.lit(f"2024-01-20T0{h}:00:00.000Z").alias("at"), (k % 60 + h).cast("double").alias("value")) for h in (1, 2)])
+    series = c.select(F.concat(F.lit("s"), k.cast("string")).alias("site_id"), F.when(k % 3 == 0, points).otherwise(F.slice(points, 1, 1)).alias("points"))
+    return plans, metrics, thresholds, series
+
+
+_FACTS_SQL = """k AS (SELECT c_custkey AS k, c_custkey // 12 AS plan_id, c_name AS name, c_mktsegment AS grp, (c_custkey % 7 - 2) / 10 AS ch,
+  CASE WHEN c_custkey % 11 = 0 THEN 'missing' WHEN c_custkey % 13 = 0 THEN 'stale' ELSE 'fresh' END AS pf, c_custkey % 17 = 0 AS lacks FROM customer),
+f AS (SELECT *, pf = 'fresh' AND ch > 0.05 AS up, pf = 'fresh' AND ch < -0.05 AS down, pf <> 'fresh' OR lacks AS bad, pf = 'fresh' AND NOT lacks AND ch > 0.05 AS ranks, pf = 'fresh' AND k % 5 = 0 AND k % 60 > 30 AS over FROM k),
+a AS (SELECT plan_id, k, 0 AS part, CASE WHEN pf <> 'fresh' THEN 0 ELSE 1 END AS nth, CASE WHEN pf = 'fresh' AND NOT lacks THEN 1 ELSE 0 END AS calm, 's' || k || '-quality-0' AS id, grp AS title, 'Level is ' || pf AS detail FROM f WHERE pf <> 'fresh'
+  UNION ALL SELECT plan_id, k, 0, 1, 0, 's' || k || '-quality-' || (pf <> 'fresh')::INT, grp, 'Flow readings are missing' FROM f WHERE lacks
+  UNION ALL SELECT plan_id, k, 1, k % 2, 1, 't' || k, 'High level', grp || ' is ' || (k % 60) || ' ft, above the user threshold of 30 ft.' FROM f WHERE over),
+w AS (SELECT plan_id, count(*) AS n, arg_min(title || ' — ' || detail, (calm, part, CASE part WHEN 0 THEN -k ELSE nth END, CASE part WHEN 0 THEN nth ELSE 0 END, CASE part WHEN 1 THEN id ELSE '' END)) AS worst FROM a GROUP BY plan_id),
+p AS (SELECT plan_id, count(*) AS n, count(*) FILTER (WHERE up) AS up, count(*) FILTER (WHERE down) AS down, count(*) FILTER (WHERE bad) AS bad, count(*) FILTER (WHERE ranks) AS ranked, count(*) FILTER (WHERE k % 3 = 0) AS lines,
+  max(CASE WHEN ranks THEN ch END) AS top, arg_min(grp, -k) AS first_grp,
+  string_agg('s' || k, ',' ORDER BY ch DESC, k DESC) FILTER (WHERE ranks) AS ranking, string_agg('s' || k, ',' ORDER BY k DESC) AS stations,
+  arg_min(grp, (-ch, -k)) FILTER (WHERE ranks) AS top_grp, arg_min(name, (-ch, -k)) FILTER (WHERE ranks) AS top_name,
+  arg_max(grp, k) FILTER (WHERE bad) AS bad_grp, arg_max(name || ': ' || CASE WHEN pf <> 'fresh' THEN 'Level is ' || pf ELSE 'Flow readings are missing' END, k) FILTER (WHERE bad) AS bad_said FROM f GROUP BY plan_id)"""
+_SIGN = "'+' || regexp_replace(printf('%.1f', {0}), '\\.0$', '')"
+
+
+@query(f"""WITH {_FACTS_SQL}
+SELECT p.plan_id, stations, p.ranking, 'overview,detail' AS pages,
+  'conditions-summary,headline-metrics,gauge-map,gauge-table,fastest-rising,change-windows,' || CASE WHEN lines > 0 THEN 'stage-trends,' ELSE '' END || 'attention' AS components, lines::BIGINT AS n_series, greatest(coalesce(w.n, 0), 1)::BIGINT AS n_alerts,
+  p.n || ' gauge' || CASE p.n WHEN 1 THEN '' ELSE 's' END || ' monitored' AS known,
+  CASE WHEN ranked > 0 THEN top_grp || ' rose fastest' ELSE 'No material one-hour rise available' END AS changed,
+  CASE WHEN ranked > 0 THEN 'The fastest fresh, complete material one-hour rise is ' || {_SIGN.format('top')} || ' ft at ' || top_name || '.' ELSE 'No fresh, complete gauge rose more than 0.05 ft over the last hour.' END AS changed_detail,
+  CASE WHEN w.n > 0 THEN w.n || ' item' || CASE w.n WHEN 1 THEN '' ELSE 's' END || ' need attention' ELSE 'Configured checks are clear' END AS important,
+  CASE WHEN w.n > 0 THEN 'Highest priority: ' || worst ELSE 'No data-quality check needs attention.' END AS important_detail,
+  CASE WHEN bad > 0 THEN 'Review ' || bad_grp || ' gauge' ELSE 'Review the dashboard before sharing' END AS action,
+  CASE WHEN bad > 0 THEN bad_said ELSE 'Confirm the calculated conditions match the source readings and the intended audience.' END AS action_detail,
+  up || ' gauge' || CASE up WHEN 1 THEN ' is' ELSE 's are' END || ' rising and ' || down || CASE down WHEN 1 THEN ' is' ELSE ' are' END || ' falling.' AS claim,
+  CASE WHEN bad = 0 THEN 'All gauges fresh' WHEN bad = 1 THEN '1 gauge needs attention' ELSE bad || ' gauges need attention' END AS label, CASE WHEN bad > 0 THEN 'partial' ELSE 'fresh' END AS status
+FROM p LEFT JOIN w USING (plan_id)""")
+def compiled_plans(spark, sf_dir):
+    """A document for each plan: sections with map, table and attention, the brief and the next action."""
+    plans, metrics, thresholds, series = _planned(spark, sf_dir)
+    made = compile_documents(plans, metrics, _PLANNED, thresholds=thresholds, series=series)
+    d, pages = F.col("dashboard"), F.col("dashboard.pages")
+    parts = F.flatten(F.transform(pages, lambda p: p["components"]))
+    part = lambda name: F.try_element_at(F.filter(parts, lambda c: c["id"] == name), F.lit(1))
+    ids = lambda of: F.array_join(F.transform(of, lambda x: x["id"]), ",")
+    brief = d["executiveBrief"]
+    return made.select(
+        "plan_id", ids(part("gauge-map")["stations"]).alias("stations"), F.nullif(ids(part("fastest-rising")["items"]), F.lit("")).alias("ranking"), ids(pages).alias("pages"), ids(parts).alias("components"),
+        F.coalesce(F.size(part("stage-trends")["series"]), F.lit(0)).cast("bigint").alias("n_series"), F.size(part("attention")["alerts"]).cast("bigint").alias("n_alerts"),
+        brief["known"]["headline"].alias("known"), brief["changed"]["headline"].alias("changed"), brief["changed"]["detail"].alias("changed_detail"), brief["important"]["headline"].alias("important"), brief["important"]["detail"].alias("important_detail"),
+        d["nextAction"]["title"].alias("action"), d["nextAction"]["detail"].alias("action_detail"), part("conditions-summary")["claims"][0]["text"].alias("claim"), d["freshness"]["label"].alias("label"), d["freshness"]["status"].alias("status"),
+    )
+
+
+@query("SELECT DISTINCT c_custkey // 12 AS plan_id, 0 AS n_findings FROM customer")
+def compiled_plans_are_sound(spark, sf_dir):
+    """How much the contract finds in each compiled document: nothing."""
+    plans, metrics, thresholds, series = _planned(spark, sf_dir)
+    made = _stored(compile_documents(plans, metrics, _PLANNED, thresholds=thresholds, series=series).select(F.col("plan_id").alias("doc_id"), documents.document_json(F.col("dashboard")).alias("body")))
+    found = documents.contract_findings(made).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return made.select("doc_id").join(found, "doc_id", "left").select(F.col("doc_id").alias("plan_id"), F.coalesce("n", F.lit(0)).cast("int").alias("n_findings"))
+
+
+@query("""WITH s AS (SELECT s_nationkey AS nation, s_suppkey AS site, (s_suppkey * 37 % 160 - 80)::DOUBLE AS lat, (s_suppkey * 53 % 350 - 175)::DOUBLE AS lon FROM supplier)
+SELECT nation, site, CASE WHEN max(lon) OVER w > min(lon) OVER w THEN 12 + (lon - min(lon) OVER w) / (max(lon) OVER w - min(lon) OVER w) * 76 ELSE 12 END AS "left",
+  CASE WHEN max(lat) OVER w > min(lat) OVER w THEN 12 + (1 - (lat - min(lat) OVER w) / (max(lat) OVER w - min(lat) OVER w)) * 70 ELSE 82 END AS top FROM s WINDOW w AS (PARTITION BY nation)""")
+def map_scaling(spark, sf_dir):
+    s = read_table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("site"), (F.col("s_suppkey") * 37 % 160 - 80).cast("double").alias("latitude"), (F.col("s_suppkey") * 53 % 350 - 175).cast("double").alias("longitude"))
+    return map_places(s, "nation").select("nation", "site", "left", "top")

@@ -99,7 +99,10 @@ def stale_or_missing(metrics: DataFrame) -> DataFrame:
 
 
 def ranked(metrics: DataFrame, policy: Policy = RIVER) -> DataFrame:
-    """Fresh and complete stations by how much they rose in an hour, if materially."""
+    """Fresh and complete stations by how much they rose in an hour, if materially; ties by site, as rows have no order.
+
+    (Compiled documents keep the plan's order among ties.)
+    """
     sound = metrics.where((F.col("change_1h") > policy.material_rise) & (F.col("freshness") == "fresh") & (F.size("issues") == 0))
     return sound.orderBy(F.desc("change_1h"), "site_id")
 
@@ -144,3 +147,12 @@ def scaled(points: DataFrame, by: str, value: str, low: float = 0.0, high: float
     span = F.col("_high") - F.col("_low")
     share = F.when(span > 0, (F.col(value) - F.col("_low")) / span).otherwise(F.lit(0.5))
     return points.join(bounds, by).withColumn(f"{value}_scaled", F.lit(low) + share * (high - low)).drop("_low", "_high")
+
+
+def map_places(points: DataFrame, by: str, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
+    """Percentages from the left and the top at which stations stand on the map of each ``by``, from one aggregate of its bounds."""
+    ends = points.groupBy(by).agg(*[how(c).alias(f"_{n}_{c}") for c in (latitude, longitude) for n, how in (("low", F.min), ("high", F.max))])
+    span = lambda c: F.col(f"_high_{c}") - F.col(f"_low_{c}")
+    share = lambda c: F.when(span(c) > 0, (F.col(c) - F.col(f"_low_{c}")) / span(c)).otherwise(F.lit(0.0))
+    # Margins and extents of the map.
+    return points.join(ends, by).withColumn("left", 12 + share(longitude) * 76).withColumn("top", 12 + (1 - share(latitude)) * 70).drop(*[c for c in ends.columns if c != by])
