@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import signed_number
-from tidemark.operators.stations import RIVER, Policy, moving, ranked, stale_or_missing
+from tidemark.functions.text import directives, measurements, signed_number
+from tidemark.operators.stations import RIVER, Policy, ranked
 
 
 def headline_metrics(metrics: DataFrame, noun: str = "gauges") -> DataFrame:
@@ -27,9 +27,12 @@ def headline_metrics(metrics: DataFrame, noun: str = "gauges") -> DataFrame:
 
 def conditions_summary(metrics: DataFrame, policy: Policy = RIVER, noun: str = "gauge") -> DataFrame:
     """(place, claim): what moves, what rises fastest, what needs a check."""
-    counts = moving(metrics, "rising").agg(F.count(F.lit(1)).alias("up")).crossJoin(moving(metrics, "falling").agg(F.count(F.lit(1)).alias("down"))).crossJoin(stale_or_missing(metrics).agg(F.count(F.lit(1)).alias("checks")))  # one row each
-    top = ranked(metrics, policy).limit(1).agg(F.max("group").alias("group"), F.max("change_1h").alias("change"), F.max("primary_unit").alias("unit"))
-    c = counts.crossJoin(top)  # one row each
+    fresh = F.col("primary_freshness") == "fresh"
+    checked = (F.col("freshness") != "fresh") | (F.size("issues") > 0)
+    rises = fresh & ~checked & (F.col("change_1h") > policy.material_rise)
+    first = F.min(F.when(rises, F.struct((-F.col("change_1h")).alias("fall"), "site_id", "group", F.col("primary_unit").alias("unit")))).alias("top")
+    c = metrics.agg(F.count_if(fresh & (F.col("direction") == "rising")).alias("up"), F.count_if(fresh & (F.col("direction") == "falling")).alias("down"), F.count_if(checked).alias("checks"), first)
+    c = c.select("up", "down", "checks", "top.group", (-F.col("top.fall")).alias("change"), "top.unit")
     some = lambda n, one, many: F.when(F.col(n) == 1, one).otherwise(many)
     first = F.concat(F.col("up").cast("string"), F.lit(f" {noun}"), some("up", " is", "s are"), F.lit(" rising and "), F.col("down").cast("string"), some("down", " is", " are"), F.lit(" falling."))
     second = F.when(F.col("group").isNull(), f"No fresh, complete {noun} is rising fast enough to rank over the last hour.").otherwise(
@@ -60,8 +63,8 @@ def select_sites(stations: DataFrame, wanted: str) -> DataFrame:
     """Stations whose name, group or id the text mentions, or all if there is none."""
     text = F.lit(wanted.lower())
     hit = F.contains(text, F.lower("name")) | F.contains(text, F.lower("group")) | F.contains(text, F.lower("site_id"))
-    any_hit = F.max(hit.cast("int")).over(Window.partitionBy())  # a dashboard's stations, 200 at most
-    return stations.withColumn("_hit", hit).withColumn("_any", any_hit).where("_any = 0 OR _hit").drop("_hit", "_any")
+    none = stations.agg(F.coalesce(~F.bool_or(hit), F.lit(True)).alias("_none"))  # one row
+    return stations.withColumn("_hit", hit).join(F.broadcast(none)).where(F.col("_none") | F.col("_hit")).drop("_hit", "_none")
 
 
 def ordered_sites(plan: DataFrame, stations: DataFrame) -> DataFrame:
@@ -70,18 +73,46 @@ def ordered_sites(plan: DataFrame, stations: DataFrame) -> DataFrame:
     return wanted.join(stations, "site_id").orderBy("plan_id", "place")
 
 
+# The sections that say something about single stations.
+NEED_SITES = ("gauge-map", "gauge-table", "stage-trends", "change-windows")
+
+
 def plan_findings(plans: DataFrame, stations: DataFrame) -> DataFrame:
-    """(plan_id, finding, subject): unknown and repeated sites, plans without sites, repeated sections.
+    """(plan_id, finding, path, subject): everything that keeps a plan from being compiled, with its place in the plan.
 
-    ``plans`` has plan_id, site_ids and sections (arrays of text).
+    ``plans`` has plan_id, title, audience, framing, site_ids and pages (id, title, description, sections). Sites are looked up
+    by one join; everything else is said of a plan's own row. Findings: unknown-site, duplicate-site (of a known site, from
+    its second place on), no-known-sites, duplicate-page, duplicate-section, section-needs-sites, free-text-measurement and
+    free-text-directive (of any text that readers see).
     """
-    sites = plans.select("plan_id", F.explode("site_ids").alias("subject"))
-    say = lambda rows, what: rows.select("plan_id", F.lit(what).alias("finding"), "subject")
-    unknown = sites.distinct().join(stations.select(F.col("site_id").alias("subject")), "subject", "left_anti")
-    twice = sites.groupBy("plan_id", "subject").count().where("count > 1")
-    sections = plans.select("plan_id", F.explode("sections").alias("subject")).groupBy("plan_id", "subject").count().where("count > 1")
-    none = plans.where(F.size("site_ids") == 0).select("plan_id", F.lit(None).cast("string").alias("subject"))
-    return say(unknown, "unknown-site").union(say(twice, "duplicate-site")).union(say(sections, "duplicate-section")).union(say(none, "needs-sites"))
+    place = lambda name, i, rest="": F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"]{rest}"))
+    finding = lambda what, path, subject: F.struct(F.lit(what).alias("finding"), path.alias("path"), subject.alias("subject"))
+    sites = plans.select("plan_id", "site_ids", F.posexplode("site_ids").alias("i", "subject"))
+    met = sites.join(stations.select(F.col("site_id").alias("subject"), F.lit(True).alias("known")).distinct(), "subject", "left")
+    again = F.array_position("site_ids", F.col("subject")) <= F.col("i")
+    told = F.when(F.col("known").isNull(), "unknown-site").when(again, "duplicate-site")
+    of_sites = met.select("plan_id", told.alias("finding"), place("siteIds", F.col("i")).alias("path"), "subject").where("finding IS NOT NULL")
+
+    known = met.groupBy("plan_id").agg(F.count("known").alias("n_known"))
+    rows = plans.join(known, "plan_id", "left").withColumn("none", F.coalesce("n_known", F.lit(0)) == 0)
+    pages = F.transform("pages", lambda p, i: F.struct(i.alias("i"), p["id"].alias("id"), p["title"].alias("title"), p["description"].alias("description"), p["sections"].alias("sections")))
+    repeats = F.filter(pages, lambda p: F.array_position(F.transform("pages", lambda x: x["id"]), p["id"]) <= p["i"])
+    parts = F.flatten(F.transform(pages, lambda p: F.transform(p["sections"], lambda x, i: F.struct(F.concat(place("pages", p["i"], ".sections["), i.cast("string"), F.lit("]")).alias("path"), x.alias("kind")))))
+    numbered = F.transform(parts, lambda x, i: F.struct(x["path"].alias("path"), x["kind"].alias("kind"), i.alias("i")))
+    kinds = F.transform(parts, lambda x: x["kind"])
+    texts = F.concat(
+        F.array(*[F.struct(F.lit(c).alias("path"), F.col(c).alias("said")) for c in ("title", "audience", "framing")]),
+        F.flatten(F.transform(pages, lambda p: F.array(*[F.struct(place("pages", p["i"], f".{c}").alias("path"), p[c].alias("said")) for c in ("title", "description")]))),
+    )
+    smuggled = lambda what, found: F.flatten(F.transform(texts, lambda x: F.transform(F.coalesce(found(x["said"]), F.array().cast("array<string>")), lambda y: finding(what, x["path"], y))))
+    of_plans = F.concat(
+        F.filter(F.array(F.when(F.col("none"), finding("no-known-sites", F.lit("siteIds"), F.lit(None).cast("string")))), lambda f: f.isNotNull()),
+        F.transform(repeats, lambda p: finding("duplicate-page", place("pages", p["i"], ".id"), p["id"])),
+        F.transform(F.filter(numbered, lambda x: F.array_position(kinds, x["kind"]) <= x["i"]), lambda x: finding("duplicate-section", x["path"], x["kind"])),
+        F.transform(F.filter(parts, lambda x: F.col("none") & x["kind"].isin(*NEED_SITES)), lambda x: finding("section-needs-sites", x["path"], x["kind"])),
+        smuggled("free-text-measurement", measurements), smuggled("free-text-directive", directives),
+    )
+    return of_sites.unionByName(rows.select("plan_id", F.explode(of_plans).alias("f")).select("plan_id", "f.*"))
 
 
 def compose(members: list[tuple[str, DataFrame | None]]) -> DataFrame:

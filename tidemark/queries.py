@@ -335,7 +335,7 @@ def contract_ratio(spark, sf_dir):
 
 # --- stations ----------------------------------------------------------------------------------------------------
 
-_AS_OF = "2024-01-20 00:00:00"
+_AS_OF = "2024-01-20 12:00:00"
 _SIDES = {"view": "primary", "click": "secondary"}
 
 
@@ -452,18 +452,28 @@ def dashboard_trends(spark, sf_dir):
     return dashboards.trends(_metrics(spark, sf_dir), _observations(spark, sf_dir)).select("site_id", F.unix_micros("at").alias("at_us"), "value")
 
 
-_PLANS = """plans AS (SELECT n_nationkey AS plan_id, coalesce(list(c_custkey::VARCHAR ORDER BY c_custkey) FILTER (WHERE c_custkey % 3 = 0), []) || [n_nationkey::VARCHAR, n_nationkey::VARCHAR, '-1'] AS sites FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey)"""
-
-
-@query(f"""WITH {_PLANS}, s AS (SELECT plan_id, unnest(sites) AS subject FROM plans)
-SELECT DISTINCT plan_id, 'unknown-site' AS finding, subject FROM s WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey::VARCHAR = subject)
-UNION ALL SELECT plan_id, 'duplicate-site', subject FROM s GROUP BY plan_id, subject HAVING count(*) > 1""")
+@query("""WITH plans AS (SELECT n_nationkey AS plan_id, CASE WHEN n_nationkey % 5 = 4 THEN ['-1'] ELSE [n_nationkey::VARCHAR, (n_nationkey + 1)::VARCHAR, n_nationkey::VARCHAR, '-1'] END AS sites FROM nation),
+s AS (SELECT plan_id, unnest(sites) AS subject, generate_subscripts(sites, 1) - 1 AS i, sites FROM plans)
+SELECT plan_id, 'unknown-site' AS finding, 'siteIds[' || i || ']' AS path, subject FROM s WHERE subject = '-1'
+UNION ALL SELECT plan_id, 'duplicate-site', 'siteIds[' || i || ']', subject FROM s WHERE subject <> '-1' AND list_position(sites, subject) <= i
+UNION ALL SELECT plan_id, 'no-known-sites', 'siteIds', NULL FROM plans WHERE plan_id % 5 = 4
+UNION ALL SELECT plan_id, 'duplicate-page', 'pages[1].id', 'a' FROM plans WHERE plan_id % 5 = 0
+UNION ALL SELECT plan_id, 'duplicate-section', 'pages[1].sections[0]', 'gauge-map' FROM plans WHERE plan_id % 5 = 1
+UNION ALL SELECT plan_id, 'section-needs-sites', 'pages[0].sections[1]', 'gauge-map' FROM plans WHERE plan_id % 5 = 4
+UNION ALL SELECT plan_id, 'free-text-measurement', 'pages[1].description', plan_id || ' ft' FROM plans WHERE plan_id % 5 = 2
+UNION ALL SELECT plan_id, 'free-text-directive', 'framing', 'avoid the ' || n_name || ' roads' FROM plans JOIN nation ON n_nationkey = plan_id WHERE plan_id % 5 = 3 AND NOT contains(n_name, ' ')""")
 def plan_findings(spark, sf_dir):
-    c, n = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation")
-    mine = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_nationkey").alias("plan_id")).agg(F.collect_list(F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string"))).alias("some"))
-    key = F.col("plan_id").cast("string")
-    plans = mine.select("plan_id", F.concat("some", F.array(key, key, F.lit("-1"))).alias("site_ids"), F.array(F.lit("map"), F.lit("table")).alias("sections"))
-    return dashboards.plan_findings(plans, c.select(F.col("c_custkey").cast("string").alias("site_id")))
+    """Plans of every nation with a fault of each kind among them."""
+    k = F.col("n_nationkey")
+    case, key = k % 5, k.cast("string")
+    page = lambda i, sections, said: F.struct(F.lit(i).alias("id") if isinstance(i, str) else i.alias("id"), F.lit("Levels").alias("title"), said.alias("description"), sections.alias("sections"))
+    kinds = lambda *names: F.array(*[F.lit(x) for x in names])
+    second = F.when(case == 1, kinds("gauge-map")).otherwise(kinds("attention"))
+    pages = F.array(page("a", kinds("headline-metrics", "gauge-map"), F.lit("Where")), page(F.when(case == 0, "a").otherwise("b"), second, F.when(case == 2, F.concat(F.lit("About "), key, F.lit(" ft"))).otherwise(F.lit("What"))))
+    sites = F.when(case == 4, F.array(F.lit("-1"))).otherwise(F.array(key, (k + 1).cast("string"), key, F.lit("-1")))
+    framing = F.when((case == 3) & ~F.contains("n_name", F.lit(" ")), F.concat(F.lit("Please avoid the "), "n_name", F.lit(" roads"))).otherwise(F.lit("As asked"))
+    plans = read_table(spark, sf_dir, "nation").select(k.alias("plan_id"), F.lit("Levels").alias("title"), F.lit("desk").alias("audience"), framing.alias("framing"), sites.alias("site_ids"), pages.alias("pages"))
+    return dashboards.plan_findings(plans, read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("site_id")))
 
 
 @query(f"""WITH {_METRICS} SELECT site_id, "group" AS label, {_SIGNED('change_1h')} AS value, direction || '; 6h ' || {_SIGNED('change_6h')} AS note FROM metrics WHERE {_RANKED}""")
@@ -511,7 +521,7 @@ def lineage_freshness(spark, sf_dir):
     o, c, e = (read_table(spark, sf_dir, t) for t in ("orders", "customer", "events"))
     lineage = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("metric"), F.col("o_orderkey").alias("evidence_id"))
     bundle = e.select(F.col("event_id").alias("evidence_id"), F.when(F.col("event_type") == "view", "current").otherwise("old").alias("freshness"), F.col("ts").cast("timestamp").alias("observed_at"))
-    return evidence.stale_lineage(lineage, bundle, _AS_OF, 10 * 86_400_000)
+    return evidence.stale_lineage(lineage, bundle, "2024-01-20 00:00:00", 10 * 86_400_000)
 
 
 @query("""WITH l AS (SELECT n_regionkey AS "group", n_nationkey AS source, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1 AS nth, s_suppkey % 40 AS id FROM supplier JOIN nation ON n_nationkey = s_nationkey),
@@ -736,18 +746,24 @@ def verify_strictness_cost(spark, sf_dir):
     return verification.strictness_cost(_judged(spark, sf_dir))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'unknown-snapshot' WHEN doc_id % 7 = 2 THEN 'snapshot-identity-mismatch' WHEN doc_id % 7 = 3 THEN 'locator-out-of-range' WHEN doc_id % 7 = 4 THEN 'coordinate-text-mismatch' WHEN doc_id % 7 = 5 THEN 'value-not-in-extracted-text' WHEN doc_id % 7 = 6 THEN 'unit-not-in-extracted-text' END AS refusal FROM documents""")
+_VERDICTS = [None, "unknown-snapshot", "snapshot-identity-mismatch", "hash-mismatch", "locator-out-of-range", "coordinate-text-mismatch", "malformed-candidate", "unsupported-normalization", "unsupported-unit-syntax", "value-not-in-extracted-text", "unit-not-in-extracted-text"]
+
+
+@query(f"SELECT doc_id, [{', '.join('NULL' if v is None else repr(v) for v in _VERDICTS)}][doc_id % {len(_VERDICTS)} + 1] AS refusal FROM documents")
 def verify_candidates(spark, sf_dir):
+    """A candidate for each document, with every reason for a refusal among them."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("n = "), F.col("n_chars").cast("string"), F.lit("% of "), F.coalesce("text", F.lit(""))).alias("body"), "n_chars")
     content = F.encode("body", "UTF-8")
-    documents = d.where("doc_id % 7 <> 1").select(F.col("doc_id").cast("string").alias("snapshot_id"), F.sha2(content, 256).alias("sealed_sha256"), content.alias("content"))
-    case = F.col("doc_id") % 7
-    shown = F.concat(F.col("n_chars").cast("string"), F.lit("%"))
+    case = F.col("doc_id") % len(_VERDICTS)
+    broken = lambda reason: case == _VERDICTS.index(reason)
+    sealed = F.when(broken("hash-mismatch"), F.repeat(F.lit("7"), F.lit(64))).otherwise(F.sha2(content, 256))
+    documents = d.where(~broken("unknown-snapshot")).select(F.col("doc_id").cast("string").alias("snapshot_id"), sealed.alias("sealed_sha256"), content.alias("content"))
+    shown = F.concat(F.col("n_chars").cast("string"), F.when(broken("unsupported-unit-syntax"), "% of").otherwise("%"))
     end = 4 + F.length(shown)
     candidates = d.select(
-        "doc_id", F.col("doc_id").cast("string").alias("snapshot_id"), F.when(case == 2, "0").otherwise(F.sha2(content, 256)).alias("content_sha256"), F.when(case == 4, 3).otherwise(4).alias("start_byte"),
-        F.when(case == 3, 1_000_000_000).when(case == 4, end - 1).otherwise(end).alias("end_byte"), shown.alias("extracted_text"), F.lit("1").alias("normalisation"),
-        F.when(case == 5, -1.0).otherwise(F.col("n_chars").cast("double")).alias("value"), F.when(case == 6, "count").otherwise("percent").alias("unit"),
+        "doc_id", F.col("doc_id").cast("string").alias("snapshot_id"), F.when(broken("snapshot-identity-mismatch"), "0").otherwise(sealed).alias("content_sha256"), F.when(broken("coordinate-text-mismatch"), 3).otherwise(4).alias("start_byte"),
+        F.when(broken("locator-out-of-range"), 1_000_000_000).when(broken("coordinate-text-mismatch"), end - 1).when(broken("malformed-candidate"), 4).otherwise(end).alias("end_byte"), shown.alias("extracted_text"),
+        F.when(broken("unsupported-normalization"), "2").otherwise("1").alias("normalisation"), F.when(broken("value-not-in-extracted-text"), -1.0).otherwise(F.col("n_chars").cast("double")).alias("value"), F.when(broken("unit-not-in-extracted-text"), "count").otherwise("percent").alias("unit"),
     )
     return verification.verify(candidates, documents).select("doc_id", "refusal")
 
