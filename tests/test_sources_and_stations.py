@@ -302,3 +302,10 @@ def test_air_findings(spark):
     }
     found = air_findings(spark.createDataFrame([(k, v) for k, (v, _) in cases.items()], "doc_id string, body string")).collect()
     assert {k: {r.code for r in found if r.doc_id == k} for k in cases} == {k: v for k, (_, v) in cases.items()}
+
+
+def test_reachability_along_a_long_path(spark):
+    """Many rounds: what is known stays in few tables."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(11)] + [(5, 2), (40, 41)], "src int, dst int")
+    found = reachability.reachable(edges, spark.createDataFrame([(0,), (0,)], "node int"))
+    assert sorted(r.node for r in found.collect()) == list(range(12))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,8 @@ def append_version(path: str, rows: DataFrame, expected_head: int) -> int:
     spark = rows.sparkSession
     try:
         head = spark.read.parquet(path).agg(F.max("version")).first()[0] or 0
-    except Exception as missing:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         head = 0
     if head != expected_head:

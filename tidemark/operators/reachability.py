@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +12,22 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node): roots and all that follows them. ``edges`` has src and dst, ``roots`` node. Cycles are fine.
 
     Each round joins only the newly found nodes with the edges, and is checkpointed, so the plan doesn't grow with the
-    depth; the session needs a checkpoint folder (see tidemark.session).
+    depth; the session needs a checkpoint folder (see tidemark.session). What is known lies in few tables: two that stand for
+    equally many rounds are written as one, so a round reads a logarithm of the rounds before it, not all of them.
     """
-    known = roots.select("node").distinct().checkpoint()
-    frontier = known
+    frontier = roots.select("node").distinct().checkpoint()
+    tables = [(0, frontier)]
     while True:
         fresh = edges.join(frontier, edges["src"] == frontier["node"]).select(edges["dst"].alias("node")).distinct()
-        fresh = fresh.join(known, "node", "left_anti").checkpoint()
-        if fresh.isEmpty():
-            return known
-        known, frontier = known.union(fresh), fresh
+        for _, known in tables:
+            fresh = fresh.join(known, "node", "left_anti")
+        frontier = fresh.checkpoint()
+        if frontier.isEmpty():
+            return reduce(DataFrame.union, [known for _, known in tables])
+        tables.append((0, frontier))
+        while len(tables) > 1 and tables[-1][0] == tables[-2][0]:
+            (rank, one), (_, two) = tables.pop(), tables.pop()
+            tables.append((rank + 1, one.union(two).checkpoint()))
 
 
 def differences(declared: DataFrame, actual: DataFrame, existing: DataFrame, roots: DataFrame | None = None) -> DataFrame:

@@ -134,11 +134,26 @@ def latest_observation(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.max("latest_at").alias("latest_observation_at"))
 
 
-def station_evidence(metrics: DataFrame, as_of) -> DataFrame:
-    """One observed evidence record per station and one for the calculations."""
-    observed = metrics.select(F.concat(F.lit("station-"), "site_id").alias("id"), F.lit("observed").alias("kind"), F.concat_ws(" ", "group", "site_id").alias("label"), F.col("latest_at").alias("observed_at"))
-    one = metrics.sparkSession.range(1).select(F.lit("calculations").alias("id"), F.lit("calculated").alias("kind"), F.lit("Calculations").alias("label"), F.lit(as_of).cast("timestamp").alias("observed_at"))
-    return observed.unionByName(one)
+EVIDENCE = ("id", "kind", "label", "source_name", "source_url", "observed_at", "retrieved_at", "detail", "confidence")
+
+
+def station_evidence(metrics: DataFrame, as_of, additional: DataFrame | None = None) -> DataFrame:
+    """(EVIDENCE): one observed record per station, one for the calculations, and the caller's own (``additional``).
+
+    Stations may have kind_label, source_name, source_url and retrieved_at; what they lack is null, or left out of the label.
+    """
+    has = set(metrics.columns)
+    own = lambda c, kind="string": (F.col(c) if c in has else F.lit(None)).cast(kind).alias(c)
+    words = ["group", *(["kind_label"] if "kind_label" in has else []), "site_id"]
+    observed = metrics.select(
+        F.concat(F.lit("station-"), "site_id").alias("id"), F.lit("observed").alias("kind"), F.concat_ws(" ", *words).alias("label"), own("source_name"), own("source_url"), F.col("latest_at").alias("observed_at"), own("retrieved_at", "timestamp"),
+        F.concat("primary_label", F.lit(" and "), "secondary_label", F.lit(" observations for "), "name", F.lit(".")).alias("detail"), F.lit("high").alias("confidence"),
+    )
+    at, none = F.lit(as_of).cast("timestamp"), F.lit(None)
+    made = {"id": F.lit("calculations"), "kind": F.lit("calculated"), "label": F.lit("Calculations"), "source_name": F.lit("tidemark"), "source_url": none.cast("string"), "observed_at": none.cast("timestamp"), "retrieved_at": at,
+            "detail": F.lit("Changes over 1, 6 and 24 hours, directions and rankings."), "confidence": F.lit("high")}
+    found = observed.unionByName(metrics.sparkSession.range(1).select(*[made[c].alias(c) for c in EVIDENCE]))
+    return found if additional is None else found.unionByName(additional.select(*EVIDENCE))
 
 
 def scaled(points: DataFrame, by: str, value: str, low: float = 0.0, high: float = 1.0) -> DataFrame:

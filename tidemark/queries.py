@@ -411,9 +411,16 @@ def station_latest_observation(spark, sf_dir):
     return stations.latest_observation(_metrics(spark, sf_dir)).select(F.unix_micros("latest_observation_at").alias("latest_us"))
 
 
-@query(f"""WITH {_METRICS} SELECT 'station-' || site_id AS id, 'observed' AS kind, "group" || ' ' || site_id AS label FROM metrics UNION ALL SELECT 'calculations', 'calculated', 'Calculations'""")
+@query(f"""WITH {_METRICS} SELECT 'station-' || site_id AS id, 'observed' AS kind, "group" || ' ' || site_id AS label, epoch_us(latest_at) AS observed_us, 'Level and Flow observations for ' || name || '.' AS detail, 'high' AS confidence FROM metrics
+UNION ALL SELECT 'calculations', 'calculated', 'Calculations', NULL, 'Changes over 1, 6 and 24 hours, directions and rankings.', 'high' UNION ALL SELECT 'note-' || r_regionkey, 'interpreted', r_name, NULL, 'As noted.', 'medium' FROM region""")
 def station_evidence(spark, sf_dir):
-    return stations.station_evidence(_metrics(spark, sf_dir), _AS_OF).select("id", "kind", "label")
+    none = F.lit(None)
+    notes = read_table(spark, sf_dir, "region").select(
+        F.concat(F.lit("note-"), F.col("r_regionkey").cast("string")).alias("id"), F.lit("interpreted").alias("kind"), F.col("r_name").alias("label"), F.lit("Notes").alias("source_name"), none.cast("string").alias("source_url"),
+        none.cast("timestamp").alias("observed_at"), F.lit(_AS_OF).cast("timestamp").alias("retrieved_at"), F.lit("As noted.").alias("detail"), F.lit("medium").alias("confidence"),
+    )
+    found = stations.station_evidence(_metrics(spark, sf_dir), _AS_OF, notes)
+    return found.select("id", "kind", "label", F.unix_micros("observed_at").alias("observed_us"), "detail", "confidence")
 
 
 @query(f"WITH {_OBS} SELECT site_id, ordinal, CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0.5 END AS value_scaled FROM obs WHERE slot = 'primary' WINDOW w AS (PARTITION BY site_id)")
