@@ -136,13 +136,25 @@ def _measured(contract: MetricContract, group: Group) -> Value:
     return Value(exact.ratio(above, below, contract.scale), "decimal", v._merged([n, d]), contract.scale, contract.unit)
 
 
-def measure(rows: Rowset, contract: MetricContract, *by: str) -> Rowset:
+def _converted(value: Value, contract: MetricContract, conversion: Decimal | str) -> Value:
+    """The one conversion that may follow an aggregation: to the contract's unit, or by a rate to its currency."""
+    if contract.aggregation in ("count", "ratio"):
+        raise CalculationError("invalid_graph", f"a {contract.aggregation} has nothing to convert")
+    if conversion == "unit":
+        return v.unit_convert(value, value.unit, contract.unit, exact.MAX_SCALE)
+    return v.currency_convert(value, value.currency, contract.currency, conversion)
+
+
+def measure(rows: Rowset, contract: MetricContract, *by: str, conversion: Decimal | str | None = None) -> Rowset:
     """The metric by zero or more dimensions: value, and meets_threshold and meets_target where there is a direction.
 
-    One aggregation; the comparisons are columns on its result.
+    One aggregation; the comparisons are columns on its result. ``conversion`` is "unit" or a rate, where the measure's unit or
+    currency isn't the contract's: the aggregate is converted, not each row, and rounded once more.
     """
     group = rows.group(*by)
     value = _measured(contract, group)
+    if conversion is not None:
+        value = _converted(value, contract, conversion)
     if value.currency != contract.currency:
         raise CalculationError("currency_mismatch", contract.name)
     if contract.aggregation != "ratio" and value.unit != contract.unit:

@@ -333,6 +333,23 @@ def contract_ratio(spark, sf_dir):
     return found.df.select("l_returnflag", F.replace(F.col("value").cast("string"), F.lit("."), F.lit("")).alias("share_e6"), "meets_threshold", "meets_target")
 
 
+@query(f"""SELECT o_orderpriority, {HE(f"sum({C('o_totalprice')}) * 925", "1000")}::VARCHAR AS eur_cents, {HE(f"sum({C('o_totalprice')}) * 925", "1000")} >= 68500000000 AS meets_threshold FROM orders GROUP BY ALL""")
+def contract_in_euros(spark, sf_dir):
+    """A sum of dollars under a contract in euros."""
+    contract = MetricContract("revenue", "o_totalprice", "sum", "currency", "higher_is_better", "685000000", "700000000", currency="EUR")
+    found = measure(orders(spark, sf_dir, currency="USD"), contract, "o_orderpriority", conversion=Decimal("0.925"))
+    return found.df.select("o_orderpriority", F.replace(F.col("value").cast("string"), F.lit("."), F.lit("")).alias("eur_cents"), "meets_threshold")
+
+
+@query("SELECT p_brand, sum(p_size) * 3048 AS metres_e4, sum(p_size) * 3048 <= 4000000 AS meets_target FROM part GROUP BY ALL")
+def contract_in_metres(spark, sf_dir):
+    """A sum of feet under a contract in metres."""
+    contract = MetricContract("length", "size", "sum", "decimal", "target_band", "0", "400", unit="m")
+    rows = Rowset(read_table(spark, sf_dir, "part"), {"size": field("p_size", "integer", unit="[ft_i]"), "p_brand": field("p_brand", "text")}, "p_partkey")
+    found = measure(rows, contract, "p_brand", conversion="unit")
+    return found.df.select("p_brand", (F.col("value").cast("decimal(38,4)") * 10_000).cast("bigint").alias("metres_e4"), "meets_target")
+
+
 # --- stations ----------------------------------------------------------------------------------------------------
 
 _AS_OF = "2024-01-20 12:00:00"
@@ -383,6 +400,26 @@ def station_direction_freshness(spark, sf_dir):
     return _metrics(spark, sf_dir).select("site_id", "latest_primary", "latest_secondary", "direction", "freshness", "primary_freshness", "secondary_freshness", F.size("issues").alias("n_issues"))
 
 
+_AIR_METRICS = _METRICS.replace("> 0.05", "> 2.0").replace("< -0.05", "< -2.0")
+
+
+@query(f"WITH {_AIR_METRICS} SELECT site_id, direction, change_1h FROM metrics WHERE pf = 'fresh'")
+def station_direction_air(spark, sf_dir):
+    """Directions by the air policy's tolerance, of stations with a fresh reading."""
+    m = stations.station_metrics(_stations(spark, sf_dir), _observations(spark, sf_dir), _AS_OF, stations.AIR)
+    return m.where("primary_freshness = 'fresh'").select("site_id", "direction", "change_1h")
+
+
+@query(f"""WITH {_METRICS} SELECT 'no-alerts' AS id, 'info' AS severity, 'No configured thresholds are active' AS title, (SELECT count(*) FROM metrics WHERE freshness = 'fresh' AND n_issues = 0)::BIGINT AS n_sound
+WHERE NOT EXISTS (SELECT 1 FROM metrics WHERE freshness = 'fresh' AND n_issues = 0 AND latest_primary > 1000000)""")
+def station_all_clear(spark, sf_dir):
+    """Sound stations and a threshold that none exceeds."""
+    m = _metrics(spark, sf_dir).where((F.col("freshness") == "fresh") & (F.size("issues") == 0))
+    limits = _stations(spark, sf_dir).select(F.concat(F.lit("above-"), "site_id").alias("id"), F.lit("High level").alias("label"), "site_id", F.lit(1e6).alias("above"))
+    n = m.agg(F.count(F.lit(1)).alias("n_sound"))  # one row
+    return stations.alerts(m, limits).select("id", "severity", "title").join(F.broadcast(n))
+
+
 @query(f"WITH {_METRICS} SELECT site_id, change_1h FROM metrics WHERE change_1h > 0.05 AND freshness = 'fresh' AND n_issues = 0")
 def station_ranked(spark, sf_dir):
     return stations.ranked(_metrics(spark, sf_dir)).select("site_id", "change_1h")
