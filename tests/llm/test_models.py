@@ -213,3 +213,20 @@ def test_mixing(spark):
     assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in order)
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     assert {r.taken for r in mix_sources(spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id bigint, text string, source string")).collect()} == {0}
+
+
+def test_languages_of_many_values_and_a_long_text(spark):
+    """A column of lang with a value for each row, and a text whose windows are scored in slices."""
+    from tidemark.llm import language_id as module
+
+    rows = [(i, "le chat et la souris " * 3 if i % 2 else "the cat and the mouse " * 3, f"l{i}") for i in range(40)]
+    model = module.fit_language_id(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert 20 <= len(model.classes) <= 40
+    texts = ["the cat and the mouse " * 3, "le chat et la souris " * 30_000]
+    whole = model.predict(texts)
+    size, module.SCORED = module.SCORED, 16
+    try:
+        sliced = model.predict(texts)
+    finally:
+        module.SCORED = size
+    assert sliced[0] == whole[0] and all(abs(a - b) < 1e-6 for a, b in zip(whole[1], sliced[1]))

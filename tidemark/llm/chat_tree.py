@@ -17,8 +17,8 @@ as well, so a first turn or whole conversation that a third of all share spans s
 only where a range of the order ends.
 
 Defined results: null texts and roles count as empty; turns are ordered by turn (null first), role, text, so ties and
-repeated rows are turns of their own; a null conv_id is one conversation; an empty table gives empty ones; other columns
-pass by.
+repeated rows are turns of their own; a null conv_id is one conversation; turns of any length are tokenised whole, one at
+a time; an empty table gives empty ones; other columns pass by.
 """
 
 from __future__ import annotations

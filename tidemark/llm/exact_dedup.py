@@ -7,7 +7,7 @@ more, at most SALTS rows a text.
 
 Defined results: null text counts as empty; an empty table gives an empty result; a null doc_id loses every tie and may
 be its group's keep_id only if all its rows have none; of rows that repeat both doc_id and text, exactly one is kept;
-other columns of the input are ignored.
+texts of any length are compared whole; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -156,12 +156,16 @@ class ByteConvNet:
                 group.append(which[at])
                 rows.append(windows_of(texts[which[at]]))
                 at += 1
-            found = self.probabilities(np.concatenate(rows))
-            ends = np.cumsum([len(r) for r in rows])
-            for i, r, part in zip(group, rows, np.split(found, ends[:-1])):
-                share = np.full(len(r), WINDOW, np.float64)
-                share[-1] = max(1, len(texts[i].encode("utf-8")) - (len(r) - 1) * WINDOW)
-                mean = share @ part / share.sum()
+            shares, sums, every = [], np.zeros((len(rows), len(self.classes))), np.concatenate(rows)
+            for i, r in zip(group, rows):
+                shares.append(np.full(len(r), WINDOW, np.float64))
+                shares[-1][-1] = max(1, len(texts[i].encode("utf-8")) - (len(r) - 1) * WINDOW)
+            share, owner = np.concatenate(shares), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            for begin in range(0, len(every), 8 * SCORED):  # a long text's probabilities aren't held at once
+                part = slice(begin, begin + 8 * SCORED)
+                np.add.at(sums, owner[part], share[part, None] * self.probabilities(every[part]))
+            for k, i in enumerate(group):
+                mean = sums[k] / shares[k].sum()
                 languages[i], scores[i] = self.classes[int(mean.argmax())], float(min(1.0, mean.max()))
         return languages, scores
 
@@ -169,12 +173,15 @@ class ByteConvNet:
 def fit_language_id(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> ByteConvNet:
     """Train on a bounded sample of the rows that aren't held out."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    counts = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
-    if not counts:
+    labelled = labelled.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    if not languages:
         return ByteConvNet([])
-    each = min(FIT_DOCS, FIT_TOTAL / len(counts))
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, each / r.n))])
-    drawn = unit_hash(F.lit("language"), F.col(doc_id)) < F.element_at(rates, F.col(lang))
+    each = min(FIT_DOCS, FIT_TOTAL / languages)
+    # Values of lang may be many, so their rates are joined, never gathered.
+    rates = counts.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("rate"))
+    drawn = labelled.join(rates, "lang").where(unit_hash(F.lit("language"), F.col("doc_id")) < F.col("rate"))
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -186,7 +193,7 @@ def fit_language_id(docs: DataFrame, text: str = "text", lang: str = "lang", doc
                     found += [(language, rows[k].tobytes()) for k in sorted({(step + k * 7919) % len(rows) for k in range(WINDOWS_EACH)})]
             yield pd.DataFrame(found, columns=["lang", "window"])
 
-    sample = labelled.where(drawn).select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInPandas(cut, "lang string, window binary").toPandas()
+    sample = drawn.select("lang", "text").mapInPandas(cut, "lang string, window binary").toPandas()
     sample = sample.sort_values(["lang", "window"])
     classes = sorted(set(sample["lang"]))
     if not classes:

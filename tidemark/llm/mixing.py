@@ -16,7 +16,8 @@ Nothing is gathered by source: the sample's end is found in a histogram of the o
 in one of the bucket that holds it, and only the rows of that one's bucket are sorted.
 
 Defined results: null or wordless text has size 0 and takes 0; a source without words has target 0; null is a source of
-its own; repeated rows count as documents of their own; an empty table gives an empty result; other columns pass by.
+its own; repeated rows count as documents of their own; of a text of any length only the number of words is
+kept; an empty table gives an empty result; other columns pass by.
 """
 
 from __future__ import annotations
