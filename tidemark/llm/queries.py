@@ -130,6 +130,34 @@ SELECT doc_id,
 FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+  SELECT doc_id, unnest(range(len(l)))::INT AS line_no, lower(trim(unnest(l), ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS line FROM cut),
+firsts AS (
+  SELECT line, min((doc_id, line_no)) AS first FROM lines WHERE line <> '' GROUP BY line),
+classes AS (
+  SELECT row_number() OVER (ORDER BY first) AS id, line, first FROM firsts),
+grams AS (
+  SELECT DISTINCT id, unnest(list_transform(range(1, greatest(length(line) - 9, 1) + 1), lambda i: substr(line, i, 10))) AS s FROM classes),
+sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+sized AS (SELECT * FROM grams JOIN sizes USING (id)),
+pairs AS (
+  SELECT a.id AS x, b.id AS y, count(*) AS shared, any_value(a.n) AS p, any_value(b.n) AS q
+  FROM sized a JOIN sized b ON a.s = b.s AND a.id < b.id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs WHERE 100 * shared >= 75 * (p + q - shared)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(id, other) AS (
+  SELECT x, y FROM edges UNION SELECT r.id, e.y FROM reach r JOIN edges e ON r.other = e.x),
+lowest AS (SELECT id, min(other) AS low FROM reach GROUP BY id),
+best AS (
+  SELECT c.line, d.first AS first FROM classes c LEFT JOIN lowest l USING (id) JOIN classes d ON d.id = least(c.id, coalesce(l.low, c.id)))
+SELECT l.doc_id, l.line_no, coalesce(b.first[1], l.doc_id) AS component_doc_id, coalesce(b.first[2], l.line_no) AS component_line_no,
+       b.first IS NULL OR (b.first[1] = l.doc_id AND b.first[2] = l.line_no) AS kept
+FROM lines l LEFT JOIN best b USING (line)
+"""
+
 OP6_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -248,4 +276,4 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_chat_tree": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_decontaminate": OP11_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_fuzzy_lines": OP5_SQL, "op6_chat_tree": OP6_SQL, "op9_near_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_decontaminate": OP11_SQL, "op13_source_divergence": OP13_SQL}
