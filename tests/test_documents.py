@@ -94,3 +94,37 @@ def test_document_json_keeps_null_readings(spark):
     stations = json.loads(text)["pages"][0]["components"][1]["stations"]
     assert stations[0]["secondary"] == {"value": None, "unit": "cfs"} and stations[0]["id"] == 'a "primary":{"unit"'
     assert contract_findings(row.select(F.lit(1).alias("doc_id"), document_json(F.col("d")).alias("body"))).count() == 0
+
+
+def test_compiled_plans(spark):
+    """Ties in the plan's order, thresholds in theirs, unknown sites and sections left out; and a plan without stations."""
+    from tidemark.plans.compiled import compile_documents
+
+    def station(site, change, freshness="fresh", issues=(), level=10.0):
+        return (site, f"Name {site}", f"River {site}", 1.0, 2.0, "Level", "Flow", "ft", "ft3/s", "Survey", "2026-07-29 11:00:00", level, 5.0, "2026-07-29 10:00:00", change, change, None, "rising" if change > 0.05 else "steady", freshness, freshness, list(issues))
+
+    kinds = "site_id string, name string, `group` string, latitude double, longitude double, primary_label string, secondary_label string, primary_unit string, secondary_unit string, source_name string, retrieved string, latest_primary double, latest_secondary double, latest string, change_1h double, change_6h double, change_24h double, direction string, freshness string, primary_freshness string, issues array<string>"
+    rows = [station("a", 0.2), station("b", 0.4), station("c", 0.4), station("d", 0.9, "stale", ["Level reading is more than two hours old"]), station("e", 0.01)]
+    metrics = spark.createDataFrame(rows, kinds).withColumn("retrieved_at", F.col("retrieved").cast("timestamp")).withColumn("latest_at", F.col("latest").cast("timestamp"))
+    page = lambda i, *sections: {"id": i, "title": i, "description": i, "sections": list(sections)}
+    plans = [
+        (1, "T", "A", "F", ["c", "x", "a", "b", "d"], [page("one", "fastest-rising", "nonsense", "stage-trends"), page("two", "nonsense"), page("three", "attention", "gauge-map")]),
+        (2, "T", "A", "F", ["e", "a"], [page("one", "attention", "conditions-summary")]),
+        (3, "T", "A", "F", ["x"], [page("one", "headline-metrics", "gauge-map")]),
+    ]
+    table = spark.createDataFrame(plans, "plan_id int, title string, audience string, framing string, site_ids array<string>, pages array<struct<id:string,title:string,description:string,sections:array<string>>>")
+    limits = spark.createDataFrame([(1, "t1", "High", "b", 9.0), (0, "t0", "High", "c", 9.0), (2, "t2", "High", "a", 10.0), (3, "t3", "High", "d", 1.0)], "nth int, id string, label string, site_id string, above double")
+    made = compile_documents(table, metrics, "2026-07-29 12:00:00", thresholds=limits)
+    found = {r.plan_id: r.dashboard for r in made.collect()}
+    one = found[1]
+    assert [(p.id, [c.id for c in p.components]) for p in one.pages] == [("one", ["fastest-rising"]), ("three", ["attention", "gauge-map"])]
+    assert [(i.id, i.value) for i in one.pages[0].components[0]["items"]] == [("c", "+0.4 ft"), ("b", "+0.4 ft"), ("a", "+0.2 ft")]
+    assert [a.id for a in one.pages[1].components[0].alerts] == ["d-quality-0", "t0", "t1"]
+    assert one.nextAction.detail == "Name d: Level reading is more than two hours old" and one.executiveBrief.changed.headline == "River c rose fastest"
+    assert one.executiveBrief.important.detail.startswith("Highest priority: River d — ") and one.executiveBrief.important.headline == "3 items need attention"
+    assert (one.freshness.status, one.freshness.label, one.freshness.latestObservationAt) == ("partial", "1 gauge needs attention", "2026-07-29T10:00:00.000Z")
+    two = found[2]
+    assert [a.id for a in two.pages[0].components[0].alerts] == ["no-alerts"] and two.nextAction.title == "Review the dashboard before sharing"
+    assert [c.text for c in two.pages[0].components[1].claims] == ["1 gauge is rising and 0 are falling.", "River a is the fastest-rising complete gauge over the last hour at +0.2 ft.", "All selected gauges are fresh and complete."]
+    told = contract_findings(made.select(F.col("plan_id").alias("doc_id"), document_json(F.col("dashboard")).alias("body"))).collect()
+    assert {r.doc_id for r in told} == {3} and ("too-few", "$.pages[0].components[1].stations") in {(r.code, r.path) for r in told}
