@@ -28,14 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, skew_safe_join
-from tidemark.llm.set_links import SetLinks, groups
+from tidemark.llm.set_links import Agreement, SetLinks, groups
 from tidemark.llm.shingles import character_sets, character_shingles, line_shingles, mix, one_permutation_minhash
 
 SHINGLE = 10
 BANDS, ROWS = 14, 3
 #: A link's signatures agree in fewer of the 42 slots with a chance of 1e-6 (5 deviations), where both lines have TELLS_FROM
-#: characters. The slots of a shorter line borrow from each other and tell less, so those pairs are all verified.
-LEAST_AGREEING, TELLS_FROM = 17, 120
+#: characters. The slots of a shorter line borrow from each other: in the worst case, sets of 3 and 4 shingles, the odd one
+#: must take 41 of the 42 slots for less than LEAST_SMALL to agree, which has a chance of (2 / 42)**3, or 1e-4.
+LEAST_AGREEING, LEAST_SMALL, TELLS_FROM = 17, 2, 120
 _BLANKS = " \t\x0b\x0c\r"
 
 
@@ -81,7 +82,7 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     classes = scratch.write(distinct.select(F.monotonically_increasing_id().alias("node"), _key().alias("key"), "line"), "line-classes")
     signed = scratch.write(classes.select("node", "line").mapInArrow(_signed, "node bigint, weight bigint, bands array<bigint>, signature binary"), "line-signed")
     texts = classes.select("node", F.col("line").alias("text"))
-    found = SetLinks(scratch, signed, texts, lambda lines: character_sets(lines, SHINGLE), lambda line: line_shingles(line, SHINGLE), LEAST_AGREEING, TELLS_FROM).components()
+    found = SetLinks(scratch, signed, texts, lambda lines: character_sets(lines, SHINGLE), lambda line: line_shingles(line, SHINGLE), Agreement(LEAST_AGREEING, LEAST_SMALL, TELLS_FROM)).components()
 
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "uid")).alias("keeper")
     counted = scratch.write(lines.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("class_rows"), keeper), "line-counts")

@@ -1,7 +1,8 @@
 """Links between sets whose Jaccard similarity is 0.75 or more, from MinHash signatures, without listing a bucket's pairs.
 
 Nodes are linked within the buckets of their bands (see candidates). A candidate pair whose signatures agree in less than
-``least`` slots isn't verified, if both sets have enough elements for their slots to tell; all others are confirmed on the
+``least`` slots (less than ``least_small`` if a set has too few elements for its slots to be independent) isn't verified; all
+others are confirmed on the
 full sets, by hashes first and then on the elements themselves. What large buckets leave unmerged is compared in
 blocks of bounded size, each pair in the first bucket that it shares; a block gives a spanning forest of its links, no
 more. So large groups of copies, or of texts with a passage in common, make no square of pairs.
@@ -10,6 +11,7 @@ more. So large groups of copies, or of texts with a passage in common, make no s
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -48,6 +50,15 @@ def similar(both: int, one: int, two: int) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (one + two - both)
 
 
+@dataclass(frozen=True)
+class Agreement:
+    """In how many slots two signatures must agree: ``least``, or ``least_small`` if a set has less than ``tells_from`` elements."""
+
+    least: int
+    least_small: int = 0
+    tells_from: int = 0
+
+
 @F.pandas_udf(T.IntegerType())
 def _agreeing(one: pd.Series, two: pd.Series) -> pd.Series:
     if not len(one):
@@ -78,8 +89,8 @@ def _links(ones: list, twos: list, sets_of: Sets, elements: Elements) -> list[bo
 class _Block:
     """The rows of a large bucket's homes ``low`` and ``high``, or of one home, whose links join components."""
 
-    def __init__(self, rows: pd.DataFrame, sets_of: Sets, elements: Elements, least: int, tells_from: int):
-        self.least, self.tells_from, self.elements = least, tells_from, elements
+    def __init__(self, rows: pd.DataFrame, sets_of: Sets, elements: Elements, agree: Agreement):
+        self.agree, self.elements = agree, elements
         self.nodes, self.component, home = (rows[c].to_numpy() for c in ("node", "component", "home"))
         self.ones, self.twos = np.flatnonzero(home == rows["low"].iloc[0]), np.flatnonzero(home == rows["high"].iloc[0])
         self.signs = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
@@ -97,9 +108,9 @@ class _Block:
 
     def likely(self, ones: np.ndarray, twos: np.ndarray) -> np.ndarray:
         """Of each pair, whether it could be a link between components and doesn't meet in an earlier band's bucket."""
-        found = (self.signs[ones, None, :] == self.signs[None, twos, :]).sum(axis=2) >= self.least
         one, two = self.sizes[ones, None], self.sizes[None, twos]
-        found |= np.minimum(one, two) < self.tells_from
+        least = np.where(np.minimum(one, two) < self.agree.tells_from, self.agree.least_small, self.agree.least)
+        found = (self.signs[ones, None, :] == self.signs[None, twos, :]).sum(axis=2) >= least
         found &= (np.minimum(one, two) * DENOMINATOR >= np.maximum(one, two) * NUMERATOR) & (self.component[ones, None] != self.component[None, twos])
         x, y = np.nonzero(found)
         found[x, y] = ~(self.earlier[ones[x]] == self.earlier[twos[y]]).any(axis=1)
@@ -145,11 +156,11 @@ class SetLinks:
 
     ``signed`` has node, weight (about the set's size), bands (an array of bucket numbers) and signature (a byte a slot);
     ``texts`` has node and text; ``sets_of`` makes the sets of a list of texts: sorted distinct hashes, and offsets;
-    ``elements`` makes the set of one text itself. Signatures tell of sets of ``tells_from`` elements and more.
+    ``elements`` makes the set of one text itself.
     """
 
-    def __init__(self, scratch: Scratch, signed: DataFrame, texts: DataFrame, sets_of: Sets, elements: Elements, least: int, tells_from: int = 0):
-        self.scratch, self.signed, self.texts, self.sets_of, self.elements, self.least, self.tells_from = scratch, signed, texts, sets_of, elements, least, tells_from
+    def __init__(self, scratch: Scratch, signed: DataFrame, texts: DataFrame, sets_of: Sets, elements: Elements, agree: Agreement):
+        self.scratch, self.signed, self.texts, self.sets_of, self.elements, self.agree = scratch, signed, texts, sets_of, elements, agree
 
     def components(self) -> DataFrame:
         """Rows (node, component) of the nodes that have links."""
@@ -177,8 +188,8 @@ class SetLinks:
             return pd.Series(_links(one.tolist(), two.tolist(), sets_of, elements), dtype=bool)
 
         both = self._with(self.scratch.write(pairs, "pairs"), self.signed.select("node", "signature", "weight"))
-        small = F.least("weight_a", "weight_b") < self.tells_from
-        likely = both.select("a", "b", small.alias("small"), _agreeing("signature_a", "signature_b").alias("agreeing")).where((F.col("agreeing") >= self.least) | F.col("small"))
+        least = F.when(F.least("weight_a", "weight_b") < self.agree.tells_from, self.agree.least_small).otherwise(self.agree.least)
+        likely = both.select("a", "b", least.alias("least"), _agreeing("signature_a", "signature_b").alias("agreeing")).where("agreeing >= least")
         if one_each:
             likely = likely.groupBy("a").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
         likely = self.scratch.write(likely.select("a", "b"), "likely")
@@ -189,10 +200,10 @@ class SetLinks:
 
     def link_large(self, large: DataFrame) -> DataFrame:
         """Links that join the components of large mixed buckets."""
-        sets_of, elements, least, tells_from = self.sets_of, self.elements, self.least, self.tells_from
+        sets_of, elements, agree = self.sets_of, self.elements, self.agree
 
         def forest(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(_Block(rows, sets_of, elements, least, tells_from).forest(), columns=["a", "b"]).astype("int64")
+            return pd.DataFrame(_Block(rows, sets_of, elements, agree).forest(), columns=["a", "b"]).astype("int64")
 
         homes = large.join(self.signed.select("node", "weight"), "node").groupBy("bucket").agg(F.sum(F.col("weight") + ROW_ELEMENTS).alias("load"))
         homes = self.scratch.write(homes.select("bucket", F.ceil(F.col("load") / BLOCK_ELEMENTS).cast("int").alias("homes")), "homes")
