@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import short_batches, unit_hash
+from tidemark.llm.common import materialise, short_batches, unit_hash
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -174,7 +174,8 @@ def fit_language_id(docs: DataFrame, text: str = "text", lang: str = "lang", doc
     """Train on a bounded sample of the rows that aren't held out."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
     labelled = labelled.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # Written, so that Spark knows the table's size when it plans the join below and shuffles no texts for a few languages.
+    counts = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
     languages = counts.count()
     if not languages:
         return ByteConvNet([])
