@@ -128,3 +128,16 @@ def test_compiled_plans(spark):
     assert [c.text for c in two.pages[0].components[1].claims] == ["1 gauge is rising and 0 are falling.", "River a is the fastest-rising complete gauge over the last hour at +0.2 ft.", "All selected gauges are fresh and complete."]
     told = contract_findings(made.select(F.col("plan_id").alias("doc_id"), document_json(F.col("dashboard")).alias("body"))).collect()
     assert {r.doc_id for r in told} == {3} and ("too-few", "$.pages[0].components[1].stations") in {(r.code, r.path) for r in told}
+
+
+def _tied_pages(spark, tmp_path):
+    """Pages whose undergraduate share lies just between two tenths, on which quotients of doubles and of decimals differ."""
+    rows = [(i, "") for i in (8082, 16920, 24824, 51767)]
+    spark.createDataFrame(rows, "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    return str(tmp_path)
+
+
+def test_printed_shares_at_ties(spark, tmp_path):
+    from tidemark import document_queries
+
+    assert document_queries.enrollment_page_findings(spark, _tied_pages(spark, tmp_path)).collect() == []

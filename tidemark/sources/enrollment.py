@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import format_number, to_fixed_1
+from tidemark.functions.exact import WHOLE, magnitude
+from tidemark.functions.text import format_number
 from tidemark.session import with_checkpoints
 from tidemark.sources.tables_html import first_element, plain_text, table_cells
 
@@ -27,6 +28,17 @@ def _number(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(r"^(\d+|\d{1,3}(,\d{3})+)\z")), F.replace(text, F.lit(","), F.lit(""))).try_cast("bigint")
 
 
+def _percent(part: str, whole: str) -> Column:
+    """A share of counts in percent with one decimal, exact, ties away from zero; null for a whole of 0.
+
+    A quotient of doubles lies on either side of a tie that the counts hold exactly.
+    """
+    twice = (F.nullif(F.col(whole), F.lit(0)).cast("decimal(20,0)") * 2).cast(WHOLE)
+    above = (magnitude(F.col(part)) * 2000).cast(WHOLE) + F.col(whole)
+    tenths = ((above - above % twice) / twice).cast("double") / 10
+    return F.when(F.col(part) < 0, -tenths).otherwise(tenths)
+
+
 def enrollment_pages(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """(key, large, has_section, has_definition, term, overview, table_html): the parts of each page; null what a page lacks or is too large for."""
     large = F.coalesce(F.octet_length(html) > MAX_BYTES, F.lit(False))
@@ -82,8 +94,7 @@ def enrollment_findings(pages: DataFrame, html: str = "html", key: str = "page_i
     latest = figures.groupBy(key).agg(F.max_by(F.struct("year", *LABELS.values()), "column").alias("f")).select(key, "f.*")
     met = latest.join(parts.select(key, "term", "overview"), key)
     found = found.union(say(met.where("year <> term"), "heading-year", "year"))
-    percent = lambda part: to_fixed_1(F.col(part) / F.nullif(F.col("total"), F.lit(0)) * 100)
-    share = lambda part: F.when(percent(part).isNotNull(), F.concat(F.format_string("%.1f", percent(part)), F.lit("%")))
+    share = lambda part: F.when(_percent(part, "total").isNotNull(), F.concat(F.format_string("%.1f", _percent(part, "total")), F.lit("%")))
     count = lambda c: F.when(F.col(c).isNotNull(), format_number(F.col(c).cast("double")))
     printed = F.array(*[count(c) for c in LABELS.values()], share("undergraduate"), share("graduate"))
     told = met.select(key, "overview", F.explode(printed).alias("figure")).where("figure IS NOT NULL")
