@@ -141,3 +141,23 @@ def test_printed_shares_at_ties(spark, tmp_path):
     from tidemark import document_queries
 
     assert document_queries.enrollment_page_findings(spark, _tied_pages(spark, tmp_path)).collect() == []
+
+
+def test_shares_and_changes_at_ties(spark, tmp_path):
+    import duckdb
+
+    from tidemark import document_queries, registry
+
+    folder = _tied_pages(spark, tmp_path)
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    wanted = duckdb.sql(registry.SQL["enrollment_page_history"]).fetchall()
+    assert sorted(map(tuple, document_queries.enrollment_page_history(spark, folder).collect())) == sorted(wanted) and len(wanted) == 12
+
+
+def test_changes_that_fall_and_totals_of_zero(spark):
+    from tidemark.sources.enrollment import enrollment_changes
+
+    rows = [(2021, 1, 7, 8), (2022, 0, 7, 7), (2023, 0, 0, 0), (2024, 1, 0, 1)]
+    history = spark.createDataFrame(rows, "year int, undergraduate bigint, graduate bigint, total bigint")
+    found = [tuple(r)[2:] for r in enrollment_changes(history).orderBy("year").collect()]
+    assert found == [(12.5, 87.5, None), (0.0, 100.0, -12.5), (None, None, -100.0), (100.0, 0.0, None)]

@@ -130,6 +130,5 @@ def enrollment_changes(history: DataFrame, key: str | None = None) -> DataFrame:
     """Shares and change from the year before, in percent with one decimal, of one page or of each ``key``."""
     by = [key] if key else []
     before = F.lag("total").over(Window.partitionBy(*by).orderBy("year"))  # a page has one row a year
-    percent = lambda part, whole: to_fixed_1(F.col(part) / F.col(whole) * 100)
     rows = history.withColumn("before", before).withColumn("more", F.col("total") - F.col("before"))
-    return rows.select(*by, "year", "total", percent("undergraduate", "total").alias("undergraduate_share"), percent("graduate", "total").alias("graduate_share"), percent("more", "before").alias("year_change"))
+    return rows.select(*by, "year", "total", _percent("undergraduate", "total").alias("undergraduate_share"), _percent("graduate", "total").alias("graduate_share"), _percent("more", "before").alias("year_change"))
