@@ -1,17 +1,22 @@
 """Dashboard documents: their contract as a table of shapes, findings of whole documents, and composition of several.
 
-A document is JSON text or a struct of the type DOCUMENT. Checks take JSON apart into rows (see sources.shapes); one exchange
-of the texts by document serves every check of uniqueness, references, times and budgets.
+A document is JSON text or a struct of the type DOCUMENT. A text that is just what ``document_json`` writes of the struct that
+it is read as has neither unknown fields nor wrong types, so the struct tells whether it is sound, in its own row. All other
+texts, and those that aren't surely sound, are taken apart into rows (see sources.shapes); one exchange of them by document
+serves every check of uniqueness, references, times and budgets.
 Composition is one row a request: each request's few members are gathered and rewritten by nested transforms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.exact import bound
 from tidemark.operators.evidence import merged_statements
 from tidemark.session import with_checkpoints
 from tidemark.sources.shapes import Contract, finding, findings, instant, literal_map, records
@@ -150,15 +155,54 @@ def _budgets(rows: DataFrame) -> DataFrame:
     return findings(totals, *faults)
 
 
+def _consistent(d: Column, parts: Column) -> Column:
+    """What _duplicates, _dangling, _times and _budgets check, of a struct whose values keep their shapes, and its components."""
+    each = lambda of, name: F.transform(of, lambda x: x[name])
+    differ = lambda ids: F.size(F.array_distinct(ids)) == F.size(ids)
+    inside = lambda x, name: F.coalesce(x[name], F.array().cast(f"array<{_LISTS[name]}>"))
+    total = lambda of, size: F.aggregate(of, F.lit(0), lambda n, x: n + size(x))
+    evidence, nodes, edges = d["evidence"], d["architecture"]["nodes"], d["architecture"]["edges"]
+    statements = [d["executiveBrief"][k] for k in ("known", "changed", "important")]
+
+    unique = [differ(each(of, UNIQUE[n])) for n, of in (("pages", d["pages"]), ("evidence", evidence), ("nodes", nodes), ("components", parts))]
+    unique += [F.forall(parts, lambda c: reduce(and_, [differ(each(inside(c, n), UNIQUE[n])) for n in _LISTS])), differ(edges), *[differ(s["statementTypes"]) for s in statements]]
+
+    cites = lambda c: F.concat(F.coalesce(c["evidenceIds"], F.array().cast(_CITED)), *[F.flatten(each(inside(c, n), "evidenceIds")) for n in _LISTS])
+    cited = F.concat(F.flatten(F.transform(parts, cites)), d["nextAction"]["evidenceIds"], *[s["evidenceIds"] for s in statements])
+    known = bound(F.struct(cited.alias("cited"), each(evidence, "id").alias("ids")), lambda x: (F.size(x["cited"]) <= MAX_REFERENCES) & (F.size(F.array_except(x["cited"], x["ids"])) == 0))
+    joined = F.size(F.array_except(F.concat(each(edges, "from"), each(edges, "to")), each(nodes, "id"))) == 0
+
+    latest = d["freshness"]["latestObservationAt"]
+    seen = lambda e, made: bound(instant(e["retrievedAt"]), lambda at: (at <= made) & (e["observedAt"].isNull() | (instant(e["observedAt"]) <= at)))
+    in_order = bound(instant(d["generatedAt"]), lambda made: F.forall(evidence, lambda e: seen(e, made)) & F.when(latest.isNull(), d["freshness"]["status"] != "fresh").otherwise(instant(latest) <= made))
+    named = F.forall(parts, lambda c: F.forall(inside(c, "stations"), lambda s: reduce(and_, [s[m]["value"].isNull() | (s[m]["unit"] != "") for m in ("primary", "secondary")])))
+
+    items = reduce(add, [F.size(x) for x in (d["pages"], evidence, nodes, edges, parts)]) + total(parts, lambda c: reduce(add, [F.size(inside(c, n)) for n in _LISTS]))
+    points = total(parts, lambda c: total(inside(c, "series"), lambda s: F.size(s["points"])))
+    return reduce(and_, [*unique, known, joined, in_order, named, items <= MAX_ITEMS, points <= MAX_POINTS])
+
+
+def surely_sound(body: Column) -> Column:
+    """True only for a text without findings; false for those with findings, and for some that are sound but spelled otherwise."""
+    parts = lambda d: F.flatten(F.transform(d["pages"], lambda p: p["components"]))
+    judged = lambda d: (document_json(d) == body) & CONTRACT.holds("dashboard", d) & bound(parts(d), lambda c: _consistent(d, c))
+    return F.coalesce((F.octet_length(body) <= MAX_BYTES) & bound(F.from_json(body, DOCUMENT), judged), F.lit(False))
+
+
 def contract_findings(documents: DataFrame, body: str = "body") -> DataFrame:
     """(doc_id, code, path, detail): everything that keeps a document from its contract; a sound document has no row.
 
-    ``documents`` has doc_id and JSON text. Null text is no JSON. Rows that repeat a doc_id count as one document with repeated
-    ids, so keep them apart.
+    ``documents`` has doc_id and JSON text, and is read once. Null text is no JSON. Rows that repeat a doc_id may count as one
+    document with repeated ids, so keep them apart.
     """
     with_checkpoints(documents.sparkSession)
-    rows = CONTRACT.rows(documents.select("doc_id", F.col(body).alias("body")).repartition("doc_id")).checkpoint()  # texts are smaller than their rows
-    found = CONTRACT.unread(documents, body).unionByName(CONTRACT.shape_findings(rows))
+    # The text and its struct are bound, so that neither is computed again; only texts that aren't surely sound are moved.
+    each = F.array(F.struct("doc_id", F.col(body).alias("body")))
+    suspects = documents.select(F.explode_outer(F.filter(each, lambda d: ~surely_sound(d["body"]))).alias("d")).where("d IS NOT NULL").select("d.*")
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of their own: texts grow much when taken apart
+    suspects = suspects.repartition(parts, "doc_id").checkpoint()
+    rows = CONTRACT.rows(suspects).checkpoint()  # texts are smaller than their rows
+    found = CONTRACT.unread(suspects).unionByName(CONTRACT.shape_findings(rows))
     for more in (_duplicates(rows), _dangling(rows), _times(rows), _budgets(rows)):
         found = found.unionByName(more)
     return found

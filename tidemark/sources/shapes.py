@@ -11,10 +11,13 @@ whole (a positive whole number), flag, instant, url, and reading (a number or nu
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+URL = r"(?i)^https?://[^/?#@\s]+([/?#]\S*)?\z"
 FINDING = "struct<code:string,path:string,detail:string>"
 _NUMBERS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL")
 
@@ -102,6 +105,40 @@ class Contract:
         keys = F.when(kind == "OBJECT", F.map_keys(F.expr("try_cast(value AS MAP<STRING, VARIANT>)")))
         return rows.select("doc_id", "path", "shape", kind.alias("kind"), said.alias("said"), number.alias("number"), size.alias("size"), keys.alias("keys"))
 
+    def holds(self, shape: str, value: Column) -> Column:
+        """Whether a typed value surely keeps its shape: where true, shape_findings has nothing to say of it.
+
+        Not true (false or null) proves nothing: lengths are judged by bytes, which are never fewer than UTF-16 units, and
+        some shapes not at all.
+        """
+        told, *more = shape.split("/", 3)
+        inside = lambda of, x: F.coalesce(self.holds(of, x), F.lit(False))
+        if told in self.by_kind:
+            names = [n for n in self.records if n.startswith(f"{told}:")]
+            return reduce(or_, [(value["kind"] == n[len(told) + 1 :]) & self.holds(n, value) for n in names])
+        if shape in self.records:
+            fields = self.records[shape]
+            own = {f.rstrip("?") for f in fields}
+            others = {f.rstrip("?") for n, fs in self.records.items() if ":" in shape and n.startswith(shape.split(":")[0] + ":") for f in fs} - own
+            every = [self.holds(of, value[f]) if not f.endswith("?") else value[f[:-1]].isNull() | self.holds(of, value[f[:-1]]) for f, of in fields.items()]
+            return reduce(and_, every + [value[f].isNull() for f in sorted(others)])
+        if told == "list":
+            return F.size(value).between(int(more[0]), int(more[1])) & F.forall(value, lambda x: inside(more[2], x))
+        if told == "text":
+            return F.octet_length(value).between(int(more[0]) * (3 if int(more[0]) > 1 else 1), int(more[1]))
+        if told == "choice":
+            return value.isin(*more[0].split("|"))
+        finite = (value > float("-inf")) & (value < float("inf"))
+        if told == "number":
+            return finite & value.between(float(more[0]), float(more[1])) if more else finite
+        if told == "reading":
+            return value.isNull() | finite
+        if told == "instant":
+            return instant(value).isNotNull()
+        if told == "url":
+            return (F.octet_length(value) <= 2048) & F.rlike(value, F.lit(URL))
+        return F.lit(False)
+
     def shape_findings(self, rows: DataFrame) -> DataFrame:
         """What is wrong with single values: their type, length, choice and fields."""
         shape, kind, said, number, size = (F.col(c) for c in ("shape", "kind", "said", "number", "size"))
@@ -135,7 +172,7 @@ class Contract:
             F.when((told == "choice") & ~F.array_contains(F.split(part(2), "\\|"), said), finding("not-allowed", "path", said)),
             F.when(unknown_kind, finding("not-allowed", F.concat("path", F.lit(".kind")), F.element_at(F.split(shape, ":", 2), 2))),
             F.when((told == "instant") & said.isNotNull() & instant(said).isNull(), finding("bad-instant", "path", said)),
-            F.when((told == "url") & ((size > 2048) | ~F.rlike(said, F.lit(r"(?i)^https?://[^/?#@\s]+([/?#]\S*)?\z"))), finding("bad-url", "path", said)),
+            F.when((told == "url") & ((size > 2048) | ~F.rlike(said, F.lit(URL))), finding("bad-url", "path", said)),
         )
         allowed = F.try_element_at(literal_map({r: [f.rstrip("?") for f in fs] for r, fs in self.records.items()}), shape)
         required = F.try_element_at(literal_map({r: [f for f in fs if not f.endswith("?")] for r, fs in self.records.items()}), shape)
