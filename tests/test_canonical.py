@@ -124,3 +124,25 @@ def test_wide_negative_numbers_keep_all_digits(spark):
 
 def abs_of(number):
     return number.copy_abs()
+
+
+def test_bytes_of_decimals_of_any_width_by_a_small_expression(spark):
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import canonical
+    from tidemark.functions.values import field
+
+    edges = {s * (b + d) for b in (0, 10**17, 10**18, 1 << 31, 1 << 32, 1 << 63, 1 << 64, 1 << 96, 10**37, 10**38 - 1) for d in (-1, 0, 1) for s in (1, -1)} | {700, -1230, 10**20, -(10**36)}
+    edges = sorted(x for x in edges if abs(x) < 10**38)
+    for scale in (0, 2, 18):
+        column = canonical.typed_bytes(field("x", "decimal", scale))
+        assert len(column._jc.toString()) < 30_000
+        rows = spark.createDataFrame([(str(x),) for x in edges], "said string").withColumn("x", F.concat("said", F.lit(f"E-{scale}")).cast(f"decimal(38,{scale})"))
+        for r in rows.select("said", F.hex(column).alias("h")).collect():
+            coefficient, left = int(r.said), scale
+            while left and coefficient % 10 == 0:
+                coefficient, left = coefficient // 10, left - 1
+            assert r.h == "0200" + (coefficient.to_bytes(16, "big", signed=True) + bytes([left])).hex().upper(), (r.said, scale)
+    assert Decimal(edges[-1]) == 10**38 - 1

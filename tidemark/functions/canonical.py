@@ -81,17 +81,42 @@ def _big_endian(number: Column, n_bytes: int) -> Column:
     return F.unhex(F.right(F.lpad(F.hex(number.cast("bigint")), 16, "0"), F.lit(2 * n_bytes)))
 
 
+def _halves(high: Column, low: Column) -> Column:
+    return F.concat(_big_endian(high, 8), _big_endian(low, 8))
+
+
 def _wide(digits: Column) -> Column:
-    """A decimal(38, 0) in 16 bytes, two's complement: four limbs of 32 bits, of -1 - x where x is negative."""
-    negative = digits < 0
-    rest = F.when(negative, (exact.whole(-1) - digits).cast(exact.WHOLE)).otherwise(digits)
-    limbs = []
-    for _ in range(4):
-        limb = (rest % exact.whole(_LIMB)).cast(exact.WHOLE)
-        rest = ((rest - limb) / exact.whole(_LIMB)).cast(exact.WHOLE)
-        plain = limb.cast("bigint")
-        limbs.append(_big_endian(F.when(negative, F.lit(_LIMB - 1) - plain).otherwise(plain), 4))
-    return F.concat(*reversed(limbs))
+    """A decimal(38, 0) in 16 bytes, two's complement: two halves of 64 bits, of -1 - x where x is negative."""
+    half = exact.whole(1 << 64)
+
+    def split(x: Column) -> Column:
+        rest = F.when(x < 0, (exact.whole(-1) - x).cast(exact.WHOLE)).otherwise(x)
+        return exact.bound(F.struct((x < 0).alias("negative"), rest.alias("rest"), (rest % half).cast(exact.WHOLE).alias("low")), joined)
+
+    def joined(x: Column) -> Column:
+        high = ((x["rest"] - x["low"]) / half).cast("bigint")
+        low = F.when(x["low"] >= exact.whole(1 << 63), x["low"] - half).otherwise(x["low"]).cast("bigint")
+        return F.when(x["negative"], _halves(F.bitwise_not(high), F.bitwise_not(low))).otherwise(_halves(high, low))
+
+    return exact.bound(digits, split)
+
+
+def _decimal_bytes(value: Column, scale: int) -> Column:
+    """Coefficient in 16 bytes and scale in one. Numbers whose coefficient has 18 digits at most, nearly all, stay in 64 bits."""
+
+    def short(number: Column) -> Column:
+        # A zero has no digit that counts, so it loses its whole scale.
+        cut = F.when(number == 0, scale).otherwise(F.least(F.length(number.cast("string")) - F.length(F.rtrim(number.cast("string"), F.lit("0"))), F.lit(scale)))
+        plain = F.call_function("div", number, F.element_at(F.array(*[F.lit(10**i) for i in range(19)]), F.least(cut, F.lit(18)) + 1))
+        return F.concat(F.unhex(F.when(plain < 0, "F" * 16).otherwise("0" * 16)), _big_endian(plain, 8), _big_endian(F.lit(scale) - cut, 1))
+
+    def long(x: Column) -> Column:
+        digits, left = reduced(x, scale)
+        return exact.bound(F.struct(digits.cast(exact.WHOLE).alias("digits"), left.alias("left")), lambda d: F.concat(_wide(d["digits"]), _big_endian(d["left"], 1)))
+
+    most = F.lit("9" * 18 + f"E-{scale}").cast(f"decimal(38,{scale})")
+    small = (value >= -most) & (value <= most)
+    return F.when(small, exact.bound(exact.coefficient(value, scale).cast("bigint"), short)).otherwise(exact.bound(value, long))
 
 
 def _payload(value: Value) -> Column:
@@ -108,8 +133,7 @@ def _payload(value: Value) -> Column:
         content = F.encode(p, "UTF-8")
         return F.concat(_big_endian(F.octet_length(content), 4), content)
     if value.scalar == "decimal":
-        digits, left = reduced(p, value.scale)
-        return F.concat(_wide(digits.cast(exact.WHOLE)), _big_endian(left, 1))
+        return _decimal_bytes(p, value.scale)
     raise CalculationError("type_mismatch", value.scalar)
 
 
