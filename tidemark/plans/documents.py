@@ -316,8 +316,8 @@ def compose_documents(members: DataFrame, requests: DataFrame) -> DataFrame:
         _flat(s, lambda k, d: F.transform(d["evidence"], lambda e: e.withField("id", _named(k, e["id"])))).alias("evidence"),
         drawing.alias("architecture"), F.struct(*[_brief(m, s, c) for c in ("known", "changed", "important")]).alias("executiveBrief"),
     )
-    with_checkpoints(members.sparkSession)
-    composed = rows.select("request_id", refusal.alias("refusal"), F.when(refusal.isNull(), document.cast(DOCUMENT)).alias("dashboard")).checkpoint()
+    # Made twice, to be judged and for the result, as whole documents are more to write than to make.
+    composed = rows.select("request_id", refusal.alias("refusal"), F.when(refusal.isNull(), document.cast(DOCUMENT)).alias("dashboard"))
     bodies = composed.where("refusal IS NULL").select(F.col("request_id").alias("doc_id"), document_json(F.col("dashboard")).alias("body"))
     broken = contract_findings(bodies).select(F.col("doc_id").alias("request_id")).distinct().withColumn("_broken", F.lit(True))
     judged = composed.join(broken, "request_id", "left")
