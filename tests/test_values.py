@@ -269,3 +269,20 @@ def test_division_stays_small(spark):
 
     size = lambda scale: len(ratio(F.col("n") + F.col("m"), F.col("d"), scale)._jc.toString())
     assert size(17) < 2 * size(1) < 20_000
+
+
+def test_evidence_rows_shrink_on_their_way(spark):
+    """Digests that were compared are not shuffled again, and travel as bytes, equal only where their texts are."""
+    import hashlib
+
+    from tidemark import calculation_queries
+    from tidemark.operators import rates
+
+    texts = [hashlib.sha256(b"a").hexdigest(), hashlib.sha256(b"a").hexdigest().upper(), hashlib.sha256(b"a").hexdigest() + "\n", "", "zz", None]
+    packed = [r.p for r in spark.createDataFrame([(t,) for t in texts], "t string").select(rates._packed(F.col("t")).alias("p")).collect()]
+    assert len({None if p is None else bytes(p) for p in packed}) == len(texts) and packed[-1] is None and len(packed[0]) == 32
+    plan = calculation_queries.fx_evidence_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    while "Join" not in plan.nodeName():
+        plan = plan.children().head()
+    carried = plan.children().head().output()
+    assert not [carried.apply(i).name() for i in range(carried.size()) if "sha256" in carried.apply(i).name()]

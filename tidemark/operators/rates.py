@@ -7,6 +7,8 @@ window over one slot sees all it needs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,11 @@ FX_RULES = {
 }
 
 
+def _packed(digest: Column) -> Column:
+    """A digest in half the bytes; texts that aren't 64 small hexadecimal digits as they are, after a byte. Equal only if they were."""
+    return F.when(F.rlike(digest, F.lit(r"\A[0-9a-f]{64}\z")), F.unhex(digest)).otherwise(F.concat(F.lit(b"\x00"), F.encode(digest, "UTF-8")))
+
+
 def check_fx(calculations: DataFrame, conversions: DataFrame, bundles: DataFrame, entries: DataFrame, rates: DataFrame, lineage: DataFrame) -> DataFrame:
     """(calculation_id, rule, code): of each calculation that converts money the first rule that it breaks, or nulls.
 
@@ -87,38 +94,46 @@ def check_fx(calculations: DataFrame, conversions: DataFrame, bundles: DataFrame
     calculation_id, evidence_id. A calculation's bundle is looked up by id, its evidence in the bundle and by itself: each
     relation is read once and joined once, on keys.
     """
+    c = F.col
+    differ = lambda a, b: ~c(a).eqNullSafe(c(b))
+    # Each join keeps, of what it compares, only which rules are broken (a bit each) and what later joins need, so rows shrink
+    # on their way. Digests travel as bytes.
+    bits = {rule: 1 << i for i, rule in enumerate(FX_RULES)}
+    breaks = lambda **of: reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.coalesce(on, F.lit(False)), bits[r.replace("_", "-")]).otherwise(0) for r, on in of.items()])
+    packed = lambda df: df.select(*[_packed(c(n)).alias(n) if n.endswith("sha256") else n for n in df.columns])
+    there = F.lit(True).alias("there")
+
+    rows = packed(calculations).withColumn("broken", breaks(no_identity=c("fx_evidence_id").isNull() | c("fx_evidence_sha256").isNull()))
+    entry = packed(entries).select("bundle_id", c("evidence_id").alias("fx_evidence_id"), c("evidence_sha256").alias("entry_sha256"), c("snapshot_id").alias("entry_snapshot"), c("source_sha256").alias("entry_source"), c("observed_at").alias("entry_at"), (c("freshness") == "current").alias("current"), there)
+    found = breaks(
+        not_in_bundle=c("there").isNull(), entry_hash=differ("entry_sha256", "fx_evidence_sha256"), other_snapshot=differ("entry_snapshot", "snapshot_id"),
+        other_source=differ("entry_source", "source_sha256"), not_current=~F.coalesce("current", F.lit(False)),
+    )
+    rows = rows.join(entry, ["bundle_id", "fx_evidence_id"], "left").select("calculation_id", "fx_evidence_id", "fx_evidence_sha256", "bundle_id", "bundle_sha256", "evaluated_at", "entry_at", c("broken").bitwiseOR(found).alias("broken"))
+
+    bundle = packed(bundles).select("bundle_id", c("bundle_sha256").alias("real_sha256"), there)
+    found = breaks(bundle_identity=c("there").isNull(), bundle_hash=differ("real_sha256", "bundle_sha256"))
+    rows = rows.join(bundle, "bundle_id", "left").select("calculation_id", "fx_evidence_id", "fx_evidence_sha256", "evaluated_at", "entry_at", c("broken").bitwiseOR(found).alias("broken"))
+
+    body = packed(rates).select(c("evidence_id").alias("fx_evidence_id"), c("evidence_sha256").alias("body_sha256"), c("from_currency").alias("body_from"), c("to_currency").alias("body_to"), c("rate").alias("body_rate"), c("observed_at").alias("body_at"), there)
+    age = F.unix_micros("evaluated_at") - F.unix_micros("body_at")
+    found = breaks(
+        no_evidence=c("there").isNull(), body_hash=differ("body_sha256", "fx_evidence_sha256"), instant=differ("body_at", "entry_at"), from_the_future=age < 0, too_old=age > RATE_MAX_AGE_MILLIS * 1000,
+    )
+    rows = rows.join(body, "fx_evidence_id", "left").select("calculation_id", "fx_evidence_id", "body_from", "body_to", "body_rate", c("broken").bitwiseOR(found).alias("broken"))
+
+    line = lineage.select("calculation_id", c("evidence_id").alias("fx_evidence_id"), there).distinct()
+    rows = rows.join(line, ["calculation_id", "fx_evidence_id"], "left").withColumn("broken", c("broken").bitwiseOR(breaks(outside_lineage=c("there").isNull()))).drop("there")
+
     told = conversions.groupBy("calculation_id").agg(
         F.min(F.struct("from_currency", "to_currency")).alias("pair"), F.max(F.struct("from_currency", "to_currency")).alias("last_pair"), F.min("rate").alias("said"), F.max("rate").alias("last_said"),
         F.min("fx_evidence_id").alias("cited"), F.max("fx_evidence_id").alias("last_cited"), F.count_if(F.col("fx_evidence_id").isNull()).alias("uncited"),
     )
-    name = lambda df, prefix, *keys: df.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in keys], F.lit(True).alias(f"{prefix}_there"))
-    rows = calculations.join(told, "calculation_id").join(name(bundles, "bundle", "bundle_id"), "bundle_id", "left")
-    rows = rows.withColumn("evidence_id", F.col("fx_evidence_id"))
-    rows = rows.join(name(entries, "entry", "bundle_id", "evidence_id"), ["bundle_id", "evidence_id"], "left").join(name(rates, "body", "evidence_id"), "evidence_id", "left")
-    rows = rows.join(name(lineage.select("calculation_id", "evidence_id").distinct(), "line", "calculation_id", "evidence_id"), ["calculation_id", "evidence_id"], "left")
-    c = F.col
-    differ = lambda a, b: ~c(a).eqNullSafe(c(b))
-    age = F.unix_micros("evaluated_at") - F.unix_micros("body_observed_at")
-    broken = {
-        "no-identity": c("fx_evidence_id").isNull() | c("fx_evidence_sha256").isNull(),
-        "two-rates": (c("pair") != c("last_pair")) | (c("said") != c("last_said")),
-        "other-evidence": (c("uncited") > 0) | differ("cited", "fx_evidence_id") | differ("last_cited", "fx_evidence_id"),
-        "no-evidence": c("body_there").isNull(),
-        "bundle-identity": c("bundle_there").isNull(),
-        "bundle-hash": differ("bundle_bundle_sha256", "bundle_sha256"),
-        "not-in-bundle": c("entry_there").isNull(),
-        "entry-hash": differ("entry_evidence_sha256", "fx_evidence_sha256"),
-        "body-hash": differ("body_evidence_sha256", "fx_evidence_sha256"),
-        "other-snapshot": differ("entry_snapshot_id", "snapshot_id"),
-        "other-source": differ("entry_source_sha256", "source_sha256"),
-        "direction": differ("body_from_currency", "pair.from_currency") | differ("body_to_currency", "pair.to_currency"),
-        "rate": differ("body_rate", "said"),
-        "instant": differ("body_observed_at", "entry_observed_at"),
-        "outside-lineage": c("line_there").isNull(),
-        "not-current": ~F.coalesce(c("entry_freshness") == "current", F.lit(False)),
-        "from-the-future": age < 0,
-        "too-old": age > RATE_MAX_AGE_MILLIS * 1000,
-    }
-    first = F.coalesce(*[F.when(F.coalesce(broken[rule], F.lit(False)), F.lit(rule)) for rule in FX_RULES])
+    found = breaks(
+        two_rates=(c("pair") != c("last_pair")) | (c("said") != c("last_said")), other_evidence=(c("uncited") > 0) | differ("cited", "fx_evidence_id") | differ("last_cited", "fx_evidence_id"),
+        direction=differ("body_from", "pair.from_currency") | differ("body_to", "pair.to_currency"), rate=differ("body_rate", "said"),
+    )
+    rows = rows.join(told, "calculation_id").select("calculation_id", c("broken").bitwiseOR(found).alias("broken"))
+    first = F.coalesce(*[F.when(c("broken").bitwiseAND(F.lit(bits[rule])) != 0, F.lit(rule)) for rule in FX_RULES])
     code = F.create_map(*[F.lit(x) for pair in FX_RULES.items() for x in pair])
     return rows.select("calculation_id", first.alias("rule")).withColumn("code", F.try_element_at(code, "rule"))
