@@ -309,3 +309,19 @@ def test_reachability_along_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(11)] + [(5, 2), (40, 41)], "src int, dst int")
     found = reachability.reachable(edges, spark.createDataFrame([(0,), (0,)], "node int"))
     assert sorted(r.node for r in found.collect()) == list(range(12))
+
+
+def test_relations_are_followed_around_cycles(spark):
+    from tidemark.operators.reachability import reachable_relations
+
+    table = lambda rows: spark.createDataFrame(rows, "src bigint, dst bigint")
+    chain = [(i, i + 1) for i in range(12)] + [(12, 0), (40, 41)]
+    edges = [("a", "b", [(1, 10), (1, 11), (2, 99), (3, None)]), ("b", "a", [(10, 3), (11, 1)]), ("b", "c", [(10, 0), (11, 40), (None, 7)]), ("c", "c", chain), ("a", "c", [(3, 5)])]
+    found = reachable_relations([(x, y, table(rows)) for x, y, rows in edges], {"a": spark.createDataFrame([(1,), (1,)], "node bigint")}).collect()
+    reached, todo = set(), [("a", 1)]
+    while todo:
+        kind, node = todo.pop()
+        if (kind, node) not in reached:
+            reached.add((kind, node))
+            todo += [(y, d) for x, y, rows in edges for s, d in rows if x == kind and s == node and node is not None]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, reached)) and ("b", None) in reached and len(reached) == 20

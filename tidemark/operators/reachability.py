@@ -30,6 +30,35 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
             tables.append((rank + 1, one.union(two).checkpoint()))
 
 
+def reachable_relations(relations: list[tuple[str, str, DataFrame]], roots: dict[str, DataFrame]) -> DataFrame:
+    """(kind, node): what ``reachable`` finds where nodes are of few kinds, each with keys of one type.
+
+    ``relations`` has, for each, the kinds at its ends and its edges (src, dst); ``roots`` the nodes (node) of some kinds. A
+    round reads only the relations that begin at a kind with new nodes, so relations without cycles are read once, and
+    keys are joined as they are. A null key is followed nowhere.
+    """
+    known = {kind: [rows.select("node").distinct().checkpoint()] for kind, rows in roots.items()}
+    fresh = {kind: tables[0] for kind, tables in known.items()}
+    while fresh:
+        found: dict[str, DataFrame] = {}
+        for start, end, edges in relations:
+            if start in fresh:
+                reached = edges.join(fresh[start], edges["src"] == fresh[start]["node"], "left_semi").select(edges["dst"].alias("node"))
+                found[end] = found[end].union(reached) if end in found else reached
+        fresh = {}
+        for kind, rows in found.items():
+            new = rows.distinct()
+            for table in known.get(kind, []):
+                new = new.join(table.withColumnRenamed("node", "known"), F.col("node").eqNullSafe(F.col("known")), "left_anti")
+            new = new.checkpoint()
+            if not new.isEmpty():
+                fresh[kind] = new
+                tables = [*known.get(kind, []), new]
+                # Cycles add tables; eight are written as one, so a round reads few.
+                known[kind] = tables if len(tables) < 8 else [reduce(DataFrame.union, tables).checkpoint()]
+    return reduce(DataFrame.union, [table.select(F.lit(kind).alias("kind"), "node") for kind, tables in known.items() for table in tables])
+
+
 def differences(declared: DataFrame, actual: DataFrame, existing: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(node, problem) of a declared list of unreachable nodes: undeclared, wrongly declared, unknown or repeated; unknown roots.
 

@@ -858,12 +858,10 @@ _TYPED_SQL = " UNION ".join(f"SELECT '{a}:' || {x} AS src, '{b}:' || {y} AS dst
 @query(f"""WITH RECURSIVE edges AS MATERIALIZED ({_TYPED_SQL}), r(node) AS (SELECT 'region:' || r_regionkey FROM region UNION SELECT dst FROM r JOIN edges ON src = node) SELECT node FROM r""")
 def reachability_relations(spark, sf_dir):
     with_checkpoints(spark)
-    typed = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
-    edges = None
-    for table, (a, x, b, y) in _TYPED_EDGES.items():
-        found = read_table(spark, sf_dir, table.split()[0]).select(typed(a, x).alias("src"), typed(b, y).alias("dst"))
-        edges = found if edges is None else edges.union(found)
-    return reachability.reachable(edges, read_table(spark, sf_dir, "region").select(typed("region", "r_regionkey").alias("node")))
+    relations = [(a, b, read_table(spark, sf_dir, table.split()[0]).select(F.col(x).cast("bigint").alias("src"), F.col(y).cast("bigint").alias("dst"))) for table, (a, x, b, y) in _TYPED_EDGES.items()]
+    found = reachability.reachable_relations(relations, {"region": read_table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("node"))})
+    named = found.select(F.concat("kind", F.lit(":"), F.col("node").cast("string")).alias("node"))
+    return named.where("node IS NOT NULL").union(named.where("node IS NULL").distinct())  # of null keys, whatever their kinds, one
 
 
 @query("""SELECT c_custkey AS node, CASE WHEN c_custkey % 3 = 0 THEN 'declared-but-reachable' ELSE 'undeclared' END AS problem FROM customer WHERE (c_custkey % 3 = 0 AND c_custkey % 2 = 0) OR (c_custkey % 3 <> 0 AND c_custkey % 2 <> 0)""")
