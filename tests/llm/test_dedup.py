@@ -268,3 +268,49 @@ def test_links_of_near_dedup_are_between_words_not_hashes(spark):
     same = lambda texts: (np.arange(len(texts), dtype=np.uint64) * np.uint64(0), np.arange(len(texts) + 1))
     assert _links(["a b", "a b"], ["a c", "A  b"], same, word_shingles) == [False, True]
     assert len(word_shingles("a b c d e f")) == np.diff(shingle_sets(["a b c d e f"])[1])[0] == 2
+
+
+@pytest.mark.parametrize("slots", [3, 7, 42, 128])
+def test_agreement_of_signatures_is_counted_without_python(spark, slots):
+    from tidemark.llm.set_links import agreeing, words
+
+    rng = np.random.default_rng(slots)
+    ones = rng.integers(0, 256, (60, slots)).astype(np.uint8)
+    twos = np.where(rng.random((60, slots)) < 0.5, ones, rng.choice([0, 1, 127, 128, 255], (60, slots))).astype(np.uint8)
+    rows = [(i, x.tobytes(), y.tobytes()) for i, (x, y) in enumerate(zip(ones, twos))]
+    table = spark.createDataFrame(rows, "i int, x binary, y binary").select("i", words("x", slots).alias("x"), words("y", slots).alias("y"))
+    found = table.select("i", agreeing("x", "y", slots).alias("n"))
+    assert {r.i: r.n for r in found.collect()} == dict(enumerate((ones == twos).sum(axis=1).tolist()))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_count_slots_that_differ():
+    import pandas as pd
+
+    from tidemark.llm.set_links import Agreement, _Block
+
+    rng = np.random.default_rng(2)
+    signs = rng.choice([0, 1, 127, 128, 255], (9, 42)).astype(np.uint8)
+    rows = pd.DataFrame({"node": range(9), "component": range(9), "home": 0, "low": 0, "high": 0, "bucket": 5, "signature": [x.tobytes() for x in signs], "bands": [[5]] * 9, "text": ["a"] * 9})
+    block = _Block(rows, lambda lines: character_sets(lines, SHINGLE), _grams, Agreement(42, 17))
+    every = np.arange(9)
+    assert (block.differing(every, every) == (signs[:, None] != signs[None]).sum(axis=2)).all()
+
+
+def test_character_sets_of_mixed_lines():
+    """Short and long lines in any order, letters beyond the table, shingles that repeat: sets as Python has them."""
+    lines = ["", "abc", "x" * 30, "\U0001F600" * 12, "", "ab" * 40, "日本語" * 9, "é", "0123456789", "a" * 9]
+    sets, offsets = character_sets(lines, SHINGLE)
+    parts = [sets[a:b] for a, b in zip(offsets, offsets[1:])]
+    assert [len(p) for p in parts] == [len(_grams(x)) for x in lines] and all((np.diff(p.astype(object)) > 0).all() for p in parts)
+    named = {g: h for x, p in zip(lines, parts) if len(x) <= SHINGLE for g, h in zip(_grams(x), p.tolist())}
+    assert len(set(named.values())) == len(named)
+    assert len(character_sets([], SHINGLE)[0]) == 0
+
+
+def test_blanks_are_taken_from_both_ends_only(spark):
+    from tidemark.llm.fuzzy_lines import _stripped
+
+    lines = ["", " ", "a b", " a", "a\t", "\x0ba \tb\x0c", "\r\r", "\u00a0a\u00a0", " é ", "a\u2003"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    assert {r.i: r.x for r in rows.select("i", _stripped(rows.line).alias("x")).collect()} == {i: x.strip(" \t\x0b\x0c\r") for i, x in enumerate(lines)}

@@ -25,8 +25,9 @@ def with_hubs(dealt: DataFrame, scratch: Scratch) -> DataFrame:
     order = F.col("weight") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20)
     buckets = dealt.groupBy("bucket").agg(F.min_by("node", order).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = scratch.write(buckets.select("bucket", "hub"), "buckets")
-    # Both sides of the join are shuffled, so adaptive execution splits the partitions of large buckets.
-    members = scratch.write(dealt.select("bucket", "node").join(buckets, "bucket"), "members")
+    # Both sides of the join are shuffled, so adaptive execution splits the partitions of large buckets. Buckets are few and
+    # short beside their members, so a task hashes its own rather than sorting all members.
+    members = scratch.write(dealt.select("bucket", "node").join(buckets.hint("shuffle_hash"), "bucket"), "members")
     scratch.drop(buckets)
     return members
 

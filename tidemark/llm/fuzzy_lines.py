@@ -10,8 +10,8 @@ line of each component stays: the first by doc_id and line number.
 * Classes are linked within the bands' buckets without listing a bucket's pairs, by the exact similarity of full sets (see
   set_links), and joined by distributed union-find.
 
-Signatures and sets are made in numpy inside the tasks. Built-in functions can express them, and did, but not within the
-limits of CPU time (see README).
+Signatures and sets are made in numpy inside the tasks, their agreement is counted in built-in functions. Built-in functions
+can express the rest too, and did, but not within the limits of CPU time (see README).
 
 Defined results: null text is one empty line; empty lines are never compared and all stay; a null doc_id is last in
 order; of repeated rows one stays; a line of any length is compared whole; an empty table gives an empty result; other
@@ -21,6 +21,7 @@ columns pass by.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,19 @@ LEAST_AGREEING, LEAST_SMALL, TELLS_FROM = 17, 2, 120
 _BLANKS = " \t\x0b\x0c\r"
 
 
+def _stripped(line: Column) -> Column:
+    """``line`` without blanks at its ends. btrim looks at every character, so it gets only the lines that have some."""
+    blank = [at(b) for b in _BLANKS for at in (line.startswith, line.endswith)]
+    return F.when(reduce(Column.__or__, blank), F.btrim(line, F.lit(_BLANKS))).otherwise(line)
+
+
 def _key() -> Column:
     return F.unhex(F.md5("line"))
 
 
 def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     parts = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
-    parts = parts.withColumn("line", F.lower(F.btrim("line", F.lit(_BLANKS))))
+    parts = parts.withColumn("line", F.lower(_stripped(F.col("line"))))
     return parts.withColumn("key", F.when(F.length("line") > 0, _key()))
 
 
@@ -82,7 +89,7 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     classes = scratch.write(distinct.select(F.monotonically_increasing_id().alias("node"), _key().alias("key"), "line"), "line-classes")
     signed = scratch.write(classes.select("node", "line").mapInArrow(_signed, "node bigint, weight bigint, bands array<bigint>, signature binary"), "line-signed")
     texts = classes.select("node", F.col("line").alias("text"))
-    found = SetLinks(scratch, signed, texts, lambda lines: character_sets(lines, SHINGLE), lambda line: line_shingles(line, SHINGLE), Agreement(LEAST_AGREEING, LEAST_SMALL, TELLS_FROM)).components()
+    found = SetLinks(scratch, signed, texts, lambda lines: character_sets(lines, SHINGLE), lambda line: line_shingles(line, SHINGLE), Agreement(BANDS * ROWS, LEAST_AGREEING, LEAST_SMALL, TELLS_FROM)).components()
 
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "uid")).alias("keeper")
     counted = scratch.write(lines.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("class_rows"), keeper), "line-counts")

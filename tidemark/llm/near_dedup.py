@@ -86,7 +86,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carr
 
     signed = classes.select("node", F.col("n_shingles").alias("weight"), "bands", "signature")
     texts = table.select(F.col("uid").alias("node"), F.col("row.text").alias("text"))
-    found = SetLinks(scratch, signed, texts, shingle_sets, word_shingles, Agreement(LEAST_AGREEING)).components()
+    found = SetLinks(scratch, signed, texts, shingle_sets, word_shingles, Agreement(BANDS * ROWS, LEAST_AGREEING)).components()
 
     placed = scratch.write(classes.join(found, "node", "left").select("digest", "members", "keeper", F.coalesce("component", "node").alias("component")), "near-placed")
     best = scratch.write(placed.groupBy("component").agg(F.min("keeper").alias("best")), "near-best")  # both written: a hot component is split

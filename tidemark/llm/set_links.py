@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,19 +53,29 @@ def similar(both: int, one: int, two: int) -> bool:
 
 @dataclass(frozen=True)
 class Agreement:
-    """In how many slots two signatures must agree: ``least``, or ``least_small`` if a set has less than ``tells_from`` elements."""
+    """In how many of ``slots`` two signatures must agree: ``least``, or ``least_small`` if a set has less than ``tells_from`` elements."""
 
+    slots: int
     least: int
     least_small: int = 0
     tells_from: int = 0
 
 
-@F.pandas_udf(T.IntegerType())
-def _agreeing(one: pd.Series, two: pd.Series) -> pd.Series:
-    if not len(one):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (one, two))
-    return pd.Series((x == y).sum(axis=1).astype(np.int32))
+#: Bytes of a signature in a number of 64 bits; the eighth stays free, so no sum overflows.
+_BYTES, _LOW, _HIGH = 7, int("7F" * 7, 16), int("80" * 7, 16)
+
+
+def words(signature: Column, slots: int) -> Column:
+    """A signature of ``slots`` bytes as an array of numbers."""
+    parts = [F.substring(signature, at + 1, _BYTES) for at in range(0, slots, _BYTES)]
+    return F.array(*[F.conv(F.hex(p), 16, 10).cast("long") for p in parts])
+
+
+def agreeing(one: str, two: str, slots: int) -> Column:
+    """In how many bytes two arrays of ``words`` agree: those where no bit differs."""
+    differ = [F.col(one)[i].bitwiseXOR(F.col(two)[i]) for i in range(-(-slots // _BYTES))]
+    marked = [(x.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(x).bitwiseAND(F.lit(_HIGH)) for x in differ]
+    return F.lit(slots) - reduce(Column.__add__, [F.bit_count(x) for x in marked])
 
 
 def confirmed(one: str, two: str, elements: Elements) -> bool:
@@ -73,6 +84,12 @@ def confirmed(one: str, two: str, elements: Elements) -> bool:
     return similar(len(a & b), len(a), len(b))
 
 
+def hashed_similar(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sets of hashes are similar; if their sizes rule that out they aren't compared."""
+    fewer, more = sorted((len(one), len(two)))
+    return similar(fewer, fewer, more) and similar(len(np.intersect1d(one, two, assume_unique=True)), len(one), len(two))
+
+
 def _links(ones: list, twos: list, sets_of: Sets, elements: Elements) -> list[bool]:
     """Whether the full sets of the texts of each pair are similar. The set of a text that many pairs name is made once."""
     verdicts = []
@@ -81,7 +98,7 @@ def _links(ones: list, twos: list, sets_of: Sets, elements: Elements) -> list[bo
         pairs = [(place.setdefault(x, len(place)), place.setdefault(y, len(place))) for x, y in zip(ones[begin:end], twos[begin:end])]
         hashes, offsets = sets_of(list(place))
         sets = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-        hashed = [similar(len(np.intersect1d(sets[i], sets[k], assume_unique=True)), len(sets[i]), len(sets[k])) for i, k in pairs]
+        hashed = [hashed_similar(sets[i], sets[k]) for i, k in pairs]
         verdicts += [h and confirmed(x, y, elements) for h, x, y in zip(hashed, ones[begin:end], twos[begin:end])]
     return verdicts
 
@@ -93,7 +110,8 @@ class _Block:
         self.agree, self.elements = agree, elements
         self.nodes, self.component, home = (rows[c].to_numpy() for c in ("node", "component", "home"))
         self.ones, self.twos = np.flatnonzero(home == rows["low"].iloc[0]), np.flatnonzero(home == rows["high"].iloc[0])
-        self.signs = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
+        signs = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
+        self.signs = np.pad(signs, [(0, 0), (0, -signs.shape[1] % 8)]).view(np.uint64)
         bands = np.array(rows["bands"].tolist(), np.int64)
         self.earlier = bands[:, : np.flatnonzero(bands[0] == rows["bucket"].iloc[0])[0]]
         self.texts, sets, sizes = rows["text"].tolist(), [], []
@@ -106,11 +124,19 @@ class _Block:
         self.places = np.split(flat, np.cumsum(self.sizes)[:-1])  # a set as places in ``inside``
         self.inside, self.parent = np.zeros(len(known), bool), {}
 
+    def differing(self, ones: np.ndarray, twos: np.ndarray) -> np.ndarray:
+        """In how many slots (bytes) the signatures of each pair differ, eight slots at a time."""
+        low, count = np.uint64(int("7F" * 8, 16)), np.zeros((len(ones), len(twos)), np.int16)
+        for column in self.signs.T:
+            bits = column[ones, None] ^ column[None, twos]
+            count += np.bitwise_count((((bits & low) + low) | bits) & ~low)  # a byte's high bit says that it isn't zero
+        return count
+
     def likely(self, ones: np.ndarray, twos: np.ndarray) -> np.ndarray:
         """Of each pair, whether it could be a link between components and doesn't meet in an earlier band's bucket."""
         one, two = self.sizes[ones, None], self.sizes[None, twos]
         least = np.where(np.minimum(one, two) < self.agree.tells_from, self.agree.least_small, self.agree.least)
-        found = (self.signs[ones, None, :] == self.signs[None, twos, :]).sum(axis=2) >= least
+        found = self.differing(ones, twos) <= self.agree.slots - least
         found &= (np.minimum(one, two) * DENOMINATOR >= np.maximum(one, two) * NUMERATOR) & (self.component[ones, None] != self.component[None, twos])
         x, y = np.nonzero(found)
         found[x, y] = ~(self.earlier[ones[x]] == self.earlier[twos[y]]).any(axis=1)
@@ -165,9 +191,10 @@ class SetLinks:
     def components(self) -> DataFrame:
         """Rows (node, component) of the nodes that have links."""
         members = with_hubs(self.signed.select("node", "weight", F.explode("bands").alias("bucket")), self.scratch)
-        # Most nodes meet no other. Nodes grow with the corpus, so they are never broadcast: texts are shuffled at every size.
-        nodes = self.scratch.write(members.select("node").distinct(), "met").hint("merge")
-        signed = self.scratch.write(self.signed.join(nodes, "node", "left_semi"), "met-signed")
+        # Most nodes meet no other. Nodes grow with the corpus, so they are never broadcast: texts are shuffled at every size, and looked up in a hash table of a partition's nodes.
+        nodes = self.scratch.write(members.select("node").distinct(), "met").hint("shuffle_hash")
+        signed = self.signed.join(nodes, "node", "left_semi").withColumn("words", words(F.col("signature"), self.agree.slots))
+        signed = self.scratch.write(signed, "met-signed")
         self.scratch.drop(self.signed)
         self.signed, self.texts = signed, self.scratch.write(self.texts.join(nodes, "node", "left_semi"), "met-texts")
         return link_buckets(members, self.compare, self.link_large, self.scratch)
@@ -187,9 +214,9 @@ class SetLinks:
         def linked(one: pd.Series, two: pd.Series) -> pd.Series:
             return pd.Series(_links(one.tolist(), two.tolist(), sets_of, elements), dtype=bool)
 
-        both = self._with(self.scratch.write(pairs, "pairs"), self.signed.select("node", "signature", "weight"))
+        both = self._with(self.scratch.write(pairs, "pairs"), self.signed.select("node", "words", "weight"))
         least = F.when(F.least("weight_a", "weight_b") < self.agree.tells_from, self.agree.least_small).otherwise(self.agree.least)
-        likely = both.select("a", "b", least.alias("least"), _agreeing("signature_a", "signature_b").alias("agreeing")).where("agreeing >= least")
+        likely = both.select("a", "b", least.alias("least"), agreeing("words_a", "words_b", self.agree.slots).alias("agreeing")).where("agreeing >= least")
         if one_each:
             likely = likely.groupBy("a").agg(F.max_by("b", F.struct("agreeing", "b")).alias("b"))
         likely = self.scratch.write(likely.select("a", "b"), "likely")

@@ -14,6 +14,7 @@ _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C55
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _powers: list[np.ndarray] = []
+_table: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -147,40 +148,59 @@ def super_minhash(elements: np.ndarray, offsets: np.ndarray, slots: int) -> np.n
     return values
 
 
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """A random number for each code point, from a table of those that most texts have."""
+    if not len(_table):
+        _table.append(mix(np.arange(1, 1 << 14, dtype=np.uint64)))
+    if not len(codes) or codes.max() < len(_table[0]):
+        return _table[0][codes]
+    return mix(codes.astype(np.uint64) + np.uint64(1))
+
+
 def character_shingles(lines: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of ``length`` characters and the lines they belong to; a shorter line is one shingle."""
+    """Hashes of all shingles of ``length`` characters and the lines they belong to; a shorter line is one shingle.
+
+    A shingle's hash sums its letters' numbers by powers of an odd base and is mixed once, in the end.
+    """
     codes = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32)
-    sizes = np.array([len(x) for x in lines])
+    sizes = np.array([len(x) for x in lines], np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
-    hashed = mix(codes.astype(np.uint64) + np.uint64(1))
+    letters, base = _letters(codes), _power_tables(CHUNK + 2)[0]
 
     def rolled(n: int) -> np.ndarray:
-        """Hashes of ``n`` characters from each place on, by halves."""
+        """Sums of ``n`` letters from each place on, by halves."""
         if n == 1:
-            return hashed
-        one = rolled(n // 2)
-        two = one if n % 2 == 0 else rolled(n - n // 2)
-        places = len(hashed) - n + 1
-        return mix(one[:places] * np.uint64(_BASE) + two[n // 2 : n // 2 + places])
+            return letters
+        half = rolled(n // 2)
+        places = len(letters) - n + 1
+        found = half[n // 2 : n // 2 + places] * base[n // 2]
+        found += half[:places]
+        if n % 2:
+            found += letters[n - 1 :] * base[n - 1]
+        return found
 
     whole = sizes >= length
     count = np.where(whole, sizes - length + 1, 0)
     owner = np.repeat(np.arange(len(lines)), count)
     first = np.repeat(begins - np.cumsum(count) + count, count)
-    found = rolled(length)[np.arange(len(owner)) + first] if len(owner) else np.zeros(0, np.uint64)
+    first += np.arange(len(owner))
+    found = rolled(length)[first] if len(owner) else np.zeros(0, np.uint64)
     short = np.flatnonzero(~whole)
-    lone = [mix(np.cumsum(hashed[begins[i] : begins[i] + sizes[i]] * _power_tables(CHUNK + 2)[0][: sizes[i]], dtype=np.uint64))[-1] if sizes[i] else np.uint64(0) for i in short]
-    return np.concatenate([found, np.array(lone, np.uint64)]), np.concatenate([owner, short])
+    lone = np.array([(letters[begins[i] : begins[i] + sizes[i]] * base[: sizes[i]]).sum(dtype=np.uint64) + np.uint64(sizes[i]) for i in short], np.uint64)
+    return np.concatenate([mix(found), mix(lone)]), np.concatenate([owner, short])
 
 
 def character_sets(lines: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each line, as (hashes sorted within a line, offsets of the lines)."""
     hashes, owners = character_shingles(lines, length)
-    order = np.lexsort((hashes, owners))
-    hashes, owners = hashes[order], owners[order]
-    fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])]) if len(hashes) else np.zeros(0, bool)
-    hashes, owners = hashes[fresh], owners[fresh]
-    return hashes, np.searchsorted(owners, np.arange(len(lines) + 1))
+    ends = np.searchsorted(owners[: len(owners) - sum(len(x) < length for x in lines)], np.arange(len(lines) + 1)).tolist()
+    lone = iter(hashes[ends[-1] :, None])
+    sets = [np.sort(hashes[a:b]) if a < b else next(lone) for a, b in zip(ends, ends[1:])]
+    hashes = np.concatenate([np.zeros(0, np.uint64), *sets])
+    offsets = np.cumsum([0] + [len(s) for s in sets])
+    fresh = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
+    fresh[offsets[:-1]] = True  # no set is empty
+    return hashes[fresh], np.concatenate([[0], np.cumsum(fresh)])[offsets]
 
 
 def line_shingles(line: str, length: int) -> set[str]:
