@@ -180,3 +180,44 @@ def test_sound_documents_are_judged_in_their_row(spark):
     sound = {r.doc_id for r in rows.where(surely_sound(F.col("body"))).collect()}
     found = {r.doc_id for r in contract_findings(rows).collect()}
     assert sound == {0, 1, 2} and found == set(range(3, 5 + len(changes))) - {2 + len(changes)}  # a blank at the end is sound
+
+
+def test_requests_are_composed_and_judged_in_their_row(spark):
+    """No job runs while a composition is declared, so that no document is made twice; members may come with their request."""
+    cases = [[("a", "A", source("1")), ("b", "B", source("2"))], [("k" * 125, "A", source("1")), ("b", "B", source("2"))], [("a", "A", None), ("b", "B", source("2"))], []]
+    rows = [(i, p, k, label, json.dumps(d) if d else None) for i, case in enumerate(cases) for p, (k, label, d) in enumerate(case)]
+    members = spark.createDataFrame(rows, "request_id int, place int, key string, label string, body string").withColumn("dashboard", F.from_json("body", DOCUMENT)).drop("body")
+    requests = spark.createDataFrame([(i, "r", "Both", "a", "n") for i in range(len(cases))], "request_id int, id string, title string, audience string, notice string")
+    context = spark.sparkContext
+    context.setJobGroup("declared", "a composition that nothing reads yet")
+    made = compose_documents(members, requests)
+    jobs = list(context.statusTracker().getJobIdsForGroup("declared"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == []
+    held = members.groupBy("request_id").agg(F.collect_list(F.struct("place", "key", "label", "dashboard")).alias("members"))
+    gathered = documents.compose_gathered(requests.join(held.withColumn("members", F.reverse("members")), "request_id", "left"))
+    found = sorted(made.collect())
+    assert [r.refusal for r in found] == [None, "breaks-contract", None, "too-few-sources"] and sorted(gathered.collect()) == found
+
+
+def test_structs_are_judged_as_their_text(spark):
+    """keeps_contract tells of structs what contract_findings does of their JSON text, at limits and of bytes that aren't UTF-8."""
+    text = lambda f: json.dumps((f(d := source("1", citations=2)), d)[1])
+    retitled = lambda t: text(lambda d: d.update(title=t))
+    seen = lambda *times: text(lambda d: [e.update(observedAt=t) for e, t in zip(d["evidence"], times)])
+    linked = lambda url: text(lambda d: d["evidence"][1].update(sourceUrl=url))
+    wide = lambda n: text(lambda d: d["pages"][0].update(components=[{"kind": "summary", "id": f"s{c}", "title": "t", "tone": "normal", "claims": [{"text": f"{i}" + "w" * n, "evidenceIds": ["reading"]} for i in range(24)]} for c in range(12)]))
+    bodies = [
+        text(lambda d: None), retitled("é" * 256), retitled("é" * 257), retitled("🐟" * 128), retitled("🐟" * 129), retitled("�"), retitled(""), wide(3500), wide(3600), wide(4000), linked("https://a.b/" + "é" * 2036), linked("https://a.b/" + "é" * 2037), linked("ftp://a.b/"),
+        seen("2026-08-19T09:00:00Z", "2026-08-19T10:00:00Z"), seen("2026-08-19T09:00:00Z", "2026-08-19T10:00:01Z"), seen("2026-08-19T09:00:00Z", "then"), text(lambda d: d["evidence"][2].pop("retrievedAt")), text(lambda d: d["pages"][0]["components"][0]["evidenceIds"].append(None)),
+        text(lambda d: d["pages"][0]["components"][1]["stations"][0].update(latitude="NaN")), text(lambda d: d["pages"][0]["components"][1]["stations"].append(None)),
+    ]
+    rows = spark.createDataFrame(enumerate(bodies), "doc_id int, body string").withColumn("d", F.from_json("body", DOCUMENT))
+    rough = lambda byte: F.expr(f"CAST(unhex('61{byte}') AS STRING)")  # noqa: E731  two that are one text in JSON
+    more = lambda e, byte: F.concat(e, F.transform(F.slice(e, 1, 1), lambda x: x.withField("id", rough(byte))))
+    base = rows.where("doc_id = 0").select("d")
+    odd = [base.select(F.lit(100 + i).alias("doc_id"), F.col("d").withField("evidence", more(more(F.col("d.evidence"), "FF"), b)).alias("d")) for i, b in enumerate(("FE", "62"))]
+    docs = rows.select("doc_id", "d").unionByName(odd[0]).unionByName(odd[1]).checkpoint()
+    kept = {r.doc_id for r in docs.where(documents.keeps_contract(F.col("d"))).collect()}
+    found = {r.doc_id for r in contract_findings(docs.select("doc_id", document_json(F.col("d")).alias("body"))).collect()}
+    assert kept == {0, 1, 3, 5, 7, 10, 13, 101} and found == {r.doc_id for r in docs.collect()} - kept

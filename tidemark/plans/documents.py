@@ -4,7 +4,7 @@ A document is JSON text or a struct of the type DOCUMENT. A text that is just wh
 it is read as has neither unknown fields nor wrong types, so the struct tells whether it is sound, in its own row. All other
 texts, and those that aren't surely sound, are taken apart into rows (see sources.shapes); one exchange of them by document
 serves every check of uniqueness, references, times and budgets.
-Composition is one row a request: each request's few members are gathered and rewritten by nested transforms.
+Composition is one row a request: each request's few members are gathered, rewritten by nested transforms and judged there.
 """
 
 from __future__ import annotations
@@ -174,7 +174,8 @@ def _consistent(d: Column, parts: Column) -> Column:
 
     latest = d["freshness"]["latestObservationAt"]
     seen = lambda e, made: bound(instant(e["retrievedAt"]), lambda at: (at <= made) & (e["observedAt"].isNull() | (instant(e["observedAt"]) <= at)))
-    in_order = bound(instant(d["generatedAt"]), lambda made: F.forall(evidence, lambda e: seen(e, made)) & F.when(latest.isNull(), d["freshness"]["status"] != "fresh").otherwise(instant(latest) <= made))
+    told = F.array_distinct(F.transform(evidence, lambda e: F.struct(e["observedAt"].alias("observedAt"), e["retrievedAt"].alias("retrievedAt"))))  # most are alike
+    in_order = bound(instant(d["generatedAt"]), lambda made: F.forall(told, lambda e: seen(e, made)) & F.when(latest.isNull(), d["freshness"]["status"] != "fresh").otherwise(instant(latest) <= made))
     named = F.forall(parts, lambda c: F.forall(inside(c, "stations"), lambda s: reduce(and_, [s[m]["value"].isNull() | (s[m]["unit"] != "") for m in ("primary", "secondary")])))
 
     items = reduce(add, [F.size(x) for x in (d["pages"], evidence, nodes, edges, parts)]) + total(parts, lambda c: reduce(add, [F.size(inside(c, n)) for n in _LISTS]))
@@ -182,11 +183,33 @@ def _consistent(d: Column, parts: Column) -> Column:
     return reduce(and_, [*unique, known, joined, in_order, named, items <= MAX_ITEMS, points <= MAX_POINTS])
 
 
+def _sound(d: Column) -> Column:
+    parts = F.flatten(F.transform(d["pages"], lambda p: p["components"]))
+    return F.coalesce(CONTRACT.holds("dashboard", d) & bound(parts, lambda c: _consistent(d, c)), F.lit(False))
+
+
 def surely_sound(body: Column) -> Column:
     """True only for a text without findings; false for those with findings, and for some that are sound but spelled otherwise."""
-    parts = lambda d: F.flatten(F.transform(d["pages"], lambda p: p["components"]))
-    judged = lambda d: (document_json(d) == body) & CONTRACT.holds("dashboard", d) & bound(parts(d), lambda c: _consistent(d, c))
-    return F.coalesce((F.octet_length(body) <= MAX_BYTES) & bound(F.from_json(body, DOCUMENT), judged), F.lit(False))
+    return F.coalesce((F.octet_length(body) <= MAX_BYTES) & bound(F.from_json(body, DOCUMENT), lambda d: (document_json(d) == body) & _sound(d)), F.lit(False))
+
+
+def _given(value: Column, then: Callable[[Column], Column]) -> Column:
+    """As ``bound``, but what ``then`` returns isn't copied: for whole documents."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, then)
+
+
+def keeps_contract(document: Column) -> Column:
+    """Whether ``contract_findings`` has nothing to say of a struct's JSON text, told in its row; never null."""
+
+    def judged(text: Column) -> Column:
+        # Two readings a station and no more stations than items; only texts near the limit are spelled out.
+        small = F.octet_length(text) <= MAX_BYTES - 2 * MAX_ITEMS * len('"value":null,')
+        # Bytes that aren't UTF-8 are U+FFFD in JSON; then, and where a struct isn't sound, what JSON makes of it counts.
+        as_is = F.when(~F.contains(text, F.lit("\ufffd")), document)
+        either = lambda i: F.when(i == 0, as_is).otherwise(F.from_json(document_json(document), DOCUMENT))
+        return (small | (F.octet_length(document_json(document)) <= MAX_BYTES)) & F.exists(F.array(F.lit(0), F.lit(1)), lambda i: _given(either(i), _sound))
+
+    return F.coalesce(_given(F.to_json(document), judged), F.lit(False))
 
 
 def contract_findings(documents: DataFrame, body: str = "body") -> DataFrame:
@@ -278,26 +301,8 @@ def _freshness(members: Column, sources: Column) -> Column:
     )
 
 
-def compose_documents(members: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request_id, refusal, dashboard): one composed document for each request, or why it can't be.
-
-    ``members`` has request_id, place, key, label and dashboard (a DOCUMENT; null for a source that didn't load), two or
-    three a request; ``requests`` has request_id, id, title, audience and notice. Refusals: too-few-sources (also for a
-    request without members), too-many-sources, none-loaded, repeated-key, mixed-modes, and breaks-contract, where
-    ``contract_findings`` has something to say about the result.
-    """
-    order = Window.partitionBy("request_id").orderBy("place", "key")
-    few = members.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= MAX_MEMBERS + 1)  # so a row stays small
-    held = few.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("_nth", "key", "label", "dashboard"))).alias("m"))
-    rows = requests.join(held, "request_id", "left").withColumn("m", F.coalesce("m", F.filter(F.array(F.lit(None).cast(held.schema["m"].dataType.elementType)), lambda x: F.lit(False))))
-    m = F.col("m")
-    rows = rows.withColumn("s", F.filter(m, lambda x: x["dashboard"].isNotNull()))
-    s = F.col("s")
-    modes, keys = F.array_distinct(F.transform(s, lambda x: x["dashboard"]["dataMode"])), F.transform(m, lambda x: x["key"])
-    refusal = (
-        F.when(F.size(m) < 2, "too-few-sources").when(F.size(m) > MAX_MEMBERS, "too-many-sources").when(F.size(s) < 1, "none-loaded")
-        .when(F.size(F.array_distinct(keys)) < F.size(m), "repeated-key").when(F.size(modes) > 1, "mixed-modes")
-    )
+def _composed(request: dict[str, Column], m: Column, s: Column, modes: Column) -> Column:
+    """The document of a request's members ``m``, of which ``s`` did load."""
     made = F.array_max(F.transform(s, lambda x, i: F.struct(instant(x["dashboard"]["generatedAt"]).alias("at"), (-i).alias("nth"), x["dashboard"]["generatedAt"].alias("said"))))
     action = F.struct(
         _joined(m, lambda d: d["nextAction"]["title"]).alias("title"),
@@ -305,20 +310,53 @@ def compose_documents(members: DataFrame, requests: DataFrame) -> DataFrame:
         _in_turns(F.transform(s, lambda x: _all_named(x["key"], x["dashboard"]["nextAction"]["evidenceIds"]))).alias("evidenceIds"),
     )
     drawing = F.struct(
-        F.col("title"),
+        request["title"].alias("title"),
         _attributed(m, lambda d: d["architecture"]["summary"]).alias("summary"),
         _flat(s, lambda k, d: F.transform(d["architecture"]["nodes"], lambda n: n.withField("id", _named(k, n["id"])))).alias("nodes"),
         _flat(s, lambda k, d: F.transform(d["architecture"]["edges"], lambda e: e.withField("from", _named(k, e["from"])).withField("to", _named(k, e["to"])))).alias("edges"),
     )
+    named = {n: c.alias(n) for n, c in request.items()}
     document = F.struct(
-        F.lit("1.2").alias("schemaVersion"), "id", "title", "audience", made["said"].alias("generatedAt"), F.get(modes, F.lit(0)).alias("dataMode"), _freshness(m, s).alias("freshness"), action.alias("nextAction"), "notice",
+        F.lit("1.2").alias("schemaVersion"), named["id"], named["title"], named["audience"], made["said"].alias("generatedAt"), F.get(modes, F.lit(0)).alias("dataMode"), _freshness(m, s).alias("freshness"), action.alias("nextAction"), named["notice"],
         F.flatten(F.transform(s, lambda x: F.transform(x["dashboard"]["pages"], lambda p: _page(x["key"], x["label"], p)))).alias("pages"),
         _flat(s, lambda k, d: F.transform(d["evidence"], lambda e: e.withField("id", _named(k, e["id"])))).alias("evidence"),
         drawing.alias("architecture"), F.struct(*[_brief(m, s, c) for c in ("known", "changed", "important")]).alias("executiveBrief"),
     )
-    # Made twice, to be judged and for the result, as whole documents are more to write than to make.
-    composed = rows.select("request_id", refusal.alias("refusal"), F.when(refusal.isNull(), document.cast(DOCUMENT)).alias("dashboard"))
-    bodies = composed.where("refusal IS NULL").select(F.col("request_id").alias("doc_id"), document_json(F.col("dashboard")).alias("body"))
-    broken = contract_findings(bodies).select(F.col("doc_id").alias("request_id")).distinct().withColumn("_broken", F.lit(True))
-    judged = composed.join(broken, "request_id", "left")
-    return judged.select("request_id", F.when(F.col("_broken"), "breaks-contract").otherwise(F.col("refusal")).alias("refusal"), F.when(F.col("_broken").isNull(), F.col("dashboard")).alias("dashboard"))
+    return document.cast(DOCUMENT)
+
+
+def _outcome(request: dict[str, Column], m: Column, s: Column) -> Column:
+    """(refusal, dashboard) of a request."""
+    modes, keys = F.array_distinct(F.transform(s, lambda x: x["dashboard"]["dataMode"])), F.transform(m, lambda x: x["key"])
+    refusal = (
+        F.when(F.size(m) < 2, "too-few-sources").when(F.size(m) > MAX_MEMBERS, "too-many-sources").when(F.size(s) < 1, "none-loaded")
+        .when(F.size(F.array_distinct(keys)) < F.size(m), "repeated-key").when(F.size(modes) > 1, "mixed-modes")
+    )
+    outcome = lambda why, d: F.struct(why.cast("string").alias("refusal"), d.cast(DOCUMENT).alias("dashboard"))
+    judged = lambda d: F.when(keeps_contract(d), outcome(F.lit(None), d)).otherwise(outcome(F.lit("breaks-contract"), F.lit(None)))
+    return _given(refusal, lambda why: F.when(why.isNotNull(), outcome(why, F.lit(None))).otherwise(_given(_composed(request, m, s, modes), judged)))
+
+
+def compose_gathered(requests: DataFrame) -> DataFrame:
+    """``compose_documents`` of requests that have their members with them, as an array ``members`` of structs.
+
+    Everything of a request is made and judged in its own row: nothing is moved, written or made twice.
+    """
+    request = {n: F.col(n) for n in ("id", "title", "audience", "notice")}
+    few = F.slice(F.sort_array(F.coalesce("members", F.array().cast(requests.schema["members"].dataType))), 1, MAX_MEMBERS + 1)
+    made = _given(few, lambda m: _given(F.filter(m, lambda x: x["dashboard"].isNotNull()), lambda s: _outcome(request, m, s)))
+    return requests.select("request_id", made.alias("made")).select("request_id", "made.refusal", "made.dashboard")
+
+
+def compose_documents(members: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, refusal, dashboard): one composed document for each request, or why it can't be.
+
+    ``members`` has request_id, place, key, label and dashboard (a DOCUMENT; null for a source that didn't load), two or
+    three a request; ``requests`` has request_id, id, title, audience and notice. Refusals: too-few-sources (also for a
+    request without members), too-many-sources, none-loaded, repeated-key, mixed-modes, and breaks-contract, where
+    ``contract_findings`` has something to say about the result.
+    """
+    order = Window.partitionBy("request_id").orderBy("place", "key")
+    few = members.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= MAX_MEMBERS + 1)  # so a row stays small
+    held = few.groupBy("request_id").agg(F.collect_list(F.struct("place", "key", "label", "dashboard")).alias("members"))
+    return compose_gathered(requests.join(held, "request_id", "left"))

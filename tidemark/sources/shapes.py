@@ -105,13 +105,15 @@ class Contract:
         keys = F.when(kind == "OBJECT", F.map_keys(F.expr("try_cast(value AS MAP<STRING, VARIANT>)")))
         return rows.select("doc_id", "path", "shape", kind.alias("kind"), said.alias("said"), number.alias("number"), size.alias("size"), keys.alias("keys"))
 
-    def holds(self, shape: str, value: Column) -> Column:
+    def holds(self, shape: str, value: Column, but: tuple[str, ...] = ()) -> Column:
         """Whether a typed value surely keeps its shape: where true, shape_findings has nothing to say of it.
 
-        Not true (false or null) proves nothing: lengths are judged by bytes, which are never fewer than UTF-16 units, and
-        some shapes not at all.
+        Texts are UTF-8. Not true (false or null) proves nothing of the shapes flag, whole, digits, text? and map.
+        A record's fields ``but`` some are judged.
         """
         told, *more = shape.split("/", 3)
+        units = lambda: F.octet_length(F.encode(value, "UTF-16BE")) / 2
+        upto = lambda most: (F.octet_length(value) <= most) | (units() <= most)  # noqa: E731  units are no more than bytes
         inside = lambda of, x: F.coalesce(self.holds(of, x), F.lit(False))
         if told in self.by_kind:
             names = [n for n in self.records if n.startswith(f"{told}:")]
@@ -120,12 +122,17 @@ class Contract:
             fields = self.records[shape]
             own = {f.rstrip("?") for f in fields}
             others = {f.rstrip("?") for n, fs in self.records.items() if ":" in shape and n.startswith(shape.split(":")[0] + ":") for f in fs} - own
-            every = [self.holds(of, value[f]) if not f.endswith("?") else value[f[:-1]].isNull() | self.holds(of, value[f[:-1]]) for f, of in fields.items()]
+            every = [self.holds(of, value[f]) if not f.endswith("?") else value[f[:-1]].isNull() | self.holds(of, value[f[:-1]]) for f, of in fields.items() if f not in but]
             return reduce(and_, every + [value[f].isNull() for f in sorted(others)])
         if told == "list":
-            return F.size(value).between(int(more[0]), int(more[1])) & F.forall(value, lambda x: inside(more[2], x))
+            # Instants and addresses repeat and take long to judge, so each is judged once a list.
+            dear = {f: of for f, of in self.records.get(more[2], {}).items() if of in ("instant", "url")}
+            each = lambda f: F.array_distinct(F.transform(value, lambda x: x[f.rstrip("?")]))
+            alike = lambda f, of: F.forall(each(f), lambda v: inside(of, v) | (v.isNull() & F.lit(f.endswith("?"))))
+            every = [alike(f, of) for f, of in dear.items()]
+            return F.size(value).between(int(more[0]), int(more[1])) & reduce(and_, [F.forall(value, lambda x: F.coalesce(self.holds(more[2], x, tuple(dear)), F.lit(False))), *every])
         if told == "text":
-            return F.octet_length(value).between(int(more[0]) * (3 if int(more[0]) > 1 else 1), int(more[1]))
+            return (F.octet_length(value) >= int(more[0]) if int(more[0]) <= 1 else units() >= int(more[0])) & upto(int(more[1]))
         if told == "choice":
             return value.isin(*more[0].split("|"))
         finite = (value > float("-inf")) & (value < float("inf"))
@@ -136,7 +143,7 @@ class Contract:
         if told == "instant":
             return instant(value).isNotNull()
         if told == "url":
-            return (F.octet_length(value) <= 2048) & F.rlike(value, F.lit(URL))
+            return upto(2048) & F.rlike(value, F.lit(URL))
         return F.lit(False)
 
     def shape_findings(self, rows: DataFrame) -> DataFrame:
