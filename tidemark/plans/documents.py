@@ -167,7 +167,7 @@ def _consistent(d: Column, parts: Column) -> Column:
     unique = [differ(each(of, UNIQUE[n])) for n, of in (("pages", d["pages"]), ("evidence", evidence), ("nodes", nodes), ("components", parts))]
     unique += [F.forall(parts, lambda c: reduce(and_, [differ(each(inside(c, n), UNIQUE[n])) for n in _LISTS])), differ(edges), *[differ(s["statementTypes"]) for s in statements]]
 
-    cites = lambda c: F.concat(F.coalesce(c["evidenceIds"], F.array().cast(_CITED)), *[F.flatten(each(inside(c, n), "evidenceIds")) for n in _LISTS])
+    cites = lambda c: F.flatten(F.array(F.coalesce(c["evidenceIds"], F.array().cast(_CITED)), *[F.flatten(each(inside(c, n), "evidenceIds")) for n in _LISTS]))  # noqa: E731  concat is slower
     cited = F.concat(F.flatten(F.transform(parts, cites)), d["nextAction"]["evidenceIds"], *[s["evidenceIds"] for s in statements])
     known = bound(F.struct(cited.alias("cited"), each(evidence, "id").alias("ids")), lambda x: (F.size(x["cited"]) <= MAX_REFERENCES) & (F.size(F.array_except(x["cited"], x["ids"])) == 0))
     joined = F.size(F.array_except(F.concat(each(edges, "from"), each(edges, "to")), each(nodes, "id"))) == 0
@@ -193,7 +193,7 @@ def surely_sound(body: Column) -> Column:
     return F.coalesce((F.octet_length(body) <= MAX_BYTES) & bound(F.from_json(body, DOCUMENT), lambda d: (document_json(d) == body) & _sound(d)), F.lit(False))
 
 
-def _given(value: Column, then: Callable[[Column], Column]) -> Column:
+def given(value: Column, then: Callable[[Column], Column]) -> Column:
     """As ``bound``, but what ``then`` returns isn't copied: for whole documents."""
     return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, then)
 
@@ -207,9 +207,9 @@ def keeps_contract(document: Column) -> Column:
         # Bytes that aren't UTF-8 are U+FFFD in JSON; then, and where a struct isn't sound, what JSON makes of it counts.
         as_is = F.when(~F.contains(text, F.lit("\ufffd")), document)
         either = lambda i: F.when(i == 0, as_is).otherwise(F.from_json(document_json(document), DOCUMENT))
-        return (small | (F.octet_length(document_json(document)) <= MAX_BYTES)) & F.exists(F.array(F.lit(0), F.lit(1)), lambda i: _given(either(i), _sound))
+        return (small | (F.octet_length(document_json(document)) <= MAX_BYTES)) & F.exists(F.array(F.lit(0), F.lit(1)), lambda i: given(either(i), _sound))
 
-    return F.coalesce(_given(F.to_json(document), judged), F.lit(False))
+    return F.coalesce(given(F.to_json(document), judged), F.lit(False))
 
 
 def contract_findings(documents: DataFrame, body: str = "body") -> DataFrame:
@@ -334,7 +334,7 @@ def _outcome(request: dict[str, Column], m: Column, s: Column) -> Column:
     )
     outcome = lambda why, d: F.struct(why.cast("string").alias("refusal"), d.cast(DOCUMENT).alias("dashboard"))
     judged = lambda d: F.when(keeps_contract(d), outcome(F.lit(None), d)).otherwise(outcome(F.lit("breaks-contract"), F.lit(None)))
-    return _given(refusal, lambda why: F.when(why.isNotNull(), outcome(why, F.lit(None))).otherwise(_given(_composed(request, m, s, modes), judged)))
+    return given(refusal, lambda why: F.when(why.isNotNull(), outcome(why, F.lit(None))).otherwise(given(_composed(request, m, s, modes), judged)))
 
 
 def compose_gathered(requests: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def compose_gathered(requests: DataFrame) -> DataFrame:
     """
     request = {n: F.col(n) for n in ("id", "title", "audience", "notice")}
     few = F.slice(F.sort_array(F.coalesce("members", F.array().cast(requests.schema["members"].dataType))), 1, MAX_MEMBERS + 1)
-    made = _given(few, lambda m: _given(F.filter(m, lambda x: x["dashboard"].isNotNull()), lambda s: _outcome(request, m, s)))
+    made = given(few, lambda m: given(F.filter(m, lambda x: x["dashboard"].isNotNull()), lambda s: _outcome(request, m, s)))
     return requests.select("request_id", made.alias("made")).select("request_id", "made.refusal", "made.dashboard")
 
 
